@@ -110,15 +110,17 @@ def _seg_bounds(start: np.ndarray) -> np.ndarray:
 
 
 # ---- greedy packing primitives --------------------------------------------
+# S is a 2-D prefix-sum array of shape (m+1, d): one column per limited
+# quantity (tokens, bytes, ...); ``limits`` holds the d limits.
 
-def _next_start(S: np.ndarray, limit: float | None, row_limit: int | None) -> np.ndarray:
-    """For a segment with prefix sums S (len m+1): start of the next chunk if one starts at j."""
-    m = len(S) - 1
+def _next_start(S: np.ndarray, limits: list, row_limit: int | None) -> np.ndarray:
+    """Start of the next chunk, for every j, if a chunk starts at row j."""
+    m = S.shape[0] - 1
     j = np.arange(m, dtype=np.int64)
-    if limit is None:
-        ktok = np.full(m, m, dtype=np.int64)
-    else:
-        ktok = np.searchsorted(S, S[:-1] + limit, side="right").astype(np.int64) - 1
+    ktok = np.full(m, m, dtype=np.int64)
+    for d, lim in enumerate(limits):
+        col = S[:, d]
+        ktok = np.minimum(ktok, np.searchsorted(col, col[:-1] + lim, side="right").astype(np.int64) - 1)
     nxt = np.maximum(j + 1, ktok)
     if row_limit is not None:
         nxt = np.minimum(nxt, j + int(row_limit))
@@ -140,16 +142,15 @@ def _chase_all(nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return jump, hops
 
 
-def _entry_cut(S: np.ndarray, c: float, r: int, limit, row_limit) -> int:
+def _entry_cut(S: np.ndarray, c: list, r: int, limits: list, row_limit) -> int:
     """Rows [0, j) of a continuing segment join the carried chunk; row j opens the next."""
     if r == 0:
         return 0
-    m = len(S) - 1
-    if limit is None:
-        jt = m
-    else:
-        x = limit - c
-        jt = 0 if x < 0 else int(np.searchsorted(S, x, side="right")) - 1
+    m = S.shape[0] - 1
+    jt = m
+    for d, lim in enumerate(limits):
+        x = lim - c[d]
+        jt = min(jt, 0 if x < 0 else int(np.searchsorted(S[:, d], x, side="right")) - 1)
     if row_limit is not None:
         jt = min(jt, int(row_limit) - r)
     return max(0, min(jt, m))
@@ -164,17 +165,25 @@ def _starts_from(nxt_list: list, j: int, m: int) -> np.ndarray:
     return marks
 
 
+def _prefix(pdf: pd.DataFrame, cols: list, lo: int, hi: int) -> np.ndarray:
+    if not cols:
+        return np.zeros((hi - lo + 1, 0), dtype=np.int64)
+    vals =np.stack([pdf[c].iloc[lo:hi].fillna(0).to_numpy(dtype=np.int64) for c in cols], axis=1)
+    return np.vstack([np.zeros((1, len(cols)), dtype=np.int64), np.cumsum(vals, axis=0)])
+
+
 # --------------------------------------------------------------------------
 # the scan
 # --------------------------------------------------------------------------
 
 class _Spec:
-    def __init__(self, kind, gcols, ocols, value_col, limit, row_limit):
+    def __init__(self, kind, gcols, ocols, value_col, pack, row_limit):
         self.kind = kind
         self.gcols = gcols
         self.ocols = ocols
         self.value_col = value_col
-        self.limit = limit
+        self.pack_cols = [c for c, _ in pack]
+        self.limits = [lim for _, lim in pack]
         self.row_limit = row_limit
 
 
@@ -205,21 +214,19 @@ def _summarise(spec: _Spec):
                 payload["first"] = _pyval(first.max())
                 payload["last"] = _pyval(last.max())
         elif kind == "greedy":
-            tok = pdf[spec.value_col].fillna(0).to_numpy(dtype=np.int64)
             # exit of the last segment when it starts fresh in this partition
             lo, hi = int(bounds[-2]), int(bounds[-1])
-            S = np.concatenate([[0], np.cumsum(tok[lo:hi])])
-            nxt = _next_start(S, spec.limit, spec.row_limit)
+            S = _prefix(pdf, spec.pack_cols, lo, hi)
+            nxt = _next_start(S, spec.limits, spec.row_limit)
             jump, hops = _chase_all(nxt)
             m = hi - lo
             ls = int(jump[0])
-            payload["last_local"] = [int(S[m] - S[ls]), int(m - ls), int(hops[0]) + 1]
+            payload["last_local"] = [(S[m] - S[ls]).tolist(), int(m - ls), int(hops[0]) + 1]
             if nseg == 1:
                 # exit state as a function of where the carried chunk is closed
-                if spec.limit is None:
-                    kmax = m
-                else:
-                    kmax = int(np.searchsorted(S, spec.limit, side="right")) - 1
+                kmax = m
+                for d, lim in enumerate(spec.limits):
+                    kmax = min(kmax, int(np.searchsorted(S[:, d], lim, side="right")) - 1)
                 J = min(kmax, m - 1)
                 if spec.row_limit is not None:
                     J = min(J, int(spec.row_limit) - 1)
@@ -227,14 +234,15 @@ def _summarise(spec: _Spec):
                 cand = np.arange(J + 1)
                 ls_c = jump[cand]
                 h_c = hops[cand]
-                tl = S[m] - S[ls_c]
+                tl = S[m][None, :] - S[ls_c]
                 rl = m - ls_c
                 change = np.ones(J + 1, dtype=bool)
-                change[1:] = (h_c[1:] != h_c[:-1]) | (tl[1:] != tl[:-1]) | (rl[1:] != rl[:-1])
+                change[1:] = ((h_c[1:] != h_c[:-1]) | (rl[1:] != rl[:-1])
+                              | np.any(tl[1:] != tl[:-1], axis=1))
                 idx = np.flatnonzero(change)
-                payload["runs"] = [[int(a), int(S[a]), int(h_c[a]), int(tl[a]), int(rl[a])]
+                payload["runs"] = [[int(a), S[a].tolist(), int(h_c[a]), tl[a].tolist(), int(rl[a])]
                                    for a in idx]
-                payload["total"] = int(S[m])
+                payload["total"] = S[m].tolist()
         out["payload"] = json.dumps(payload)
         yield pd.DataFrame([out])
 
@@ -249,18 +257,19 @@ _SUMMARY_SCHEMA = T.StructType([
 ])
 
 
-def _greedy_exit(entry, s, payload, limit, row_limit):
-    """Exit state (tokens, rows, part) of a single-segment partition."""
+def _greedy_exit(entry, s, payload, limits, row_limit):
+    """Exit state (sums, rows, part) of a single-segment partition."""
     c, r, part = entry
     n = s["n"]
     if r > 0:
-        x = math.inf if limit is None else limit - c
-        if payload["total"] <= x and (row_limit is None or r + n <= row_limit):
-            return (c + payload["total"], r + n, part)
+        x = [lim - cd for lim, cd in zip(limits, c)]
+        fits = all(t <= xd for t, xd in zip(payload["total"], x))
+        if fits and (row_limit is None or r + n <= row_limit):
+            return ([cd + t for cd, t in zip(c, payload["total"])], r + n, part)
         cap = math.inf if row_limit is None else row_limit - r
         chosen = payload["runs"][0]
         for run in payload["runs"]:
-            if run[1] <= x and run[0] <= cap:
+            if all(sa <= xd for sa, xd in zip(run[1], x)) and run[0] <= cap:
                 chosen = run
             else:
                 break
@@ -300,9 +309,9 @@ def _chain(spec: _Spec, summaries: list[dict]) -> dict:
             else:
                 exit_state = payload["last"]
         else:  # greedy
-            entry = carried if cont else (0, 0, 0)
+            entry = carried if cont else ([0] * len(spec.limits), 0, 0)
             if s["nseg"] == 1:
-                exit_state = _greedy_exit(entry, s, payload, spec.limit, spec.row_limit)
+                exit_state = _greedy_exit(entry, s, payload, spec.limits, spec.row_limit)
             else:
                 exit_state = tuple(payload["last_local"])
         entries[s["pid"]] = {"entry": entry, "first_key": s["first_key"],
@@ -357,16 +366,15 @@ def _emit(spec: _Spec, entries: dict):
                     run[:first_len] = np.where(pd.isna(head), entry, np.maximum(head, entry))
             out["_run"] = run
         else:
-            tok = pdf[spec.value_col].fillna(0).to_numpy(dtype=np.int64)
             part = np.zeros(n, dtype=np.int64)
             for si in range(len(bounds) - 1):
                 lo, hi = int(bounds[si]), int(bounds[si + 1])
                 m = hi - lo
-                S = np.concatenate([[0], np.cumsum(tok[lo:hi])])
-                nxt = _next_start(S, spec.limit, spec.row_limit).tolist()
+                S = _prefix(pdf, spec.pack_cols, lo, hi)
+                nxt = _next_start(S, spec.limits, spec.row_limit).tolist()
                 if si == 0:
                     c, r, base = entry
-                    j = _entry_cut(S, c, r, spec.limit, spec.row_limit)
+                    j = _entry_cut(S, c, r, spec.limits, spec.row_limit)
                 else:
                     base, j = 0, 0
                 marks = _starts_from(nxt, j, m)
@@ -378,23 +386,27 @@ def _emit(spec: _Spec, entries: dict):
 
 
 def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], kind: str,
-                 value_col: str | None = None, limit: float | None = None,
+                 value_col: str | None = None, pack: list | None = None,
                  row_limit: int | None = None, num_partitions: int | None = None) -> DataFrame:
     """Run one ordered scan; returns group + order columns plus the result column(s).
 
     kind: ``number`` (``_rn`` 1-based, ``_n`` group size), ``sum`` / ``max``
     (``_run`` inclusive running value) or ``greedy`` (``_part``: next-fit chunk
-    index under ``limit`` on ``value_col`` and ``row_limit`` rows).
+    index; ``pack`` lists ``(column, limit)`` pairs that no chunk may exceed,
+    together with at most ``row_limit`` rows; a single oversize row gets its
+    own chunk).
     """
     if kind not in ("number", "sum", "max", "greedy"):
         raise ValueError(f"unknown scan kind {kind!r}")
-    if kind == "greedy" and limit is None and row_limit is None:
+    pack = [(c, lim) for c, lim in (pack or []) if lim is not None]
+    if kind == "greedy" and not pack and row_limit is None:
         raise ValueError("greedy packing needs a token limit or a row limit")
     if row_limit is not None and int(row_limit) < 1:
         raise ValueError("row_limit must be >= 1")
     gcols, ocols = list(group_cols), list(order_cols)
-    cols = gcols + ocols + ([value_col] if value_col and value_col not in gcols + ocols else [])
-    spec = _Spec(kind, gcols, ocols, value_col, limit, row_limit)
+    extra = ([value_col] if value_col else []) + [c for c, _ in pack]
+    cols = gcols + ocols + [c for c in dict.fromkeys(extra) if c not in gcols + ocols]
+    spec = _Spec(kind, gcols, ocols, value_col, pack, row_limit)
     laid = range_layout(df.select(*cols), gcols + ocols, num_partitions)
     tagged = laid.withColumn(_PID, F.spark_partition_id())
     summaries = [r.asDict() for r in
