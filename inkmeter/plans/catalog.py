@@ -1,7 +1,8 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per key.
 
 Each reads the driver's tables (or data Spark derives from them) through
-``inkmeter.plans.inputs`` and composes the library's operators.
+``inkmeter.plans.inputs`` / ``derived`` and composes the library's
+operators.  Parameters are fixed per key (listed in ``PARAMS``).
 """
 
 from __future__ import annotations
@@ -9,11 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmeter.operators import aggregates
-from inkmeter.plans import inputs
+from inkmeter.functions import ids, prompts, responses, tokens
+from inkmeter.operators import admission, aggregates, ledger, packing, results, scoring
+from inkmeter.plans import derived, inputs
+from inkmeter.session import scratch_path
+from inkmeter.sources import readers, writers
 
 Q: dict = {}
 
+# Fixed parameters of the registered queries.
+PARAMS = {
+    "forced_k": 3,            # G1, F4, K3: chunks per file
+    "rows_per_chunk": 7,      # G2
+    "chunk_tokens": 20_000,   # G3/G4/L1/L3: chunker token limit
+    "chunk_rows": 25,         # G3 row limit
+    "hybrid_k": 2,            # G4
+    "file_cap": 140_000,      # G5/G6/B7/L3: per-file token cap
+    "grade_cap": 6_000_000,   # L1 admission cap
+    "daily_limit": admission.DAILY_TOKEN_LIMIT,  # F7, G12
+    "pack_tokens": 100_000,   # G8
+    "pack_bytes": 150_000,    # G8
+    "word_limit": 3_000,      # K1
+    "range": ("2024-01-05", "2024-01-20"),  # C13, E4-E9
+}
+
 
 def register(name):
     def deco(fn):
@@ -22,12 +42,846 @@ def register(name):
     return deco
 
 
+# --------------------------------------------------------------------------
+# shared building blocks
+# --------------------------------------------------------------------------
+
 def _submitted(spark: SparkSession, sf: str) -> DataFrame:
     p = inputs.Prompt(spark, sf)
-    return inputs.documents_as_files(spark, sf).withColumn("tok", p.submitted("text"))
+    return derived.docs(spark, sf).withColumn("tok", p.submitted("text"))
+
+
+def _text_tokens(spark, sf) -> DataFrame:
+    return derived.docs(spark, sf).withColumn("tok", tokens.count_tokens("text"))
+
+
+def _graded(spark, sf) -> DataFrame:
+    """Rows joined with their (deduplicated) answers."""
+    return results.join_results(_submitted(spark, sf), derived.final_answers(spark, sf))
+
+
+def _forced(spark, sf, k=None) -> DataFrame:
+    return packing.chunk_forced(derived.docs(spark, sf), k or PARAMS["forced_k"])
+
+
+def _failed_status(forced: DataFrame) -> DataFrame:
+    """One status row per chunk; the designated chunk failed."""
+    f, p = derived.FAILED_CHUNK
+    st = forced.select("file", "part").distinct()
+    bad = (F.col("file") == f) & (F.col("part") == p)
+    return st.select("file", "part",
+                     F.when(bad, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
+                     F.when(bad, F.lit(f"ERROR: Simulated failure for {f}_part{p}")).alias("error_message"))
+
+
+def _requests(spark, sf, prompt=None) -> DataFrame:
+    p = prompt or inputs.Prompt(spark, sf)
+    return derived.docs(spark, sf).withColumn(
+        "request", prompts.request_json("custom_id", "text", p.text))
+
+
+def _events(spark, sf, strict=False) -> DataFrame:
+    return inputs.usage_events(spark, sf, strict_models=strict)
+
+
+def _pricing_path(spark) -> str:
+    """The fixed price list written once as CSV, read back through the strict reader."""
+    path = scratch_path(spark, "pricing") + "/pricing.csv"
+    rows = [(m, i, o) for m, i, o in PRICE_LIST]
+    spark.createDataFrame(rows, "Model string, Input string, Output string").coalesce(1) \
+        .write.option("header", True).csv(path)
+    return path
+
+
+# Model price list in USD per 1M tokens (input, output).
+PRICE_LIST = [
+    ("gpt-4.1-2025-04-14", "1.00", "4.00"),
+    ("gpt-4.1-mini-2025-04-14", "0.20", "0.80"),
+    ("gpt-4.1-nano-2025-04-14", "0.05", "0.20"),
+    ("gpt-4.5-preview-2025-02-27", "37.50", "75.00"),
+    ("gpt-4o-2024-08-06", "1.25", "5.00"),
+    ("gpt-4o-mini-2024-07-18", "0.08", "0.30"),
+    ("o1-2024-12-17", "7.50", "30.00"),
+    ("o1-pro-2025-03-19", "75.00", "300.00"),
+    ("o3-2025-04-16", "5.00", "20.00"),
+    ("o4-mini-2025-04-16", "0.55", "2.20"),
+    ("o3-mini-2025-01-31", "0.55", "2.20"),
+    ("o1-mini-2024-09-12", "0.55", "2.20"),
+    ("computer-use-preview-2025-03-11", "1.50", "6.00"),
+]
+
+
+def _prices(spark) -> DataFrame:
+    return readers.latest_prices(readers.read_pricing_strict(spark, _pricing_path(spark)))
+
+
+def _usage(spark, sf) -> DataFrame:
+    """Usage events as logged (masked key, lenient cost)."""
+    return ledger.usage_events(_events(spark, sf), _prices(spark))
+
+
+# --------------------------------------------------------------------------
+# 2.1 sources
+# --------------------------------------------------------------------------
+
+DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _doc_table(spark, sf) -> DataFrame:
+    return inputs.table(spark, sf, "documents").select(*DOC_COLS)
+
+
+def _rename_ext(spark, folder: str, old: str, new: str) -> None:
+    """Give Spark's part files the extension the folder scan expects (fixture setup)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    it = fs.listFiles(root, True)
+    while it.hasNext():
+        p = it.next().getPath()
+        name = p.getName()
+        if name.endswith(old) and name.startswith("part-"):
+            fs.rename(p, jvm.org.apache.hadoop.fs.Path(p.getParent(), name[: -len(old)] + new))
+
+
+def _bounded_groups(df: DataFrame) -> DataFrame:
+    """A JSON-array file per (source, block of 100 ids): bounded whatever the skew."""
+    return df.withColumn("_blk", F.floor(F.col("doc_id") / 100)).withColumn("_src", F.col("source"))
+
+
+@register("src_csv")
+def src_csv(spark, sf):
+    path = scratch_path(spark, "src") + "/docs.csv"
+    writers.write_csv(_doc_table(spark, sf), path)
+    return readers.read_csv(spark, path, DOC_SCHEMA).select(*DOC_COLS)
+
+
+@register("src_json")
+def src_json(spark, sf):
+    path = scratch_path(spark, "src") + "/docs_json"
+    writers.write_json_arrays(_bounded_groups(_doc_table(spark, sf)), path, ["_src", "_blk"])
+    return readers.read_json_array(spark, path, DOC_SCHEMA).select(*DOC_COLS)
+
+
+@register("src_jsonl")
+def src_jsonl(spark, sf):
+    path = scratch_path(spark, "src") + "/docs.jsonl"
+    writers.write_jsonl(_doc_table(spark, sf), path)
+    return readers.read_jsonl(spark, path, DOC_SCHEMA).select(*DOC_COLS)
+
+
+def _three_formats(spark, sf, base: str) -> dict:
+    """Documents split by language over the three input formats (every row written once)."""
+    d = _doc_table(spark, sf)
+    paths = {".csv": base + "/in/en.csv", ".json": base + "/in/fr_de.json", ".jsonl": base + "/in/es.jsonl"}
+    writers.write_csv(d.filter(F.col("lang") == "en"), paths[".csv"])
+    writers.write_json_arrays(_bounded_groups(d.filter(F.col("lang").isin("fr", "de"))),
+                              paths[".json"], ["_src", "_blk"])
+    _rename_ext(spark, paths[".json"], ".txt", ".json")
+    writers.write_jsonl(d.filter(~F.col("lang").isin("en", "fr", "de")), paths[".jsonl"])
+    _rename_ext(spark, paths[".jsonl"], ".json", ".jsonl")
+    return paths
+
+
+@register("src_dispatch")
+def src_dispatch(spark, sf):
+    paths = _three_formats(spark, sf, scratch_path(spark, "dispatch"))
+    parts = [readers.read_by_extension(spark, p, DOC_SCHEMA).select(*DOC_COLS) for p in paths.values()]
+    return results.union_chunks(parts)
+
+
+@register("src_dir_union")
+def src_dir_union(spark, sf):
+    base = scratch_path(spark, "dirscan")
+    _three_formats(spark, sf, base)
+    u = readers.read_input_dir(spark, base + "/in", DOC_SCHEMA)
+    fmt = F.regexp_extract(F.col("file"), r"\.(csv|jsonl|json)$", 1)
+    return u.select(*DOC_COLS, fmt.alias("fmt"))
+
+
+@register("pricing_strict")
+def pricing_strict(spark, sf):
+    """Strict price scan (duplicate model: last wins), used to price every event."""
+    base = scratch_path(spark, "prices") + "/pricing.csv"
+    rows = PRICE_LIST + [("gpt-4o-mini-2024-07-18", "0.15", "0.60")]
+    spark.createDataFrame(rows, "Model string, Input string, Output string").coalesce(1) \
+        .write.option("header", True).csv(base)
+    prices = readers.latest_prices(readers.read_pricing_strict(spark, base))
+    ev = _events(spark, sf, strict=True)
+    return (ev.join(F.broadcast(prices.withColumnRenamed("Model", "model")), "model", "left")
+            .groupBy("model").agg(F.first("Input").alias("input_price"), F.first("Output").alias("output_price"),
+                                  F.count(F.lit(1)).cast("long").alias("n_events")))
+
+
+@register("pricing_lenient")
+def pricing_lenient(spark, sf):
+    """Lenient price scan skips unparsable rows; unknown models then cost 0."""
+    base = scratch_path(spark, "prices") + "/pricing.csv"
+    rows = PRICE_LIST + [("o3-2025-04-16", "n/a", "20.00"), ("gpt-4.1-2025-04-14", "2.00", "8.00")]
+    spark.createDataFrame(rows, "Model string, Input string, Output string").coalesce(1) \
+        .write.option("header", True).csv(base)
+    prices = readers.latest_prices(readers.read_pricing_lenient(spark, base))
+    ev = _events(spark, sf)
+    return (ev.join(F.broadcast(prices.withColumnRenamed("Model", "model")), "model", "left")
+            .groupBy("model").agg(F.first("Input").alias("input_price"), F.first("Output").alias("output_price"),
+                                  F.count(F.lit(1)).cast("long").alias("n_events")))
+
+
+def _usage_cols(df):
+    return df.select("request_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+                     "api_key_prefix", "model", "input_tokens", "output_tokens", "total_tokens", "cost")
+
+
+@register("usage_events_scan")
+def usage_events_scan(spark, sf):
+    path = scratch_path(spark, "usage") + "/events.jsonl"
+    writers.append_usage(_usage(spark, sf), path)
+    return _usage_cols(readers.read_usage_events(spark, path))
+
+
+@register("usage_append")
+def usage_append(spark, sf):
+    """Two appends (before / from mid-month) into one log, read back whole."""
+    path = scratch_path(spark, "usage") + "/events.jsonl"
+    u = _usage(spark, sf)
+    cut = F.col("timestamp") < F.lit("2024-01-15").cast("timestamp")
+    writers.append_usage(u.filter(cut), path)
+    writers.append_usage(u.filter(~cut), path)
+    return _usage_cols(readers.read_usage_events(spark, path))
+
+
+@register("daily_log_scan")
+def daily_log_scan(spark, sf):
+    path = scratch_path(spark, "dailylog")
+    log = ledger.daily_submitted(_events(spark, sf))
+    # one JSON array per day (a bounded group: keys seen that day)
+    (log.groupBy("date").agg(F.to_json(F.collect_list(F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"),
+                                                              "api_key_prefix", "tokens_submitted"))).alias("value"))
+     .select("value").write.text(path))
+    return readers.read_daily_log(spark, path).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "api_key_prefix", "tokens_submitted")
+
+
+@register("examples_scan")
+def examples_scan(spark, sf):
+    """A10: examples file lines, stripped, blanks dropped (lines written from benchmark)."""
+    path = scratch_path(spark, "examples")
+    b = inputs.table(spark, sf, "benchmark")
+    b.select("text").write.text(path)
+    lines = readers.read_lines(spark, path)
+    return prompts.example_lines(lines.withColumnRenamed("value", "raw_text"), "raw_text",
+                                 ("file", "_block", "_row")).select("line")
+
+
+@register("responses_scan")
+def responses_scan(spark, sf):
+    """The answer file read back as lines, classified."""
+    path = scratch_path(spark, "answers")
+    derived.answer_lines(spark, sf).select(F.col("line").alias("value")).write.text(path)
+    parsed = responses.parse_lines(readers.read_lines(spark, path), "value")
+    return parsed.select("custom_id", "llm_score", "error_type", "corrupt")
+
+
+@register("error_file_scan")
+def error_file_scan(spark, sf):
+    """Error-file lines unioned with output lines so failed requests get their real error."""
+    base = scratch_path(spark, "answers")
+    lines = derived.answer_lines(spark, sf)
+    is_err = F.col("line").contains('"error": {"code"')
+    lines.filter(~is_err).select(F.col("line").alias("value")).write.text(base + "/output")
+    lines.filter(is_err).select(F.col("line").alias("value")).write.text(base + "/errors")
+    out = readers.read_lines(spark, base + "/output").unionByName(readers.read_lines(spark, base + "/errors"))
+    parsed = responses.with_id(responses.parse_lines(out, "value"))
+    return parsed.filter(F.col("error_type") == "ApiError").select("custom_id", "llm_score", "error_message")
+
+
+# --------------------------------------------------------------------------
+# 2.2 sinks
+# --------------------------------------------------------------------------
+
+@register("sink_roundtrip")
+def sink_roundtrip(spark, sf):
+    path = scratch_path(spark, "results") + "/graded_results.csv"
+    g = _graded(spark, sf).select("file", "pos", "id", "text", "llm_score", "tok")
+    writers.write_csv(ids.drop_internal(g), path)
+    return readers.read_csv(spark, path, "file string, pos long, id long, text string, llm_score string, tok long")
+
+
+@register("chunk_sink_roundtrip")
+def chunk_sink_roundtrip(spark, sf):
+    path = scratch_path(spark, "chunks")
+    writers.write_chunks(_forced(spark, sf).select("file", "part", "pos", "n_chars"), path)
+    back = spark.read.parquet(path).withColumn("part", F.col("part").cast("long"))
+    return back.groupBy("file", "part").agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                                            F.sum("n_chars").cast("long").alias("n_chars"))
+
+
+@register("sink_versioned")
+def sink_versioned(spark, sf):
+    base = scratch_path(spark, "versioned")
+    g = derived.docs(spark, sf).select("file", "pos")
+    writers.write_versioned(g, base, "20240101T000000")
+    writers.write_versioned(g, base, "20240102T000000")
+    try:
+        writers.write_versioned(g, base, "20240102T000000")
+        raise AssertionError("an existing result was overwritten")
+    except AssertionError:
+        raise
+    except Exception:  # noqa: BLE001 - expected: errorifexists refused
+        pass
+    return spark.read.parquet(base).groupBy("run_ts").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+
+
+@register("daily_usage_upsert")
+def daily_usage_upsert(spark, sf):
+    ev = _events(spark, sf)
+    old = ledger.daily_submitted(ev.filter(F.col("timestamp") < F.lit("2024-01-15").cast("timestamp")))
+    delta = ledger.daily_submitted(ev.filter(F.col("timestamp") >= F.lit("2024-01-10").cast("timestamp")))
+    return ledger.daily_upsert(old, delta).select(F.date_format("date", "yyyy-MM-dd").alias("date"),
+                                                  "api_key_prefix", "tokens_submitted")
+
+
+@register("request_sink_roundtrip")
+def request_sink_roundtrip(spark, sf):
+    path = scratch_path(spark, "requests")
+    req = packing.with_chunk_names(packing.chunk_forced(_requests(spark, sf), PARAMS["forced_k"]))
+    writers.write_requests(req, path)
+    back = spark.read.text(path)
+    return back.groupBy("chunk_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_requests"),
+        F.sum(F.octet_length("value")).cast("long").alias("n_bytes"),
+        F.count_distinct(F.get_json_object("value", "$.custom_id")).cast("long").alias("n_ids"))
+
+
+@register("rejects_sink")
+def rejects_sink(spark, sf):
+    path = scratch_path(spark, "rejects")
+    dec = admission.admission_cap(_submitted(spark, sf), PARAMS["file_cap"])
+    rej = dec.filter(F.col("status") == "rejected").select(
+        "file", F.lit("admission").alias("stage"),
+        F.format_string("Total submitted tokens (%d) exceeds the allowed cap of %d",
+                        F.col("total_tokens"), F.lit(PARAMS["file_cap"])).alias("error"))
+    writers.append_rejects(rej, path)
+    return spark.read.parquet(path).select("file", "stage", "error")
+
+
+# --------------------------------------------------------------------------
+# 2.3 projections / filters
+# --------------------------------------------------------------------------
+
+@register("row_id")
+def row_id(spark, sf):
+    return derived.docs(spark, sf).select("file", "pos", "custom_id")
+
+
+def _mixed_inputs(spark, sf):
+    d = inputs.documents_as_files(spark, sf).select("file", "pos", "id", "text")
+    c = inputs.conversations_as_files(spark, sf)
+    return d.unionByName(c, allowMissingColumns=True)
+
+
+@register("id_normalise")
+def id_normalise(spark, sf):
+    return ids.normalise_id(_mixed_inputs(spark, sf)).select("file", "pos", "custom_id")
+
+
+@register("id_restore")
+def id_restore(spark, sf):
+    conv = ids.normalise_id(inputs.conversations_as_files(spark, sf))
+    return ids.restore_id(conv).select("file", "pos", "id")
+
+
+@register("drop_internal")
+def drop_internal(spark, sf):
+    return ids.drop_internal(derived.docs(spark, sf).select("file", "pos", "custom_id", "lang"))
+
+
+@register("user_prompt")
+def user_prompt(spark, sf):
+    return derived.docs(spark, sf).select("file", "pos", prompts.user_prompt("text").alias("user_message"))
+
+
+@register("examples_block")
+def examples_block(spark, sf):
+    lines = inputs.example_lines(spark, sf)
+    prompts.check_examples_size(lines)
+    return prompts.examples_block(lines, ("pos",)).select("block", "n_lines")
+
+
+@register("system_prompt")
+def system_prompt(spark, sf):
+    p = inputs.Prompt(spark, sf)
+    return spark.range(1).select(F.lit(p.text).alias("system_prompt"),
+                                 F.lit(p.tokens).cast("long").alias("system_tokens"))
+
+
+@register("build_requests")
+def build_requests(spark, sf):
+    return _requests(spark, sf).select("custom_id", "request")
+
+
+@register("row_text")
+def row_text(spark, sf):
+    d = _doc_table(spark, sf)
+    return d.select(F.col("source").alias("file"), F.col("doc_id").alias("pos"),
+                    tokens.row_text(DOC_COLS).alias("row_text"))
+
+
+@register("mask_key")
+def mask_key(spark, sf):
+    return _events(spark, sf).select("api_key").distinct().select(
+        "api_key", ids.mask_key("api_key").alias("api_key_prefix"))
+
+
+@register("error_rows")
+def error_rows(spark, sf):
+    g = _graded(spark, sf)
+    return g.filter(results.error_flag("llm_score")).select("file", "pos", "llm_score")
+
+
+@register("row_cap")
+def row_cap(spark, sf):
+    return admission.row_cap(derived.docs(spark, sf), admission.MAX_ROWS_PER_FILE).select("file", "pos")
+
+
+@register("usage_date_range")
+def usage_date_range(spark, sf):
+    a, b = PARAMS["range"]
+    return ledger.in_range(_usage(spark, sf), a, b).select(
+        "request_id", F.to_date("timestamp").cast("string").alias("day"))
+
+
+@register("responses_no_id")
+def responses_no_id(spark, sf):
+    return responses.no_id_audit(derived.parsed_answers(spark, sf))
+
+
+@register("chunk_names")
+def chunk_names(spark, sf):
+    h = packing.chunk_hybrid(_text_tokens(spark, sf), PARAMS["hybrid_k"], PARAMS["chunk_tokens"])
+    return packing.with_chunk_names(h, "file", "part", "split_part").select("file", "pos", "chunk_id")
+
+
+# --------------------------------------------------------------------------
+# 2.4 scalar functions
+# --------------------------------------------------------------------------
+
+@register("tokens_regex")
+def tokens_regex(spark, sf):
+    return _doc_table(spark, sf).select("doc_id", tokens.count_tokens("text", "regex").alias("tokens"))
+
+
+@register("tokens_chars4")
+def tokens_chars4(spark, sf):
+    return _doc_table(spark, sf).select("doc_id", tokens.count_tokens("text", "chars4").alias("tokens"))
+
+
+@register("submitted_tokens")
+def submitted_tokens(spark, sf):
+    return _submitted(spark, sf).select("file", "pos", "tok")
+
+
+@register("chunking_tokens")
+def chunking_tokens(spark, sf):
+    p = inputs.Prompt(spark, sf)
+    d = _doc_table(spark, sf)
+    return d.select(F.col("source").alias("file"), F.col("doc_id").alias("pos"),
+                    tokens.chunking_tokens(DOC_COLS, p.text, "regex", p.tokens).alias("tok"))
+
+
+@register("completion_tokens")
+def completion_tokens(spark, sf):
+    return _graded(spark, sf).select("file", "pos", tokens.completion_tokens("llm_score").alias("output_tokens"))
+
+
+@register("request_bytes")
+def request_bytes(spark, sf):
+    return _requests(spark, sf).select("custom_id", tokens.request_bytes("request").alias("n_bytes"))
+
+
+@register("extract_content")
+def extract_content(spark, sf):
+    p = derived.parsed_answers(spark, sf)
+    return p.filter(F.col("error_type").isNull()).select("pos", "k", "custom_id", "llm_score")
+
+
+@register("classify_responses")
+def classify_responses(spark, sf):
+    return derived.parsed_answers(spark, sf).select("pos", "k", "custom_id", "llm_score", "error_type",
+                                                    "error_message", "corrupt")
+
+
+@register("parse_score")
+def parse_score(spark, sf):
+    a = derived.final_answers(spark, sf)
+    return a.select("custom_id", responses.parse_score("llm_score").alias("score"))
+
+
+@register("parse_score_multi")
+def parse_score_multi(spark, sf):
+    return responses.parse_score_lines(derived.final_answers(spark, sf), "llm_score", ["custom_id"])
+
+
+# --------------------------------------------------------------------------
+# 2.5 joins
+# --------------------------------------------------------------------------
+
+@register("join_results")
+def join_results(spark, sf):
+    return _graded(spark, sf).select("file", "pos", "llm_score", "error_type")
+
+
+@register("cost_strict")
+def cost_strict(spark, sf):
+    return ledger.cost_strict(_events(spark, sf, strict=True), _prices(spark)).select("request_id", "model", "cost")
+
+
+@register("cost_lenient")
+def cost_lenient(spark, sf):
+    return ledger.cost_lenient(_events(spark, sf), _prices(spark)).select("request_id", "model", "cost")
+
+
+def _chunk_answers(spark, sf):
+    g = _graded(spark, sf)
+    forced = packing.chunk_forced(g, PARAMS["forced_k"])
+    return forced
+
+
+@register("chunk_error_rows")
+def chunk_error_rows(spark, sf):
+    forced = _chunk_answers(spark, sf)
+    out = results.chunk_error_rows(forced, _failed_status(forced))
+    return out.select("file", "pos", "part", "llm_score", "chunk_status")
+
+
+@register("unanswered")
+def unanswered(spark, sf):
+    return results.unanswered(derived.docs(spark, sf), derived.final_answers(spark, sf)).select("file", "pos", "custom_id")
+
+
+@register("orphan_answers")
+def orphan_answers(spark, sf):
+    return results.orphan_answers(derived.final_answers(spark, sf), derived.docs(spark, sf)).select(
+        "custom_id", "llm_score")
+
+
+def _daily_log(spark, sf):
+    return ledger.daily_submitted(_events(spark, sf))
+
+
+@register("tokens_remaining")
+def tokens_remaining(spark, sf):
+    ev = _events(spark, sf)
+    look = ev.select(F.date_add(F.to_date("timestamp"), 1).alias("date"),
+                     ids.mask_key("api_key").alias("api_key_prefix")).distinct()
+    out = admission.tokens_remaining(look, _daily_log(spark, sf), PARAMS["daily_limit"])
+    return out.select(F.col("date").cast("string").alias("date"), "api_key_prefix", "used", "remaining")
+
+
+def _batch_table(forced):
+    """Batch outcome per chunk, a rule on the chunk's file and part."""
+    st = packing.with_chunk_names(forced.select("file", "part").distinct())
+    status = (F.when((F.col("file") == "src2") & (F.col("part") == 2), F.lit("expired"))
+              .when((F.col("file") == "src3") & (F.col("part") == 1), F.lit("failed"))
+              .otherwise(F.lit("completed")))
+    has_out = ~((F.col("file") == "src4") & (F.col("part") == 3))
+    readable = ~((F.col("file") == "src5") & (F.col("part") == 3))
+    return st.select("chunk_id", status.alias("status"), has_out.alias("has_output"),
+                     readable.alias("output_readable"))
+
+
+@register("batch_status_rows")
+def batch_status_rows(spark, sf):
+    forced = packing.with_chunk_names(_chunk_answers(spark, sf))
+    out = results.batch_status_rows(forced, _batch_table(forced))
+    return out.select("file", "pos", "chunk_id", "llm_score")
+
+
+@register("answered_rows")
+def answered_rows(spark, sf):
+    return results.answered_rows(derived.docs(spark, sf), derived.final_answers(spark, sf)).select("file", "pos")
+
+
+# --------------------------------------------------------------------------
+# 2.6 aggregations
+# --------------------------------------------------------------------------
+
+@register("token_stats")
+def token_stats(spark, sf):
+    return aggregates.token_stats(_text_tokens(spark, sf), "file", "tok")
+
+
+def _greedy_text(spark, sf):
+    return packing.chunk_greedy(_text_tokens(spark, sf), PARAMS["chunk_tokens"], PARAMS["chunk_rows"])
+
+
+@register("chunk_totals")
+def chunk_totals(spark, sf):
+    return aggregates.chunk_totals(_greedy_text(spark, sf))
+
+
+@register("file_token_totals")
+def file_token_totals(spark, sf):
+    g = _graded(spark, sf).withColumn("output_tokens", tokens.completion_tokens("llm_score"))
+    return aggregates.file_token_totals(g.withColumnRenamed("tok", "input_tokens"))
+
+
+@register("usage_total")
+def usage_total(spark, sf):
+    a, b = PARAMS["range"]
+    return ledger.usage_total(_usage(spark, sf), a, b)
+
+
+@register("usage_by_day")
+def usage_by_day(spark, sf):
+    return ledger.usage_by(_usage(spark, sf), "day")
+
+
+@register("usage_by_model")
+def usage_by_model(spark, sf):
+    return ledger.usage_by(_usage(spark, sf), "model")
+
+
+@register("usage_all")
+def usage_all(spark, sf):
+    return ledger.usage_by(_usage(spark, sf), "all")
+
+
+@register("usage_grouping_sets")
+def usage_grouping_sets(spark, sf):
+    a, b = PARAMS["range"]
+    return ledger.usage_grouping_sets(_usage(spark, sf), a, b)
+
+
+@register("total_cost")
+def total_cost(spark, sf):
+    a, b = PARAMS["range"]
+    return ledger.total_cost(_usage(spark, sf), a, b)
+
+
+@register("daily_submitted")
+def daily_submitted(spark, sf):
+    return _daily_log(spark, sf).select(F.col("date").cast("string").alias("date"), "api_key_prefix",
+                                        "tokens_submitted")
+
+
+@register("usage_for_day")
+def usage_for_day(spark, sf):
+    """E11 for every (key, day) seen: that key's tokens on the day before (0 if none)."""
+    ev = _events(spark, sf)
+    look = ev.select(F.date_sub(F.to_date("timestamp"), 1).alias("date"),
+                     ids.mask_key("api_key").alias("api_key_prefix")).distinct()
+    return ledger.usage_for_day(look, _daily_log(spark, sf)).select(
+        F.col("date").cast("string").alias("date"), "api_key_prefix", "tokens_submitted")
+
+
+def _chunk_status_with_costs(spark, sf):
+    """Chunk status table of a forced-chunk run: tokens and cost per chunk."""
+    prompt = inputs.Prompt(spark, sf)
+    req = packing.chunk_forced(_requests(spark, sf, prompt).withColumn("tok", prompt.submitted("text")),
+                               PARAMS["forced_k"])
+    scored = scoring.score_chunks(req, fail_chunks={derived.FAILED_CHUNK})
+    parsed = scored.select("file", "part", "status", "error_message", *responses.classify("line")[:2])
+    out_tok = parsed.groupBy("file", "part").agg(
+        F.first("status").alias("status"), F.first("error_message", ignorenulls=True).alias("error_message"),
+        F.sum(F.when(F.col("status") == "completed", tokens.completion_tokens("llm_score"))).cast("long")
+        .alias("output_tokens"))
+    in_tok = req.groupBy("file", "part").agg(F.sum("tok").cast("long").alias("submitted"))
+    st = out_tok.join(in_tok, ["file", "part"])
+    st = st.withColumn("input_tokens", F.when(F.col("status") == "completed", F.col("submitted"))) \
+        .withColumn("model", F.lit(prompts.DEFAULT_MODEL))
+    priced = ledger.cost_lenient(st.withColumn("output_tokens", F.coalesce("output_tokens", F.lit(0))),
+                                 _prices(spark))
+    return priced.withColumn("cost", F.when(F.col("status") == "completed", F.col("cost")))
+
+
+@register("job_summary")
+def job_summary(spark, sf):
+    return aggregates.job_summary(_chunk_status_with_costs(spark, sf))
+
+
+def _policy_rows(spark, sf):
+    prompt = inputs.Prompt(spark, sf)
+    req = packing.chunk_forced(_requests(spark, sf, prompt), PARAMS["forced_k"])
+    scored = scoring.score_chunks(req, fail_chunks={derived.FAILED_CHUNK})
+    status = scoring.chunk_status(scored)
+    answers = responses.with_id(responses.parse_lines(
+        scored.filter(F.col("line").isNotNull()).select("line"), "line")).drop("corrupt")
+    rows = results.join_results(req.drop("request"), answers)
+    return rows, status
+
+
+@register("policy_continue")
+def policy_continue(spark, sf):
+    rows, status = _policy_rows(spark, sf)
+    return scoring.policy_continue(rows, status).select("file", "pos", "part", "llm_score")
+
+
+@register("policy_halt")
+def policy_halt(spark, sf):
+    rows, status = _policy_rows(spark, sf)
+    return scoring.policy_halt(rows, status).select("file", "pos", "part", "llm_score")
+
+
+def _full_grade(spark, sf):
+    return Q["grade"](spark, sf)
+
+
+@register("file_error_counts")
+def file_error_counts(spark, sf):
+    return aggregates.error_counts(_full_grade(spark, sf))
+
+
+@register("files_all_failed")
+def files_all_failed(spark, sf):
+    return aggregates.all_failed(_full_grade(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# 2.7 packing, windows, gates
+# --------------------------------------------------------------------------
+
+@register("chunk_forced")
+def chunk_forced(spark, sf):
+    return _forced(spark, sf).select("file", "pos", "part")
+
+
+@register("chunk_rows")
+def chunk_rows(spark, sf):
+    return packing.chunk_rows(derived.docs(spark, sf), PARAMS["rows_per_chunk"]).select("file", "pos", "part")
+
+
+@register("chunk_greedy")
+def chunk_greedy(spark, sf):
+    return _greedy_text(spark, sf).select("file", "pos", "tok", "part")
+
+
+@register("chunk_hybrid")
+def chunk_hybrid(spark, sf):
+    h = packing.chunk_hybrid(_text_tokens(spark, sf), PARAMS["hybrid_k"], PARAMS["chunk_tokens"])
+    return h.select("file", "pos", "part", "split_part")
+
+
+@register("split_gate")
+def split_gate(spark, sf):
+    return packing.split_gate(_submitted(spark, sf), PARAMS["file_cap"])
+
+
+@register("admission_cap")
+def admission_cap(spark, sf):
+    return admission.admission_cap(_submitted(spark, sf), PARAMS["file_cap"])
+
+
+@register("halt_prefix")
+def halt_prefix(spark, sf):
+    dec = admission.admission_cap(_submitted(spark, sf), PARAMS["file_cap"])
+    files = dec.select("file", (F.col("status") == "rejected").alias("failed"))
+    return admission.halt_prefix(files)
+
+
+@register("pack_requests")
+def pack_requests(spark, sf):
+    prompt = inputs.Prompt(spark, sf)
+    req = _requests(spark, sf, prompt).withColumn("tok", prompt.submitted("text")) \
+        .withColumn("req_bytes", tokens.request_bytes("request"))
+    out = packing.pack_requests(req, PARAMS["pack_tokens"], max_bytes=PARAMS["pack_bytes"])
+    return out.select("file", "pos", "part")
+
+
+@register("dedupe_last")
+def dedupe_last(spark, sf):
+    return derived.final_answers(spark, sf).select("custom_id", "llm_score", "error_type")
+
+
+@register("budget_admission")
+def budget_admission(spark, sf):
+    per = admission.admission_cap(_submitted(spark, sf), PARAMS["daily_limit"]).select("file", "total_tokens")
+    return admission.budget_admission(per, PARAMS["daily_limit"]).select(
+        "file", "total_tokens", "running_tokens", "admitted")
+
+
+# --------------------------------------------------------------------------
+# 2.8 order / set operations
+# --------------------------------------------------------------------------
+
+@register("ordered_results")
+def ordered_results(spark, sf):
+    return results.ordered(_graded(spark, sf).select("file", "pos", "llm_score"))
+
+
+@register("union_chunks")
+def union_chunks(spark, sf):
+    forced = _chunk_answers(spark, sf)
+    f, p = derived.FAILED_CHUNK
+    bad = (F.col("file") == f) & (F.col("part") == p)
+    ok = forced.filter(~bad).select("file", "pos", "part", "llm_score")
+    failed = forced.filter(bad).select("file", "pos", "part", F.lit(f"ERROR: Simulated failure for {f}_part{p}")
+                                       .alias("error_message"))
+    return results.union_chunks([ok, failed])
+
+
+# --------------------------------------------------------------------------
+# 2.10 scoring surface
+# --------------------------------------------------------------------------
+
+@register("custom_counter")
+def custom_counter(spark, sf):
+    words = tokens.custom_counter(lambda c: F.size(F.split(c, " ")).cast("long"))
+    d = derived.docs(spark, sf).withColumn("tok", words(F.col("text")))
+    return aggregates.chunk_totals(packing.chunk_greedy(d, PARAMS["word_limit"]))
+
+
+@register("score_rows")
+def score_rows(spark, sf):
+    lines = scoring.score_rows(_requests(spark, sf))
+    return responses.parse_lines(lines, "line").select("custom_id", "llm_score")
+
+
+@register("score_chunks")
+def score_chunks(spark, sf):
+    st = _chunk_status_with_costs(spark, sf)
+    return st.select("file", "part", "status", "error_message", "input_tokens", "output_tokens")
+
+
+@register("score_concurrency")
+def score_concurrency(spark, sf):
+    req = packing.chunk_forced(_requests(spark, sf), PARAMS["forced_k"])
+    scored = scoring.score_chunks(req, concurrency=2)
+    return scored.groupBy("file", "part").agg(F.count(F.lit(1)).cast("long").alias("n_answers"),
+                                              F.first("status").alias("status"))
+
+
+# --------------------------------------------------------------------------
+# 2.11 end-to-end jobs
+# --------------------------------------------------------------------------
+
+@register("grade")
+def grade(spark, sf):
+    """L1: admit -> cap rows -> pack -> request -> score per chunk -> parse -> join back."""
+    from inkmeter.plans.jobs import grade as grade_job
+
+    return grade_job(derived.docs(spark, sf), inputs.Prompt(spark, sf), token_limit=PARAMS["grade_cap"],
+                     split_token_limit=PARAMS["chunk_tokens"], fail_chunks={derived.FAILED_CHUNK})
 
 
 @register("count_tokens_report")
 def count_tokens_report(spark, sf):
     """L2: submitted tokens per row (system + user message), stats per file."""
     return aggregates.token_stats(_submitted(spark, sf), "file", "tok")
+
+
+@register("split_report")
+def split_report(spark, sf):
+    """L3: files over the cap are split greedily; per-chunk rows and tokens."""
+    from inkmeter.plans.jobs import split_report as split_job
+
+    return split_job(_submitted(spark, sf), PARAMS["file_cap"], PARAMS["chunk_tokens"])
+
+
+@register("costs_report")
+def costs_report(spark, sf):
+    """L4: breakdowns for all time and for the latest day in the log."""
+    from inkmeter.plans.jobs import costs_report as costs_job
+
+    return costs_job(_usage(spark, sf))
