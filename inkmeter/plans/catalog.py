@@ -885,3 +885,82 @@ def costs_report(spark, sf):
     from inkmeter.plans.jobs import costs_report as costs_job
 
     return costs_job(_usage(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# 2.9 streaming (results compared with the batch equivalent)
+# --------------------------------------------------------------------------
+
+def _usage_stream_source(spark, sf) -> str:
+    """Usage events landing in two drops (first half, second half of the month)."""
+    src = scratch_path(spark, "usage-stream") + "/src"
+    u = _usage(spark, sf)
+    cut = F.col("timestamp") < F.lit("2024-01-15").cast("timestamp")
+    writers.append_usage(u.filter(cut), src)
+    writers.append_usage(u.filter(~cut), src)
+    return src
+
+
+@register("stream_usage_daily")
+def stream_usage_daily(spark, sf):
+    from inkmeter.streaming import usage as st
+
+    src = _usage_stream_source(spark, sf)
+    return st.run_usage_daily(spark, src, scratch_path(spark, "j1"))
+
+
+@register("stream_daily_quota")
+def stream_daily_quota(spark, sf):
+    from inkmeter.streaming import usage as st
+
+    src = _usage_stream_source(spark, sf)
+    t = st.run_daily_quota(spark, src, scratch_path(spark, "j2"))
+    return t.select(F.col("date").cast("string").alias("date"), "api_key_prefix", "tokens_submitted")
+
+
+@register("stream_responses")
+def stream_responses(spark, sf):
+    """Answers land in two drops; the later drop repeats some ids (first arrival kept)."""
+    from inkmeter.streaming import usage as st
+
+    src = scratch_path(spark, "j3") + "/src"
+    out = scratch_path(spark, "j3")
+    lines = derived.answer_lines(spark, sf)
+    lines.filter(F.col("k") != 1).select(F.col("line").alias("value")).write.text(src + "/drop=1")
+    st.run_responses(spark, src, out)
+    lines.filter(F.col("k") == 1).select(F.col("line").alias("value")).write.text(src + "/drop=2")
+    st.run_responses(spark, src, out)
+    return spark.read.parquet(out + "/data").select("custom_id", "llm_score", "error_type")
+
+
+SENTINEL = "__watermark_sentinel__"
+
+
+@register("stream_expired")
+def stream_expired(spark, sf):
+    """Request and answer times derived per document; answers later than 24 h expire."""
+    from inkmeter.streaming import usage as st
+
+    base = scratch_path(spark, "j4")
+    d = inputs.table(spark, sf, "documents").select(
+        ids.row_id("source", "doc_id").alias("custom_id"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id"))).alias("req_ts"),
+        "doc_id", "n_chars")
+    reqs = d.select("custom_id", "req_ts")
+    resp = d.filter(F.col("doc_id") % 23 != 0).select(
+        "custom_id", (F.col("req_ts") + F.make_dt_interval(hours=F.col("doc_id") % 30)).alias("resp_ts"),
+        (F.lit(1) + F.col("n_chars") % 5).cast("string").alias("llm_score"))
+    reqs.write.option("timestampFormat", readers.ISO_TS).json(base + "/req/drop=1")
+    resp.write.option("timestampFormat", readers.ISO_TS).json(base + "/resp/drop=1")
+    st.run_expired(spark, base + "/req", base + "/resp", base + "/out")
+    # Sentinels far ahead on both sides move both watermarks past every real request.
+    last = reqs.agg(F.max("req_ts").alias("m"))
+    sreq = last.select(F.lit(SENTINEL).alias("custom_id"), (F.col("m") + F.expr("interval 10 days")).alias("req_ts"))
+    sresp = last.select(F.lit(SENTINEL).alias("custom_id"), (F.col("m") + F.expr("interval 10 days")).alias("resp_ts"),
+                        F.lit("sentinel").alias("llm_score"))
+    for i in (2, 3):
+        sreq.write.option("timestampFormat", readers.ISO_TS).json(base + f"/req/drop={i}")
+        sresp.write.option("timestampFormat", readers.ISO_TS).json(base + f"/resp/drop={i}")
+        st.run_expired(spark, base + "/req", base + "/resp", base + "/out")
+    return (spark.read.parquet(base + "/out/data").filter(F.col("custom_id") != SENTINEL)
+            .select("custom_id", "status", "llm_score"))

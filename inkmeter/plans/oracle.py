@@ -510,3 +510,17 @@ lastday AS (SELECT max(CAST(timestamp AS DATE)) AS d FROM usage)
 SELECT *, 'all_time' AS scope FROM ({_GSETS.format(sums=_SUMS, where='')})
 UNION ALL
 SELECT *, 'latest_day' AS scope FROM ({_GSETS.format(sums=_SUMS, where='WHERE CAST(timestamp AS DATE) = (SELECT d FROM lastday)')})""")
+
+# ---- streaming (batch equivalents) --------------------------------------------------
+SQL["stream_usage_daily"] = with_base(
+    f"x AS (SELECT 1) SELECT strftime(timestamp, '%Y-%m-%d') AS day, model, {_SUMS} FROM usage GROUP BY 1, 2")
+SQL["stream_daily_quota"] = SQL["daily_submitted"]
+SQL["stream_responses"] = with_base(
+    "x AS (SELECT 1) SELECT custom_id, llm_score, error_type FROM parsed "
+    "WHERE custom_id IS NOT NULL AND custom_id <> '' AND k <> 1")
+SQL["stream_expired"] = f"""
+SELECT md5(source || '|' || CAST(doc_id AS VARCHAR)) AS custom_id,
+  CASE WHEN doc_id % 23 <> 0 AND doc_id % 30 <= 24 THEN 'answered' ELSE 'batch_expired' END AS status,
+  CASE WHEN doc_id % 23 <> 0 AND doc_id % 30 <= 24 THEN CAST(1 + n_chars % 5 AS VARCHAR)
+       ELSE {lit('Error: batch_expired - Batch expired before the request was processed')} END AS llm_score
+FROM documents"""
