@@ -39,6 +39,11 @@ def _truthy(raw: Column) -> Column:
 
 def classify(line_col: str = "value") -> list[Column]:
     """Columns: custom_id, llm_score, error_type, error_message, corrupt."""
+    return [c.alias(name) for name, c in classify_parts(line_col).items()]
+
+
+def classify_parts(line_col: str = "value") -> dict[str, Column]:
+    """The classification as named expressions (see ``classify``)."""
     line = F.col(line_col)
     corrupt = F.try_parse_json(line).isNull()
     cid = F.get_json_object(line, "$.custom_id")
@@ -61,9 +66,8 @@ def classify(line_col: str = "value") -> list[Column]:
              .when(ok, F.lit("Malformed"))
              .when(_truthy(err), F.lit("ApiError"))
              .otherwise(F.lit("UnknownStructure")))
-    return [F.when(~corrupt, cid).alias("custom_id"), score.alias("llm_score"),
-            etype.alias("error_type"),
-            F.when(_truthy(err) & ~ok, msg).alias("error_message"), corrupt.alias("corrupt")]
+    return {"custom_id": F.when(~corrupt, cid), "llm_score": score, "error_type": etype,
+            "error_message": F.when(_truthy(err) & ~ok, msg), "corrupt": corrupt}
 
 
 def parse_lines(lines: DataFrame, line_col: str = "value", keep=()) -> DataFrame:

@@ -2,10 +2,11 @@
 (F1, F4-F6, F8, F9, H1, I1, C11, E13, E14).
 
 Answers are joined on ``custom_id`` (unique after G9).  Spark chooses a
-shuffle join for large answer sets; AQE turns it into a broadcast join only
-when the runtime size is under ``autoBroadcastJoinThreshold``, and splits
-skewed partitions.  Chunk and batch status tables (one row per chunk) are
-broadcast behind an explicit row-count bound.
+shuffle join for large answer sets; AQE turns a join into a broadcast join
+only when the materialised size is under ``autoBroadcastJoinThreshold`` (a
+runtime size check that costs no recomputation), and splits skewed
+partitions.  ``bounded_broadcast`` is for cheap-to-count dimensions only
+(e.g. a price file), never for tables derived from the big input.
 """
 
 from __future__ import annotations
@@ -56,8 +57,7 @@ def answered_rows(rows: DataFrame, answers: DataFrame) -> DataFrame:
 def chunk_error_rows(rows: DataFrame, status: DataFrame, keys=("file", "part"),
                      out_col: str = "llm_score") -> DataFrame:
     """Completed chunks keep their answers; failed/error chunks carry the chunk error."""
-    st = bounded_broadcast(status.select(*keys, F.col("status").alias("_status"),
-                                         F.col("error_message").alias("_chunk_err")))
+    st = status.select(*keys, F.col("status").alias("_status"), F.col("error_message").alias("_chunk_err"))
     j = rows.join(st, list(keys), "left")
     failed = F.col("_status").isin("failed", "error")
     err_text = F.coalesce(F.col("_chunk_err"), F.lit("Error during job preparation"))
@@ -74,9 +74,8 @@ def batch_status_rows(rows: DataFrame, batches: DataFrame, key: str = "chunk_id"
     ``batches``: chunk_id, status, has_output (bool), output_readable (bool).
     Completed batches keep the row's answer.
     """
-    b = bounded_broadcast(batches.select(key, F.col("status").alias("_bstatus"),
-                                         F.col("has_output").alias("_has_out"),
-                                         F.col("output_readable").alias("_readable")))
+    b = batches.select(key, F.col("status").alias("_bstatus"), F.col("has_output").alias("_has_out"),
+                       F.col("output_readable").alias("_readable"))
     j = rows.join(b, key, "left")
     done = F.col("_bstatus") == "completed"
     score = (F.when(F.col("_bstatus").isNull(), F.col(out_col))

@@ -1,10 +1,16 @@
 """Scoring rows as distributed Python batches.
 
 A scorer is any function ``Iterator[pd.DataFrame] -> Iterator[pd.DataFrame]``
-taking ``custom_id, request`` (the JSON request line) and yielding
-``custom_id, line`` (answer lines in the service's JSON shape).  The
-network client is out of scope; tests use the deterministic offline scorer
-below.  Parsing of the lines happens back in the JVM (``responses``).
+taking ``custom_id, text`` (the text to evaluate; the run's system prompt and
+model are the scorer's own configuration) and yielding ``custom_id, line``:
+answer lines in the service's JSON shape.  A network scorer would write the
+request lines (``prompts.request_json``) itself; that client is out of scope
+here, and tests use the deterministic offline scorer below.  Answer lines
+are parsed back in the JVM (``responses``), never in Python.
+
+``score_chunks`` emits exactly one row per request (plus pass-through
+columns), so the result needs no join back to the input and the Python stage
+is consumed once.
 """
 
 from __future__ import annotations
@@ -14,11 +20,11 @@ import traceback
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkmeter.functions import prompts
+from inkmeter.functions import responses as R
 
 ANSWER_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
                               T.StructField("line", T.StringType())])
@@ -26,7 +32,7 @@ ANSWER_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def _answer_line(cid: str, content: str) -> str:
+def answer_line(cid: str, content: str) -> str:
     return json.dumps({"id": f"batch_req_{cid}", "custom_id": cid,
                        "response": {"status_code": 200,
                                     "body": {"choices": [{"message": {"content": content}}]}},
@@ -35,62 +41,80 @@ def _answer_line(cid: str, content: str) -> str:
 
 def length_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Offline scorer: score = 1 + (characters of the evaluated text) mod 5."""
-    plen = len(prompts.USER_PREFIX)
     for pdf in batches:
-        lines = []
-        for cid, req in zip(pdf["custom_id"], pdf["request"]):
-            user = json.loads(req)["body"]["messages"][1]["content"]
-            lines.append(_answer_line(cid, str(1 + (len(user) - plen) % 5)))
+        scores = pdf["text"].fillna("nan").str.len().mod(5).add(1).astype(str)
+        lines = [answer_line(c, s) for c, s in zip(pdf["custom_id"], scores)]
         yield pd.DataFrame({"custom_id": pdf["custom_id"], "line": lines})
 
 
 def score_rows(requests: DataFrame, scorer: Scorer = length_scorer) -> DataFrame:
-    """K2: requests (custom_id, request) -> answer lines, batched through Arrow."""
-    return requests.select("custom_id", "request").mapInPandas(scorer, ANSWER_SCHEMA)
+    """K2: (custom_id, text) -> answer lines, batched through Arrow."""
+    return requests.select("custom_id", "text").mapInPandas(scorer, ANSWER_SCHEMA)
 
 
-CHUNK_OUT = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.LongType()),
-                          T.StructField("custom_id", T.StringType()), T.StructField("line", T.StringType()),
-                          T.StructField("status", T.StringType()),
-                          T.StructField("error_message", T.StringType()),
-                          T.StructField("error_details", T.StringType())])
+def _out_schema(src: DataFrame, carry: list[str]) -> T.StructType:
+    fields = [src.schema["file"], T.StructField("part", T.LongType()), T.StructField("custom_id", T.StringType())]
+    fields += [src.schema[c] for c in carry]
+    fields += [T.StructField("line", T.StringType()), T.StructField("status", T.StringType()),
+               T.StructField("error_message", T.StringType()), T.StructField("error_details", T.StringType())]
+    return T.StructType(fields)
 
 
 def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrency: int | None = None,
-                 fail_chunks: set | None = None) -> DataFrame:
-    """K3/K4: one scorer call per chunk with failure capture.
-
-    ``requests``: file, part, custom_id, request.  A chunk is bounded by the
-    packer's limits, so a group fits one task.  An exception marks the chunk
-    ``failed`` (message + traceback); an empty answer set marks it ``error``.
-    ``concurrency`` = number of tasks of the stage (at most that many chunks
-    run at once).  ``fail_chunks`` injects failures for tests: {(file, part)}.
+                 fail_chunks: set | None = None, carry: tuple | list = ()) -> DataFrame:
+    """K3/K4: one scorer call per chunk with failure capture; one output row per request.
+
+    ``requests``: file, part, custom_id, text (+ ``carry`` columns passed through).
+    A chunk is bounded by the packer's limits (rows, bytes, tokens), so one
+    group fits one task.  An exception marks every row of the chunk
+    ``failed`` (message + traceback); no answers at all marks it ``error``.
+    Duplicate answers for an id keep the last one (G9); ids the scorer did not
+    answer get a null line.  ``concurrency`` = tasks of the stage (at most that
+    many chunks run at once).  ``fail_chunks`` injects failures: {(file, part)}.
     """
     fail = set(fail_chunks or ())
+    carry = list(carry)
+    src = requests.select("file", F.col("part").cast("long").alias("part"), "custom_id", "text", *carry)
+    schema = _out_schema(src, carry)
+    names = [f.name for f in schema.fields]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         file, part = pdf["file"].iat[0], int(pdf["part"].iat[0])
-        base = {"file": file, "part": part}
+        out = pdf[["file", "part", "custom_id", *carry]].copy()
         try:
             if (file, part) in fail:
                 raise RuntimeError(f"Simulated failure for {file}_part{part}")
-            outs = list(scorer(iter([pdf[["custom_id", "request"]]])))
+            outs = list(scorer(iter([pdf[["custom_id", "text"]]])))
             ans = pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=["custom_id", "line"])
             if ans.empty:
-                return pd.DataFrame([{**base, "custom_id": None, "line": None, "status": "error",
-                                      "error_message": "ERROR: scorer returned no answers",
-                                      "error_details": None}])
-            ans = ans.assign(status="completed", error_message=None, error_details=None, **base)
-            return ans[[f.name for f in CHUNK_OUT.fields]]
+                out = out.assign(line=None, status="error", error_message="ERROR: scorer returned no answers",
+                                 error_details=None)
+            else:
+                ans = ans.drop_duplicates("custom_id", keep="last")
+                out = out.merge(ans[["custom_id", "line"]], on="custom_id", how="left")
+                out = out.assign(status="completed", error_message=None, error_details=None)
         except Exception as exc:  # noqa: BLE001 - failure is data here
-            return pd.DataFrame([{**base, "custom_id": None, "line": None, "status": "failed",
-                                  "error_message": f"ERROR: {exc}",
-                                  "error_details": traceback.format_exc()}])
+            out = out.assign(line=None, status="failed", error_message=f"ERROR: {exc}",
+                             error_details=traceback.format_exc())
+        return out[names]
 
-    src = requests.select("file", "part", "custom_id", "request")
     if concurrency:
         src = src.repartition(int(concurrency), "file", "part")
-    return src.groupBy("file", "part").applyInPandas(run, CHUNK_OUT)
+    return src.groupBy("file", "part").applyInPandas(run, schema)
+
+
+def scored_answer(scored: DataFrame) -> list[Column]:
+    """llm_score and error_type of each scored row (F1 + F4 rules, parsed in the JVM)."""
+    parts = R.classify_parts("line")
+    score, etype = parts["llm_score"], parts["error_type"]
+    failed = F.col("status").isin("failed", "error")
+    llm = (F.when(failed, F.coalesce(F.col("error_message"), F.lit("Error during job preparation")))
+           .when(F.col("line").isNull(), F.lit(R.NOT_FOUND))
+           .otherwise(F.coalesce(score, F.lit(R.FALLBACK))))
+    et = (F.when(failed, F.concat(F.lit("Chunk:"), F.col("status")))
+          .when(F.col("line").isNull(), F.lit("NotFound"))
+          .otherwise(etype))
+    return [llm.alias("llm_score"), et.alias("error_type")]
 
 
 def chunk_status(scored: DataFrame) -> DataFrame:
@@ -99,16 +123,15 @@ def chunk_status(scored: DataFrame) -> DataFrame:
         F.first("status").alias("status"), F.first("error_message", ignorenulls=True).alias("error_message"))
 
 
-def policy_continue(rows: DataFrame, status: DataFrame) -> DataFrame:
+def policy_continue(scored: DataFrame) -> DataFrame:
     """Every row returned; rows of failed chunks carry the chunk error."""
-    from inkmeter.operators.results import chunk_error_rows
-
-    return chunk_error_rows(rows, status)
+    return scored.select("*", *scored_answer(scored))
 
 
-def policy_halt(rows: DataFrame, status: DataFrame, keys=("file",), part_col: str = "part") -> DataFrame:
+def policy_halt(scored: DataFrame, keys=("file",), part_col: str = "part") -> DataFrame:
     """G11, deterministic: per file keep completed chunks before the first failed part."""
-    first_bad = (status.filter(F.col("status").isin("failed", "error"))
+    first_bad = (scored.filter(F.col("status").isin("failed", "error"))
                  .groupBy(*keys).agg(F.min(part_col).alias("_first_bad")))
-    j = rows.join(first_bad, list(keys), "left")
-    return j.filter(F.col("_first_bad").isNull() | (F.col(part_col) < F.col("_first_bad"))).drop("_first_bad")
+    j = scored.join(first_bad, list(keys), "left")
+    kept = j.filter(F.col("_first_bad").isNull() | (F.col(part_col) < F.col("_first_bad"))).drop("_first_bad")
+    return kept.select("*", *scored_answer(kept))

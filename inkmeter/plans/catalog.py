@@ -676,23 +676,26 @@ def usage_for_day(spark, sf):
         F.col("date").cast("string").alias("date"), "api_key_prefix", "tokens_submitted")
 
 
+def _scored_forced(spark, sf, prompt=None):
+    """Forced chunks (k per file) scored one chunk per call; the designated chunk fails."""
+    prompt = prompt or inputs.Prompt(spark, sf)
+    d = derived.docs(spark, sf).withColumn("tok", prompt.submitted("text"))
+    forced = packing.chunk_forced(d, PARAMS["forced_k"])
+    return scoring.score_chunks(forced, fail_chunks={derived.FAILED_CHUNK}, carry=("pos", "tok"))
+
+
 def _chunk_status_with_costs(spark, sf):
     """Chunk status table of a forced-chunk run: tokens and cost per chunk."""
-    prompt = inputs.Prompt(spark, sf)
-    req = packing.chunk_forced(_requests(spark, sf, prompt).withColumn("tok", prompt.submitted("text")),
-                               PARAMS["forced_k"])
-    scored = scoring.score_chunks(req, fail_chunks={derived.FAILED_CHUNK})
-    parsed = scored.select("file", "part", "status", "error_message", *responses.classify("line")[:2])
-    out_tok = parsed.groupBy("file", "part").agg(
+    scored = _scored_forced(spark, sf)
+    rows = scoring.policy_continue(scored)
+    done = F.col("status") == "completed"
+    st = rows.groupBy("file", "part").agg(
         F.first("status").alias("status"), F.first("error_message", ignorenulls=True).alias("error_message"),
-        F.sum(F.when(F.col("status") == "completed", tokens.completion_tokens("llm_score"))).cast("long")
+        F.sum(F.when(done, F.col("tok"))).cast("long").alias("input_tokens"),
+        F.coalesce(F.sum(F.when(done, tokens.completion_tokens("llm_score"))), F.lit(0)).cast("long")
         .alias("output_tokens"))
-    in_tok = req.groupBy("file", "part").agg(F.sum("tok").cast("long").alias("submitted"))
-    st = out_tok.join(in_tok, ["file", "part"])
-    st = st.withColumn("input_tokens", F.when(F.col("status") == "completed", F.col("submitted"))) \
-        .withColumn("model", F.lit(prompts.DEFAULT_MODEL))
-    priced = ledger.cost_lenient(st.withColumn("output_tokens", F.coalesce("output_tokens", F.lit(0))),
-                                 _prices(spark))
+    st = st.withColumn("model", F.lit(prompts.DEFAULT_MODEL))
+    priced = ledger.cost_lenient(st, _prices(spark))
     return priced.withColumn("cost", F.when(F.col("status") == "completed", F.col("cost")))
 
 
@@ -701,27 +704,14 @@ def job_summary(spark, sf):
     return aggregates.job_summary(_chunk_status_with_costs(spark, sf))
 
 
-def _policy_rows(spark, sf):
-    prompt = inputs.Prompt(spark, sf)
-    req = packing.chunk_forced(_requests(spark, sf, prompt), PARAMS["forced_k"])
-    scored = scoring.score_chunks(req, fail_chunks={derived.FAILED_CHUNK})
-    status = scoring.chunk_status(scored)
-    answers = responses.with_id(responses.parse_lines(
-        scored.filter(F.col("line").isNotNull()).select("line"), "line")).drop("corrupt")
-    rows = results.join_results(req.drop("request"), answers)
-    return rows, status
-
-
 @register("policy_continue")
 def policy_continue(spark, sf):
-    rows, status = _policy_rows(spark, sf)
-    return scoring.policy_continue(rows, status).select("file", "pos", "part", "llm_score")
+    return scoring.policy_continue(_scored_forced(spark, sf)).select("file", "pos", "part", "llm_score")
 
 
 @register("policy_halt")
 def policy_halt(spark, sf):
-    rows, status = _policy_rows(spark, sf)
-    return scoring.policy_halt(rows, status).select("file", "pos", "part", "llm_score")
+    return scoring.policy_halt(_scored_forced(spark, sf)).select("file", "pos", "part", "llm_score")
 
 
 def _full_grade(spark, sf):
@@ -834,7 +824,7 @@ def custom_counter(spark, sf):
 
 @register("score_rows")
 def score_rows(spark, sf):
-    lines = scoring.score_rows(_requests(spark, sf))
+    lines = scoring.score_rows(derived.docs(spark, sf))
     return responses.parse_lines(lines, "line").select("custom_id", "llm_score")
 
 
@@ -846,7 +836,7 @@ def score_chunks(spark, sf):
 
 @register("score_concurrency")
 def score_concurrency(spark, sf):
-    req = packing.chunk_forced(_requests(spark, sf), PARAMS["forced_k"])
+    req = packing.chunk_forced(derived.docs(spark, sf), PARAMS["forced_k"])
     scored = scoring.score_chunks(req, concurrency=2)
     return scored.groupBy("file", "part").agg(F.count(F.lit(1)).cast("long").alias("n_answers"),
                                               F.first("status").alias("status"))

@@ -46,13 +46,19 @@ def system_prompt(spark: SparkSession, sf_dir: str) -> str:
     return prompts.system_prompt_from_lines(example_lines(spark, sf_dir), order_cols=("pos",))
 
 
+_PROMPTS: dict = {}
+
+
 class Prompt:
-    """The run's system prompt and its token count, computed once."""
+    """The run's system prompt and its token count, computed once per session and folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, method: str = "regex"):
-        self.text = system_prompt(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), method)
+        if key not in _PROMPTS:
+            text = system_prompt(spark, sf_dir)
+            _PROMPTS[key] = (text, tokens.literal_tokens(spark, text, method))
+        self.text, self.tokens = _PROMPTS[key]
         self.method = method
-        self.tokens = tokens.literal_tokens(spark, self.text, method)
 
     def submitted(self, text_col="text") -> "F.Column":
         return tokens.submitted_tokens(text_col, self.tokens, self.method, prompts.USER_PREFIX,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmeter.functions import prompts, responses, tokens
+from inkmeter.functions import prompts, tokens
 from inkmeter.operators import admission, aggregates, ledger, packing, results, scoring
 
 
@@ -27,15 +27,12 @@ def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMI
     admitted = admission.admitted_rows(scored_rows, decisions)
     capped = capped_rows(admitted, row_cap)
     chunks = packing.with_chunk_names(packing.chunk_greedy(capped, split_token_limit))
-    req = chunks.withColumn("request", prompts.request_json("custom_id", "text", prompt.text, model=model))
-    scored = scoring.score_chunks(req.select("file", "part", "custom_id", "request"), scorer,
-                                  concurrency=concurrency, fail_chunks=fail_chunks)
-    status = scoring.chunk_status(scored)
-    answers = responses.with_id(responses.parse_lines(
-        scored.filter(F.col("line").isNotNull()).select("line"), "line", keep=("line",)))
-    answers = responses.dedupe_last(answers.drop("corrupt"), "custom_id", ["line"]).drop("line")
-    joined = results.join_results(req.drop("request"), answers)
-    out = results.chunk_error_rows(joined, status)
+    # The scorer sees the text to evaluate (null -> 'nan', as in the request); the
+    # system prompt and model are its configuration (see prompts.request_json).
+    req = chunks.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("nan")))
+    scored = scoring.score_chunks(req, scorer, concurrency=concurrency, fail_chunks=fail_chunks,
+                                  carry=("pos", "id", "chunk_id", "tok"))
+    out = scoring.policy_continue(scored)
     return out.select(
         "file", "pos", "id", "chunk_id", "llm_score", "error_type",
         results.error_flag("llm_score").alias("is_error"),

@@ -29,6 +29,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -324,9 +325,9 @@ def _chain(spec: _Spec, summaries: list[dict]) -> dict:
     return entries
 
 
-def _emit(spec: _Spec, entries: dict):
+def _emit(spec: _Spec, entries: dict, extra: list[str]):
     gcols, kind = spec.gcols, spec.kind
-    keep = gcols + spec.ocols
+    keep = gcols + spec.ocols + extra
 
     def fn(batches):
         pdf = _concat(batches)
@@ -406,14 +407,21 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
     gcols, ocols = list(group_cols), list(order_cols)
     extra = ([value_col] if value_col else []) + [c for c, _ in pack]
     cols = gcols + ocols + [c for c in dict.fromkeys(extra) if c not in gcols + ocols]
+    extra_out = [c for c in cols if c not in gcols + ocols]
     spec = _Spec(kind, gcols, ocols, value_col, pack, row_limit)
-    laid = range_layout(df.select(*cols), gcols + ocols, num_partitions)
+    # The narrow projection is read twice (range-bound sampling, checkpoint
+    # write); keep it so computed columns (e.g. token counts) run once.
+    narrow = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        laid = range_layout(narrow, gcols + ocols, num_partitions)
+    finally:
+        narrow.unpersist()
     tagged = laid.withColumn(_PID, F.spark_partition_id())
     summaries = [r.asDict() for r in
                  tagged.mapInPandas(_summarise(spec), _SUMMARY_SCHEMA).collect()]
     entries = _chain(spec, summaries)
 
-    fields = [laid.schema[c] for c in gcols + ocols]
+    fields = [laid.schema[c] for c in gcols + ocols + extra_out]
     if kind == "number":
         fields += [T.StructField("_rn", T.LongType()), T.StructField("_n", T.LongType())]
     elif kind in ("sum", "max"):
@@ -423,11 +431,19 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
         fields += [T.StructField("_run", rt)]
     else:
         fields += [T.StructField("_part", T.LongType())]
-    return tagged.mapInPandas(_emit(spec, entries), T.StructType(fields))
+    return tagged.mapInPandas(_emit(spec, entries, extra_out), T.StructType(fields))
 
 
 def attach(df: DataFrame, scanned: DataFrame, keys: list[str], result_cols: list[str]) -> DataFrame:
-    """Join scan results back onto the full rows on the unique (group, order) key."""
+    """Join scan results back onto the full rows on the unique (group, order) key.
+
+    Value columns the scan already carries (e.g. token counts) are taken from
+    the scan side, so their expressions are not evaluated again.
+    """
+    shared = [c for c in scanned.columns if c in df.columns and c not in keys and c not in result_cols]
+    result_cols = list(result_cols) + shared
+    if shared:
+        df = df.drop(*shared)
     left, right = df.alias("_l"), scanned.alias("_r")
     cond = None
     for k in keys:
