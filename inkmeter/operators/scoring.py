@@ -19,6 +19,7 @@ import json
 import traceback
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,47 +61,82 @@ def _out_schema(src: DataFrame, carry: list[str]) -> T.StructType:
     return T.StructType(fields)
 
 
+def _score_one(pdf: pd.DataFrame, scorer: Scorer, fail: set) -> tuple:
+    """Score one chunk; returns (lines, status, error_message, error_details) for its rows."""
+    file, part = pdf["file"].iat[0], int(pdf["part"].iat[0])
+    n = len(pdf)
+    try:
+        if (file, part) in fail:
+            raise RuntimeError(f"Simulated failure for {file}_part{part}")
+        outs = list(scorer(iter([pdf[["custom_id", "text"]]])))
+        ans = pd.concat(outs, ignore_index=True) if len(outs) > 1 else (outs[0] if outs else None)
+        if ans is None or ans.empty:
+            return [None] * n, "error", "ERROR: scorer returned no answers", None
+        # last answer per id wins (G9); ids without an answer get no line
+        by_id = dict(zip(ans["custom_id"], ans["line"]))
+        return [by_id.get(c) for c in pdf["custom_id"]], "completed", None, None
+    except Exception as exc:  # noqa: BLE001 - failure is data here
+        return [None] * n, "failed", f"ERROR: {exc}", traceback.format_exc()
+
+
 def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrency: int | None = None,
                  fail_chunks: set | None = None, carry: tuple | list = ()) -> DataFrame:
     """K3/K4: one scorer call per chunk with failure capture; one output row per request.
 
     ``requests``: file, part, custom_id, text (+ ``carry`` columns passed through).
-    A chunk is bounded by the packer's limits (rows, bytes, tokens), so one
-    group fits one task.  An exception marks every row of the chunk
-    ``failed`` (message + traceback); no answers at all marks it ``error``.
-    Duplicate answers for an id keep the last one (G9); ids the scorer did not
-    answer get a null line.  ``concurrency`` = tasks of the stage (at most that
-    many chunks run at once).  ``fail_chunks`` injects failures: {(file, part)}.
+    Rows are hash-partitioned by chunk and sorted, so every chunk is a
+    contiguous run inside one partition; a single Python call per partition
+    walks the runs (a run may straddle Arrow batches) and calls the scorer
+    once per chunk.  A chunk is bounded by the packer's limits (rows, bytes,
+    tokens).  An exception marks every row of the chunk ``failed`` (message +
+    traceback); no answers at all marks it ``error``.  Duplicate answers for an
+    id keep the last one (G9); ids the scorer did not answer get a null line.
+    ``concurrency`` = number of tasks, i.e. at most that many chunks in flight;
+    by default at least the cluster's parallelism (the partition count is
+    explicit, so AQE does not fold the Python stage into a few tasks).
+    ``fail_chunks`` injects failures: {(file, part)}.
     """
     fail = set(fail_chunks or ())
     carry = list(carry)
+    spark = requests.sparkSession
     src = requests.select("file", F.col("part").cast("long").alias("part"), "custom_id", "text", *carry)
     schema = _out_schema(src, carry)
     names = [f.name for f in schema.fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        file, part = pdf["file"].iat[0], int(pdf["part"].iat[0])
-        out = pdf[["file", "part", "custom_id", *carry]].copy()
-        try:
-            if (file, part) in fail:
-                raise RuntimeError(f"Simulated failure for {file}_part{part}")
-            outs = list(scorer(iter([pdf[["custom_id", "text"]]])))
-            ans = pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(columns=["custom_id", "line"])
-            if ans.empty:
-                out = out.assign(line=None, status="error", error_message="ERROR: scorer returned no answers",
-                                 error_details=None)
-            else:
-                ans = ans.drop_duplicates("custom_id", keep="last")
-                out = out.merge(ans[["custom_id", "line"]], on="custom_id", how="left")
-                out = out.assign(status="completed", error_message=None, error_details=None)
-        except Exception as exc:  # noqa: BLE001 - failure is data here
-            out = out.assign(line=None, status="failed", error_message=f"ERROR: {exc}",
-                             error_details=traceback.format_exc())
-        return out[names]
-
-    if concurrency:
-        src = src.repartition(int(concurrency), "file", "part")
-    return src.groupBy("file", "part").applyInPandas(run, schema)
+    n = int(concurrency) if concurrency else max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                                 spark.sparkContext.defaultParallelism)
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys_new = (pdf["file"].ne(pdf["file"].shift()) | pdf["part"].ne(pdf["part"].shift())).to_numpy()
+        starts = list(np.flatnonzero(keys_new)) + [len(pdf)]
+        lines, status, msg, det = [], [], [], []
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            ln, st, em, ed = _score_one(pdf.iloc[lo:hi], scorer, fail)
+            k = hi - lo
+            lines += ln
+            status += [st] * k
+            msg += [em] * k
+            det += [ed] * k
+        out = pdf[["file", "part", "custom_id", *carry]].reset_index(drop=True)
+        return out.assign(line=lines, status=status, error_message=msg, error_details=det)[names]
+
+    def run(batches):
+        pending = None
+        for pdf in batches:
+            if pending is not None:
+                pdf = pd.concat([pending, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last_file, last_part = pdf["file"].iat[-1], pdf["part"].iat[-1]
+            tail = ((pdf["file"] == last_file) & (pdf["part"] == last_part)).to_numpy()
+            cut = len(pdf) - int(np.argmin(tail[::-1])) if not tail.all() else 0
+            done, pending = pdf.iloc[:cut], pdf.iloc[cut:].reset_index(drop=True)
+            if len(done):
+                yield emit(done.reset_index(drop=True))
+        if pending is not None and len(pending):
+            yield emit(pending)
+
+    laid = src.repartition(n, "file", "part").sortWithinPartitions("file", "part")
+    return laid.mapInPandas(run, schema)
 
 
 def scored_answer(scored: DataFrame) -> list[Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmeter.functions import prompts, tokens
 from inkmeter.operators import admission, aggregates, ledger, packing, results, scoring
+from inkmeter.session import ensure_checkpoint_dir
 
 
 def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMIT,
@@ -22,11 +23,15 @@ def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMI
     chunk with failure capture (K3) -> classify answers (D7) -> join back on
     ``custom_id`` (F1) -> chunk errors onto their rows (F4, continue policy).
     """
-    scored_rows = rows.withColumn("tok", prompt.submitted("text"))
-    decisions = admission.admission_cap(scored_rows, token_limit)
-    admitted = admission.admitted_rows(scored_rows, decisions)
+    # Token counts are the expensive column and are read by the cap, the row
+    # cap and the packer: compute them once into a narrow checkpointed table.
+    ensure_checkpoint_dir(rows.sparkSession)
+    toks = rows.select("file", "pos", prompt.submitted("text").alias("tok")).checkpoint(eager=True)
+    decisions = admission.admission_cap(toks, token_limit)
+    admitted = admission.admitted_rows(toks, decisions)
     capped = capped_rows(admitted, row_cap)
-    chunks = packing.with_chunk_names(packing.chunk_greedy(capped, split_token_limit))
+    packed = packing.with_chunk_names(packing.chunk_greedy(capped, split_token_limit))
+    chunks = rows.drop("tok").join(packed, ["file", "pos"])
     # The scorer sees the text to evaluate (null -> 'nan', as in the request); the
     # system prompt and model are its configuration (see prompts.request_json).
     req = chunks.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("nan")))
