@@ -255,10 +255,9 @@ def usage_append(spark, sf):
 def daily_log_scan(spark, sf):
     path = scratch_path(spark, "dailylog")
     log = ledger.daily_submitted(_events(spark, sf))
-    # one JSON array per day (a bounded group: keys seen that day)
-    (log.groupBy("date").agg(F.to_json(F.collect_list(F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"),
-                                                              "api_key_prefix", "tokens_submitted"))).alias("value"))
-     .select("value").write.text(path))
+    # stored as JSON arrays, one per (day, key prefix): every group holds exactly one entry
+    entry = F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), "api_key_prefix", "tokens_submitted")
+    log.select(F.to_json(F.array(entry)).alias("value")).write.text(path)
     return readers.read_daily_log(spark, path).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), "api_key_prefix", "tokens_submitted")
 

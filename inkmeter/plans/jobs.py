@@ -57,9 +57,15 @@ def capped_rows(rows: DataFrame, cap: int, file_col: str = "file", pos_col: str
 
 
 def split_report(rows: DataFrame, token_limit: int, chunk_tokens: int) -> DataFrame:
-    """L3: files whose total exceeds ``token_limit`` are packed greedily; others stay whole."""
-    gate = packing.split_gate(rows, token_limit).select("file", "needs_split")
-    tagged = rows.join(gate, "file")
+    """L3: files whose total exceeds ``token_limit`` are packed greedily; others stay whole.
+
+    Only (file, pos, tok) is needed: it is checkpointed once so the token
+    expression is not re-evaluated by the gate, the packer and the totals.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    narrow = rows.select("file", "pos", "tok").checkpoint(eager=True)
+    gate = packing.split_gate(narrow, token_limit).select("file", "needs_split")
+    tagged = narrow.join(gate, "file")
     split = packing.chunk_greedy(tagged.filter(F.col("needs_split")), chunk_tokens)
     whole = tagged.filter(~F.col("needs_split")).withColumn("part", F.lit(1).cast("long"))
     both = split.unionByName(whole)

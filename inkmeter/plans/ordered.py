@@ -38,6 +38,9 @@ from inkmeter.session import ensure_checkpoint_dir
 
 _PID = "_scan_pid"
 
+# Size of the last scan's driver-side summaries (partitions, bytes, largest run table).
+LAST_SUMMARY: dict = {}
+
 
 # --------------------------------------------------------------------------
 # step 1: range layout
@@ -413,12 +416,17 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
     # write); keep it so computed columns (e.g. token counts) run once.
     narrow = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if kind == "greedy" and not num_partitions:
+            num_partitions = _greedy_partitions(narrow, spec)
         laid = range_layout(narrow, gcols + ocols, num_partitions)
     finally:
         narrow.unpersist()
     tagged = laid.withColumn(_PID, F.spark_partition_id())
     summaries = [r.asDict() for r in
                  tagged.mapInPandas(_summarise(spec), _SUMMARY_SCHEMA).collect()]
+    LAST_SUMMARY.clear()
+    LAST_SUMMARY.update(partitions=len(summaries), payload_bytes=sum(len(x["payload"]) for x in summaries),
+                        max_runs=max([len(json.loads(x["payload"]).get("runs", [])) for x in summaries] or [0]))
     entries = _chain(spec, summaries)
 
     fields = [laid.schema[c] for c in gcols + ocols + extra_out]
@@ -434,6 +442,27 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
     return tagged.mapInPandas(_emit(spec, entries, extra_out), T.StructType(fields))
 
 
+# A packing partition should hold many chunks, so that chains started from
+# different cut points merge inside it and its exit-state table stays short.
+CHUNKS_PER_PARTITION = 16
+
+
+def _greedy_partitions(narrow: DataFrame, spec: _Spec) -> int:
+    """Partitions for a packing scan: the session default, fewer if chunks are large."""
+    default = _num_partitions(narrow, None)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"a{i}") for i, c in enumerate(spec.pack_cols)]
+    row = narrow.agg(*aggs).first()
+    n = row["n"] or 0
+    if n == 0:
+        return 1
+    per_chunk = float(spec.row_limit) if spec.row_limit else float(n)
+    for i, lim in enumerate(spec.limits):
+        avg = row[f"a{i}"] or 0.0
+        if avg > 0:
+            per_chunk = min(per_chunk, max(1.0, lim / avg))
+    return int(max(1, min(default, n // max(1.0, per_chunk * CHUNKS_PER_PARTITION))))
+
+
 def attach(df: DataFrame, scanned: DataFrame, keys: list[str], result_cols: list[str]) -> DataFrame:
     """Join scan results back onto the full rows on the unique (group, order) key.
 
