@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +41,6 @@ def count_tokens(col, method: str = "regex", encoding_file: str | None = None) -
 
 
 def _bpe_udf(encoding_file: str):
-    import pandas as pd
-
     @F.pandas_udf(T.LongType())
     def bpe_count(s: pd.Series) -> pd.Series:
         enc = _load_encoding(encoding_file)
