@@ -51,6 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors; "
+                               "inkmeter checkpoints ordered scans and stages files there")
         # Local / test sessions only: a cluster names a shared folder itself.
         configured = tempfile.mkdtemp(prefix="inkmeter-ckpt-")
     sc.setCheckpointDir(configured)
