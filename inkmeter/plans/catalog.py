@@ -854,6 +854,16 @@ def grade(spark, sf):
                      split_token_limit=PARAMS["chunk_tokens"], fail_chunks={derived.FAILED_CHUNK})
 
 
+@register("grade_usage")
+def grade_usage(spark, sf):
+    """L1 epilogue: one usage event per graded file, priced with the default model."""
+    from inkmeter.plans.jobs import grade_usage as usage_job
+
+    g = Q["grade"](spark, sf)
+    ev = usage_job(g, _prices(spark), "sk-inkmeter-grader", timestamp="2024-02-01 00:00:00")
+    return ev.select("file", "api_key_prefix", "model", "input_tokens", "output_tokens", "total_tokens", "cost")
+
+
 @register("count_tokens_report")
 def count_tokens_report(spark, sf):
     """L2: submitted tokens per row (system + user message), stats per file."""

@@ -13,7 +13,9 @@ from inkmeter.session import ensure_checkpoint_dir
 def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMIT,
           split_token_limit: int = 20_000, row_cap: int = admission.MAX_ROWS_PER_FILE,
           scorer: scoring.Scorer = scoring.length_scorer, fail_chunks: set | None = None,
-          concurrency: int | None = None, model: str = prompts.DEFAULT_MODEL) -> DataFrame:
+          concurrency: int | None = None, model: str = prompts.DEFAULT_MODEL,
+          force_chunk_count: int = 0, split_row_limit: int | None = None,
+          halt_on_chunk_failure: bool = False) -> DataFrame:
     """L1: grade every admitted file; every admitted row comes back exactly once.
 
     ``rows``: file, pos, id, text, custom_id.  Steps: submitted tokens (D2) ->
@@ -22,6 +24,11 @@ def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMI
     chunk, which is the split gate G5) -> requests (C8) -> one scorer call per
     chunk with failure capture (K3) -> classify answers (D7) -> join back on
     ``custom_id`` (F1) -> chunk errors onto their rows (F4, continue policy).
+
+    ``force_chunk_count > 1`` packs k even chunks per file and re-splits any
+    chunk over ``split_token_limit`` (G4, chunk ids ``…_partN_split_partM``);
+    ``split_row_limit`` caps rows per greedy chunk; ``halt_on_chunk_failure``
+    keeps only chunks before a file's first failed chunk (G11).
     """
     # Token counts are the expensive column and are read by the cap, the row
     # cap and the packer: compute them once into a narrow checkpointed table.
@@ -30,14 +37,20 @@ def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMI
     decisions = admission.admission_cap(toks, token_limit)
     admitted = admission.admitted_rows(toks, decisions)
     capped = capped_rows(admitted, row_cap)
-    packed = packing.with_chunk_names(packing.chunk_greedy(capped, split_token_limit))
-    chunks = rows.drop("tok").join(packed, ["file", "pos"])
+    if force_chunk_count and force_chunk_count > 1:
+        hybrid = packing.chunk_hybrid(capped, force_chunk_count, split_token_limit)
+        packed = packing.with_chunk_names(hybrid, "file", "part", "split_part")
+        # one scoring group per final chunk
+        packed = packed.withColumn("part", F.col("part") * F.lit(1_000_000) + F.coalesce("split_part", F.lit(0)))
+    else:
+        packed = packing.with_chunk_names(packing.chunk_greedy(capped, split_token_limit, split_row_limit))
+    chunks = rows.drop("tok").join(packed.select("file", "pos", "tok", "part", "chunk_id"), ["file", "pos"])
     # The scorer sees the text to evaluate (null -> 'nan', as in the request); the
     # system prompt and model are its configuration (see prompts.request_json).
     req = chunks.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("nan")))
     scored = scoring.score_chunks(req, scorer, concurrency=concurrency, fail_chunks=fail_chunks,
                                   carry=("pos", "id", "chunk_id", "tok"))
-    out = scoring.policy_continue(scored)
+    out = scoring.policy_halt(scored) if halt_on_chunk_failure else scoring.policy_continue(scored)
     return out.select(
         "file", "pos", "id", "chunk_id", "llm_score", "error_type",
         results.error_flag("llm_score").alias("is_error"),
@@ -45,6 +58,18 @@ def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMI
         tokens.completion_tokens("llm_score").alias("output_tokens"))
 
 
+def grade_usage(graded: DataFrame, pricing: DataFrame, api_key: str | None,
+                model: str = prompts.DEFAULT_MODEL, timestamp: str | None = None) -> DataFrame:
+    """The per-file usage event logged after grading (tokens in/out, lenient cost, masked key)."""
+    per = graded.groupBy("file").agg(F.sum("input_tokens").cast("long").alias("input_tokens"),
+                                     F.sum("output_tokens").cast("long").alias("output_tokens"))
+    ts = F.lit(timestamp).cast("timestamp") if timestamp else F.current_timestamp()
+    ev = per.select("file", ts.alias("timestamp"), F.lit(api_key).cast("string").alias("api_key"),
+                    F.lit(model).alias("model"), "input_tokens", "output_tokens",
+                    F.concat(F.lit("file:"), F.col("file")).alias("request_id"))
+    return ledger.usage_events(ev, pricing).withColumn("file", F.regexp_replace("request_id", "^file:", ""))
+
+
 def capped_rows(rows: DataFrame, cap: int, file_col: str = "file", pos_col: str = "pos") -> DataFrame:
     """C12 only where it binds: rows of files longer than ``cap`` go through the ordered scan."""
     counts = rows.groupBy(file_col).agg(F.count(F.lit(1)).alias("_n"))

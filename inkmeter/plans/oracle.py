@@ -449,6 +449,13 @@ SQL["grade"] = with_base(_GRADE.strip() + "\nSELECT file, pos, id, chunk_id, llm
 SQL["file_error_counts"] = with_base(
     _GRADE.strip() + "\nSELECT file, CAST(count(*) AS BIGINT) AS n_rows, "
     "CAST(count(*) FILTER (WHERE is_error) AS BIGINT) AS n_errors FROM grade GROUP BY file")
+SQL["grade_usage"] = with_base(_GRADE.strip() + f"""
+SELECT file, 'sk-inkmete**********' AS api_key_prefix, '{prompts.DEFAULT_MODEL}' AS model,
+  CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(sum(input_tokens) + sum(output_tokens) AS BIGINT) AS total_tokens,
+  round((sum(input_tokens) * (SELECT p_in FROM prices WHERE model = '{prompts.DEFAULT_MODEL}')
+       + sum(output_tokens) * (SELECT p_out FROM prices WHERE model = '{prompts.DEFAULT_MODEL}')) / 1000000.0, 6) AS cost
+FROM grade GROUP BY file""")
 SQL["files_all_failed"] = with_base(_GRADE.strip() + "\nSELECT file, bool_and(is_error) AS all_failed FROM grade GROUP BY file")
 
 # ---- packing, gates -----------------------------------------------------------------

@@ -67,3 +67,34 @@ def test_system_prompt_built_from_examples(spark):
     p = inputs.Prompt(spark, SF001)
     assert "{dynamic_examples}" not in p.text and p.text.count("\n- ") > 0
     assert p.tokens > 0
+
+
+def test_grade_forced_chunks_and_halt(spark):
+    from inkmeter.plans.jobs import grade
+
+    rows = derived.docs(spark, SF001)
+    p = inputs.Prompt(spark, SF001)
+    n = rows.count()
+    first_file = rows.agg(F.min("file")).first()[0]
+    forced = grade(rows, p, token_limit=10**9, split_token_limit=10**9, force_chunk_count=3,
+                   fail_chunks={(first_file, 2_000_000)})
+    out = forced.collect()
+    assert len(out) == n
+    ids = {r.chunk_id for r in out if r.file == first_file}
+    assert ids == {f"{first_file}_part1", f"{first_file}_part2", f"{first_file}_part3"}
+    assert all(r.is_error for r in out if r.chunk_id == f"{first_file}_part2")
+    halted = grade(rows, p, token_limit=10**9, split_token_limit=10**9, force_chunk_count=3,
+                   fail_chunks={(first_file, 2_000_000)}, halt_on_chunk_failure=True).collect()
+    kept = {r.chunk_id for r in halted if r.file == first_file}
+    assert kept == {f"{first_file}_part1"}
+    assert len(halted) == n - sum(1 for r in out if r.file == first_file and r.chunk_id != f"{first_file}_part1")
+
+
+def test_grade_resplits_oversize_forced_chunk(spark):
+    from inkmeter.plans.jobs import grade
+
+    rows = derived.docs(spark, SF001)
+    p = inputs.Prompt(spark, SF001)
+    out = grade(rows, p, token_limit=10**9, split_token_limit=p.tokens * 3, force_chunk_count=2).collect()
+    assert len(out) == rows.count()
+    assert any("_split_part" in r.chunk_id for r in out)
