@@ -710,7 +710,8 @@ def policy_continue(spark, sf):
 
 @register("policy_halt")
 def policy_halt(spark, sf):
-    return scoring.policy_halt(_scored_forced(spark, sf)).select("file", "pos", "part", "llm_score")
+    scored = _scored_forced(spark, sf).checkpoint(eager=True)  # the halt rule reads the answers twice
+    return scoring.policy_halt(scored).select("file", "pos", "part", "llm_score")
 
 
 def _full_grade(spark, sf):

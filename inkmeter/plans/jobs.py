@@ -50,6 +50,10 @@ def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMI
     req = chunks.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("nan")))
     scored = scoring.score_chunks(req, scorer, concurrency=concurrency, fail_chunks=fail_chunks,
                                   carry=("pos", "id", "chunk_id", "tok"))
+    # Score once: a real scorer is a billed external call, so later actions (and the
+    # two reads of the halt policy) use this snapshot instead of calling it again.
+    # The snapshot holds answers and ids only, never the input text.
+    scored = scored.checkpoint(eager=True)
     out = scoring.policy_halt(scored) if halt_on_chunk_failure else scoring.policy_continue(scored)
     return out.select(
         "file", "pos", "id", "chunk_id", "llm_score", "error_type",
