@@ -143,3 +143,16 @@ def request_struct(custom_id_col, text_col, system_prompt: str, model: str = DEF
 def request_json(custom_id_col, text_col, system_prompt: str, **kw) -> Column:
     """C8 serialized: one JSON line per request."""
     return F.to_json(request_struct(custom_id_col, text_col, system_prompt, **kw))
+
+
+def escaped_length(spark, text: str) -> int:
+    """Bytes ``text`` occupies inside a JSON string (after escaping), counted by Spark's own writer."""
+    row = spark.range(1).select(F.octet_length(F.to_json(F.struct(F.lit(text).alias("c")))).alias("n")).first()
+    return int(row["n"]) - len('{"c":""}')
+
+
+def request_bytes_column(custom_id_col, text_col, system_prompt: str, system_escaped_len: int, **kw) -> Column:
+    """D5 without building the full request: the JSON with an empty system message plus the
+    escaped prompt's length (the prompt is identical in every request, so it is measured once)."""
+    return (F.octet_length(request_json(custom_id_col, text_col, "", **kw))
+            + F.lit(system_escaped_len)).cast("long")

@@ -84,13 +84,19 @@ def _events(spark, sf, strict=False) -> DataFrame:
     return inputs.usage_events(spark, sf, strict_models=strict)
 
 
+_PRICE_PATHS: dict = {}
+
+
 def _pricing_path(spark) -> str:
-    """The fixed price list written once as CSV, read back through the strict reader."""
-    path = scratch_path(spark, "pricing") + "/pricing.csv"
-    rows = [(m, i, o) for m, i, o in PRICE_LIST]
-    spark.createDataFrame(rows, "Model string, Input string, Output string").coalesce(1) \
-        .write.option("header", True).csv(path)
-    return path
+    """The fixed price list written once per session as CSV, read back through the strict reader."""
+    key = spark.sparkContext.applicationId
+    if key not in _PRICE_PATHS:
+        path = scratch_path(spark, "pricing") + "/pricing.csv"
+        rows = [(m, i, o) for m, i, o in PRICE_LIST]
+        spark.createDataFrame(rows, "Model string, Input string, Output string").coalesce(1) \
+            .write.option("header", True).csv(path)
+        _PRICE_PATHS[key] = path
+    return _PRICE_PATHS[key]
 
 
 # Model price list in USD per 1M tokens (input, output).
@@ -494,9 +500,14 @@ def completion_tokens(spark, sf):
     return _graded(spark, sf).select("file", "pos", tokens.completion_tokens("llm_score").alias("output_tokens"))
 
 
+def _request_bytes(spark, prompt) -> "F.Column":
+    return prompts.request_bytes_column("custom_id", "text", prompt.text, prompts.escaped_length(spark, prompt.text))
+
+
 @register("request_bytes")
 def request_bytes(spark, sf):
-    return _requests(spark, sf).select("custom_id", tokens.request_bytes("request").alias("n_bytes"))
+    p = inputs.Prompt(spark, sf)
+    return derived.docs(spark, sf).select("custom_id", _request_bytes(spark, p).alias("n_bytes"))
 
 
 @register("extract_content")
@@ -773,8 +784,8 @@ def halt_prefix(spark, sf):
 @register("pack_requests")
 def pack_requests(spark, sf):
     prompt = inputs.Prompt(spark, sf)
-    req = _requests(spark, sf, prompt).withColumn("tok", prompt.submitted("text")) \
-        .withColumn("req_bytes", tokens.request_bytes("request"))
+    req = derived.docs(spark, sf).withColumn("tok", prompt.submitted("text")) \
+        .withColumn("req_bytes", _request_bytes(spark, prompt))
     out = packing.pack_requests(req, PARAMS["pack_tokens"], max_bytes=PARAMS["pack_bytes"])
     return out.select("file", "pos", "part")
 
