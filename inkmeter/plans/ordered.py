@@ -328,7 +328,8 @@ def _chain(spec: _Spec, summaries: list[dict]) -> dict:
     return entries
 
 
-def _emit(spec: _Spec, entries: dict, extra: list[str]):
+def _emit(spec: _Spec, entries, extra: list[str]):
+    """Second pass; ``entries`` is a broadcast of {partition id: entry state}."""
     gcols, kind = spec.gcols, spec.kind
     keep = gcols + spec.ocols + extra
 
@@ -337,7 +338,7 @@ def _emit(spec: _Spec, entries: dict, extra: list[str]):
         if pdf is None:
             return
         pid = int(pdf[_PID].iat[0])
-        info = entries[pid]
+        info = entries.value[pid]
         entry = info["entry"]
         n = len(pdf)
         start = _segment_starts(pdf, gcols)
@@ -439,7 +440,9 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
         fields += [T.StructField("_run", rt)]
     else:
         fields += [T.StructField("_part", T.LongType())]
-    return tagged.mapInPandas(_emit(spec, entries, extra_out), T.StructType(fields))
+    # One entry per partition: shipped once per executor, not inside every task's closure.
+    bc = laid.sparkSession.sparkContext.broadcast(entries)
+    return tagged.mapInPandas(_emit(spec, bc, extra_out), T.StructType(fields))
 
 
 # A packing partition should hold many chunks, so that chains started from
