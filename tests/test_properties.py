@@ -98,3 +98,27 @@ def test_grade_resplits_oversize_forced_chunk(spark):
     out = grade(rows, p, token_limit=10**9, split_token_limit=p.tokens * 3, force_chunk_count=2).collect()
     assert len(out) == rows.count()
     assert any("_split_part" in r.chunk_id for r in out)
+
+
+def test_same_answer_under_1_4_16_shuffle_partitions(spark):
+    keys = ["grade", "join_results", "chunk_hybrid", "usage_grouping_sets", "halt_prefix"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = {}
+    try:
+        for n in (1, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            for k in keys:
+                rows = sorted(tuple(str(v) for v in r) for r in catalog.Q[k](spark, SF001).collect())
+                seen.setdefault(k, []).append(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for k, runs in seen.items():
+        assert runs[0] == runs[1] == runs[2], k
+
+
+def test_concurrency_sets_scoring_tasks(spark):
+    from inkmeter.operators import scoring
+
+    d = packing.chunk_forced(derived.docs(spark, SF001), 3)
+    assert scoring.score_chunks(d, concurrency=2).rdd.getNumPartitions() == 2
+    assert scoring.score_chunks(d, concurrency=5).rdd.getNumPartitions() == 5
