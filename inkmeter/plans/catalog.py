@@ -876,6 +876,19 @@ def grade_usage(spark, sf):
     return ev.select("file", "api_key_prefix", "model", "input_tokens", "output_tokens", "total_tokens", "cost")
 
 
+@register("grade_files")
+def grade_files(spark, sf):
+    """L1 as the tool runs it: documents as CSV / JSON / JSONL files in one folder, examples file."""
+    from inkmeter.plans.jobs import grade_files as grade_files_job
+
+    base = scratch_path(spark, "gradefiles")
+    _three_formats(spark, sf, base)
+    inputs.table(spark, sf, "benchmark").select("text").write.text(base + "/examples")
+    g = grade_files_job(spark, base + "/in", base + "/examples", text_col="text", schema=DOC_SCHEMA,
+                        token_limit=PARAMS["grade_cap"], split_token_limit=PARAMS["chunk_tokens"])
+    return g.select("doc_id", "llm_score", "error_type", "input_tokens", "output_tokens")
+
+
 @register("count_tokens_report")
 def count_tokens_report(spark, sf):
     """L2: submitted tokens per row (system + user message), stats per file."""

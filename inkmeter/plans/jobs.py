@@ -109,3 +109,56 @@ def costs_report(usage: DataFrame) -> DataFrame:
         return all_time
     today = ledger.usage_grouping_sets(usage, str(last), str(last)).withColumn("scope", F.lit("latest_day"))
     return all_time.unionByName(today)
+
+
+class FilePrompt:
+    """System prompt from an examples text file (A10 -> C6/C7); generic when no file is given."""
+
+    def __init__(self, spark, examples_path: str | None = None, method: str = "regex"):
+        from inkmeter.sources import readers
+
+        if examples_path:
+            lines = prompts.example_lines(readers.read_lines(spark, examples_path), "value",
+                                          ("file", "_block", "_row"))
+            self.text = prompts.system_prompt_from_lines(lines, order_cols=("file", "_block", "_row"))
+        else:
+            self.text = prompts.GENERIC_PROMPT
+        self.method = method
+        self.tokens = tokens.literal_tokens(spark, self.text, method)
+
+    def submitted(self, text_col="text"):
+        return tokens.submitted_tokens(text_col, self.tokens, self.method, prompts.USER_PREFIX,
+                                       null_as="nan", system_chars=len(self.text))
+
+
+def ingest_dir(spark, input_dir: str, text_col: str = "response", schema=None) -> DataFrame | None:
+    """A5 + row identity: every .csv/.json/.jsonl row with ``file`` (path), ``pos`` and ``custom_id``.
+
+    Files carry no position key, so the order inside each file is derived
+    once: (split offset, place in split) is ranked per file with an ordered
+    scan and the result is checkpointed, so later stages see fixed ids.
+    """
+    from inkmeter.functions import ids
+    from inkmeter.plans.ordered import attach, ordered_scan
+    from inkmeter.sources import readers
+
+    ensure_checkpoint_dir(spark)
+    raw = readers.read_input_dir(spark, input_dir, schema)
+    if raw is None:
+        return None
+    located = raw.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ranks = ordered_scan(located, ["file"], ["_block", "_row"], "number")
+    rows = attach(located, ranks, ["file", "_block", "_row"], ["_rn"]).withColumnRenamed("_rn", "pos")
+    rows = rows.drop("_block", "_row", "_n").withColumn("text", F.col(text_col).cast("string"))
+    return ids.restore_id(ids.normalise_id(rows)).checkpoint(eager=True)
+
+
+def grade_files(spark, input_dir: str, examples_path: str | None = None, text_col: str = "response",
+                schema=None, **kw) -> DataFrame | None:
+    """L1 over a folder of input files, as the command-line tool runs it; None when nothing matches."""
+    rows = ingest_dir(spark, input_dir, text_col, schema)
+    if rows is None:
+        return None
+    graded = grade(rows, FilePrompt(spark, examples_path), **kw)
+    extra = [c for c in rows.columns if c not in ("file", "pos", "id", "text", "custom_id")]
+    return graded.join(rows.select("file", "pos", *extra), ["file", "pos"])

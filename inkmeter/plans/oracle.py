@@ -456,6 +456,12 @@ SELECT file, 'sk-inkmete**********' AS api_key_prefix, '{prompts.DEFAULT_MODEL}'
   round((sum(input_tokens) * (SELECT p_in FROM prices WHERE model = '{prompts.DEFAULT_MODEL}')
        + sum(output_tokens) * (SELECT p_out FROM prices WHERE model = '{prompts.DEFAULT_MODEL}')) / 1000000.0, 6) AS cost
 FROM grade GROUP BY file""")
+SQL["grade_files"] = with_base(f"""
+x AS (SELECT 1)
+SELECT pos AS doc_id, CAST(1 + length(coalesce(text, 'nan')) % 5 AS VARCHAR) AS llm_score,
+       CAST(NULL AS VARCHAR) AS error_type, tok AS input_tokens,
+       {tok("CAST(1 + length(coalesce(text, 'nan')) % 5 AS VARCHAR)")} AS output_tokens
+FROM sub""")
 SQL["files_all_failed"] = with_base(_GRADE.strip() + "\nSELECT file, bool_and(is_error) AS all_failed FROM grade GROUP BY file")
 
 # ---- packing, gates -----------------------------------------------------------------

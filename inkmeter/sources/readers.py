@@ -77,7 +77,8 @@ def read_by_extension(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def read_input_dir(spark: SparkSession, directory: str, schema=None) -> DataFrame | None:
     """Every .csv/.json/.jsonl under a folder, unioned by column name.
 
-    Each source row keeps its file path as ``file``; None when nothing matches.
+    Each source row keeps its file path as ``file`` and its split offset as
+    ``_block`` (for file order); None when nothing matches.
     """
     parts = []
     for ext, fn in ((".csv", read_csv), (".json", read_json_array), (".jsonl", read_jsonl)):
@@ -88,7 +89,8 @@ def read_input_dir(spark: SparkSession, directory: str, schema=None) -> DataFram
                 df = df.schema(schema)
             df = df.option("pathGlobFilter", f"*{ext}").option("recursiveFileLookup", True)
             loaded = df.csv(directory) if ext == ".csv" else df.json(directory)
-            parts.append(loaded.withColumn("file", F.col("_metadata.file_path")))
+            parts.append(loaded.withColumn("file", F.col("_metadata.file_path"))
+                         .withColumn("_block", F.col("_metadata.file_block_start")))
         except Exception as exc:  # noqa: BLE001 - "no files" is a normal outcome
             if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
                 continue

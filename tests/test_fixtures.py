@@ -300,3 +300,28 @@ def test_csv_roundtrip_keeps_quotes_and_newlines(spark):
     writers.write_csv(df, os.path.join(d, "out.csv"))
     back = readers.read_csv(spark, os.path.join(d, "out.csv"), "id long, text string")
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_ingest_dir_derives_exact_file_order_across_splits(spark):
+    from inkmeter.plans.jobs import ingest_dir
+
+    d = tempfile.mkdtemp(prefix="inkmeter-ingest-")
+    with open(os.path.join(d, "a.jsonl"), "w") as fh:
+        for i in range(400):
+            fh.write(json.dumps({"response": f"line {i} " + "x" * (i % 37), "n": i}) + "\n")
+    with open(os.path.join(d, "b.csv"), "w") as fh:
+        fh.write("response,n\n" + "".join(f"row {i},{i}\n" for i in range(50)))
+    with open(os.path.join(d, "skip.txt"), "w") as fh:
+        fh.write("not an input\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = ingest_dir(spark, d, "response", "response string, n long")
+        got = rows.select("file", "pos", "n", "custom_id", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 450
+    for name, count in (("a.jsonl", 400), ("b.csv", 50)):
+        mine = sorted((r.pos, r.n) for r in got if r.file.endswith(name))
+        assert mine == [(i + 1, i) for i in range(count)]
+    assert len({r.custom_id for r in got}) == 450 and all(r.id == r.custom_id for r in got)
