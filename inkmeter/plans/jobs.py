@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkmeter.functions import prompts, tokens
 from inkmeter.operators import admission, aggregates, ledger, packing, results, scoring
 from inkmeter.session import ensure_checkpoint_dir
+from inkmeter.sources import writers
 
 
 def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMIT,
@@ -162,3 +163,32 @@ def grade_files(spark, input_dir: str, examples_path: str | None = None, text_co
     graded = grade(rows, FilePrompt(spark, examples_path), **kw)
     extra = [c for c in rows.columns if c not in ("file", "pos", "id", "text", "custom_id")]
     return graded.join(rows.select("file", "pos", *extra), ["file", "pos"])
+
+
+def count_files(spark, input_dir: str, examples_path: str | None = None, text_col: str = "response",
+                schema=None) -> DataFrame | None:
+    """L2 over a folder: submitted tokens per row, total / mean / max per input file."""
+    rows = ingest_dir(spark, input_dir, text_col, schema)
+    if rows is None:
+        return None
+    p = FilePrompt(spark, examples_path)
+    return aggregates.token_stats(rows.withColumn("tok", p.submitted("text")), "file", "tok")
+
+
+def split_files(spark, input_dir: str, output_dir: str, token_limit: int, chunk_tokens: int,
+                examples_path: str | None = None, text_col: str = "response", schema=None,
+                fmt: str = "jsonl") -> DataFrame | None:
+    """L3 over a folder: files over ``token_limit`` are packed greedily and written one folder
+    per chunk (B2); returns the per-chunk report."""
+    rows = ingest_dir(spark, input_dir, text_col, schema)
+    if rows is None:
+        return None
+    p = FilePrompt(spark, examples_path)
+    rows = rows.withColumn("tok", p.submitted("text"))
+    report = split_report(rows, token_limit, chunk_tokens)
+    gate = report.select("file", "needs_split").distinct()
+    narrow = rows.select("file", "pos", "tok").join(gate.filter(F.col("needs_split")), "file", "left_semi")
+    parts = packing.chunk_greedy(narrow, chunk_tokens).select("file", "pos", "part")
+    chunk_rows = rows.join(parts, ["file", "pos"]).withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
+    writers.write_chunks(chunk_rows.drop("tok"), output_dir, fmt=fmt)
+    return report

@@ -325,3 +325,23 @@ def test_ingest_dir_derives_exact_file_order_across_splits(spark):
         mine = sorted((r.pos, r.n) for r in got if r.file.endswith(name))
         assert mine == [(i + 1, i) for i in range(count)]
     assert len({r.custom_id for r in got}) == 450 and all(r.id == r.custom_id for r in got)
+
+
+def test_count_and_split_files(spark):
+    from inkmeter.plans.jobs import count_files, split_files
+
+    d = tempfile.mkdtemp(prefix="inkmeter-split-")
+    with open(os.path.join(d, "big.csv"), "w") as fh:
+        fh.write("response\n" + "".join(f"word {i} " * 20 + "\n" for i in range(30)))
+    with open(os.path.join(d, "small.jsonl"), "w") as fh:
+        fh.write(json.dumps({"response": "tiny"}) + "\n")
+    stats = {r.file.split("/")[-1]: r for r in count_files(spark, d).collect()}
+    assert stats["big.csv"].n_rows == 30 and stats["small.jsonl"].n_rows == 1
+    limit = stats["small.jsonl"].total_tokens + 1
+    out = os.path.join(d, "_chunked")
+    rep = split_files(spark, d, out, token_limit=limit, chunk_tokens=stats["big.csv"].max_tokens * 4).collect()
+    big = [r for r in rep if r.file.endswith("big.csv")]
+    assert all(r.needs_split for r in big) and sum(r.n_rows for r in big) == 30 and len(big) == 8
+    assert [r.part for r in rep if r.file.endswith("small.jsonl")] == [1]
+    back = spark.read.json(out)
+    assert back.count() == 30 and back.select("part").distinct().count() == 8
