@@ -215,7 +215,7 @@ def pricing_strict(spark, sf):
         .write.option("header", True).csv(base)
     prices = readers.latest_prices(readers.read_pricing_strict(spark, base))
     ev = _events(spark, sf, strict=True)
-    return (ev.join(F.broadcast(prices.withColumnRenamed("Model", "model")), "model", "left")
+    return (ev.join(results.bounded_broadcast(prices.withColumnRenamed("Model", "model")), "model", "left")
             .groupBy("model").agg(F.first("Input").alias("input_price"), F.first("Output").alias("output_price"),
                                   F.count(F.lit(1)).cast("long").alias("n_events")))
 
@@ -229,7 +229,7 @@ def pricing_lenient(spark, sf):
         .write.option("header", True).csv(base)
     prices = readers.latest_prices(readers.read_pricing_lenient(spark, base))
     ev = _events(spark, sf)
-    return (ev.join(F.broadcast(prices.withColumnRenamed("Model", "model")), "model", "left")
+    return (ev.join(results.bounded_broadcast(prices.withColumnRenamed("Model", "model")), "model", "left")
             .groupBy("model").agg(F.first("Input").alias("input_price"), F.first("Output").alias("output_price"),
                                   F.count(F.lit(1)).cast("long").alias("n_events")))
 
@@ -889,6 +889,23 @@ def grade_files(spark, sf):
     return g.select("doc_id", "llm_score", "error_type", "input_tokens", "output_tokens")
 
 
+@register("pack_pages")
+def pack_pages(spark, sf):
+    """G3 on long web pages: one input file per host, ~4 chars per token, 20,000-token chunks."""
+    pg = inputs.table(spark, sf, "pages").select(
+        F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("file"), F.col("page_id").alias("pos"),
+        tokens.count_tokens("html", "chars4").alias("tok"))
+    return aggregates.chunk_totals(packing.chunk_greedy(pg, PARAMS["chunk_tokens"]))
+
+
+@register("count_tokens_conversations")
+def count_tokens_conversations(spark, sf):
+    """L2 on the second input shape: assistant turns, one file per conversation."""
+    p = inputs.Prompt(spark, sf)
+    c = inputs.conversations_as_files(spark, sf).withColumn("tok", p.submitted("text"))
+    return aggregates.token_stats(c, "file", "tok")
+
+
 @register("count_tokens_report")
 def count_tokens_report(spark, sf):
     """L2: submitted tokens per row (system + user message), stats per file."""

@@ -537,3 +537,13 @@ SELECT md5(source || '|' || CAST(doc_id AS VARCHAR)) AS custom_id,
   CASE WHEN doc_id % 23 <> 0 AND doc_id % 30 <= 24 THEN CAST(1 + n_chars % 5 AS VARCHAR)
        ELSE {lit('Error: batch_expired - Batch expired before the request was processed')} END AS llm_score
 FROM documents"""
+
+SQL["pack_pages"] = with_base(
+    "pg AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS file, page_id AS pos, "
+    "CAST(coalesce(ceil(length(html) / 4), 0) AS BIGINT) AS tok FROM pages),"
+    + greedy("gp", "pg", ["file"], ["tok"], [PARAMS["chunk_tokens"]], None)
+    + ",\nj AS (SELECT p.tok, g.* FROM gp g JOIN pg p USING (file, pos))\n" + _TOTALS.format(keys="file, part", src="j"))
+SQL["count_tokens_conversations"] = with_base(
+    "cv AS (SELECT 'conv' || CAST(conv_id AS VARCHAR) AS file, turn AS pos, "
+    "(SELECT sys_tok FROM sys) + " + tok(USER + " || coalesce(text, 'nan')") + " AS tok "
+    "FROM conversations WHERE role = 'assistant')\n" + _STATS.format(src="cv"))
