@@ -15,6 +15,8 @@ All checkpoints and outputs live under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,23 @@ from inkmeter.sources.readers import ISO_TS, USAGE_SCHEMA
 EXPIRED = "Error: batch_expired - Batch expired before the request was processed"
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Number of state-store partitions of a stateful query (fixed at its first start).
+
+    Each stateful operator keeps one store per shuffle partition and touches
+    all of them every micro-batch, so this is sized to the stream, not to the
+    batch jobs of the session.  Default: the cluster's parallelism.
+    """
+    n = n or spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def _upsert_sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/updates/batch_id={batch_id}")
@@ -44,7 +63,7 @@ def usage_stream(spark: SparkSession, source_dir: str) -> DataFrame:
             .json(source_dir))
 
 
-def run_usage_daily(spark: SparkSession, source_dir: str, out: str) -> DataFrame:
+def run_usage_daily(spark: SparkSession, source_dir: str, out: str, partitions: int | None = None) -> DataFrame:
     """Tokens, cost and count per day and model, maintained as events arrive."""
     ev = usage_stream(spark, source_dir).withWatermark("timestamp", "1 day")
     agg = (ev.groupBy(F.window("timestamp", "1 day").alias("w"), "model")
@@ -52,21 +71,23 @@ def run_usage_daily(spark: SparkSession, source_dir: str, out: str) -> DataFrame
                 F.count(F.lit(1)).cast("long").alias("count"))
            .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "model", "tokens",
                    "cost", "count"))
-    q = (agg.writeStream.outputMode("update").foreachBatch(_upsert_sink(out))
-         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(spark, partitions):
+        q = (agg.writeStream.outputMode("update").foreachBatch(_upsert_sink(out))
+             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
     t = current_table(spark, out, ["day", "model"])
     return t.select("day", "model", "tokens", F.round("cost", 6).alias("cost"), "count")
 
 
-def run_daily_quota(spark: SparkSession, source_dir: str, out: str) -> DataFrame:
+def run_daily_quota(spark: SparkSession, source_dir: str, out: str, partitions: int | None = None) -> DataFrame:
     """Tokens submitted per (date, key prefix), updated as submissions arrive."""
     ev = usage_stream(spark, source_dir).withWatermark("timestamp", "1 day")
     agg = (ev.groupBy(F.to_date("timestamp").alias("date"), "api_key_prefix")
            .agg(F.sum("input_tokens").cast("long").alias("tokens_submitted")))
-    q = (agg.writeStream.outputMode("update").foreachBatch(_upsert_sink(out))
-         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(spark, partitions):
+        q = (agg.writeStream.outputMode("update").foreachBatch(_upsert_sink(out))
+             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
     return current_table(spark, out, ["date", "api_key_prefix"])
 
 
@@ -75,7 +96,7 @@ ANSWERS_OUT = T.StructType([T.StructField("custom_id", T.StringType()),
                             T.StructField("error_type", T.StringType())])
 
 
-def run_responses(spark: SparkSession, source_dir: str, out: str) -> None:
+def run_responses(spark: SparkSession, source_dir: str, out: str, partitions: int | None = None) -> None:
     """One pass over newly landed answer files (call again when more land)."""
     lines = spark.readStream.text(source_dir)
     parsed = responses.with_id(responses.parse_lines(lines, "value"))
@@ -83,9 +104,10 @@ def run_responses(spark: SparkSession, source_dir: str, out: str) -> None:
              .withWatermark("arrived", "24 hours")
              .dropDuplicatesWithinWatermark(["custom_id"])
              .select("custom_id", "llm_score", "error_type"))
-    q = (first.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
-         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(spark, partitions):
+        q = (first.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
+             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 REQ_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
@@ -96,7 +118,7 @@ RESP_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
 
 
 def run_expired(spark: SparkSession, req_dir: str, resp_dir: str, out: str,
-                window: str = "24 hours") -> None:
+                window: str = "24 hours", partitions: int | None = None) -> None:
     """One pass; unmatched requests are emitted once both watermarks pass req_ts + window."""
     req = (spark.readStream.schema(REQ_SCHEMA).option("timestampFormat", ISO_TS).json(req_dir)
            .withWatermark("req_ts", "1 hour").alias("q"))
@@ -108,6 +130,7 @@ def run_expired(spark: SparkSession, req_dir: str, resp_dir: str, out: str,
         F.col("q.custom_id").alias("custom_id"),
         F.when(F.col("a.custom_id").isNull(), F.lit("batch_expired")).otherwise(F.lit("answered")).alias("status"),
         F.coalesce(F.col("a.llm_score"), F.lit(EXPIRED)).alias("llm_score"))
-    q = (joined.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
-         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(spark, partitions):
+        q = (joined.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
+             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
