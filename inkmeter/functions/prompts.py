@@ -116,6 +116,39 @@ def system_prompt_from_lines(lines: DataFrame | None, template: str = TEMPLATE_W
     return render_system_prompt(block, template, is_default)
 
 
+def system_prompt_and_tokens(lines: DataFrame | None, method: str = "regex", order_cols=("pos",),
+                             template: str = TEMPLATE_WITH_EXAMPLES,
+                             max_bytes: int = MAX_EXAMPLES_BYTES) -> tuple[str, int]:
+    """The system prompt and its token count: a size check, then one aggregation."""
+    from inkmeter.functions.tokens import count_tokens
+
+    if lines is None:
+        text = GENERIC_PROMPT
+        return text, int(constant_tokens(text, method))
+    check_examples_size(lines, max_bytes)
+    blk = examples_block(lines, order_cols)
+    row = blk.select("block", "n_lines",
+                     count_tokens(system_prompt_column("block", template), method).alias("t")).first()
+    if row["n_lines"] == 0:
+        raise ValueError("no examples found")
+    block = row["block"]
+    text = render_system_prompt(block, template, block == "- " + DEFAULT_EXAMPLES_TEXT)
+    return text, int(row["t"])
+
+
+def constant_tokens(text: str, method: str) -> int:
+    """Token count of a constant prompt computed on the driver for the built-in counters."""
+    import re
+
+    from inkmeter.functions.tokens import TOKEN_PATTERN
+
+    if method == "chars4":
+        return -(-len(text) // 4)
+    if method == "regex":
+        return len(re.findall(TOKEN_PATTERN, text))
+    raise ValueError("bpe counting of a constant needs a Spark session; use tokens.literal_tokens")
+
+
 def system_prompt_column(block_col, template: str = TEMPLATE_WITH_EXAMPLES) -> Column:
     """C7 as an expression over a block column (for one-row tables)."""
     b = F.col(block_col) if isinstance(block_col, str) else block_col

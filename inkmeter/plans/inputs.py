@@ -55,8 +55,7 @@ class Prompt:
     def __init__(self, spark: SparkSession, sf_dir: str, method: str = "regex"):
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), method)
         if key not in _PROMPTS:
-            text = system_prompt(spark, sf_dir)
-            _PROMPTS[key] = (text, tokens.literal_tokens(spark, text, method))
+            _PROMPTS[key] = prompts.system_prompt_and_tokens(example_lines(spark, sf_dir), method, ("pos",))
         self.text, self.tokens = _PROMPTS[key]
         self.method = method
 
