@@ -1,4 +1,4 @@
-"""Literal-row tests shaped like the reference's own fixtures (FIXTURES.md)."""
+"""Literal-row tests on the fixture shapes listed in FIXTURES.md."""
 
 import json
 import os

@@ -9,7 +9,7 @@ from inkmeter.plans.ordered import ordered_scan
 
 
 def _greedy(toks, limits, row_limit):
-    """Reference next-fit fold: toks is a list of tuples (one entry per limit)."""
+    """Sequential next-fit fold: toks is a list of tuples (one entry per limit)."""
     parts, cur, rows, part = [], [0] * len(limits), 0, 1
     for t in toks:
         over = any(c + x > lim for c, x, lim in zip(cur, t, limits))
