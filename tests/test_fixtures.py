@@ -345,3 +345,34 @@ def test_count_and_split_files(spark):
     assert [r.part for r in rep if r.file.endswith("small.jsonl")] == [1]
     back = spark.read.json(out)
     assert back.count() == 30 and back.select("part").distinct().count() == 8
+
+
+def test_daily_log_and_usage_log_readers(spark):
+    d = tempfile.mkdtemp(prefix="inkmeter-logs-")
+    log = os.path.join(d, "token_usage_log.json")
+    with open(log, "w") as fh:
+        json.dump([{"date": "2024-01-01", "api_key_prefix": "****", "tokens_submitted": 5},
+                   {"date": "2024-01-02", "api_key_prefix": "sk-1234567**********", "tokens_submitted": 7}],
+                  fh, indent=2)
+    rows = readers.read_daily_log(spark, log, multi_line=True).collect()
+    assert sorted((str(r.date), r.tokens_submitted) for r in rows) == [("2024-01-01", 5), ("2024-01-02", 7)]
+    assert readers.read_daily_log(spark, os.path.join(d, "missing.json")).count() == 0
+    ev = os.path.join(d, "events.jsonl")
+    with open(ev, "w") as fh:
+        fh.write(json.dumps({"timestamp": "2024-01-01T10:00:00.000000", "api_key_prefix": "****", "model": "m",
+                             "input_tokens": 1, "output_tokens": 2, "total_tokens": 3, "cost": 0.1}) + "\n\n")
+        fh.write(json.dumps({"timestamp": "2024-01-02T10:00:00.000000", "api_key_prefix": "****", "model": "m",
+                             "input_tokens": 4, "output_tokens": 5, "total_tokens": 9, "cost": 0.2,
+                             "request_id": "r2"}) + "\n")
+    usage = readers.read_usage_events(spark, ev)
+    assert usage.count() == 2 and usage.filter(F.col("request_id").isNull()).count() == 1
+    assert readers.read_usage_events(spark, os.path.join(d, "none.jsonl")).count() == 0
+
+
+@pytest.mark.parametrize("node", [0, False, [], "", {}])
+def test_falsy_response_nodes_are_absent(spark, node):
+    got = _parse(spark, [json.dumps({"custom_id": "z", "response": node, "error": None}),
+                         json.dumps({"custom_id": "y", "response": node,
+                                     "error": {"code": "c", "message": "m"}})])
+    assert got["z"].llm_score == responses.UNKNOWN
+    assert got["y"].llm_score == "Error: c - m"
