@@ -20,10 +20,19 @@ from inkmeter.functions import responses as R
 MAX_BROADCAST_CHUNKS = 2_000_000
 
 
+_COUNTS: dict = {}
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_CHUNKS) -> DataFrame:
-    """Broadcast a small dimension after checking its row count; else leave it to the planner."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast a small dimension after checking its row count; else leave it to the planner.
+
+    The count is kept per plan (semantic hash), so a dimension read from the
+    same files is counted once per session.
+    """
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
+    if key not in _COUNTS:
+        _COUNTS[key] = df.count()
+    return F.broadcast(df) if _COUNTS[key] <= max_rows else df
 
 
 def join_results(rows: DataFrame, answers: DataFrame, out_col: str = "llm_score") -> DataFrame:
