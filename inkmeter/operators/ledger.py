@@ -35,6 +35,24 @@ def cost_lenient(events: DataFrame, pricing: DataFrame) -> DataFrame:
             .withColumn("cost", F.coalesce(F.col("cost"), F.lit(0.0))).drop("_p_in", "_p_out"))
 
 
+def price_of(pricing: DataFrame, model: str) -> tuple[float, float] | None:
+    """Point lookup of one model's (input, output) price; None when unpriced."""
+    row = pricing.filter(F.col("Model") == model).select("Input", "Output").first()
+    return None if row is None else (float(row["Input"]), float(row["Output"]))
+
+
+def with_model_cost(df: DataFrame, pricing: DataFrame, model: str, strict: bool = False) -> DataFrame:
+    """Lenient/strict cost when every row uses the same model: a scalar lookup, no join."""
+    price = price_of(pricing, model)
+    if price is None:
+        if strict:
+            raise ValueError(f"Model '{model}' not found in pricing table.")
+        return df.withColumn("cost", F.lit(0.0))
+    p_in, p_out = price
+    return df.withColumn("cost", F.round((F.col("input_tokens") * F.lit(p_in) + F.col("output_tokens")
+                                          * F.lit(p_out)) / F.lit(1_000_000.0), 6))
+
+
 def cost_strict(events: DataFrame, pricing: DataFrame) -> DataFrame:
     """an unknown model raises (``raise_error`` inside the plan)."""
     j = events.join(_prices(pricing), "model", "left")

@@ -704,8 +704,7 @@ def _chunk_status_with_costs(spark, sf):
         F.sum(F.when(done, F.col("tok"))).cast("long").alias("input_tokens"),
         F.coalesce(F.sum(F.when(done, tokens.completion_tokens("llm_score"))), F.lit(0)).cast("long")
         .alias("output_tokens"))
-    st = st.withColumn("model", F.lit(prompts.DEFAULT_MODEL))
-    priced = ledger.cost_lenient(st, _prices(spark))
+    priced = ledger.with_model_cost(st, _prices(spark), prompts.DEFAULT_MODEL)
     return priced.withColumn("cost", F.when(F.col("status") == "completed", F.col("cost")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmeter.functions import prompts, tokens
+from inkmeter.functions.ids import mask_key
 from inkmeter.operators import admission, aggregates, ledger, packing, results, scoring
 from inkmeter.session import ensure_checkpoint_dir
 from inkmeter.sources import writers
@@ -69,10 +70,12 @@ def grade_usage(graded: DataFrame, pricing: DataFrame, api_key: str | None,
     per = graded.groupBy("file").agg(F.sum("input_tokens").cast("long").alias("input_tokens"),
                                      F.sum("output_tokens").cast("long").alias("output_tokens"))
     ts = F.lit(timestamp).cast("timestamp") if timestamp else F.current_timestamp()
-    ev = per.select("file", ts.alias("timestamp"), F.lit(api_key).cast("string").alias("api_key"),
-                    F.lit(model).alias("model"), "input_tokens", "output_tokens",
-                    F.concat(F.lit("file:"), F.col("file")).alias("request_id"))
-    return ledger.usage_events(ev, pricing).withColumn("file", F.regexp_replace("request_id", "^file:", ""))
+    priced = ledger.with_model_cost(per, pricing, model)
+    return priced.select(
+        "file", ts.alias("timestamp"), mask_key(F.lit(api_key).cast("string")).alias("api_key_prefix"),
+        F.lit(model).alias("model"), "input_tokens", "output_tokens",
+        (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), "cost",
+        F.concat(F.lit("file:"), F.col("file")).alias("request_id"))
 
 
 def capped_rows(rows: DataFrame, cap: int, file_col: str = "file", pos_col: str = "pos") -> DataFrame:

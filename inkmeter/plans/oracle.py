@@ -412,8 +412,10 @@ cst AS (
          ELSE CAST(sum({tok('answer')}) AS BIGINT) END AS output_tokens
   FROM fr GROUP BY file, part),
 cstc AS (SELECT c.*, CASE WHEN status = 'completed' THEN
-           round((input_tokens * p.p_in + output_tokens * p.p_out) / 1000000.0, 6) END AS cost
-         FROM cst c, prices p WHERE p.model = '{prompts.DEFAULT_MODEL}')"""
+           round((input_tokens * (SELECT p_in FROM prices WHERE model = '{prompts.DEFAULT_MODEL}')
+                  + output_tokens * (SELECT p_out FROM prices WHERE model = '{prompts.DEFAULT_MODEL}'))
+                 / 1000000.0, 6) END AS cost
+         FROM cst c)"""
 SQL["job_summary"] = with_base(_SCORED.strip() + """
 SELECT CAST(count(*) AS BIGINT) AS total_jobs, CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS completed,
        CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed,
