@@ -90,6 +90,14 @@ def no_id_audit(parsed: DataFrame) -> DataFrame:
             .groupBy("reason").agg(F.count(F.lit(1)).cast("long").alias("n_lines")))
 
 
+def readability(parsed: DataFrame, batch_col: str) -> DataFrame:
+    """Strict mode: an answer file with any unparsable line is unreadable as a whole.
+
+    Output: ``batch_col``, ``output_readable`` (feeds ``results.batch_status_rows``).
+    """
+    return parsed.groupBy(batch_col).agg((~F.bool_or(F.col("corrupt"))).alias("output_readable"))
+
+
 def dedupe_last(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """Last write wins per key in (order_cols) order.
 

@@ -172,7 +172,9 @@ def _starts_from(nxt_list: list, j: int, m: int) -> np.ndarray:
 def _prefix(pdf: pd.DataFrame, cols: list, lo: int, hi: int) -> np.ndarray:
     if not cols:
         return np.zeros((hi - lo + 1, 0), dtype=np.int64)
-    vals =np.stack([pdf[c].iloc[lo:hi].fillna(0).to_numpy(dtype=np.int64) for c in cols], axis=1)
+    vals = np.stack([pdf[c].iloc[lo:hi].fillna(0).to_numpy(dtype=np.int64) for c in cols], axis=1)
+    if (vals < 0).any():
+        raise ValueError(f"packing needs non-negative values in {cols}")
     return np.vstack([np.zeros((1, len(cols)), dtype=np.int64), np.cumsum(vals, axis=0)])
 
 

@@ -376,3 +376,22 @@ def test_falsy_response_nodes_are_absent(spark, node):
                                      "error": {"code": "c", "message": "m"}})])
     assert got["z"].llm_score == responses.UNKNOWN
     assert got["y"].llm_score == "Error: c - m"
+
+
+def test_strict_mode_voids_a_file_with_a_broken_line(spark):
+    lines = spark.createDataFrame([("b1", _line("a", "5")), ("b1", '{"custom_id": "x", "resp'),
+                                   ("b2", _line("c", "4"))], "chunk_id string, value string")
+    parsed = responses.parse_lines(lines, "value", keep=("chunk_id",))
+    ok = {r.chunk_id: r.output_readable for r in responses.readability(parsed, "chunk_id").collect()}
+    assert ok == {"b1": False, "b2": True}
+    rows = spark.createDataFrame([("a", "b1", "5"), ("c", "b2", "4")], "custom_id string, chunk_id string, llm_score string")
+    batches = responses.readability(parsed, "chunk_id").select(
+        "chunk_id", F.lit("completed").alias("status"), F.lit(True).alias("has_output"), "output_readable")
+    got = {r.custom_id: r.llm_score for r in results.batch_status_rows(rows, batches).collect()}
+    assert got == {"a": responses.UNREADABLE, "c": "4"}
+
+
+def test_negative_pack_values_are_refused(spark):
+    df = spark.createDataFrame([("f", 1, 5), ("f", 2, -1)], "file string, pos long, tok long")
+    with pytest.raises(Exception, match="non-negative"):
+        packing.chunk_greedy(df, 10).collect()
