@@ -151,9 +151,12 @@ def _rename_ext(spark, folder: str, old: str, new: str) -> None:
             fs.rename(p, jvm.org.apache.hadoop.fs.Path(p.getParent(), name[: -len(old)] + new))
 
 
+ID_BLOCK = 1000
+
+
 def _bounded_groups(df: DataFrame) -> DataFrame:
-    """A JSON-array file per (source, block of 100 ids): bounded whatever the skew."""
-    return df.withColumn("_blk", F.floor(F.col("doc_id") / 100)).withColumn("_src", F.col("source"))
+    """One file per (source, block of ID_BLOCK ids): a bounded group whatever the skew."""
+    return df.withColumn("_blk", F.floor(F.col("doc_id") / ID_BLOCK)).withColumn("_src", F.col("source"))
 
 
 @register("src_csv")
@@ -177,15 +180,23 @@ def src_jsonl(spark, sf):
     return readers.read_jsonl(spark, path, DOC_SCHEMA).select(*DOC_COLS)
 
 
+def _one_file_per_group(df: DataFrame) -> "DataFrameWriter":
+    """Writer with exactly one file per (source, id block): bounded, and the same at every SF."""
+    g = _bounded_groups(df)
+    return g.repartition("_src", "_blk").write.partitionBy("_src", "_blk")
+
+
 def _three_formats(spark, sf, base: str) -> dict:
-    """Documents split by language over the three input formats (every row written once)."""
+    """Documents split by language over the three input formats (every row written once);
+    one file per (format, source, id block)."""
     d = _doc_table(spark, sf)
     paths = {".csv": base + "/in/en.csv", ".json": base + "/in/fr_de.json", ".jsonl": base + "/in/es.jsonl"}
-    writers.write_csv(d.filter(F.col("lang") == "en"), paths[".csv"])
+    _one_file_per_group(d.filter(F.col("lang") == "en")).option("header", True).option("escape", '"').csv(
+        paths[".csv"])
     writers.write_json_arrays(_bounded_groups(d.filter(F.col("lang").isin("fr", "de"))),
                               paths[".json"], ["_src", "_blk"])
     _rename_ext(spark, paths[".json"], ".txt", ".json")
-    writers.write_jsonl(d.filter(~F.col("lang").isin("en", "fr", "de")), paths[".jsonl"])
+    _one_file_per_group(d.filter(~F.col("lang").isin("en", "fr", "de"))).json(paths[".jsonl"])
     _rename_ext(spark, paths[".jsonl"], ".json", ".jsonl")
     return paths
 

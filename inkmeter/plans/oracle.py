@@ -13,7 +13,7 @@ import re
 from inkmeter.functions import prompts, responses as R
 from inkmeter.functions.tokens import TOKEN_PATTERN
 from inkmeter.plans import derived
-from inkmeter.plans.catalog import PARAMS, PRICE_LIST
+from inkmeter.plans.catalog import ID_BLOCK, PARAMS, PRICE_LIST
 
 
 def lit(s: str) -> str:
@@ -459,11 +459,13 @@ SELECT file, 'sk-inkmete**********' AS api_key_prefix, '{prompts.DEFAULT_MODEL}'
        + sum(output_tokens) * (SELECT p_out FROM prices WHERE model = '{prompts.DEFAULT_MODEL}')) / 1000000.0, 6) AS cost
 FROM grade GROUP BY file""")
 SQL["grade_files"] = with_base(f"""
-x AS (SELECT 1)
+fg AS (SELECT s.*, CASE WHEN lang = 'en' THEN 'csv' WHEN lang IN ('fr', 'de') THEN 'json' ELSE 'jsonl' END
+                   || '|' || file || '|' || CAST(floor(pos / {ID_BLOCK}) AS VARCHAR) AS infile FROM sub s),
+ok AS (SELECT infile FROM fg GROUP BY infile HAVING sum(tok) <= {PARAMS['grade_cap']})
 SELECT pos AS doc_id, CAST(1 + length(coalesce(text, 'nan')) % 5 AS VARCHAR) AS llm_score,
        CAST(NULL AS VARCHAR) AS error_type, tok AS input_tokens,
        {tok("CAST(1 + length(coalesce(text, 'nan')) % 5 AS VARCHAR)")} AS output_tokens
-FROM sub""")
+FROM fg WHERE infile IN (SELECT infile FROM ok)""")
 SQL["files_all_failed"] = with_base(_GRADE.strip() + "\nSELECT file, bool_and(is_error) AS all_failed FROM grade GROUP BY file")
 
 # ---- packing, gates -----------------------------------------------------------------

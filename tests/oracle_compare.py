@@ -119,7 +119,7 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     keys = sys.argv[2:] or None
-    spark = build_session("local[8]", shuffle_partitions=8)
+    spark = build_session("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     rep = compare(spark, sf, keys)
     bad = [k for k, v in rep.items() if v[0] not in ("OK", "ROWS-ONLY")]
     print("FAILED:", bad)
