@@ -54,8 +54,9 @@ def chunk_rows(df: DataFrame, row_limit: int, file_col: str = "file", pos_col: s
 def chunk_greedy(df: DataFrame, token_limit: int | None, row_limit: int | None = None,
                  tok_col: str = "tok", file_col: str = "file", pos_col: str = "pos",
                  group_cols: list | None = None, extra_limits: list | None = None,
-                 num_partitions: int | None = None) -> DataFrame:
-    """Next-fit packing in file order.
+                 num_partitions: int | None = None, with_position: bool = False) -> DataFrame:
+    """Next-fit packing in file order (``with_position`` also adds ``rn``, the row's
+    1-based place in its file, from the same scan).
 
     A chunk is closed when adding the next row would exceed ``token_limit``
     (or any ``extra_limits`` pair ``(column, limit)``) or the chunk already has
@@ -66,7 +67,9 @@ def chunk_greedy(df: DataFrame, token_limit: int | None, row_limit: int | None =
     s = ordered_scan(df, groups, [pos_col], "greedy", pack=pack, row_limit=row_limit,
                      num_partitions=num_partitions)
     s = s.withColumnRenamed("_part", "part")
-    return attach(df, s, groups + [pos_col], ["part"])
+    if with_position:
+        return attach(df, s.withColumnRenamed("_rn", "rn"), groups + [pos_col], ["part", "rn"])
+    return attach(df, s.drop("_rn"), groups + [pos_col], ["part"])
 
 
 def chunk_sums(df: DataFrame, keys=("file", "part"), tok_col: str = "tok") -> DataFrame:

@@ -38,14 +38,18 @@ def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMI
     toks = rows.select("file", "pos", prompt.submitted("text").alias("tok")).checkpoint(eager=True)
     decisions = admission.admission_cap(toks, token_limit)
     admitted = admission.admitted_rows(toks, decisions)
-    capped = capped_rows(admitted, row_cap)
     if force_chunk_count and force_chunk_count > 1:
+        capped = capped_rows(admitted, row_cap)
         hybrid = packing.chunk_hybrid(capped, force_chunk_count, split_token_limit)
         packed = packing.with_chunk_names(hybrid, "file", "part", "split_part")
         # one scoring group per final chunk
         packed = packed.withColumn("part", F.col("part") * F.lit(1_000_000) + F.coalesce("split_part", F.lit(0)))
     else:
-        packed = packing.with_chunk_names(packing.chunk_greedy(capped, split_token_limit, split_row_limit))
+        # Next-fit packing is prefix-stable (a row's chunk never depends on later rows), so
+        # packing every admitted row and then keeping the first ``row_cap`` rows of each file
+        # equals capping first; the same scan yields each row's place in its file.
+        packed = packing.chunk_greedy(admitted, split_token_limit, split_row_limit, with_position=True)
+        packed = packing.with_chunk_names(packed.filter(F.col("rn") <= row_cap).drop("rn"))
     chunks = rows.drop("tok").join(packed.select("file", "pos", "tok", "part", "chunk_id"), ["file", "pos"])
     # The scorer sees the text to evaluate (null -> 'nan', as in the request); the
     # system prompt and model are its configuration (see prompts.request_json).

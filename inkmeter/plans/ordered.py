@@ -264,14 +264,14 @@ _SUMMARY_SCHEMA = T.StructType([
 
 
 def _greedy_exit(entry, s, payload, limits, row_limit):
-    """Exit state (sums, rows, part) of a single-segment partition."""
-    c, r, part = entry
+    """Exit state (sums, rows, part, rows seen in the group) of a single-segment partition."""
+    c, r, part, seen = entry
     n = s["n"]
     if r > 0:
         x = [lim - cd for lim, cd in zip(limits, c)]
         fits = all(t <= xd for t, xd in zip(payload["total"], x))
         if fits and (row_limit is None or r + n <= row_limit):
-            return ([cd + t for cd, t in zip(c, payload["total"])], r + n, part)
+            return ([cd + t for cd, t in zip(c, payload["total"])], r + n, part, seen + n)
         cap = math.inf if row_limit is None else row_limit - r
         chosen = payload["runs"][0]
         for run in payload["runs"]:
@@ -282,7 +282,7 @@ def _greedy_exit(entry, s, payload, limits, row_limit):
     else:
         chosen = payload["runs"][0]
     _, _, hops, tl, rl = chosen
-    return (tl, rl, part + 1 + hops)
+    return (tl, rl, part + 1 + hops, seen + n)
 
 
 def _chain(spec: _Spec, summaries: list[dict]) -> dict:
@@ -315,11 +315,11 @@ def _chain(spec: _Spec, summaries: list[dict]) -> dict:
             else:
                 exit_state = payload["last"]
         else:  # greedy
-            entry = carried if cont else ([0] * len(spec.limits), 0, 0)
+            entry = carried if cont else ([0] * len(spec.limits), 0, 0, 0)
             if s["nseg"] == 1:
                 exit_state = _greedy_exit(entry, s, payload, spec.limits, spec.row_limit)
             else:
-                exit_state = tuple(payload["last_local"])
+                exit_state = tuple(payload["last_local"]) + (s["last_n"],)
         entries[s["pid"]] = {"entry": entry, "first_key": s["first_key"],
                              "last_key": s["last_key"]}
         carried_key, carried = s["last_key"], exit_state
@@ -374,19 +374,22 @@ def _emit(spec: _Spec, entries, extra: list[str]):
             out["_run"] = run
         else:
             part = np.zeros(n, dtype=np.int64)
+            rn = np.zeros(n, dtype=np.int64)
             for si in range(len(bounds) - 1):
                 lo, hi = int(bounds[si]), int(bounds[si + 1])
                 m = hi - lo
                 S = _prefix(pdf, spec.pack_cols, lo, hi)
                 nxt = _next_start(S, spec.limits, spec.row_limit).tolist()
                 if si == 0:
-                    c, r, base = entry
+                    c, r, base, seen = entry
                     j = _entry_cut(S, c, r, spec.limits, spec.row_limit)
                 else:
-                    base, j = 0, 0
+                    base, j, seen = 0, 0, 0
                 marks = _starts_from(nxt, j, m)
                 part[lo:hi] = base + np.cumsum(marks)
+                rn[lo:hi] = seen + np.arange(1, m + 1)
             out["_part"] = part
+            out["_rn"] = rn
         yield out
 
     return fn
@@ -399,7 +402,7 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
 
     kind: ``number`` (``_rn`` 1-based, ``_n`` group size), ``sum`` / ``max``
     (``_run`` inclusive running value) or ``greedy`` (``_part``: next-fit chunk
-    index; ``pack`` lists ``(column, limit)`` pairs that no chunk may exceed,
+    index, and ``_rn``: 1-based position in the group; ``pack`` lists ``(column, limit)`` pairs that no chunk may exceed,
     together with at most ``row_limit`` rows; a single oversize row gets its
     own chunk).
     """
@@ -441,7 +444,7 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
                                              T.ByteType)) else T.DoubleType()
         fields += [T.StructField("_run", rt)]
     else:
-        fields += [T.StructField("_part", T.LongType())]
+        fields += [T.StructField("_part", T.LongType()), T.StructField("_rn", T.LongType())]
     # One entry per partition: shipped once per executor, not inside every task's closure.
     bc = laid.sparkSession.sparkContext.broadcast(entries)
     return tagged.mapInPandas(_emit(spec, bc, extra_out), T.StructType(fields))

@@ -72,13 +72,15 @@ def test_greedy_matches_fold(spark, parts, limit, row_limit):
     rows = _data(parts * 31 + (limit or 0))
     df = spark.createDataFrame(rows, SCHEMA)
     pack = [("tok", limit)] if limit is not None else []
-    got = {(r.file, r.pos): r._part for r in
-           ordered_scan(df, ["file"], ["pos"], "greedy", pack=pack, row_limit=row_limit,
-                        num_partitions=parts).collect()}
+    res = ordered_scan(df, ["file"], ["pos"], "greedy", pack=pack, row_limit=row_limit,
+                       num_partitions=parts).collect()
+    got = {(r.file, r.pos): r._part for r in res}
+    pos = {(r.file, r.pos): r._rn for r in res}
     lims = [limit] if limit is not None else []
     for g, rs in _by_group(rows).items():
         want = _greedy([(r[2],) if lims else () for r in rs], lims, row_limit)
         assert [got[(g, r[1])] for r in rs] == want, g
+        assert [pos[(g, r[1])] for r in rs] == list(range(1, len(rs) + 1)), g
 
 
 def test_greedy_two_limits(spark):

@@ -122,3 +122,20 @@ def test_concurrency_sets_scoring_tasks(spark):
     d = packing.chunk_forced(derived.docs(spark, SF001), 3)
     assert scoring.score_chunks(d, concurrency=2).rdd.getNumPartitions() == 2
     assert scoring.score_chunks(d, concurrency=5).rdd.getNumPartitions() == 5
+
+
+def test_grade_row_cap_after_packing_equals_cap_first(spark):
+    from inkmeter.operators import admission
+    from inkmeter.plans.jobs import grade
+
+    rows = derived.docs(spark, SF001)
+    p = inputs.Prompt(spark, SF001)
+    out = grade(rows, p, token_limit=10**9, split_token_limit=p.tokens * 3, row_cap=4).collect()
+    per_file = {}
+    for r in out:
+        per_file.setdefault(r.file, []).append(r)
+    capped = admission.row_cap(rows.withColumn("tok", p.submitted("text")), 4)
+    want = {(r.file, r.pos): f"{r.file}_part{r.part}" for r in
+            packing.chunk_greedy(capped, p.tokens * 3).collect()}
+    assert {(r.file, r.pos): r.chunk_id for r in out} == want
+    assert all(len(v) == 4 for v in per_file.values())
