@@ -42,10 +42,6 @@ def example_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.example_lines(b, "text", ("pos",))
 
 
-def system_prompt(spark: SparkSession, sf_dir: str) -> str:
-    return prompts.system_prompt_from_lines(example_lines(spark, sf_dir), order_cols=("pos",))
-
-
 _PROMPTS: dict = {}
 
 

@@ -91,11 +91,6 @@ def run_daily_quota(spark: SparkSession, source_dir: str, out: str, partitions:
     return current_table(spark, out, ["date", "api_key_prefix"])
 
 
-ANSWERS_OUT = T.StructType([T.StructField("custom_id", T.StringType()),
-                            T.StructField("llm_score", T.StringType()),
-                            T.StructField("error_type", T.StringType())])
-
-
 def run_responses(spark: SparkSession, source_dir: str, out: str, partitions: int | None = None) -> None:
     """One pass over newly landed answer files (call again when more land)."""
     lines = spark.readStream.text(source_dir)
