@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import zlib
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,20 @@ def fold_mod(col: str, modulus: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
 
 
+def word_pieces(text: str, words_of, gap, overlap: int, piece: int = 1 << 18):
+    """Lists of the words of a text, cut where ``gap`` matches; each list repeats the last ``overlap`` words."""
+    lo, last = 0, []
+    while lo < len(text):
+        hi = lo + piece
+        if hi < len(text):
+            blank = gap.search(text, hi)
+            hi = blank.start() if blank else len(text)
+        words = last + words_of(text[lo:hi])
+        if len(words) > len(last):
+            yield words
+        last, lo = words[len(words) - overlap:] if len(words) > overlap else words, hi
+
+
 class WordHashes:
     """64-bit hashes of words (and of their first ``stem`` letters), remembered in a table of bounded size."""
 
@@ -94,8 +110,60 @@ class WordHashes:
         return self.hashes[at], self.stems[at]
 
 
-def long_list(values) -> pa.Array:
-    return pa.array(values, type=pa.int64())
+LOWEST = -(1 << 63)
+
+
+def range_parts(df: DataFrame, key: str, text: str, parts: int) -> tuple[DataFrame, np.ndarray]:
+    """``df`` plus ``part``: ascending ranges of the long column ``key``, about equal in rows.
+
+    The ranges are cut at quantiles.  A key that fills several ranges is a cut
+    several times over; its rows are spread over those ranges by a hash of ``text``.
+    """
+    cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    edges = np.array(sorted(int(min(max(c, LOWEST), (1 << 63) - 1024)) for c in cuts), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        k = keys.to_numpy(dtype=np.int64)
+        low, high = np.searchsorted(edges, k, side="left"), np.searchsorted(edges, k, side="right")
+        wide = np.maximum(high - low, 1)
+        return pd.Series((low + hashes.to_numpy(dtype=np.int64) % wide).astype(np.int32))
+
+    return df.withColumn("part", part_of(F.col(key), F.xxhash64(text))), edges
+
+
+def tasks_for(df: DataFrame, rows_per_task: int = 20_000) -> int:
+    """Number of shuffle partitions for a wide table: the session's, or more for many rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_per_task)
+
+
+class FileOutput:
+    """A file written under a temporary name and moved to its final name when it is complete."""
+
+    def __init__(self, folder: str, name: str):
+        self.fs, base = filesystem(folder)
+        self.fs.create_dir(base, recursive=True)
+        self.name, self.final = name, f"{base}/{name}"
+        self.temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
+        self.stream = self.fs.open_output_stream(self.temporary)
+        self.size, self.digest = 0, hashlib.sha256()
+
+    def write(self, data: bytes) -> int:
+        at = self.size
+        self.stream.write(data)
+        self.digest.update(data)
+        self.size += len(data)
+        return at
+
+    def commit(self) -> None:
+        self.stream.close()
+        self.fs.move(self.temporary, self.final)
+
+
+def read_file(folder: str, name: str) -> bytes:
+    fs, base = filesystem(folder)
+    with fs.open_input_stream(f"{base}/{name}") as f:
+        return f.read()
 
 
 def filesystem(uri: str):

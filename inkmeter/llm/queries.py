@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmeter.llm import language, toxicity
+from inkmeter.llm import language, sketch, token_store, toxicity
 from inkmeter.llm.common import table
 
 
@@ -10,12 +10,27 @@ def op5_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the installed public tokenizers (the same path on every executor)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_store(spark, sf_dir):
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fingerprints(spark, sf_dir):
+    return sketch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 Q = {f.__name__: f for f in (
-    op4_toxicity, op5_language_id,
+    op2_token_store, op4_toxicity, op5_language_id, op7_fingerprints,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -26,12 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import GOLDEN, MIX_A, WordHashes, fold_mod
+from inkmeter.llm.common import GOLDEN, MIX_A, WordHashes, fold_mod, word_pieces
 
 _WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 STEM = 4
-#: Characters whose words are worked on at a time.
-PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -48,17 +46,8 @@ class Features:
         self.words = WordHashes(stem=STEM)
 
     def pieces(self, text) -> Iterator[np.ndarray]:
-        text = (text or "").lower()
-        lo, last = 0, []
-        while lo < len(text):
-            hi = lo + PIECE
-            if hi < len(text):  # cut where no word is cut
-                blank = _GAP.search(text, hi)
-                hi = blank.start() if blank else len(text)
-            words = last + _WORD.findall(text[lo:hi])
-            if len(words) > len(last):
-                yield self._of(words)
-            last, lo = words[-2:], hi
+        for words in word_pieces((text or "").lower(), _WORD.findall, _GAP, overlap=2):
+            yield self._of(words)
 
     def _of(self, words: list) -> np.ndarray:
         w, stems = self.words(words)
