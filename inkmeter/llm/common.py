@@ -113,14 +113,16 @@ class WordHashes:
 LOWEST = -(1 << 63)
 
 
-def range_parts(df: DataFrame, key: str, text: str, parts: int) -> tuple[DataFrame, np.ndarray]:
+def range_parts(df: DataFrame, key: str, text: str, parts: int, edges=None) -> tuple[DataFrame, np.ndarray]:
     """``df`` plus ``part``: ascending ranges of the long column ``key``, about equal in rows.
 
     The ranges are cut at quantiles.  A key that fills several ranges is a cut
     several times over; its rows are spread over those ranges by a hash of ``text``.
+    ``edges``: the cuts of an earlier call, to place other rows alike.
     """
-    cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    edges = np.array(sorted(int(min(max(c, LOWEST), (1 << 63) - 1024)) for c in cuts), dtype=np.int64)
+    if edges is None:
+        cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+        edges = np.array(sorted(int(min(max(c, LOWEST), (1 << 63) - 1024)) for c in cuts), dtype=np.int64)
 
     @F.pandas_udf("int")
     def part_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
@@ -145,7 +147,7 @@ class FileOutput:
         self.fs.create_dir(base, recursive=True)
         self.name, self.final = name, f"{base}/{name}"
         self.temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
-        self.stream = self.fs.open_output_stream(self.temporary)
+        self.stream = self.fs.open_output_stream(self.temporary, compression=None)
         self.size, self.digest = 0, hashlib.sha256()
 
     def write(self, data: bytes) -> int:
@@ -162,7 +164,7 @@ class FileOutput:
 
 def read_file(folder: str, name: str) -> bytes:
     fs, base = filesystem(folder)
-    with fs.open_input_stream(f"{base}/{name}") as f:
+    with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
         return f.read()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmeter.llm import language, sketch, token_store, toxicity
+from inkmeter.llm import extract, language, sketch, token_store, toxicity, warc
 from inkmeter.llm.common import table
 
 
@@ -25,13 +25,30 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_main_text(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark, sf_dir):
     return sketch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark, sf_dir):
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("file")
+
+
 Q = {f.__name__: f for f in (
-    op2_token_store, op4_toxicity, op5_language_id, op7_fingerprints,
+    op2_token_store, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op9_warc,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict = {}
+SQL = {
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n,
+                  sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, n, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d, n HAVING count(*) > 1)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN g.keeper IS NULL OR g.keeper = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN g.keeper <> p.page_id THEN g.keeper END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND p.n = g.n""",
+}
