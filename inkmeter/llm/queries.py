@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmeter.llm import extract, language, sketch, token_store, toxicity, warc
+from inkmeter.llm import extract, language, simhash_pivots, sketch, token_store, toxicity, warc
 from inkmeter.llm.common import table
 
 
@@ -10,6 +10,11 @@ def op5_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op1_simhash_pivots(spark, sf_dir):
+    out = simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "fingerprint", "component_id")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """A vocabulary file of the installed public tokenizers (the same path on every executor)."""
     import public_tokenizers
@@ -38,7 +43,7 @@ def op9_warc(spark, sf_dir):
 
 
 Q = {f.__name__: f for f in (
-    op2_token_store, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op9_warc,
+    op1_simhash_pivots, op2_token_store, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op9_warc,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
