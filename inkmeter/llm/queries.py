@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmeter.llm import extract, language, simhash_pivots, sketch, token_store, toxicity, warc
+from inkmeter.llm import decontam, extract, language, simhash_pivots, sketch, token_store, toxicity, warc
 from inkmeter.llm.common import table
 
 
@@ -38,12 +38,16 @@ def op7_fingerprints(spark, sf_dir):
     return sketch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark, sf_dir):
     return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("file")
 
 
 Q = {f.__name__: f for f in (
-    op1_simhash_pivots, op2_token_store, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op9_warc,
+    op1_simhash_pivots, op2_token_store, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op8_decontamination, op9_warc,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
