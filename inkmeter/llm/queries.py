@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmeter.llm import decontam, extract, language, simhash_pivots, sketch, token_store, toxicity, warc
+from inkmeter.llm import decontam, extract, language, mixing, simhash_pivots, sketch, token_store, toxicity, warc
 from inkmeter.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_token_store(spark, sf_dir):
     return token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents"), max_epochs=1.5)
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op9_warc(spark, sf_dir):
 
 
 Q = {f.__name__: f for f in (
-    op1_simhash_pivots, op2_token_store, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op8_decontamination, op9_warc,
+    op1_simhash_pivots, op2_token_store, op3_mixing, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op8_decontamination, op9_warc,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
