@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmeter.llm import decontam, extract, language, mixing, simhash_pivots, sketch, token_store, toxicity, warc
+from inkmeter.llm import decontam, extract, language, mixing, simhash_pivots, sketch, suffix_dedup, token_store, toxicity, warc
 from inkmeter.llm.common import table
 
 
@@ -50,8 +50,12 @@ def op9_warc(spark, sf_dir):
     return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("file")
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 Q = {f.__name__: f for f in (
-    op1_simhash_pivots, op2_token_store, op3_mixing, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op8_decontamination, op9_warc,
+    op1_simhash_pivots, op2_token_store, op3_mixing, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op8_decontamination, op9_warc, op10_suffix_dedup,
 )}
 
 #: DuckDB SQL of the queries that SQL can express.
