@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import kept
+from inkmeter.llm.common import kept, whole_row
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -194,7 +194,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                          radius: int = RADIUS) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item."""
-    keys = matched_texts(docs, benchmark, similarity, radius).select(
-        F.col("_h").alias("_mh"), F.col("_len").alias("_mlen")).distinct()
-    mine = F.xxhash64("text"), F.octet_length("text")
-    return docs.join(_small(keys, keys.count()), (mine[0] == F.col("_mh")) & (mine[1] == F.col("_mlen")), "left_anti")
+    keys = matched_texts(docs, benchmark, similarity, radius).select("_h", "_len").distinct()
+    rows = docs.select(whole_row(docs), *text_key())
+    return rows.join(_small(keys, keys.count()), ["_h", "_len"], "left_anti").select("row.*")

@@ -210,24 +210,26 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_ro
     return pickle.loads(got[0].m) if got else None
 
 
+def judge(texts: list, m: LanguageModel | None) -> tuple:
+    """(language, score, rejected) of each text, as arrays."""
+    lettered = np.array([has_letter(t) for t in texts], dtype=bool)
+    if m is None or not lettered.any():
+        return np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+    p = _probabilities(*_logit_sums(texts, m.table), m)
+    score = np.where(lettered, p.max(axis=1), 0.0)
+    lang = np.where(lettered, np.array(m.langs, dtype=object)[p.argmax(axis=1)], "und")
+    return lang, score, ~lettered | (score < m.threshold)
+
+
 def predict(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """``df`` plus ``lang_pred``, ``score``, ``rejected`` (JVM columns stay; only the text crosses to Python)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def name(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         for s in batches:
-            texts = [t if isinstance(t, str) else None for t in s]
-            lettered = np.array([has_letter(t) for t in texts], dtype=bool)
-            if m is None or not lettered.any():
-                yield pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": np.zeros(len(texts)),
-                                    "rejected": np.ones(len(texts), dtype=bool)})
-                continue
-            p = _probabilities(*_logit_sums(texts, m.table), m)
-            score = np.where(lettered, p.max(axis=1), 0.0)
-            lang = np.where(lettered, np.array(m.langs, dtype=object)[p.argmax(axis=1)], "und")
-            yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": ~lettered | (score < m.threshold)})
+            lang, score, rejected = judge([t if isinstance(t, str) else None for t in s], shared.value)
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
 
     out = df.withColumn("_lid", name(F.col(text)))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "_lid.lang_pred", "_lid.score", "_lid.rejected")
@@ -243,3 +245,22 @@ def identify(docs: DataFrame, sample_rows: int = 5000) -> DataFrame:
     model = train(docs.where(~held_out()), sample_rows=sample_rows)
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def recognised(docs: DataFrame, sample_rows: int = 5000) -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, with their own columns only."""
+    known = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"))
+    model = train(known.where(~held_out()), sample_rows=sample_rows)
+    return accepted(docs, model)
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+    """Rows that ``model`` does not reject; any column name of ``docs`` is kept as it is."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def fine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(~judge([t if isinstance(t, str) else None for t in s], shared.value)[2], dtype=bool)
+
+    return docs.where(fine(F.col(text)))

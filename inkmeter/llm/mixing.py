@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import kept
+from inkmeter.llm.common import kept, whole_row
 
 BLOCKS = 256
 SEED = "mix-1"
@@ -168,7 +168,8 @@ def mixed(docs: DataFrame, max_epochs: float | None = 1.5, target_entropy: float
     """The rows of ``docs``, each as often as the mixture reads it."""
     limits = {"max_epochs": max_epochs, "target_entropy": target_entropy, "budget": budget}
     _, plan = _plan(docs, limits, blocks)
-    plan = plan.select(F.col("src").alias("_src"), F.col("block").alias("_block"), F.size("epochs").alias("_times"))
-    on = (_source(F.col("source")) == F.col("_src")) & (_block(F.col("doc_id"), F.col("text"), blocks) == F.col("_block"))
-    out = docs.join(_small(plan), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = plan.select("src", "block", F.size("epochs").alias("times"))
+    rows = docs.select(whole_row(docs), _source(F.col("source")).alias("src"),
+                       _block(F.col("doc_id"), F.col("text"), blocks).alias("block"))
+    out = rows.join(_small(plan), ["src", "block"]).select("row", F.explode(F.sequence(F.lit(1), "times")))
+    return out.select("row.*")

@@ -10,9 +10,12 @@ def op5_language_id(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+#: Times the most repeated source of a mixture may be read.
+MAX_EPOCHS = 1.5
+
+
 def op1_simhash_pivots(spark, sf_dir):
-    out = simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "fingerprint", "component_id")
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,7 +30,7 @@ def op2_token_store(spark, sf_dir):
 
 
 def op3_mixing(spark, sf_dir):
-    return mixing.mixture(table(spark, sf_dir, "documents"), max_epochs=1.5)
+    return mixing.mixture(table(spark, sf_dir, "documents"), max_epochs=MAX_EPOCHS)
 
 
 def op4_toxicity(spark, sf_dir):

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import kept
+from inkmeter.llm.common import kept, whole_row
 from inkmeter.llm.components import components
 
 RADIUS = 4
@@ -219,15 +219,40 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """doc_id, fingerprint, component_id, and ``_fp`` for every row of ``docs`` (see the module's notes)."""
-    narrow = kept(with_fingerprints(docs.select("doc_id", F.col(text).alias("_t")), "_t", words)
-                  .select("doc_id", "_fp"), "fingerprints")
+def _grouped(narrow: DataFrame, radius: int) -> DataFrame:
+    """(_fp, component_id, root) of every distinct fingerprint of ``narrow`` (doc_id, _fp)."""
     distinct = kept(narrow.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first")), "distinct-fps")
     roots = components(links(distinct.select("fp"), radius))
     rooted = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = kept(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root"), "components")
-    return narrow.join(names, "_fp").select("doc_id", hexadecimal(F.col("_fp")).alias("fingerprint"), "component_id",
-                                            "root")
+    return kept(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root"), "components")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of ``docs`` (see the module's notes)."""
+    narrow = kept(with_fingerprints(docs.select("doc_id", F.col(text).alias("_t")), "_t", words)
+                  .select("doc_id", "_fp"), "fingerprints")
+    return narrow.join(_grouped(narrow, radius), "_fp").select(
+        "doc_id", hexadecimal(F.col("_fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """The row with the smallest doc_id of each component, with its own columns.
+
+    Of several rows with that doc_id in the component the one whose text has the smallest hash stays, and of equal
+    texts one; a component without any doc_id keeps its text with the smallest hash.
+    """
+    narrow = kept(with_fingerprints(docs.select("doc_id", "text"), "text", words)
+                  .select("doc_id", "_fp", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_t")), "fingerprints")
+    named = narrow.join(_grouped(narrow, radius), "_fp")
+    chosen = kept(named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t"))
+                                            .alias("m")).select("m.doc_id", "m._t"), "chosen")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    chosen = chosen.select(key.alias("key"), F.col("_t").alias("hash")).distinct()
+    rows = docs.select(whole_row(docs), key.alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash"))
+    rows = rows.join(chosen, ["key", "hash"], "left_semi")
+    repeated = narrow.groupBy("doc_id", "_t").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.limit(1).count():
+        rows = rows.dropDuplicates(["key", "hash"])
+    return rows.select("row.*")
