@@ -1,9 +1,10 @@
-"""Registered queries of the operators (one ``opN_<name>`` each) and their production parameters."""
+"""Registered queries of the operators (one ``opN_<name>`` each), the pipeline, and their production parameters."""
 
 from __future__ import annotations
 
 from inkmeter.llm import decontam, extract, language, mixing, simhash_pivots, sketch, suffix_dedup, token_store, toxicity, warc
 from inkmeter.llm.common import table
+from inkmeter.llm.oracle_sql import SQL  # noqa: F401  (read by the driver's contract)
 
 
 def op5_language_id(spark, sf_dir):
@@ -46,7 +47,8 @@ def op7_fingerprints(spark, sf_dir):
 
 
 def op8_decontamination(spark, sf_dir):
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("distance")  # the Hamming distance of the fingerprints is no part of the result
 
 
 def op9_warc(spark, sf_dir):
@@ -60,15 +62,3 @@ def op10_suffix_dedup(spark, sf_dir):
 Q = {f.__name__: f for f in (
     op1_simhash_pivots, op2_token_store, op3_mixing, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op8_decontamination, op9_warc, op10_suffix_dedup,
 )}
-
-#: DuckDB SQL of the queries that SQL can express.
-SQL = {
-    "op9_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n,
-                  sha1(coalesce(html, '')) AS d FROM pages),
-g AS (SELECT d, n, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d, n HAVING count(*) > 1)
-SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
-       CASE WHEN g.keeper IS NULL OR g.keeper = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN g.keeper <> p.page_id THEN g.keeper END AS refers_to
-FROM p LEFT JOIN g ON p.d = g.d AND p.n = g.n""",
-}
