@@ -53,9 +53,3 @@ def chunk_name(stem_col, part_col, split_part_col=None) -> Column:
         return base
     return F.when(_c(split_part_col).isNull(), base).otherwise(
         F.concat(base, F.lit("_split_part"), _c(split_part_col).cast("string")))
-
-
-def file_stem(path_col) -> Column:
-    """Base name of a path without its extension."""
-    name = F.regexp_extract(_c(path_col), r"([^/\\]+)$", 1)
-    return F.regexp_replace(name, r"\.[^.]*$", "")

@@ -70,11 +70,14 @@ def example_lines(text_df: DataFrame, text_col: str = "value", order_cols=("pos"
             .filter(F.col("line") != ""))
 
 
-def examples_block(lines: DataFrame, order_cols=("pos",)) -> DataFrame:
-    """One row ``block``: ``- `` + line, joined by newline, in order; plus size stats."""
+def examples_block(lines: DataFrame, order_cols=("pos",), group_cols=()) -> DataFrame:
+    """``block``: ``- `` + line, joined by newline, in order; plus size stats.
+
+    One row, or one per group: a large examples table is many examples files, each a group of bounded size.
+    """
     ordered = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.col("line_no"),
                                                      F.col("line"))))
-    return lines.agg(
+    return lines.groupBy(*group_cols).agg(
         F.array_join(F.transform(ordered, lambda s: F.concat(F.lit("- "), s["line"])), "\n").alias("block"),
         F.count("*").alias("n_lines"),
         F.coalesce(F.sum(F.octet_length("line") + 3), F.lit(0)).cast("long").alias("n_bytes"),

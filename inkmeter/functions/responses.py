@@ -33,8 +33,13 @@ STATUS_PREFIX = "Error: Batch job status - "
 _FALSY = ["{}", "[]", "", "0", "0.0", "false"]
 
 
-def _truthy(raw: Column) -> Column:
-    return raw.isNotNull() & ~raw.isin(*_FALSY)
+def _truthy(raw: Column, line: Column, path: str) -> Column:
+    """Whether a JSON value counts as present.  ``raw`` is unquoted, so the texts ``0``, ``false``, ``{}`` are told from
+    the literals by their JSON type."""
+    literal = raw.isin(*_FALSY) & (raw != "")
+    text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(line), path, "variant")) == "STRING"
+    return F.when(raw.isNull() | (raw == ""), F.lit(False)).when(literal, F.coalesce(text, F.lit(False))).otherwise(
+        F.lit(True))
 
 
 def classify(line_col: str = "value") -> list[Column]:
@@ -52,22 +57,29 @@ def classify_parts(line_col: str = "value") -> dict[str, Column]:
     message = F.get_json_object(line, "$.response.body.choices[0].message")
     has_content = F.coalesce(F.array_contains(F.json_object_keys(message), "content"), F.lit(False))
     content = F.get_json_object(line, "$.response.body.choices[0].message.content")
-    code = F.coalesce(F.get_json_object(line, "$.error.code"), F.lit("N/A"))
-    msg = F.coalesce(F.get_json_object(line, "$.error.message"), F.lit("Unknown error"))
-    ok = _truthy(resp) & ~_truthy(err)
+    named = F.coalesce(F.json_object_keys(err), F.array().cast("array<string>"))
+
+    def field(name: str, default: str) -> Column:
+        """A field of the error object; a null value reads ``None``, a missing one the default."""
+        return F.coalesce(F.get_json_object(line, f"$.error.{name}"),
+                          F.when(F.array_contains(named, name), F.lit("None")).otherwise(F.lit(default)))
+
+    code, msg = field("code", "N/A"), field("message", "Unknown error")
+    bad = _truthy(err, line, "$.error")
+    ok = _truthy(resp, line, "$.response") & ~bad
     score = (F.when(corrupt, F.lit(None).cast("string"))
              .when(ok & has_content, content)
              .when(ok, F.lit(MALFORMED))
-             .when(_truthy(err), F.concat(F.lit("Error: "), code, F.lit(" - "), msg))
+             .when(bad, F.concat(F.lit("Error: "), code, F.lit(" - "), msg))
              .otherwise(F.lit(UNKNOWN)))
     etype = (F.when(corrupt, F.lit("CorruptLine"))
              .when(ok & has_content & content.isNull(), F.lit("NullContent"))
              .when(ok & has_content, F.lit(None).cast("string"))
              .when(ok, F.lit("Malformed"))
-             .when(_truthy(err), F.lit("ApiError"))
+             .when(bad, F.lit("ApiError"))
              .otherwise(F.lit("UnknownStructure")))
     return {"custom_id": F.when(~corrupt, cid), "llm_score": score, "error_type": etype,
-            "error_message": F.when(_truthy(err) & ~ok, msg), "corrupt": corrupt}
+            "error_message": F.when(bad & ~ok, msg), "corrupt": corrupt}
 
 
 def parse_lines(lines: DataFrame, line_col: str = "value", keep=()) -> DataFrame:
@@ -110,11 +122,17 @@ def dedupe_last(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     return picked.select(key, *[F.col("_w")[c].alias(c) for c in others])
 
 
-def parse_score(col, low: int = 1, high: int = 5) -> Column:
-    """The first integer in the answer, kept only within [low, high]."""
+# Forms of a score: a whole number, alone or after the label.
+SCORE_FORM = r"^\s*(?:[Ss]core:\s*)?([0-9]+)\s*$"
+
+
+def parse_score(col, low: int = 1, high: int = 5, error_type=None) -> Column:
+    """An answer that is a whole number (or ``Score: n``) within [low, high]; signs, decimals and other text
+    give null, as does a row with an ``error_type``."""
     c = F.col(col) if isinstance(col, str) else col
-    v = F.regexp_extract(c, r"([0-9]+)", 1).try_cast("int")
-    return F.when(v.between(low, high), v)
+    v = F.regexp_extract(c, SCORE_FORM, 1).try_cast("int")
+    ok = v.between(low, high)
+    return F.when(ok if error_type is None else ok & F.col(error_type).isNull(), v)
 
 
 def parse_score_lines(df: DataFrame, col: str, keys: list[str], low: int = 1, high: int = 5) -> DataFrame:

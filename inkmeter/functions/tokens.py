@@ -122,8 +122,3 @@ def completion_tokens(score_col, method: str = "regex") -> Column:
 def request_bytes(json_col) -> Column:
     """Serialized request size in bytes."""
     return F.octet_length(_as_col(json_col)).cast("long")
-
-
-def custom_counter(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """K1: any ``Column -> Column`` callable (built-in expression or pandas_udf) is a counter."""
-    return fn

@@ -1,7 +1,7 @@
 """Cost and usage ledger.
 
-Prices are a small dimension (one row per model) and are broadcast behind
-a row-count check; usage aggregates are hash aggregates with partial
+Prices are a small dimension (one row per model); Spark broadcasts them by
+their size.  Usage aggregates are hash aggregates with partial
 aggregation; the three report breakdowns come from one ``GROUPING SETS``
 pass instead of three scans.
 """
@@ -12,15 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmeter.functions.ids import mask_key
-from inkmeter.operators.results import bounded_broadcast
-
-MAX_PRICE_ROWS = 100_000
-
 
 def _prices(pricing: DataFrame) -> DataFrame:
-    p = pricing.select(F.col("Model").alias("model"), F.col("Input").alias("_p_in"),
-                       F.col("Output").alias("_p_out"))
-    return bounded_broadcast(p, MAX_PRICE_ROWS)
+    return pricing.select(F.col("Model").alias("model"), F.col("Input").alias("_p_in"),
+                          F.col("Output").alias("_p_out"))
 
 
 def cost_expr(in_col="input_tokens", out_col="output_tokens", p_in="_p_in", p_out="_p_out"):
@@ -63,12 +58,6 @@ def cost_strict(events: DataFrame, pricing: DataFrame) -> DataFrame:
     return j.withColumn("cost", c).drop("_p_in", "_p_out")
 
 
-def unpriced_models(events: DataFrame, pricing: DataFrame) -> DataFrame:
-    """Report form of F2: models in use that have no price."""
-    return (events.select("model").join(_prices(pricing).select("model"), "model", "left_anti")
-            .groupBy("model").agg(F.count(F.lit(1)).cast("long").alias("n_events")))
-
-
 def usage_events(events: DataFrame, pricing: DataFrame) -> DataFrame:
     """B4 payload: timestamp, masked key, model, tokens, cost (lenient), request id."""
     priced = cost_lenient(events, pricing)
@@ -129,6 +118,17 @@ def usage_grouping_sets(events: DataFrame, start=None, end=None) -> DataFrame:
                     F.coalesce("day", "model", F.lit("all")).alias("key"), "tokens", "cost", "count"))
 
 
+def breakdowns(per: DataFrame) -> DataFrame:
+    """E8 over a table already summed to (day, model): tokens, cost, count."""
+    g = F.grouping_id("day", "model")
+    return (per.groupingSets([["day"], ["model"], []], "day", "model")
+            .agg(g.alias("_gid"), F.sum("tokens").cast("long").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"),
+                 F.sum("count").cast("long").alias("count"))
+            .select(F.when(F.col("_gid") == 1, F.lit("day")).when(F.col("_gid") == 2, F.lit("model"))
+                    .otherwise(F.lit("all")).alias("grouping"),
+                    F.coalesce("day", "model", F.lit("all")).alias("key"), "tokens", "cost", "count"))
+
+
 def total_cost(events: DataFrame, start=None, end=None) -> DataFrame:
     """E9."""
     return usage_total(events, start, end).select("total_cost")

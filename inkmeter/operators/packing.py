@@ -54,14 +54,19 @@ def chunk_rows(df: DataFrame, row_limit: int, file_col: str = "file", pos_col: s
 def chunk_greedy(df: DataFrame, token_limit: int | None, row_limit: int | None = None,
                  tok_col: str = "tok", file_col: str = "file", pos_col: str = "pos",
                  group_cols: list | None = None, extra_limits: list | None = None,
-                 num_partitions: int | None = None, with_position: bool = False) -> DataFrame:
+                 num_partitions: int | None = None, with_position: bool = False,
+                 counter=None, text_col: str = "text") -> DataFrame:
     """Next-fit packing in file order (``with_position`` also adds ``rn``, the row's
     1-based place in its file, from the same scan).
 
+    ``counter`` (K1), any ``Column -> Column``, counts the tokens of ``text_col`` into ``tok_col``.
+
     A chunk is closed when adding the next row would exceed ``token_limit``
     (or any ``extra_limits`` pair ``(column, limit)``) or the chunk already has
     ``row_limit`` rows; a single oversize row gets its own chunk.
     """
+    if counter is not None:
+        df = df.withColumn(tok_col, counter(F.col(text_col)).cast("long"))
     groups = list(group_cols) if group_cols else [file_col]
     pack = [(tok_col, token_limit)] + list(extra_limits or [])
     s = ordered_scan(df, groups, [pos_col], "greedy", pack=pack, row_limit=row_limit,

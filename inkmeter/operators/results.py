@@ -5,8 +5,8 @@ Answers are joined on ``custom_id`` (unique after G9).  Spark chooses a
 shuffle join for large answer sets; AQE turns a join into a broadcast join
 only when the materialised size is under ``autoBroadcastJoinThreshold`` (a
 runtime size check that costs no recomputation), and splits skewed
-partitions.  ``bounded_broadcast`` is for cheap-to-count dimensions only
-(e.g. a price file), never for tables derived from the big input.
+partitions.  ``broadcast_if_small`` is for small aggregates of a checkpointed
+table, whose bytes are cheap to measure.
 """
 
 from __future__ import annotations
@@ -16,23 +16,14 @@ from pyspark.sql import functions as F
 
 from inkmeter.functions import responses as R
 
-# Chunk-level tables are broadcast only while they stay under this many rows.
-MAX_BROADCAST_CHUNKS = 2_000_000
+# Per-file tables are broadcast only while their measured size is under this many bytes.
+MAX_BROADCAST_BYTES = 16 << 20
 
 
-_COUNTS: dict = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_CHUNKS) -> DataFrame:
-    """Broadcast a small dimension after checking its row count; else leave it to the planner.
-
-    The count is kept per plan (semantic hash), so a dimension read from the
-    same files is counted once per session.
-    """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash())
-    if key not in _COUNTS:
-        _COUNTS[key] = df.count()
-    return F.broadcast(df) if _COUNTS[key] <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast an aggregate whose rows, measured as JSON, stay under ``max_bytes``; else leave it to the planner."""
+    row = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return F.broadcast(df) if (row["b"] or 0) <= max_bytes else df
 
 
 def join_results(rows: DataFrame, answers: DataFrame, out_col: str = "llm_score") -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkmeter.functions import responses as R
+from inkmeter.operators.packing import MAX_REQUESTS_PER_BATCH
+from inkmeter.operators.results import broadcast_if_small
 
 ANSWER_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
                               T.StructField("line", T.StringType())])
@@ -53,89 +55,96 @@ def score_rows(requests: DataFrame, scorer: Scorer = length_scorer) -> DataFrame
     return requests.select("custom_id", "text").mapInPandas(scorer, ANSWER_SCHEMA)
 
 
-def _out_schema(src: DataFrame, carry: list[str]) -> T.StructType:
-    fields = [src.schema["file"], T.StructField("part", T.LongType()), T.StructField("custom_id", T.StringType())]
-    fields += [src.schema[c] for c in carry]
+def _out_schema(src: DataFrame, chunk_cols: list[str], carry: list[str]) -> T.StructType:
+    fields = [src.schema[c] for c in [*chunk_cols, "custom_id", *carry]]
     fields += [T.StructField("line", T.StringType()), T.StructField("status", T.StringType()),
                T.StructField("error_message", T.StringType()), T.StructField("error_details", T.StringType())]
     return T.StructType(fields)
 
 
-def _score_one(pdf: pd.DataFrame, scorer: Scorer, fail: set) -> tuple:
-    """Score one chunk; returns (lines, status, error_message, error_details) for its rows."""
-    file, part = pdf["file"].iat[0], int(pdf["part"].iat[0])
-    n = len(pdf)
+def _score_call(frames: list, asked: list[str], scorer: Scorer) -> tuple:
+    """One scorer call over ``frames``; returns (lines by id, status, error_message, error_details)."""
+    by_id: dict = {}
     try:
-        if (file, part) in fail:
-            raise RuntimeError(f"Simulated failure for {file}_part{part}")
-        outs = list(scorer(iter([pdf[["custom_id", "text"]]])))
-        ans = pd.concat(outs, ignore_index=True) if len(outs) > 1 else (outs[0] if outs else None)
-        if ans is None or ans.empty:
-            return [None] * n, "error", "ERROR: scorer returned no answers", None
-        # last answer per id wins (G9); ids without an answer get no line
-        by_id = dict(zip(ans["custom_id"], ans["line"]))
-        return [by_id.get(c) for c in pdf["custom_id"]], "completed", None, None
+        for ans in scorer(iter([f[asked] for f in frames])):
+            # last answer per id wins (G9); ids without an answer get no line
+            by_id.update(zip(ans["custom_id"], ans["line"]))
+        if not by_id:
+            return by_id, "error", "ERROR: scorer returned no answers", None
+        return by_id, "completed", None, None
     except Exception as exc:  # noqa: BLE001 - failure is data here
-        return [None] * n, "failed", f"ERROR: {exc}", traceback.format_exc()
+        return {}, "failed", f"ERROR: {exc}", traceback.format_exc()
 
 
 def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrency: int | None = None,
-                 fail_chunks: set | None = None, carry: tuple | list = ()) -> DataFrame:
+                 carry: tuple | list = (), chunk_cols: tuple | list = ("file", "part"),
+                 max_rows: int = MAX_REQUESTS_PER_BATCH) -> DataFrame:
     """K3/K4: one scorer call per chunk with failure capture; one output row per request.
 
-    ``requests``: file, part, custom_id, text (+ ``carry`` columns passed through).
+    ``requests``: ``chunk_cols`` (what names a chunk), custom_id, text (+ ``carry`` columns passed through).
     Rows are hash-partitioned by chunk and sorted, so every chunk is a
     contiguous run inside one partition; a single Python call per partition
     walks the runs (a run may straddle Arrow batches) and calls the scorer
-    once per chunk.  A chunk is bounded by the packer's limits (rows, bytes,
-    tokens).  An exception marks every row of the chunk ``failed`` (message +
+    once per chunk.  The scorer receives an iterator over the chunk's frames
+    (chunk columns, custom_id, text).  A chunk with more than ``max_rows``
+    rows, the service's limit, is sent as several calls, so memory is bounded
+    whatever the packer did; status and error belong to the call.
+    An exception marks every row of the call ``failed`` (message +
     traceback); no answers at all marks it ``error``.  Duplicate answers for an
     id keep the last one (G9); ids the scorer did not answer get a null line.
     ``concurrency`` = number of tasks, i.e. at most that many chunks in flight;
     by default at least the cluster's parallelism (the partition count is
     explicit, so AQE does not fold the Python stage into a few tasks).
-    ``fail_chunks`` injects failures: {(file, part)}.
     """
-    fail = set(fail_chunks or ())
-    carry = list(carry)
+    carry, chunk_cols = list(carry), list(chunk_cols)
     spark = requests.sparkSession
-    src = requests.select("file", F.col("part").cast("long").alias("part"), "custom_id", "text", *carry)
-    schema = _out_schema(src, carry)
+    numbers = [F.col(c).cast("long").alias(c) if c != "file" else F.col(c) for c in chunk_cols]
+    src = requests.select(*numbers, "custom_id", "text", *carry)
+    schema = _out_schema(src, chunk_cols, carry)
     names = [f.name for f in schema.fields]
+    asked = [*chunk_cols, "custom_id", "text"]
     n = int(concurrency) if concurrency else max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                                                  spark.sparkContext.defaultParallelism)
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys_new = (pdf["file"].ne(pdf["file"].shift()) | pdf["part"].ne(pdf["part"].shift())).to_numpy()
-        starts = list(np.flatnonzero(keys_new)) + [len(pdf)]
-        lines, status, msg, det = [], [], [], []
-        for lo, hi in zip(starts[:-1], starts[1:]):
-            ln, st, em, ed = _score_one(pdf.iloc[lo:hi], scorer, fail)
-            k = hi - lo
-            lines += ln
-            status += [st] * k
-            msg += [em] * k
-            det += [ed] * k
-        out = pdf[["file", "part", "custom_id", *carry]].reset_index(drop=True)
-        return out.assign(line=lines, status=status, error_message=msg, error_details=det)[names]
+    def call(frames: list) -> pd.DataFrame:
+        by_id, status, message, details = _score_call(frames, asked, scorer)
+        out = pd.concat([f[[*chunk_cols, "custom_id", *carry]] for f in frames], ignore_index=True)
+        return out.assign(line=[by_id.get(c) for c in out["custom_id"]], status=status, error_message=message,
+                          error_details=details)[names]
 
     def run(batches):
-        pending = None
+        held, rows, key, done, ready = [], 0, None, [], 0
         for pdf in batches:
-            if pending is not None:
-                pdf = pd.concat([pending, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            last_file, last_part = pdf["file"].iat[-1], pdf["part"].iat[-1]
-            tail = ((pdf["file"] == last_file) & (pdf["part"] == last_part)).to_numpy()
-            cut = len(pdf) - int(np.argmin(tail[::-1])) if not tail.all() else 0
-            done, pending = pdf.iloc[:cut], pdf.iloc[cut:].reset_index(drop=True)
-            if len(done):
-                yield emit(done.reset_index(drop=True))
-        if pending is not None and len(pending):
-            yield emit(pending)
-
-    laid = src.repartition(n, "file", "part").sortWithinPartitions("file", "part")
+            new = np.zeros(len(pdf), dtype=bool)
+            for c in chunk_cols:
+                new |= pdf[c].ne(pdf[c].shift()).to_numpy()
+            starts = np.flatnonzero(new).tolist()
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                mine = tuple(pdf[c].iat[lo] for c in chunk_cols)
+                if held and mine != key:
+                    done.append(call(held))
+                    ready += rows
+                    held, rows = [], 0
+                key = mine
+                while lo < hi:
+                    take = min(hi - lo, max_rows - rows)
+                    held.append(pdf.iloc[lo:lo + take])
+                    rows, lo = rows + take, lo + take
+                    if rows == max_rows:
+                        done.append(call(held))
+                        ready += rows
+                        held, rows = [], 0
+            if ready >= 5_000:
+                yield pd.concat(done, ignore_index=True)
+                done, ready = [], 0
+        if held:
+            done.append(call(held))
+        if done:
+            yield pd.concat(done, ignore_index=True)
+
+    laid = src.repartition(n, *chunk_cols).sortWithinPartitions(*chunk_cols)
     return laid.mapInPandas(run, schema)
 
 
@@ -164,10 +173,14 @@ def policy_continue(scored: DataFrame) -> DataFrame:
     return scored.select("*", *scored_answer(scored))
 
 
-def policy_halt(scored: DataFrame, keys=("file",), part_col: str = "part") -> DataFrame:
-    """G11, deterministic: per file keep completed chunks before the first failed part."""
+def policy_halt(scored: DataFrame, keys=("file",), part_cols=("part",)) -> DataFrame:
+    """G11, deterministic: per file keep completed chunks before the first failed part.
+
+    The table of first failures has one row per failed file; it is broadcast when its measured bytes are few.
+    """
+    part = F.struct(*[F.col(c) for c in part_cols])
     first_bad = (scored.filter(F.col("status").isin("failed", "error"))
-                 .groupBy(*keys).agg(F.min(part_col).alias("_first_bad")))
-    j = scored.join(first_bad, list(keys), "left")
-    kept = j.filter(F.col("_first_bad").isNull() | (F.col(part_col) < F.col("_first_bad"))).drop("_first_bad")
+                 .groupBy(*keys).agg(F.min(part).alias("_first_bad")))
+    j = scored.join(broadcast_if_small(first_bad), list(keys), "left")
+    kept = j.filter(F.col("_first_bad").isNull() | (part < F.col("_first_bad"))).drop("_first_bad")
     return kept.select("*", *scored_answer(kept))

@@ -2,7 +2,8 @@
 
 Each reads the driver's tables (or data Spark derives from them) through
 ``inkmeter.plans.inputs`` / ``derived`` and composes the library's
-operators.  Parameters are fixed per key (listed in ``PARAMS``).
+operators.  Parameters are fixed per key (listed in ``PARAMS``); token caps
+follow the data (the mean file total, half the grand total).
 """
 
 from __future__ import annotations
@@ -25,9 +26,7 @@ PARAMS = {
     "chunk_tokens": 20_000,   # G3/G4/L1/L3: chunker token limit
     "chunk_rows": 25,         # G3 row limit
     "hybrid_k": 2,            # G4
-    "file_cap": 140_000,      # G5/G6/B7/L3: per-file token cap
-    "grade_cap": 6_000_000,   # L1 admission cap
-    "daily_limit": admission.DAILY_TOKEN_LIMIT,  # F7, G12
+    "daily_limit": admission.DAILY_TOKEN_LIMIT,  # F7
     "pack_tokens": 100_000,   # G8
     "pack_bytes": 150_000,    # G8
     "word_limit": 3_000,      # K1
@@ -47,10 +46,16 @@ def register(name):
 # --------------------------------------------------------------------------
 
 def _submitted(spark: SparkSession, sf: str) -> DataFrame:
-    p = inputs.Prompt(spark, sf)
+    p = inputs.Prompt()
     return derived.docs(spark, sf).withColumn("tok", p.submitted("text"))
 
 
+def _file_cap(sub: DataFrame) -> int:
+    """The mean of the files' submitted tokens, so that some files pass and some do not."""
+    per = sub.groupBy("file").agg(F.sum("tok").alias("t"))
+    return int(per.agg(F.coalesce(F.floor(F.avg("t")), F.lit(0)).cast("long").alias("c")).first()["c"])
+
+
 def _text_tokens(spark, sf) -> DataFrame:
     return derived.docs(spark, sf).withColumn("tok", tokens.count_tokens("text"))
 
@@ -75,7 +80,7 @@ def _failed_status(forced: DataFrame) -> DataFrame:
 
 
 def _requests(spark, sf, prompt=None) -> DataFrame:
-    p = prompt or inputs.Prompt(spark, sf)
+    p = prompt or inputs.Prompt()
     return derived.docs(spark, sf).withColumn(
         "request", prompts.request_json("custom_id", "text", p.text))
 
@@ -212,7 +217,7 @@ def src_dispatch(spark, sf):
 def src_dir_union(spark, sf):
     base = scratch_path(spark, "dirscan")
     _three_formats(spark, sf, base)
-    u = readers.read_input_dir(spark, base + "/in", DOC_SCHEMA)
+    u = readers.read_input_dir(spark, base + "/in", DOC_SCHEMA, recursive=True)  # Spark writes folders
     fmt = F.regexp_extract(F.col("file"), r"\.(csv|jsonl|json)$", 1)
     return u.select(*DOC_COLS, fmt.alias("fmt"))
 
@@ -226,7 +231,7 @@ def pricing_strict(spark, sf):
         .write.option("header", True).csv(base)
     prices = readers.latest_prices(readers.read_pricing_strict(spark, base))
     ev = _events(spark, sf, strict=True)
-    return (ev.join(results.bounded_broadcast(prices.withColumnRenamed("Model", "model")), "model", "left")
+    return (ev.join(prices.withColumnRenamed("Model", "model"), "model", "left")
             .groupBy("model").agg(F.first("Input").alias("input_price"), F.first("Output").alias("output_price"),
                                   F.count(F.lit(1)).cast("long").alias("n_events")))
 
@@ -240,7 +245,7 @@ def pricing_lenient(spark, sf):
         .write.option("header", True).csv(base)
     prices = readers.latest_prices(readers.read_pricing_lenient(spark, base))
     ev = _events(spark, sf)
-    return (ev.join(results.bounded_broadcast(prices.withColumnRenamed("Model", "model")), "model", "left")
+    return (ev.join(prices.withColumnRenamed("Model", "model"), "model", "left")
             .groupBy("model").agg(F.first("Input").alias("input_price"), F.first("Output").alias("output_price"),
                                   F.count(F.lit(1)).cast("long").alias("n_events")))
 
@@ -275,7 +280,7 @@ def daily_log_scan(spark, sf):
     # stored as JSON arrays, one per (day, key prefix): every group holds exactly one entry
     entry = F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), "api_key_prefix", "tokens_submitted")
     log.select(F.to_json(F.array(entry)).alias("value")).write.text(path)
-    return readers.read_daily_log(spark, path).select(
+    return readers.read_daily_log(spark, path, multi_line=False).select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), "api_key_prefix", "tokens_submitted")
 
 
@@ -373,11 +378,13 @@ def request_sink_roundtrip(spark, sf):
 @register("rejects_sink")
 def rejects_sink(spark, sf):
     path = scratch_path(spark, "rejects")
-    dec = admission.admission_cap(_submitted(spark, sf), PARAMS["file_cap"])
+    sub = _submitted(spark, sf)
+    cap = _file_cap(sub)
+    dec = admission.admission_cap(sub, cap)
     rej = dec.filter(F.col("status") == "rejected").select(
         "file", F.lit("admission").alias("stage"),
         F.format_string("Total submitted tokens (%d) exceeds the allowed cap of %d",
-                        F.col("total_tokens"), F.lit(PARAMS["file_cap"])).alias("error"))
+                        F.col("total_tokens"), F.lit(cap)).alias("error"))
     writers.append_rejects(rej, path)
     return spark.read.parquet(path).select("file", "stage", "error")
 
@@ -418,18 +425,23 @@ def user_prompt(spark, sf):
     return derived.docs(spark, sf).select("file", "pos", prompts.user_prompt("text").alias("user_message"))
 
 
+def _example_blocks(spark, sf):
+    """One block per examples file of EXAMPLES_PER_FILE benchmark items."""
+    lines = inputs.example_lines(spark, sf).withColumn(
+        "examples_file", F.floor(F.col("pos") / inputs.EXAMPLES_PER_FILE).cast("long"))
+    return prompts.examples_block(lines, ("pos",), ("examples_file",))
+
+
 @register("examples_block")
 def examples_block(spark, sf):
-    lines = inputs.example_lines(spark, sf)
-    prompts.check_examples_size(lines)
-    return prompts.examples_block(lines, ("pos",)).select("block", "n_lines")
+    return _example_blocks(spark, sf).select("examples_file", "block", "n_lines")
 
 
 @register("system_prompt")
 def system_prompt(spark, sf):
-    p = inputs.Prompt(spark, sf)
-    return spark.range(1).select(F.lit(p.text).alias("system_prompt"),
-                                 F.lit(p.tokens).cast("long").alias("system_tokens"))
+    """C7 for every examples file: the filled template and its token count."""
+    filled = _example_blocks(spark, sf).select("examples_file", prompts.system_prompt_column("block").alias("system_prompt"))
+    return filled.withColumn("system_tokens", tokens.count_tokens("system_prompt", "regex"))
 
 
 @register("build_requests")
@@ -500,7 +512,7 @@ def submitted_tokens(spark, sf):
 
 @register("chunking_tokens")
 def chunking_tokens(spark, sf):
-    p = inputs.Prompt(spark, sf)
+    p = inputs.Prompt()
     d = _doc_table(spark, sf)
     return d.select(F.col("source").alias("file"), F.col("doc_id").alias("pos"),
                     tokens.chunking_tokens(DOC_COLS, p.text, "regex", p.tokens).alias("tok"))
@@ -517,7 +529,7 @@ def _request_bytes(spark, prompt) -> "F.Column":
 
 @register("request_bytes")
 def request_bytes(spark, sf):
-    p = inputs.Prompt(spark, sf)
+    p = inputs.Prompt()
     return derived.docs(spark, sf).select("custom_id", _request_bytes(spark, p).alias("n_bytes"))
 
 
@@ -536,7 +548,7 @@ def classify_responses(spark, sf):
 @register("parse_score")
 def parse_score(spark, sf):
     a = derived.final_answers(spark, sf)
-    return a.select("custom_id", responses.parse_score("llm_score").alias("score"))
+    return a.select("custom_id", responses.parse_score("llm_score", error_type="error_type").alias("score"))
 
 
 @register("parse_score_multi")
@@ -671,8 +683,7 @@ def usage_all(spark, sf):
 
 @register("usage_grouping_sets")
 def usage_grouping_sets(spark, sf):
-    a, b = PARAMS["range"]
-    return ledger.usage_grouping_sets(_usage(spark, sf), a, b)
+    return ledger.usage_grouping_sets(_usage(spark, sf))
 
 
 @register("total_cost")
@@ -699,10 +710,10 @@ def usage_for_day(spark, sf):
 
 def _scored_forced(spark, sf, prompt=None):
     """Forced chunks (k per file) scored one chunk per call; the designated chunk fails."""
-    prompt = prompt or inputs.Prompt(spark, sf)
+    prompt = prompt or inputs.Prompt()
     d = derived.docs(spark, sf).withColumn("tok", prompt.submitted("text"))
     forced = packing.chunk_forced(d, PARAMS["forced_k"])
-    return scoring.score_chunks(forced, fail_chunks={derived.FAILED_CHUNK}, carry=("pos", "tok"))
+    return scoring.score_chunks(forced, derived.failing_scorer(*derived.FAILED_CHUNK), carry=("pos", "tok"))
 
 
 def _chunk_status_with_costs(spark, sf):
@@ -776,24 +787,27 @@ def chunk_hybrid(spark, sf):
 
 @register("split_gate")
 def split_gate(spark, sf):
-    return packing.split_gate(_submitted(spark, sf), PARAMS["file_cap"])
+    sub = _submitted(spark, sf)
+    return packing.split_gate(sub, _file_cap(sub))
 
 
 @register("admission_cap")
 def admission_cap(spark, sf):
-    return admission.admission_cap(_submitted(spark, sf), PARAMS["file_cap"])
+    sub = _submitted(spark, sf)
+    return admission.admission_cap(sub, _file_cap(sub))
 
 
 @register("halt_prefix")
 def halt_prefix(spark, sf):
-    dec = admission.admission_cap(_submitted(spark, sf), PARAMS["file_cap"])
+    sub = _submitted(spark, sf)
+    dec = admission.admission_cap(sub, _file_cap(sub))
     files = dec.select("file", (F.col("status") == "rejected").alias("failed"))
     return admission.halt_prefix(files)
 
 
 @register("pack_requests")
 def pack_requests(spark, sf):
-    prompt = inputs.Prompt(spark, sf)
+    prompt = inputs.Prompt()
     req = derived.docs(spark, sf).withColumn("tok", prompt.submitted("text")) \
         .withColumn("req_bytes", _request_bytes(spark, prompt))
     out = packing.pack_requests(req, PARAMS["pack_tokens"], max_bytes=PARAMS["pack_bytes"])
@@ -807,8 +821,10 @@ def dedupe_last(spark, sf):
 
 @register("budget_admission")
 def budget_admission(spark, sf):
-    per = admission.admission_cap(_submitted(spark, sf), PARAMS["daily_limit"]).select("file", "total_tokens")
-    return admission.budget_admission(per, PARAMS["daily_limit"]).select(
+    """G12 with half of all submitted tokens as the remaining budget."""
+    per = packing.split_gate(_submitted(spark, sf), 0).select("file", "total_tokens")
+    half = per.agg(F.coalesce(F.floor(F.sum("total_tokens") / 2), F.lit(0)).cast("long").alias("b")).first()["b"]
+    return admission.budget_admission(per, int(half)).select(
         "file", "total_tokens", "running_tokens", "admitted")
 
 
@@ -838,9 +854,10 @@ def union_chunks(spark, sf):
 
 @register("custom_counter")
 def custom_counter(spark, sf):
-    words = tokens.custom_counter(lambda c: F.size(F.split(c, " ")).cast("long"))
-    d = derived.docs(spark, sf).withColumn("tok", words(F.col("text")))
-    return aggregates.chunk_totals(packing.chunk_greedy(d, PARAMS["word_limit"]))
+    """K1: the packer with a counter of its own, words between blanks."""
+    packed = packing.chunk_greedy(derived.docs(spark, sf), PARAMS["word_limit"],
+                                  counter=lambda text: F.size(F.split(text, " ")))
+    return aggregates.chunk_totals(packed)
 
 
 @register("score_rows")
@@ -869,11 +886,11 @@ def score_concurrency(spark, sf):
 
 @register("grade")
 def grade(spark, sf):
-    """L1: admit -> cap rows -> pack -> request -> score per chunk -> parse -> join back."""
+    """L1: pack -> score per chunk -> parse -> join back; no cap, every document comes back once."""
     from inkmeter.plans.jobs import grade as grade_job
 
-    return grade_job(derived.docs(spark, sf), inputs.Prompt(spark, sf), token_limit=PARAMS["grade_cap"],
-                     split_token_limit=PARAMS["chunk_tokens"], fail_chunks={derived.FAILED_CHUNK})
+    return grade_job(derived.docs(spark, sf), inputs.Prompt(), split_token_limit=PARAMS["chunk_tokens"],
+                     scorer=derived.failing_scorer(*derived.FAILED_CHUNK), halt_on_chunk_failure=False)
 
 
 @register("grade_usage")
@@ -888,14 +905,13 @@ def grade_usage(spark, sf):
 
 @register("grade_files")
 def grade_files(spark, sf):
-    """L1 as the tool runs it: documents as CSV / JSON / JSONL files in one folder, examples file."""
+    """L1 as the tool runs it: documents as CSV / JSON / JSONL files in one folder, generic prompt."""
     from inkmeter.plans.jobs import grade_files as grade_files_job
 
     base = scratch_path(spark, "gradefiles")
     _three_formats(spark, sf, base)
-    inputs.table(spark, sf, "benchmark").select("text").write.text(base + "/examples")
-    g = grade_files_job(spark, base + "/in", base + "/examples", text_col="text", schema=DOC_SCHEMA,
-                        token_limit=PARAMS["grade_cap"], split_token_limit=PARAMS["chunk_tokens"])
+    g = grade_files_job(spark, base + "/in", text_col="text", schema=DOC_SCHEMA, recursive=True,
+                        split_token_limit=PARAMS["chunk_tokens"])
     return g.select("doc_id", "llm_score", "error_type", "input_tokens", "output_tokens")
 
 
@@ -910,9 +926,9 @@ def pack_pages(spark, sf):
 
 @register("count_tokens_conversations")
 def count_tokens_conversations(spark, sf):
-    """L2 on the second input shape: assistant turns, one file per conversation."""
-    p = inputs.Prompt(spark, sf)
-    c = inputs.conversations_as_files(spark, sf).withColumn("tok", p.submitted("text"))
+    """L2 on the second input shape: one file per conversation; the counter's setting is the assistant's turns."""
+    p = inputs.Prompt()
+    c = inputs.conversations_as_files(spark, sf, "assistant").withColumn("tok", p.submitted("text"))
     return aggregates.token_stats(c, "file", "tok")
 
 
@@ -927,7 +943,8 @@ def split_report(spark, sf):
     """L3: files over the cap are split greedily; per-chunk rows and tokens."""
     from inkmeter.plans.jobs import split_report as split_job
 
-    return split_job(_submitted(spark, sf), PARAMS["file_cap"], PARAMS["chunk_tokens"])
+    sub = _submitted(spark, sf)
+    return split_job(sub, _file_cap(sub), PARAMS["chunk_tokens"])
 
 
 @register("costs_report")
@@ -971,7 +988,7 @@ def stream_daily_quota(spark, sf):
 
 @register("stream_responses")
 def stream_responses(spark, sf):
-    """Answers land in two drops; the later drop repeats some ids (first arrival kept)."""
+    """Answers land in two drops; the later drop repeats some ids (the last answer stays)."""
     from inkmeter.streaming import usage as st
 
     src = scratch_path(spark, "j3") + "/src"
@@ -980,11 +997,7 @@ def stream_responses(spark, sf):
     lines.filter(F.col("k") != 1).select(F.col("line").alias("value")).write.text(src + "/drop=1")
     st.run_responses(spark, src, out)
     lines.filter(F.col("k") == 1).select(F.col("line").alias("value")).write.text(src + "/drop=2")
-    st.run_responses(spark, src, out)
-    return spark.read.parquet(out + "/data").select("custom_id", "llm_score", "error_type")
-
-
-SENTINEL = "__watermark_sentinel__"
+    return st.run_responses(spark, src, out)
 
 
 @register("stream_expired")
@@ -1003,15 +1016,5 @@ def stream_expired(spark, sf):
         (F.lit(1) + F.col("n_chars") % 5).cast("string").alias("llm_score"))
     reqs.write.option("timestampFormat", readers.ISO_TS).json(base + "/req/drop=1")
     resp.write.option("timestampFormat", readers.ISO_TS).json(base + "/resp/drop=1")
-    st.run_expired(spark, base + "/req", base + "/resp", base + "/out")
-    # Sentinels far ahead on both sides move both watermarks past every real request.
-    last = reqs.agg(F.max("req_ts").alias("m"))
-    sreq = last.select(F.lit(SENTINEL).alias("custom_id"), (F.col("m") + F.expr("interval 10 days")).alias("req_ts"))
-    sresp = last.select(F.lit(SENTINEL).alias("custom_id"), (F.col("m") + F.expr("interval 10 days")).alias("resp_ts"),
-                        F.lit("sentinel").alias("llm_score"))
-    for i in (2, 3):
-        sreq.write.option("timestampFormat", readers.ISO_TS).json(base + f"/req/drop={i}")
-        sresp.write.option("timestampFormat", readers.ISO_TS).json(base + f"/resp/drop={i}")
-        st.run_expired(spark, base + "/req", base + "/resp", base + "/out")
-    return (spark.read.parquet(base + "/out/data").filter(F.col("custom_id") != SENTINEL)
-            .select("custom_id", "status", "llm_score"))
+    last = reqs.agg((F.max("req_ts") + F.expr("interval 10 days")).cast("string")).first()[0]
+    return st.run_expired(spark, base + "/req", base + "/resp", base + "/out", now=last or "2024-01-01")

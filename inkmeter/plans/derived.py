@@ -38,6 +38,20 @@ BROKEN_LINE = '{"custom_id": "%s-broken", "response": '
 FAILED_CHUNK = ("src1", 2)
 
 
+def failing_scorer(file: str, part: int, scorer=None):
+    """The offline scorer, but the call for one designated chunk raises."""
+    from inkmeter.operators.scoring import length_scorer
+
+    scorer = scorer or length_scorer
+
+    def run(batches):
+        for pdf in batches:
+            if ((pdf["file"] == file) & (pdf["part"] == part)).any():
+                raise RuntimeError(f"Simulated failure for {file}_part{part}")
+            yield from scorer(iter([pdf]))
+    return run
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Input rows with their deterministic request id."""
     return inputs.documents_as_files(spark, sf).withColumn("custom_id", ids.row_id("file", "pos"))

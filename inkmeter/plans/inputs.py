@@ -2,9 +2,10 @@
 
 * input files: ``documents`` with ``file = source``, ``pos = doc_id``,
   ``id = doc_id``, text column ``text``;
-* a second input shape: ``conversations`` assistant turns with
+* a second input shape: ``conversations`` turns with
   ``file = conv_id``, ``pos = turn``;
-* examples: every ``benchmark`` text, split into lines, in ``item_id`` order;
+* examples: every ``benchmark`` text, split into lines, in ``item_id`` order,
+  EXAMPLES_PER_FILE items to an examples file;
 * usage events: ``events`` (key, model, tokens derived per row).
 
 Each helper reads only the columns it needs, so parquet scans stay pruned.
@@ -31,8 +32,10 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("doc_id").alias("id"), "text", "lang", "n_chars")
 
 
-def conversations_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+def conversations_as_files(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+    """Turns as input rows; ``role`` keeps one speaker (the token counter's setting is the assistant)."""
+    c = table(spark, sf_dir, "conversations")
+    c = c if role is None else c.filter(F.col("role") == role)
     return c.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("file"),
                     F.col("turn").alias("pos"), "text")
 
@@ -42,17 +45,16 @@ def example_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.example_lines(b, "text", ("pos",))
 
 
-_PROMPTS: dict = {}
+# Items per examples file: the ``benchmark`` table is read as many small examples files.
+EXAMPLES_PER_FILE = 50
 
 
 class Prompt:
-    """The run's system prompt and its token count, computed once per session and folder."""
+    """The run's system prompt: the generic one, a constant, so requests do not grow with any table."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, method: str = "regex"):
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), method)
-        if key not in _PROMPTS:
-            _PROMPTS[key] = prompts.system_prompt_and_tokens(example_lines(spark, sf_dir), method, ("pos",))
-        self.text, self.tokens = _PROMPTS[key]
+    def __init__(self, method: str = "regex"):
+        self.text = prompts.GENERIC_PROMPT
+        self.tokens = prompts.constant_tokens(self.text, method)
         self.method = method
 
     def submitted(self, text_col="text") -> "F.Column":

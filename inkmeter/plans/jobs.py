@@ -11,56 +11,54 @@ from inkmeter.operators import admission, aggregates, ledger, packing, results,
 from inkmeter.session import ensure_checkpoint_dir
 from inkmeter.sources import writers
 
+# Fixed value: tokens a chunk may hold by default.
+SPLIT_TOKEN_LIMIT = 500_000
 
-def grade(rows: DataFrame, prompt, token_limit: int = admission.DAILY_TOKEN_LIMIT,
-          split_token_limit: int = 20_000, row_cap: int = admission.MAX_ROWS_PER_FILE,
-          scorer: scoring.Scorer = scoring.length_scorer, fail_chunks: set | None = None,
-          concurrency: int | None = None, model: str = prompts.DEFAULT_MODEL,
-          force_chunk_count: int = 0, split_row_limit: int | None = None,
-          halt_on_chunk_failure: bool = False) -> DataFrame:
-    """L1: grade every admitted file; every admitted row comes back exactly once.
+
+def grade(rows: DataFrame, prompt, token_limit: int | None = None, split_token_limit: int = SPLIT_TOKEN_LIMIT,
+          chunk_rows: int = packing.MAX_REQUESTS_PER_BATCH, scorer: scoring.Scorer = scoring.length_scorer,
+          concurrency: int | None = None, force_chunk_count: int = 0,
+          halt_on_chunk_failure: bool = True) -> DataFrame:
+    """L1: grade every admitted file.
 
     ``rows``: file, pos, id, text, custom_id.  Steps: submitted tokens (D2) ->
-    per-file admission cap (G6) -> first ``row_cap`` rows (C12) -> next-fit
-    chunks under ``split_token_limit`` (G3; a file under the limit is one
-    chunk, which is the split gate G5) -> requests (C8) -> one scorer call per
-    chunk with failure capture (K3) -> classify answers (D7) -> join back on
-    ``custom_id`` (F1) -> chunk errors onto their rows (F4, continue policy).
+    per-file admission cap (G6, only with a ``token_limit``) -> next-fit
+    chunks under ``split_token_limit`` tokens and ``chunk_rows`` rows (G3; a
+    file under both is one chunk, which is the split gate G5) -> one scorer
+    call per chunk with failure capture (K3) -> classify answers (D7) and
+    chunk errors (F4).  No row is dropped by size: more rows make more chunks.
 
     ``force_chunk_count > 1`` packs k even chunks per file and re-splits any
-    chunk over ``split_token_limit`` (G4, chunk ids ``…_partN_split_partM``);
-    ``split_row_limit`` caps rows per greedy chunk; ``halt_on_chunk_failure``
-    keeps only chunks before a file's first failed chunk (G11).
+    chunk over ``split_token_limit`` (G4, chunk ids ``…_partN_split_partM``).
+    ``halt_on_chunk_failure`` keeps only chunks before a file's first failed
+    chunk (G11); without it every admitted row comes back exactly once.
     """
-    # Token counts are the expensive column and are read by the cap, the row
-    # cap and the packer: compute them once into a narrow checkpointed table.
+    # Token counts are the expensive column and are read by the cap and the
+    # packer: compute them once into a narrow checkpointed table.
     ensure_checkpoint_dir(rows.sparkSession)
     toks = rows.select("file", "pos", prompt.submitted("text").alias("tok")).checkpoint(eager=True)
-    decisions = admission.admission_cap(toks, token_limit)
-    admitted = admission.admitted_rows(toks, decisions)
+    if token_limit is not None:
+        toks = admission.admitted_rows(toks, admission.admission_cap(toks, token_limit))
     if force_chunk_count and force_chunk_count > 1:
-        capped = capped_rows(admitted, row_cap)
-        hybrid = packing.chunk_hybrid(capped, force_chunk_count, split_token_limit)
-        packed = packing.with_chunk_names(hybrid, "file", "part", "split_part")
-        # one scoring group per final chunk
-        packed = packed.withColumn("part", F.col("part") * F.lit(1_000_000) + F.coalesce("split_part", F.lit(0)))
+        packed = packing.chunk_hybrid(toks, force_chunk_count, split_token_limit)
+        packed = packing.with_chunk_names(packed, "file", "part", "split_part")
+        packed = packed.withColumn("split_part", F.coalesce("split_part", F.lit(0).cast("long")))
     else:
-        # Next-fit packing is prefix-stable (a row's chunk never depends on later rows), so
-        # packing every admitted row and then keeping the first ``row_cap`` rows of each file
-        # equals capping first; the same scan yields each row's place in its file.
-        packed = packing.chunk_greedy(admitted, split_token_limit, split_row_limit, with_position=True)
-        packed = packing.with_chunk_names(packed.filter(F.col("rn") <= row_cap).drop("rn"))
-    chunks = rows.drop("tok").join(packed.select("file", "pos", "tok", "part", "chunk_id"), ["file", "pos"])
+        packed = packing.with_chunk_names(packing.chunk_greedy(toks, split_token_limit, chunk_rows))
+        packed = packed.withColumn("split_part", F.lit(0).cast("long"))
+    chunks = rows.drop("tok").join(packed.select("file", "pos", "tok", "part", "split_part", "chunk_id"),
+                                   ["file", "pos"])
     # The scorer sees the text to evaluate (null -> 'nan', as in the request); the
     # system prompt and model are its configuration (see prompts.request_json).
     req = chunks.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("nan")))
-    scored = scoring.score_chunks(req, scorer, concurrency=concurrency, fail_chunks=fail_chunks,
-                                  carry=("pos", "id", "chunk_id", "tok"))
+    scored = scoring.score_chunks(req, scorer, concurrency=concurrency, carry=("pos", "id", "chunk_id", "tok"),
+                                  chunk_cols=("file", "part", "split_part"))
     # Score once: a real scorer is a billed external call, so later actions (and the
     # two reads of the halt policy) use this snapshot instead of calling it again.
     # The snapshot holds answers and ids only, never the input text.
     scored = scored.checkpoint(eager=True)
-    out = scoring.policy_halt(scored) if halt_on_chunk_failure else scoring.policy_continue(scored)
+    out = (scoring.policy_halt(scored, part_cols=("part", "split_part")) if halt_on_chunk_failure
+           else scoring.policy_continue(scored))
     return out.select(
         "file", "pos", "id", "chunk_id", "llm_score", "error_type",
         results.error_flag("llm_score").alias("is_error"),
@@ -82,17 +80,6 @@ def grade_usage(graded: DataFrame, pricing: DataFrame, api_key: str | None,
         F.concat(F.lit("file:"), F.col("file")).alias("request_id"))
 
 
-def capped_rows(rows: DataFrame, cap: int, file_col: str = "file", pos_col: str = "pos") -> DataFrame:
-    """C12 only where it binds: rows of files longer than ``cap`` go through the ordered scan."""
-    counts = rows.groupBy(file_col).agg(F.count(F.lit(1)).alias("_n"))
-    big = counts.filter(F.col("_n") > cap).select(file_col)
-    if big.limit(1).count() == 0:
-        return rows
-    long_rows = rows.join(big, file_col, "left_semi")
-    short_rows = rows.join(big, file_col, "left_anti")
-    return short_rows.unionByName(admission.row_cap(long_rows, cap, file_col, pos_col))
-
-
 def split_report(rows: DataFrame, token_limit: int, chunk_tokens: int) -> DataFrame:
     """L3: files whose total exceeds ``token_limit`` are packed greedily; others stay whole.
 
@@ -109,14 +96,21 @@ def split_report(rows: DataFrame, token_limit: int, chunk_tokens: int) -> DataFr
     return aggregates.chunk_totals(both).join(gate, "file")
 
 
-def costs_report(usage: DataFrame) -> DataFrame:
-    """L4: day/model/all breakdowns for all time and for the latest logged day."""
-    last = usage.agg(F.max(F.to_date("timestamp")).alias("d")).first()["d"]
-    all_time = ledger.usage_grouping_sets(usage).withColumn("scope", F.lit("all_time"))
-    if last is None:
+def costs_report(usage: DataFrame, day: str | None = None) -> DataFrame:
+    """L4: day/model/all breakdowns for all time and for one day (the latest logged one by default).
+
+    The events are aggregated once to (day, model); every breakdown is a sum over that small table.
+    """
+    ensure_checkpoint_dir(usage.sparkSession)
+    per = (usage.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "model")
+           .agg(F.sum("total_tokens").cast("long").alias("tokens"), F.sum("cost").alias("cost"),
+                F.count(F.lit(1)).cast("long").alias("count"))).checkpoint(eager=True)
+    day = day or per.agg(F.max("day").alias("d")).first()["d"]
+    all_time = ledger.breakdowns(per).withColumn("scope", F.lit("all_time"))
+    if day is None:
         return all_time
-    today = ledger.usage_grouping_sets(usage, str(last), str(last)).withColumn("scope", F.lit("latest_day"))
-    return all_time.unionByName(today)
+    one = ledger.breakdowns(per.filter(F.col("day") == day)).withColumn("scope", F.lit("latest_day"))
+    return all_time.unionByName(one)
 
 
 class FilePrompt:
@@ -139,7 +133,8 @@ class FilePrompt:
                                        null_as="nan", system_chars=len(self.text))
 
 
-def ingest_dir(spark, input_dir: str, text_col: str = "response", schema=None) -> DataFrame | None:
+def ingest_dir(spark, input_dir: str, text_col: str = "response", schema=None,
+               recursive: bool = False) -> DataFrame | None:
     """A5 + row identity: every .csv/.json/.jsonl row with ``file`` (path), ``pos`` and ``custom_id``.
 
     Files carry no position key, so the order inside each file is derived
@@ -151,7 +146,7 @@ def ingest_dir(spark, input_dir: str, text_col: str = "response", schema=None) -
     from inkmeter.sources import readers
 
     ensure_checkpoint_dir(spark)
-    raw = readers.read_input_dir(spark, input_dir, schema)
+    raw = readers.read_input_dir(spark, input_dir, schema, recursive)
     if raw is None:
         return None
     located = raw.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
@@ -162,9 +157,9 @@ def ingest_dir(spark, input_dir: str, text_col: str = "response", schema=None) -
 
 
 def grade_files(spark, input_dir: str, examples_path: str | None = None, text_col: str = "response",
-                schema=None, **kw) -> DataFrame | None:
+                schema=None, recursive: bool = False, **kw) -> DataFrame | None:
     """L1 over a folder of input files, as the command-line tool runs it; None when nothing matches."""
-    rows = ingest_dir(spark, input_dir, text_col, schema)
+    rows = ingest_dir(spark, input_dir, text_col, schema, recursive)
     if rows is None:
         return None
     graded = grade(rows, FilePrompt(spark, examples_path), **kw)

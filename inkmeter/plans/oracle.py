@@ -14,6 +14,7 @@ from inkmeter.functions import prompts, responses as R
 from inkmeter.functions.tokens import TOKEN_PATTERN
 from inkmeter.plans import derived
 from inkmeter.plans.catalog import ID_BLOCK, PARAMS, PRICE_LIST
+from inkmeter.plans.inputs import EXAMPLES_PER_FILE
 
 
 def lit(s: str) -> str:
@@ -117,10 +118,11 @@ ex_raw AS (
          generate_subscripts(string_split(text, chr(10)), 1) AS line_no
   FROM benchmark),
 ex AS (SELECT pos, line_no, trim(raw, {STRIP}) AS line FROM ex_raw WHERE trim(raw, {STRIP}) <> ''),
-sysp AS (
-  SELECT replace({lit(prompts.TEMPLATE_WITH_EXAMPLES)}, '{{dynamic_examples}}',
-                 string_agg('- ' || line, chr(10) ORDER BY pos, line_no)) AS sp FROM ex),
+sysp AS (SELECT {lit(prompts.GENERIC_PROMPT)} AS sp),
 sys AS (SELECT sp, {tok('sp')} AS sys_tok FROM sysp),
+exf AS (SELECT CAST(floor(pos / {EXAMPLES_PER_FILE}) AS BIGINT) AS examples_file,
+               string_agg('- ' || line, chr(10) ORDER BY pos, line_no) AS block, CAST(count(*) AS BIGINT) AS n_lines
+        FROM ex GROUP BY 1),
 docs AS (SELECT source AS file, doc_id AS pos, doc_id AS id, text, lang, n_chars,
                 md5(source || '|' || CAST(doc_id AS VARCHAR)) AS custom_id FROM documents),
 sub AS (
@@ -188,6 +190,8 @@ def greedy(name: str, src: str, groups: list[str], vals: list[str], limits: list
 
 
 SQL: dict[str, str] = {}
+# Mean of the files' submitted tokens.
+CAP = "(SELECT CAST(floor(avg(t)) AS BIGINT) FROM (SELECT sum(tok) AS t FROM sub GROUP BY file))"
 DOCS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 D_RANGE_A, D_RANGE_B = PARAMS["range"]
 RANGE = f"CAST(timestamp AS DATE) BETWEEN DATE '{D_RANGE_A}' AND DATE '{D_RANGE_B}'"
@@ -246,23 +250,23 @@ FROM (SELECT * FROM lo UNION ALL SELECT * FROM hi) GROUP BY 1, 2""".format(m=MAS
 SQL["rejects_sink"] = with_base(f"""
 x AS (SELECT 1)
 SELECT file, 'admission' AS stage,
-       'Total submitted tokens (' || CAST(sum(tok) AS VARCHAR) || ') exceeds the allowed cap of {PARAMS['file_cap']}' AS error
-FROM sub GROUP BY file HAVING sum(tok) > {PARAMS['file_cap']}""")
+       'Total submitted tokens (' || CAST(sum(tok) AS VARCHAR) || ') exceeds the allowed cap of ' || CAST({CAP} AS VARCHAR) AS error
+FROM sub GROUP BY file HAVING sum(tok) > {CAP}""")
 
 # ---- projections -------------------------------------------------------------
 SQL["row_id"] = with_base("x AS (SELECT 1) SELECT file, pos, custom_id FROM docs")
-_CONV = ("SELECT 'conv' || CAST(conv_id AS VARCHAR) AS file, turn AS pos FROM conversations "
-         "WHERE role = 'assistant'")
+_ALL_TURNS = "SELECT 'conv' || CAST(conv_id AS VARCHAR) AS file, turn AS pos FROM conversations"
 SQL["id_normalise"] = (f"SELECT source AS file, doc_id AS pos, CAST(doc_id AS VARCHAR) AS custom_id FROM documents "
-                       f"UNION ALL SELECT file, pos, md5(file || '|' || CAST(pos AS VARCHAR)) FROM ({_CONV})")
-SQL["id_restore"] = f"SELECT file, pos, md5(file || '|' || CAST(pos AS VARCHAR)) AS id FROM ({_CONV})"
+                       f"UNION ALL SELECT file, pos, md5(file || '|' || CAST(pos AS VARCHAR)) FROM ({_ALL_TURNS})")
+SQL["id_restore"] = f"SELECT file, pos, md5(file || '|' || CAST(pos AS VARCHAR)) AS id FROM ({_ALL_TURNS})"
 SQL["drop_internal"] = "SELECT source AS file, doc_id AS pos, lang FROM documents"
 SQL["user_prompt"] = (f"SELECT source AS file, doc_id AS pos, {USER} || coalesce(text, 'nan') AS user_message "
                       "FROM documents")
-SQL["examples_block"] = with_base(
-    "x AS (SELECT 1) SELECT string_agg('- ' || line, chr(10) ORDER BY pos, line_no) AS block, "
-    "CAST(count(*) AS BIGINT) AS n_lines FROM ex")
-SQL["system_prompt"] = with_base("x AS (SELECT 1) SELECT sp AS system_prompt, sys_tok AS system_tokens FROM sys")
+SQL["examples_block"] = with_base("x AS (SELECT 1) SELECT examples_file, block, n_lines FROM exf")
+SQL["system_prompt"] = with_base(f"""
+filled AS (SELECT examples_file, replace({lit(prompts.TEMPLATE_WITH_EXAMPLES)}, '{{dynamic_examples}}', block) AS system_prompt
+           FROM exf)
+SELECT examples_file, system_prompt, {tok('system_prompt')} AS system_tokens FROM filled""")
 
 
 def _request_json(cid: str, text: str) -> str:
@@ -321,9 +325,11 @@ SQL["extract_content"] = with_base(
     "x AS (SELECT 1) SELECT pos, k, custom_id, llm_score FROM parsed WHERE error_type IS NULL")
 SQL["classify_responses"] = with_base(
     "x AS (SELECT 1) SELECT pos, k, custom_id, llm_score, error_type, error_message, corrupt FROM parsed")
-_SCORE = ("CASE WHEN TRY_CAST(regexp_extract({c}, '([0-9]+)', 1) AS INTEGER) BETWEEN 1 AND 5 "
-          "THEN TRY_CAST(regexp_extract({c}, '([0-9]+)', 1) AS INTEGER) END")
-SQL["parse_score"] = with_base(f"x AS (SELECT 1) SELECT custom_id, {_SCORE.format(c='llm_score')} AS score FROM final")
+_FORM = r"'^\s*(?:[Ss]core:\s*)?([0-9]+)\s*$'"
+_SCORE = (f"CASE WHEN TRY_CAST(regexp_extract({{c}}, {_FORM}, 1) AS INTEGER) BETWEEN 1 AND 5 "
+          f"THEN TRY_CAST(regexp_extract({{c}}, {_FORM}, 1) AS INTEGER) END")
+SQL["parse_score"] = with_base(f"x AS (SELECT 1) SELECT custom_id, CASE WHEN error_type IS NULL THEN "
+                               f"{_SCORE.format(c='llm_score')} END AS score FROM final")
 SQL["parse_score_multi"] = with_base(f"""
 ml AS (SELECT custom_id, unnest(string_split(llm_score, chr(10))) AS line,
               generate_subscripts(string_split(llm_score, chr(10)), 1) AS line_no FROM final WHERE llm_score IS NOT NULL)
@@ -391,7 +397,7 @@ _GSETS = """SELECT CASE grouping(day, model) WHEN 1 THEN 'day' WHEN 2 THEN 'mode
        coalesce(day, model, 'all') AS key, {sums}
 FROM (SELECT *, strftime(timestamp, '%Y-%m-%d') AS day FROM usage {where})
 GROUP BY GROUPING SETS ((day), (model), ())"""
-SQL["usage_grouping_sets"] = with_base("x AS (SELECT 1) " + _GSETS.format(sums=_SUMS, where=f"WHERE {RANGE}"))
+SQL["usage_grouping_sets"] = with_base("x AS (SELECT 1) " + _GSETS.format(sums=_SUMS, where=""))
 SQL["total_cost"] = with_base(f"x AS (SELECT 1) SELECT round(coalesce(sum(cost), 0.0), 6) AS total_cost FROM usage WHERE {RANGE}")
 SQL["daily_submitted"] = with_base(
     "x AS (SELECT 1) SELECT CAST(date AS VARCHAR) AS date, api_key_prefix, tokens_submitted FROM dlog")
@@ -435,15 +441,14 @@ SELECT file, pos, part, llm_score FROM pol
 WHERE NOT (file = '{FAILED_FILE}' AND part >= {FAILED_PART})""")
 
 # ---- grade (L1) and what is computed from it --------------------------------
-_GRADE = greedy("gg", "sub", ["file"], ["tok"], [PARAMS["chunk_tokens"]], None) + f""",
+_GRADE = greedy("gg", "sub", ["file"], ["tok"], [PARAMS["chunk_tokens"]], 50_000) + f""",
 gr AS (
   SELECT s.file, s.pos, s.id, s.file || '_part' || CAST(g.part AS VARCHAR) AS chunk_id,
     CASE WHEN s.file = '{FAILED_FILE}' AND g.part = {FAILED_PART} THEN {lit(FAIL_MSG)}
          ELSE CAST(1 + length(coalesce(s.text, 'nan')) % 5 AS VARCHAR) END AS llm_score,
     CASE WHEN s.file = '{FAILED_FILE}' AND g.part = {FAILED_PART} THEN 'Chunk:failed' END AS error_type,
     s.tok AS input_tokens
-  FROM sub s JOIN gg g USING (file, pos)
-  WHERE s.file IN (SELECT file FROM sub GROUP BY file HAVING sum(tok) <= {PARAMS['grade_cap']})),
+  FROM sub s JOIN gg g USING (file, pos)),
 grade AS (SELECT *, coalesce(llm_score ILIKE '%error%', false) AS is_error,
                  {tok("coalesce(llm_score, '')")} AS output_tokens FROM gr)"""
 SQL["grade"] = with_base(_GRADE.strip() + "\nSELECT file, pos, id, chunk_id, llm_score, error_type, is_error, "
@@ -460,12 +465,11 @@ SELECT file, 'sk-inkmete**********' AS api_key_prefix, '{prompts.DEFAULT_MODEL}'
 FROM grade GROUP BY file""")
 SQL["grade_files"] = with_base(f"""
 fg AS (SELECT s.*, CASE WHEN lang = 'en' THEN 'csv' WHEN lang IN ('fr', 'de') THEN 'json' ELSE 'jsonl' END
-                   || '|' || file || '|' || CAST(floor(pos / {ID_BLOCK}) AS VARCHAR) AS infile FROM sub s),
-ok AS (SELECT infile FROM fg GROUP BY infile HAVING sum(tok) <= {PARAMS['grade_cap']})
+                   || '|' || file || '|' || CAST(floor(pos / {ID_BLOCK}) AS VARCHAR) AS infile FROM sub s)
 SELECT pos AS doc_id, CAST(1 + length(coalesce(text, 'nan')) % 5 AS VARCHAR) AS llm_score,
        CAST(NULL AS VARCHAR) AS error_type, tok AS input_tokens,
        {tok("CAST(1 + length(coalesce(text, 'nan')) % 5 AS VARCHAR)")} AS output_tokens
-FROM fg WHERE infile IN (SELECT infile FROM ok)""")
+FROM fg""")
 SQL["files_all_failed"] = with_base(_GRADE.strip() + "\nSELECT file, bool_and(is_error) AS all_failed FROM grade GROUP BY file")
 
 # ---- packing, gates -----------------------------------------------------------------
@@ -474,14 +478,14 @@ SQL["chunk_forced"] = ("SELECT source AS file, doc_id AS pos, CAST(ntile(3) OVER
 SQL["chunk_rows"] = (f"SELECT source AS file, doc_id AS pos, CAST(floor((row_number() OVER (PARTITION BY source "
                      f"ORDER BY doc_id) - 1) / {PARAMS['rows_per_chunk']}) + 1 AS BIGINT) AS part FROM documents")
 SQL["split_gate"] = with_base(
-    f"x AS (SELECT 1) SELECT file, CAST(sum(tok) AS BIGINT) AS total_tokens, sum(tok) > {PARAMS['file_cap']} "
+    f"x AS (SELECT 1) SELECT file, CAST(sum(tok) AS BIGINT) AS total_tokens, sum(tok) > {CAP} "
     "AS needs_split FROM sub GROUP BY file")
 _ADMIT = """SELECT file, CAST(sum(tok) AS BIGINT) AS total_tokens, CAST(count(*) AS BIGINT) AS n_rows,
   CASE WHEN sum(tok) > {cap} THEN 'rejected' ELSE 'admitted' END AS status,
   CAST(CASE WHEN sum(tok) > {cap} THEN 0 ELSE sum(tok) END AS BIGINT) AS logged_tokens FROM sub GROUP BY file"""
-SQL["admission_cap"] = with_base("x AS (SELECT 1) " + _ADMIT.format(cap=PARAMS["file_cap"]))
+SQL["admission_cap"] = with_base("x AS (SELECT 1) " + _ADMIT.format(cap=CAP))
 SQL["halt_prefix"] = with_base(f"""
-adm AS ({_ADMIT.format(cap=PARAMS['file_cap'])})
+adm AS ({_ADMIT.format(cap=CAP)})
 SELECT file, status = 'rejected' AS failed,
        coalesce(sum(CASE WHEN status = 'rejected' THEN 1 ELSE 0 END) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING
                 AND 1 PRECEDING), 0) = 0 AS processed
@@ -495,7 +499,8 @@ SQL["dedupe_last"] = with_base("x AS (SELECT 1) SELECT custom_id, llm_score, err
 SQL["budget_admission"] = with_base(f"""
 per AS (SELECT file, CAST(sum(tok) AS BIGINT) AS total_tokens FROM sub GROUP BY file)
 SELECT file, total_tokens, CAST(sum(total_tokens) OVER (ORDER BY file ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_tokens,
-       sum(total_tokens) OVER (ORDER BY file ROWS UNBOUNDED PRECEDING) <= {PARAMS['daily_limit']} AS admitted
+       sum(total_tokens) OVER (ORDER BY file ROWS UNBOUNDED PRECEDING)
+         <= (SELECT floor(sum(total_tokens) / 2) FROM per) AS admitted
 FROM per""")
 
 # ---- order / sets ------------------------------------------------------------------
@@ -517,7 +522,7 @@ SQL["score_rows"] = with_base(
 
 # ---- jobs -----------------------------------------------------------------------------
 SQL["split_report"] = with_base(f"""
-gate AS (SELECT file, sum(tok) > {PARAMS['file_cap']} AS needs_split FROM sub GROUP BY file),
+gate AS (SELECT file, sum(tok) > {CAP} AS needs_split FROM sub GROUP BY file),
 sp_in AS (SELECT s.* FROM sub s JOIN gate USING (file) WHERE needs_split),""" + greedy(
     "sg", "sp_in", ["file"], ["tok"], [PARAMS["chunk_tokens"]], None) + f""",
 parts AS (SELECT s.file, s.pos, s.tok, coalesce(g.part, 1) AS part FROM sub s LEFT JOIN sg g USING (file, pos))
@@ -532,9 +537,7 @@ SELECT *, 'latest_day' AS scope FROM ({_GSETS.format(sums=_SUMS, where='WHERE CA
 SQL["stream_usage_daily"] = with_base(
     f"x AS (SELECT 1) SELECT strftime(timestamp, '%Y-%m-%d') AS day, model, {_SUMS} FROM usage GROUP BY 1, 2")
 SQL["stream_daily_quota"] = SQL["daily_submitted"]
-SQL["stream_responses"] = with_base(
-    "x AS (SELECT 1) SELECT custom_id, llm_score, error_type FROM parsed "
-    "WHERE custom_id IS NOT NULL AND custom_id <> '' AND k <> 1")
+SQL["stream_responses"] = SQL["dedupe_last"]
 SQL["stream_expired"] = f"""
 SELECT md5(source || '|' || CAST(doc_id AS VARCHAR)) AS custom_id,
   CASE WHEN doc_id % 23 <> 0 AND doc_id % 30 <= 24 THEN 'answered' ELSE 'batch_expired' END AS status,
@@ -551,3 +554,10 @@ SQL["count_tokens_conversations"] = with_base(
     "cv AS (SELECT 'conv' || CAST(conv_id AS VARCHAR) AS file, turn AS pos, "
     "(SELECT sys_tok FROM sys) + " + tok(USER + " || coalesce(text, 'nan')") + " AS tok "
     "FROM conversations WHERE role = 'assistant')\n" + _STATS.format(src="cv"))
+
+SQL["sink_versioned"] = """
+SELECT run_ts, CAST(count(*) AS BIGINT) AS n_rows FROM documents,
+  (VALUES ('20240101T000000'), ('20240102T000000')) AS r(run_ts) GROUP BY run_ts"""
+SQL["score_concurrency"] = """
+SELECT file, CAST(part AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n_answers, 'completed' AS status
+FROM (SELECT source AS file, ntile(3) OVER (PARTITION BY source ORDER BY doc_id) AS part FROM documents) GROUP BY 1, 2"""

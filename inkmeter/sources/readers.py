@@ -40,25 +40,29 @@ def with_file_order(df: DataFrame) -> DataFrame:
             .withColumn("_row", F.monotonically_increasing_id()))
 
 
-def csv_options(reader, schema=None):
-    r = reader.option("header", True).option("multiLine", True).option("escape", '"')
+def csv_options(reader, schema=None, multi_line: bool = True, mode: str = "FAILFAST"):
+    r = reader.option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", mode)
     return r.schema(schema) if schema is not None else r.option("inferSchema", True)
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A1: header row; explicit schema preferred, inference optional."""
-    return csv_options(spark.read, schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True, mode: str = "FAILFAST") -> DataFrame:
+    """A1: header row; explicit schema preferred, inference optional.
+
+    Malformed rows raise (``mode="PERMISSIVE"`` turns them into nulls).  Quoted line breaks need ``multi_line``;
+    without them ``multi_line=False`` splits a large file over many tasks.
+    """
+    return csv_options(spark.read, schema, multi_line, mode).csv(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A2: a file holding one JSON array of objects (not splittable)."""
-    r = spark.read.option("multiLine", True)
+    """A2: a file holding one JSON array of objects (not splittable); malformed input raises."""
+    r = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A3: JSON Lines (splittable)."""
-    r = spark.read
+    """A3: JSON Lines (splittable); malformed lines raise."""
+    r = spark.read.option("mode", "FAILFAST")
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
@@ -74,20 +78,35 @@ def read_by_extension(spark: SparkSession, path: str, schema=None) -> DataFrame:
     raise ValueError(f"Unsupported file type: {ext} for file {path}")
 
 
-def read_input_dir(spark: SparkSession, directory: str, schema=None) -> DataFrame | None:
-    """Every .csv/.json/.jsonl under a folder, unioned by column name.
+def file_extensions(spark: SparkSession, directory: str, recursive: bool = False) -> set:
+    """Extensions of the files in a folder (a listing of names; no file is read)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return set()
+    out, files = set(), fs.listFiles(path, recursive)
+    while files.hasNext():
+        out.add(os.path.splitext(files.next().getPath().getName())[1].lower())
+    return out
+
+
+def read_input_dir(spark: SparkSession, directory: str, schema=None, recursive: bool = False) -> DataFrame | None:
+    """Every .csv/.json/.jsonl in a folder (``recursive``: and below), unioned by column name.
 
     Each source row keeps its file path as ``file`` and its split offset as
-    ``_block`` (for file order); None when nothing matches.
+    ``_block`` (for file order); None when nothing matches.  Malformed input raises.
     """
     parts = []
-    for ext, fn in ((".csv", read_csv), (".json", read_json_array), (".jsonl", read_jsonl)):
+    found = file_extensions(spark, directory, recursive)
+    for ext in (".csv", ".json", ".jsonl"):
+        if ext not in found:
+            continue
         try:
             df = csv_options(spark.read, schema) if ext == ".csv" else (
-                spark.read.option("multiLine", ext == ".json"))
+                spark.read.option("multiLine", ext == ".json").option("mode", "FAILFAST"))
             if ext != ".csv" and schema is not None:
                 df = df.schema(schema)
-            df = df.option("pathGlobFilter", f"*{ext}").option("recursiveFileLookup", True)
+            df = df.option("pathGlobFilter", f"*{ext}").option("recursiveFileLookup", recursive)
             loaded = df.csv(directory) if ext == ".csv" else df.json(directory)
             parts.append(loaded.withColumn("file", F.col("_metadata.file_path"))
                          .withColumn("_block", F.col("_metadata.file_block_start")))
@@ -126,7 +145,7 @@ def latest_prices(prices: DataFrame) -> DataFrame:
                        "Model", ["file", "_block", "_row"]).select("Model", "Input", "Output")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -135,17 +154,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_usage_events(spark: SparkSession, path: str) -> DataFrame:
     """JSON Lines usage events; blank lines skipped; a missing log is empty."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], USAGE_SCHEMA)
     return spark.read.schema(USAGE_SCHEMA).option("timestampFormat", ISO_TS).json(path)
 
 
-def read_daily_log(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Daily usage log stored as JSON arrays; missing -> empty, corrupt rows dropped."""
-    if not _exists(spark, path):
+CORRUPT = "_corrupt_record"
+
+
+def read_daily_log(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Daily usage log, one (indented) JSON array per file; missing -> empty, corrupt input skipped.
+
+    ``multi_line=False`` reads one array per line.  :func:`rejected_daily_rows` lists what was skipped.
+    """
+    if not path_exists(spark, path):
         return spark.createDataFrame([], DAILY_SCHEMA)
-    return (spark.read.schema(DAILY_SCHEMA).option("mode", "DROPMALFORMED")
-            .option("multiLine", multi_line).json(path))
+    return _daily_rows(spark, path, multi_line).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def _daily_rows(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    schema = T.StructType([*DAILY_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).json(path)
+
+
+def rejected_daily_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A9 audit: the text of every record that :func:`read_daily_log` skipped."""
+    return _daily_rows(spark, path, multi_line).select("*").filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,108 +1,122 @@
 """Structured Streaming jobs.
 
-* J1 live usage per day and model, J2 daily quota per key: windowed /
-  keyed aggregations in ``update`` mode.  Each micro-batch's changed rows go
-  to ``updates/batch_id=N`` (overwriting that one folder, so a replayed batch
-  is idempotent); the current table is the newest row per key
-  (``current_table``), a partial-aggregated ``max_by``.
-* J3 answer ingestion as files land: classify lines, keep the first answer
-  per ``custom_id`` (``dropDuplicatesWithinWatermark`` on arrival time).
-* J4 requests unanswered within 24 h become ``batch_expired``: a
-  time-bounded stream-stream left outer join with watermarks on both sides.
+Every job is stateless: a micro-batch is reduced on its own and written to
+``updates/batch_id=N`` (overwriting that one folder, so a replayed batch is
+idempotent), and the table is put together from the batches on read.  No
+watermark decides what counts, so an event is never lost for being late, and
+no state store grows with the keys.
+
+* J1 live usage per day and model, J2 daily quota per key: each batch writes
+  its partial sums; the current table is their sum (``summed_table``).
+  ``compact_sums`` folds all batches so far into one base.
+* J3 answer ingestion as files land: classify lines, keep the last answer per
+  ``custom_id``: by file time, path and place inside a batch, then by batch.
+* J4 requests unanswered within the window become ``batch_expired``: requests
+  and answers land as they come, and the status is a join of the landed
+  tables, so each request has exactly one status however late it is read.
 
 All checkpoints and outputs live under the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkmeter.functions import responses
-from inkmeter.sources.readers import ISO_TS, USAGE_SCHEMA
+from inkmeter.sources.readers import ISO_TS, USAGE_SCHEMA, path_exists
 
 EXPIRED = "Error: batch_expired - Batch expired before the request was processed"
 
 
-@contextlib.contextmanager
-def state_partitions(spark: SparkSession, n: int | None):
-    """Number of state-store partitions of a stateful query (fixed at its first start).
+def _run(stream: DataFrame, out: str, reduce, name: str = "") -> None:
+    """One pass over what has landed; ``reduce`` turns a micro-batch into the rows that are kept of it."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        reduce(batch).write.mode("overwrite").parquet(f"{out}/updates{name}/batch_id={batch_id}")
 
-    Each stateful operator keeps one store per shuffle partition and touches
-    all of them every micro-batch, so this is sized to the stream, not to the
-    batch jobs of the session.  Default: the cluster's parallelism.
-    """
-    n = n or spark.sparkContext.defaultParallelism
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint{name}")
+     .trigger(availableNow=True).start().awaitTermination())
 
 
-def _upsert_sink(path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/updates/batch_id={batch_id}")
-    return write
+def _read_stream(spark: SparkSession, max_files: int | None):
+    r = spark.readStream
+    return r if max_files is None else r.option("maxFilesPerTrigger", max_files)
+
 
+def _updates(spark: SparkSession, out: str, schema: T.StructType | str, name: str = "") -> DataFrame:
+    """All batches written so far (with ``batch_id``); an empty table before the first."""
+    if not path_exists(spark, f"{out}/updates{name}"):
+        empty = spark.createDataFrame([], schema)
+        return empty.withColumn("batch_id", F.lit(0).cast("long"))
+    df = spark.read.parquet(f"{out}/updates{name}")
+    return df.withColumn("batch_id", F.col("batch_id").cast("long"))
 
-def current_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest row per key across all micro-batch updates."""
-    ups = spark.read.parquet(f"{path}/updates")
-    others = [c for c in ups.columns if c not in keys and c != "batch_id"]
-    latest = ups.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("batch_id")).alias("_v"))
-    return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in others])
 
+def summed_table(spark: SparkSession, out: str, keys: list[str], schema: str) -> DataFrame:
+    """Sum of all partial sums per key: the newest base, and the batches after it."""
+    sums = [c.split()[0] for c in schema.split(", ") if c.split()[0] not in keys]
+    parts = _updates(spark, out, schema)
+    if path_exists(spark, f"{out}/base"):
+        base = spark.read.parquet(f"{out}/base")
+        upto = base.agg(F.max("upto")).first()[0]
+        parts = (parts.filter(F.col("batch_id") > upto).select(*keys, *sums)
+                 .unionByName(base.filter(F.col("upto") == upto).select(*keys, *sums)))
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
-def usage_stream(spark: SparkSession, source_dir: str) -> DataFrame:
-    return (spark.readStream.schema(USAGE_SCHEMA).option("timestampFormat", ISO_TS)
+
+def compact_sums(spark: SparkSession, out: str, keys: list[str], schema: str) -> None:
+    """Fold every batch written so far into one base table; readers then skip those batches."""
+    last = _updates(spark, out, schema).agg(F.max("batch_id")).first()[0]
+    if last is not None:
+        summed_table(spark, out, keys, schema).write.mode("overwrite").parquet(f"{out}/base/upto={last}")
+
+
+def usage_stream(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
+    return (_read_stream(spark, max_files).schema(USAGE_SCHEMA).option("timestampFormat", ISO_TS)
             .json(source_dir))
 
 
-def run_usage_daily(spark: SparkSession, source_dir: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Tokens, cost and count per day and model, maintained as events arrive."""
-    ev = usage_stream(spark, source_dir).withWatermark("timestamp", "1 day")
-    agg = (ev.groupBy(F.window("timestamp", "1 day").alias("w"), "model")
-           .agg(F.sum("total_tokens").cast("long").alias("tokens"), F.sum("cost").alias("cost"),
-                F.count(F.lit(1)).cast("long").alias("count"))
-           .select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "model", "tokens",
-                   "cost", "count"))
-    with state_partitions(spark, partitions):
-        q = (agg.writeStream.outputMode("update").foreachBatch(_upsert_sink(out))
-             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-        q.awaitTermination()
-    t = current_table(spark, out, ["day", "model"])
+USAGE_KEYS, USAGE_SUMS = ["day", "model"], "day string, model string, tokens long, cost double, count long"
+QUOTA_KEYS, QUOTA_SUMS = ["date", "api_key_prefix"], "date date, api_key_prefix string, tokens_submitted long"
+
+
+def run_usage_daily(spark: SparkSession, source_dir: str, out: str, max_files: int | None = None) -> DataFrame:
+    """Tokens, cost and count per day and model, maintained as events arrive, in any order."""
+    _run(usage_stream(spark, source_dir, max_files), out, lambda b: b.groupBy(
+        F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "model").agg(
+        F.sum("total_tokens").cast("long").alias("tokens"), F.sum("cost").alias("cost"),
+        F.count(F.lit(1)).cast("long").alias("count")))
+    t = summed_table(spark, out, USAGE_KEYS, USAGE_SUMS)
     return t.select("day", "model", "tokens", F.round("cost", 6).alias("cost"), "count")
 
 
-def run_daily_quota(spark: SparkSession, source_dir: str, out: str, partitions: int | None = None) -> DataFrame:
+def run_daily_quota(spark: SparkSession, source_dir: str, out: str, max_files: int | None = None) -> DataFrame:
     """Tokens submitted per (date, key prefix), updated as submissions arrive."""
-    ev = usage_stream(spark, source_dir).withWatermark("timestamp", "1 day")
-    agg = (ev.groupBy(F.to_date("timestamp").alias("date"), "api_key_prefix")
-           .agg(F.sum("input_tokens").cast("long").alias("tokens_submitted")))
-    with state_partitions(spark, partitions):
-        q = (agg.writeStream.outputMode("update").foreachBatch(_upsert_sink(out))
-             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-        q.awaitTermination()
-    return current_table(spark, out, ["date", "api_key_prefix"])
-
-
-def run_responses(spark: SparkSession, source_dir: str, out: str, partitions: int | None = None) -> None:
-    """One pass over newly landed answer files (call again when more land)."""
-    lines = spark.readStream.text(source_dir)
-    parsed = responses.with_id(responses.parse_lines(lines, "value"))
-    first = (parsed.withColumn("arrived", F.current_timestamp())
-             .withWatermark("arrived", "24 hours")
-             .dropDuplicatesWithinWatermark(["custom_id"])
-             .select("custom_id", "llm_score", "error_type"))
-    with state_partitions(spark, partitions):
-        q = (first.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
-             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-        q.awaitTermination()
+    _run(usage_stream(spark, source_dir, max_files), out, lambda b: b.groupBy(
+        F.to_date("timestamp").alias("date"), "api_key_prefix").agg(
+        F.sum("input_tokens").cast("long").alias("tokens_submitted")))
+    return summed_table(spark, out, QUOTA_KEYS, QUOTA_SUMS)
+
+
+ANSWERS = "custom_id string, llm_score string, error_type string"
+
+
+def run_responses(spark: SparkSession, source_dir: str, out: str, max_files: int | None = None) -> DataFrame:
+    """One pass over newly landed answer files (call again when more land); returns the current answers."""
+    meta = ["file_modification_time", "file_path", "file_block_start"]
+    lines = _read_stream(spark, max_files).text(source_dir).select(
+        "value", *[F.col(f"_metadata.{m}").alias(m) for m in meta])
+
+    def reduce(batch: DataFrame) -> DataFrame:
+        placed = batch.withColumn("_row", F.monotonically_increasing_id())
+        parsed = responses.with_id(responses.parse_lines(placed, "value", keep=(*meta, "_row")))
+        last = responses.dedupe_last(parsed.drop("corrupt", "error_message"), "custom_id", [*meta, "_row"])
+        return last.select("custom_id", "llm_score", "error_type")
+
+    _run(lines, out, reduce)
+    newest = responses.dedupe_last(_updates(spark, out, ANSWERS), "custom_id", ["batch_id"])
+    return newest.select("custom_id", "llm_score", "error_type")
 
 
 REQ_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
@@ -112,20 +126,32 @@ RESP_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
                             T.StructField("llm_score", T.StringType())])
 
 
-def run_expired(spark: SparkSession, req_dir: str, resp_dir: str, out: str,
-                window: str = "24 hours", partitions: int | None = None) -> None:
-    """One pass; unmatched requests are emitted once both watermarks pass req_ts + window."""
-    req = (spark.readStream.schema(REQ_SCHEMA).option("timestampFormat", ISO_TS).json(req_dir)
-           .withWatermark("req_ts", "1 hour").alias("q"))
-    resp = (spark.readStream.schema(RESP_SCHEMA).option("timestampFormat", ISO_TS).json(resp_dir)
-            .withWatermark("resp_ts", "1 hour").alias("a"))
-    cond = F.expr(f"q.custom_id = a.custom_id AND a.resp_ts >= q.req_ts AND "
-                  f"a.resp_ts <= q.req_ts + interval {window}")
-    joined = req.join(resp, cond, "leftOuter").select(
-        F.col("q.custom_id").alias("custom_id"),
-        F.when(F.col("a.custom_id").isNull(), F.lit("batch_expired")).otherwise(F.lit("answered")).alias("status"),
-        F.coalesce(F.col("a.llm_score"), F.lit(EXPIRED)).alias("llm_score"))
-    with state_partitions(spark, partitions):
-        q = (joined.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
-             .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-        q.awaitTermination()
+def run_expired(spark: SparkSession, req_dir: str, resp_dir: str, out: str, now: str | None = None,
+                window: str = "24 hours", max_files: int | None = None) -> DataFrame:
+    """Land what is new on both sides, then the status of every request.
+
+    ``answered``: an answer came within ``window`` (the first one counts);
+    ``batch_expired``: none did and the window is over; ``pending``: it is not
+    over at ``now`` (default: the newest time seen on either side).
+    """
+    for name, schema, folder in (("-req", REQ_SCHEMA, req_dir), ("-resp", RESP_SCHEMA, resp_dir)):
+        stream = (_read_stream(spark, max_files).schema(schema).option("timestampFormat", ISO_TS).json(folder))
+        _run(stream, out, lambda b: b, name)
+    req = _updates(spark, out, REQ_SCHEMA, "-req").groupBy("custom_id").agg(F.min("req_ts").alias("req_ts"))
+    resp = _updates(spark, out, RESP_SCHEMA, "-resp").drop("batch_id")
+    if now is None:
+        clock = req.agg(F.max("req_ts").alias("m")).unionByName(resp.agg(F.max("resp_ts").alias("m"))).agg(
+            F.max("m")).first()[0]
+    else:
+        clock = now
+    end = F.col("req_ts") + F.expr(f"interval {window}")
+    seen = req.join(resp, "custom_id", "left").withColumn(
+        "ok", F.coalesce((F.col("resp_ts") >= F.col("req_ts")) & (F.col("resp_ts") <= end), F.lit(False)))
+    one = seen.groupBy("custom_id").agg(
+        F.first("req_ts").alias("req_ts"), F.max("ok").alias("ok"),
+        F.min(F.when(F.col("ok"), F.struct("resp_ts", "llm_score"))).alias("a"))
+    status = (F.when(F.col("ok"), F.lit("answered"))
+              .when(F.lit(clock).cast("timestamp") > end, F.lit("batch_expired")).otherwise(F.lit("pending")))
+    out_rows = one.withColumn("status", status)
+    return out_rows.select("custom_id", "status", F.when(F.col("status") == "answered", F.col("a.llm_score"))
+                           .when(F.col("status") == "batch_expired", F.lit(EXPIRED)).alias("llm_score"))

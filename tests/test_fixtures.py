@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmeter.functions import ids, prompts, responses, tokens
 from inkmeter.operators import admission, ledger, packing, results, scoring
+from inkmeter.plans import derived
 from inkmeter.sources import readers, writers
 
 
@@ -126,9 +127,25 @@ def test_duplicate_answer_last_wins(spark):
 
 
 def test_parse_score_bounds(spark):
-    df = spark.createDataFrame([("4",), ("Score: 5",), ("9",), ("none",), (None,)], "s string")
+    df = spark.createDataFrame([("4",), ("Score: 5",), ("9",), ("none",), (None,), ("-2",), ("4.7",), (" 3\n",),
+                                ("Error: 3 - bad",), ("",)], "s string")
     got = [r.v for r in df.select(responses.parse_score("s").alias("v")).collect()]
-    assert got == [4, 5, None, None, None]
+    assert got == [4, 5, None, None, None, None, None, 3, None, None]
+    typed = spark.createDataFrame([("4", None), ("4", "ApiError")], "s string, e string")
+    assert [r.v for r in typed.select(responses.parse_score("s", error_type="e").alias("v")).collect()] == [4, None]
+
+
+def test_error_objects_with_null_and_text_values(spark):
+    lines = ['{"custom_id": "a", "response": null, "error": {"code": null}}',
+             '{"custom_id": "b", "response": null, "error": {"message": null}}',
+             '{"custom_id": "c", "response": null, "error": "0"}', '{"custom_id": "d", "response": null, "error": 0}',
+             '{"custom_id": "e", "response": null, "error": ""}']
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = {r.custom_id: (r.llm_score, r.error_type) for r in responses.parse_lines(df).collect()}
+    assert got["a"] == ("Error: None - Unknown error", "ApiError")
+    assert got["b"] == ("Error: N/A - None", "ApiError")
+    assert got["c"][1] == "ApiError"
+    assert got["d"][1] == got["e"][1] == "UnknownStructure"
 
 
 # ---- scoring with failure capture ---------------------------------------------------
@@ -140,7 +157,7 @@ def _docs(spark, n, file="large_chunk"):
 
 def test_chunk_with_failure_keeps_every_row(spark):
     df = packing.chunk_forced(_docs(spark, 20), 3)
-    scored = scoring.score_chunks(df, fail_chunks={("large_chunk", 1)}, carry=("pos",))
+    scored = scoring.score_chunks(df, derived.failing_scorer("large_chunk", 1), carry=("pos",))
     out = scoring.policy_continue(scored).orderBy("pos").collect()
     assert len(out) == 20
     sizes = [sum(1 for r in out if r.part == p) for p in (1, 2, 3)]
@@ -151,7 +168,7 @@ def test_chunk_with_failure_keeps_every_row(spark):
 
 def test_halt_policy_keeps_chunks_before_first_failure(spark):
     df = packing.chunk_forced(_docs(spark, 20), 3)
-    scored = scoring.score_chunks(df, fail_chunks={("large_chunk", 2)}, carry=("pos",))
+    scored = scoring.score_chunks(df, derived.failing_scorer("large_chunk", 2), carry=("pos",))
     kept = scoring.policy_halt(scored).collect()
     assert sorted({r.part for r in kept}) == [1] and len(kept) == 7
 
@@ -354,7 +371,7 @@ def test_daily_log_and_usage_log_readers(spark):
         json.dump([{"date": "2024-01-01", "api_key_prefix": "****", "tokens_submitted": 5},
                    {"date": "2024-01-02", "api_key_prefix": "sk-1234567**********", "tokens_submitted": 7}],
                   fh, indent=2)
-    rows = readers.read_daily_log(spark, log, multi_line=True).collect()
+    rows = readers.read_daily_log(spark, log).collect()
     assert sorted((str(r.date), r.tokens_submitted) for r in rows) == [("2024-01-01", 5), ("2024-01-02", 7)]
     assert readers.read_daily_log(spark, os.path.join(d, "missing.json")).count() == 0
     ev = os.path.join(d, "events.jsonl")

@@ -10,8 +10,8 @@ from oracle_compare import compare
 def test_contract_keys():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
-    rows_only = set(q) - set(sql)
-    assert rows_only == {"score_concurrency", "sink_versioned"}
+    rows_only = {k for k in set(q) - set(sql) if not k.startswith("op") and k != "pipeline"}
+    assert not rows_only
 
 
 def test_entry_smoke(spark):
@@ -24,6 +24,7 @@ def test_entry_smoke(spark):
 
 @pytest.mark.slow
 def test_all_queries_match_oracle(spark):
-    report = compare(spark, SF001, verbose=False)
+    keys = [k for k in sorted(E.queries()) if not k.startswith("op") and k != "pipeline"]  # those have tests of their own
+    report = compare(spark, SF001, keys, verbose=False)
     bad = {k: v for k, v in report.items() if v[0] not in ("OK", "ROWS-ONLY")}
     assert not bad, bad

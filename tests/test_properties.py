@@ -63,28 +63,30 @@ def test_forced_chunks_balanced(spark):
     assert all(r.spread <= 1 for r in sizes)
 
 
-def test_system_prompt_built_from_examples(spark):
-    p = inputs.Prompt(spark, SF001)
-    assert "{dynamic_examples}" not in p.text and p.text.count("\n- ") > 0
-    assert p.tokens > 0
+def test_system_prompt_per_examples_file(spark):
+    rows = catalog.Q["system_prompt"](spark, SF001).collect()
+    n = inputs.table(spark, SF001, "benchmark").count()
+    assert len(rows) == -(-n // inputs.EXAMPLES_PER_FILE)
+    assert all("{dynamic_examples}" not in r.system_prompt and r.system_prompt.count("\n- ") > 0
+               and r.system_tokens > 0 for r in rows)
 
 
 def test_grade_forced_chunks_and_halt(spark):
     from inkmeter.plans.jobs import grade
 
     rows = derived.docs(spark, SF001)
-    p = inputs.Prompt(spark, SF001)
+    p = inputs.Prompt()
     n = rows.count()
     first_file = rows.agg(F.min("file")).first()[0]
-    forced = grade(rows, p, token_limit=10**9, split_token_limit=10**9, force_chunk_count=3,
-                   fail_chunks={(first_file, 2_000_000)})
+    forced = grade(rows, p, split_token_limit=10**9, force_chunk_count=3,
+                   scorer=derived.failing_scorer(first_file, 2), halt_on_chunk_failure=False)
     out = forced.collect()
     assert len(out) == n
     ids = {r.chunk_id for r in out if r.file == first_file}
     assert ids == {f"{first_file}_part1", f"{first_file}_part2", f"{first_file}_part3"}
     assert all(r.is_error for r in out if r.chunk_id == f"{first_file}_part2")
-    halted = grade(rows, p, token_limit=10**9, split_token_limit=10**9, force_chunk_count=3,
-                   fail_chunks={(first_file, 2_000_000)}, halt_on_chunk_failure=True).collect()
+    halted = grade(rows, p, split_token_limit=10**9, force_chunk_count=3,
+                   scorer=derived.failing_scorer(first_file, 2)).collect()
     kept = {r.chunk_id for r in halted if r.file == first_file}
     assert kept == {f"{first_file}_part1"}
     assert len(halted) == n - sum(1 for r in out if r.file == first_file and r.chunk_id != f"{first_file}_part1")
@@ -94,8 +96,8 @@ def test_grade_resplits_oversize_forced_chunk(spark):
     from inkmeter.plans.jobs import grade
 
     rows = derived.docs(spark, SF001)
-    p = inputs.Prompt(spark, SF001)
-    out = grade(rows, p, token_limit=10**9, split_token_limit=p.tokens * 3, force_chunk_count=2).collect()
+    p = inputs.Prompt()
+    out = grade(rows, p, split_token_limit=p.tokens * 3, force_chunk_count=2).collect()
     assert len(out) == rows.count()
     assert any("_split_part" in r.chunk_id for r in out)
 
@@ -124,18 +126,30 @@ def test_concurrency_sets_scoring_tasks(spark):
     assert scoring.score_chunks(d, concurrency=5).rdd.getNumPartitions() == 5
 
 
-def test_grade_row_cap_after_packing_equals_cap_first(spark):
-    from inkmeter.operators import admission
+def test_grade_has_no_size_cap(spark):
+    """One file of 60,000 rows and more than 6M tokens: more rows make more chunks, and none is lost."""
     from inkmeter.plans.jobs import grade
 
-    rows = derived.docs(spark, SF001)
-    p = inputs.Prompt(spark, SF001)
-    out = grade(rows, p, token_limit=10**9, split_token_limit=p.tokens * 3, row_cap=4).collect()
-    per_file = {}
-    for r in out:
-        per_file.setdefault(r.file, []).append(r)
-    capped = admission.row_cap(rows.withColumn("tok", p.submitted("text")), 4)
-    want = {(r.file, r.pos): f"{r.file}_part{r.part}" for r in
-            packing.chunk_greedy(capped, p.tokens * 3).collect()}
-    assert {(r.file, r.pos): r.chunk_id for r in out} == want
-    assert all(len(v) == 4 for v in per_file.values())
+    rows = spark.range(60_000).selectExpr("'big' AS file", "id AS pos", "id", "repeat('word ', 130) AS text",
+                                          "md5(cast(id as string)) AS custom_id")
+    p = inputs.Prompt()
+    out = grade(rows, p, split_token_limit=10**9)
+    sizes = {r.chunk_id: r["count"] for r in out.groupBy("chunk_id").count().collect()}
+    assert sizes == {"big_part1": 50_000, "big_part2": 10_000}
+    assert out.agg(F.sum("input_tokens")).first()[0] > 6_000_000
+    assert out.filter("is_error").count() == 0
+
+
+def test_scoring_calls_are_bounded(spark):
+    from inkmeter.operators import scoring
+
+    def counting(batches):
+        frames = list(batches)
+        n = sum(len(f) for f in frames)
+        for f in frames:
+            yield f[["custom_id"]].assign(line=[scoring.answer_line(c, str(n)) for c in f["custom_id"]])
+
+    rows = spark.range(2_500).selectExpr("'f' AS file", "1 AS part", "cast(id as string) AS custom_id", "'x' AS text")
+    scored = scoring.policy_continue(scoring.score_chunks(rows, counting, max_rows=1_000))
+    got = {r.llm_score: r["count"] for r in scored.groupBy("llm_score").count().collect()}
+    assert got == {"1000": 2_000, "500": 500}
