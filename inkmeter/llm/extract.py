@@ -17,7 +17,9 @@ class, id or role names a menu, sidebar, notice, advert or comment section.
 Defined results: null or empty html, and pages without a word outside
 boilerplate, give the empty string; rows with null or repeated page_id are
 extracted like any other; markup that never closes (an open comment, script
-or tag) reaches to the end of the page; other columns are ignored.
+or tag) reaches to the end of the page, a quote left open to the end of its
+tag; a less-than sign before anything but a name is text; other columns are
+ignored.
 """
 
 from __future__ import annotations
