@@ -11,14 +11,16 @@ the style of ``zipWithIndex``:
    group spans many partitions.  The narrow slice is ``checkpoint()``-ed to
    the shared checkpoint folder so partition boundaries stay fixed (range
    bounds are sampled, and a lost executor must recompute the same rows).
-2. One ``mapInPandas`` pass emits a constant-size summary per partition
-   (for packing: a run-length table of exit states, bounded by the rows
-   that fit in one chunk).  Only these summaries reach the driver, which
-   chains them in partition order: O(partitions), independent of rows.
+2. One ``mapInPandas`` pass emits a summary per partition: a number or two,
+   and for packing a run-length table of exit states, bounded by the rows
+   that fit in one chunk.  Only these summaries reach the driver, which
+   chains them in partition order.
 3. A second ``mapInPandas`` pass receives each partition's entry state and
    emits the per-row result; callers join it back on the unique
    (group, order) key, so wide text columns never cross into Python.
 
+Row numbers need no Python: see ``_number``.
+
 Order keys must be unique within a group (add a tie-breaker if needed).
 """
 
@@ -30,7 +32,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +40,6 @@ from inkmeter.session import ensure_checkpoint_dir
 
 _PID = "_scan_pid"
 
-# Size of the last scan's driver-side summaries (partitions, bytes, largest run table).
-LAST_SUMMARY: dict = {}
-
-
 # --------------------------------------------------------------------------
 # step 1: range layout
 # --------------------------------------------------------------------------
@@ -290,19 +288,10 @@ def _chain(spec: _Spec, summaries: list[dict]) -> dict:
     kind = spec.kind
     entries: dict[int, dict] = {}
     carried_key, carried = None, None
-    totals: dict[str, int] = {}
     for s in sorted(summaries, key=lambda d: d["pid"]):
         payload = json.loads(s["payload"])
         cont = carried_key is not None and carried_key == s["first_key"]
-        if kind == "number":
-            entry = carried if cont else 0
-            exit_state = entry + s["n"] if s["nseg"] == 1 else s["last_n"]
-            if s["nseg"] == 1:
-                totals[s["first_key"]] = totals.get(s["first_key"], 0) + s["n"]
-            else:
-                totals[s["first_key"]] = totals.get(s["first_key"], 0) + s["first_n"]
-                totals[s["last_key"]] = totals.get(s["last_key"], 0) + s["last_n"]
-        elif kind in ("sum", "max"):
+        if kind in ("sum", "max"):
             entry = carried if cont else None
             if s["nseg"] == 1:
                 whole = payload["first"]
@@ -323,10 +312,6 @@ def _chain(spec: _Spec, summaries: list[dict]) -> dict:
         entries[s["pid"]] = {"entry": entry, "first_key": s["first_key"],
                              "last_key": s["last_key"]}
         carried_key, carried = s["last_key"], exit_state
-    if kind == "number":
-        for e in entries.values():
-            e["first_total"] = totals[e["first_key"]]
-            e["last_total"] = totals[e["last_key"]]
     return entries
 
 
@@ -347,17 +332,7 @@ def _emit(spec: _Spec, entries, extra: list[str]):
         bounds = _seg_bounds(start)
         seg = np.cumsum(start) - 1
         out = pdf[keep].copy()
-        if kind == "number":
-            rn = pd.Series(np.ones(n, dtype=np.int64)).groupby(seg).cumsum().to_numpy()
-            first_len = bounds[1] - bounds[0]
-            rn[:first_len] += int(entry)
-            sizes = np.diff(bounds)
-            cnt = sizes[seg].astype(np.int64)
-            cnt[:first_len] = info["first_total"]
-            cnt[bounds[-2]:] = info["last_total"]
-            out["_rn"] = rn
-            out["_n"] = cnt
-        elif kind in ("sum", "max"):
+        if kind in ("sum", "max"):
             v = pdf[spec.value_col]
             if kind == "sum":
                 v = v.fillna(0)
@@ -395,6 +370,29 @@ def _emit(spec: _Spec, entries, extra: list[str]):
     return fn
 
 
+def _number(laid: DataFrame, gcols: list[str], others: list[str]) -> DataFrame:
+    """Row numbers and group sizes over a fixed layout, in the JVM.
+
+    Inside a partition ``monotonically_increasing_id`` counts rows in layout order, so a row's place in its group is
+    that id less the slice's first one, plus the rows of the group in earlier partitions.  The (partition, group)
+    slices are a small table: at most one row per partition and one per group.
+    """
+    tagged = laid.withColumn(_PID, F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    slices = tagged.groupBy(_PID, *gcols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_here"))
+    group = Window.partitionBy(*gcols)
+    earlier = group.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_before", F.coalesce(F.sum("_here").over(earlier), F.lit(0))).withColumn(
+        "_n", F.sum("_here").over(group))
+    left, right = tagged.alias("_l"), slices.alias("_r")
+    cond = F.col(f"_l.{_PID}") == F.col(f"_r.{_PID}")
+    for c in gcols:
+        cond = cond & F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))
+    return left.join(right, cond).select(
+        *[F.col(f"_l.{c}") for c in gcols + others],
+        (F.col("_mid") - F.col("_first") + F.col("_before") + 1).cast("long").alias("_rn"),
+        F.col("_n").cast("long").alias("_n"))
+
+
 def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], kind: str,
                  value_col: str | None = None, pack: list | None = None,
                  row_limit: int | None = None, num_partitions: int | None = None) -> DataFrame:
@@ -427,18 +425,15 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
         laid = range_layout(narrow, gcols + ocols, num_partitions)
     finally:
         narrow.unpersist()
+    if kind == "number":
+        return _number(laid, gcols, ocols + extra_out)
     tagged = laid.withColumn(_PID, F.spark_partition_id())
     summaries = [r.asDict() for r in
                  tagged.mapInPandas(_summarise(spec), _SUMMARY_SCHEMA).collect()]
-    LAST_SUMMARY.clear()
-    LAST_SUMMARY.update(partitions=len(summaries), payload_bytes=sum(len(x["payload"]) for x in summaries),
-                        max_runs=max([len(json.loads(x["payload"]).get("runs", [])) for x in summaries] or [0]))
     entries = _chain(spec, summaries)
 
     fields = [laid.schema[c] for c in gcols + ocols + extra_out]
-    if kind == "number":
-        fields += [T.StructField("_rn", T.LongType()), T.StructField("_n", T.LongType())]
-    elif kind in ("sum", "max"):
+    if kind in ("sum", "max"):
         vt = laid.schema[value_col].dataType
         rt = T.LongType() if isinstance(vt, (T.IntegerType, T.LongType, T.ShortType,
                                              T.ByteType)) else T.DoubleType()
