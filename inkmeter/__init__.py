@@ -15,7 +15,7 @@ from inkmeter.session import build_session, ensure_checkpoint_dir, scratch_path
 def __getattr__(name):
     # Jobs import pyspark SQL functions; load them on first use.
     if name in ("grade", "grade_files", "grade_usage", "count_files", "split_files", "split_report",
-                "costs_report", "ingest_dir", "FilePrompt"):
+                "costs_report", "ingest_dir", "run_job", "FilePrompt"):
         from inkmeter.plans import jobs
 
         return getattr(jobs, name)
@@ -23,4 +23,4 @@ def __getattr__(name):
 
 
 __all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "grade", "grade_files", "grade_usage",
-           "count_files", "split_files", "split_report", "costs_report", "ingest_dir", "FilePrompt"]
+           "count_files", "split_files", "split_report", "costs_report", "ingest_dir", "run_job", "FilePrompt"]

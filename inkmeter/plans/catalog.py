@@ -903,6 +903,30 @@ def grade_usage(spark, sf):
     return ev.select("file", "api_key_prefix", "model", "input_tokens", "output_tokens", "total_tokens", "cost")
 
 
+FAILED_FILE = "src3"
+
+
+@register("grade_job")
+def grade_job(spark, sf):
+    """L1 with its sinks: one file fails as a whole and halts the later ones; everything written is read back."""
+    from inkmeter.plans.jobs import run_job
+
+    paths = run_job(derived.docs(spark, sf), inputs.Prompt(), scratch_path(spark, "job"), _prices(spark),
+                    "sk-inkmeter-grader", "20240201T000000", split_token_limit=PARAMS["chunk_tokens"],
+                    scorer=derived.failing_scorer(FAILED_FILE), halt_on_chunk_failure=False)
+    result = spark.read.parquet(paths["results"]).groupBy("file").agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.sum("input_tokens").cast("long").alias("tokens"))
+    usage = readers.read_usage_events(spark, paths["usage"])
+    daily = readers.read_daily_log(spark, paths["daily"], multi_line=False)
+    one = F.lit(1).cast("long")
+    return (result.select(F.lit("result").alias("kind"), F.col("file").alias("name"), "n", "tokens")
+            .unionByName(usage.select(F.lit("usage").alias("kind"), F.col("request_id").alias("name"), one.alias("n"),
+                                      F.col("total_tokens").alias("tokens")))
+            .unionByName(daily.select(F.lit("daily").alias("kind"),
+                                      F.concat_ws("|", F.col("date").cast("string"), "api_key_prefix").alias("name"),
+                                      one.alias("n"), F.col("tokens_submitted").alias("tokens"))))
+
+
 @register("grade_files")
 def grade_files(spark, sf):
     """L1 as the tool runs it: documents as CSV / JSON / JSONL files in one folder, generic prompt."""

@@ -38,15 +38,15 @@ BROKEN_LINE = '{"custom_id": "%s-broken", "response": '
 FAILED_CHUNK = ("src1", 2)
 
 
-def failing_scorer(file: str, part: int, scorer=None):
-    """The offline scorer, but the call for one designated chunk raises."""
+def failing_scorer(file: str, part: int | None = None, scorer=None):
+    """The offline scorer, but the call for one designated chunk (or for every chunk of a file) raises."""
     from inkmeter.operators.scoring import length_scorer
 
     scorer = scorer or length_scorer
 
     def run(batches):
         for pdf in batches:
-            if ((pdf["file"] == file) & (pdf["part"] == part)).any():
+            if ((pdf["file"] == file) & (part is None or pdf["part"] == part)).any():
                 raise RuntimeError(f"Simulated failure for {file}_part{part}")
             yield from scorer(iter([pdf]))
     return run

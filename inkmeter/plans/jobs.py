@@ -80,6 +80,42 @@ def grade_usage(graded: DataFrame, pricing: DataFrame, api_key: str | None,
         F.concat(F.lit("file:"), F.col("file")).alias("request_id"))
 
 
+def run_job(rows: DataFrame, prompt, out: str, pricing: DataFrame, api_key: str | None, run_ts: str,
+            daily_log: DataFrame | None = None, halt_on_file_failure: bool = True,
+            model: str = prompts.DEFAULT_MODEL, fmt: str = "parquet", **kw) -> dict[str, str]:
+    """L1 to the end: grade, then write results, daily token log and usage events below ``out``; returns the paths.
+
+    A file whose every row is an error has failed.  With ``halt_on_file_failure`` the files after the first failed one,
+    in file order, are not part of the run: they leave no result, no tokens and no event.  The failed file's own result
+    and tokens are kept, but it has no usage event.  Results go to a new ``run_ts=`` folder and never overwrite; the
+    day's tokens are added to ``daily_log`` and written as a new version beside it; events are appended.
+    """
+    graded = grade(rows, prompt, **kw).checkpoint(eager=True)
+    files = aggregates.all_failed(graded).withColumnRenamed("all_failed", "failed")
+    if halt_on_file_failure:
+        files = admission.halt_prefix(files).filter("processed").drop("processed")
+    files = files.checkpoint(eager=True)
+    done = graded.join(results.broadcast_if_small(files), "file")
+    day = F.to_date(F.lit(run_ts), "yyyyMMdd'T'HHmmss")
+    paths = {"results": writers.write_versioned(done.drop("failed"), f"{out}/results", run_ts, fmt)}
+    delta = done.agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("tokens_submitted")).select(
+        day.alias("date"), mask_key(F.lit(api_key).cast("string")).alias("api_key_prefix"), "tokens_submitted")
+    log = delta if daily_log is None else ledger.daily_upsert(daily_log, delta)
+    paths["daily"] = writers.write_versioned(log, f"{out}/daily", run_ts, "json")
+    events = grade_usage(done.filter(~F.col("failed")), pricing, api_key, model,
+                         str(day_time(run_ts))).drop("file")
+    writers.append_usage(events, f"{out}/usage")
+    paths["usage"] = f"{out}/usage"
+    return paths
+
+
+def day_time(run_ts: str):
+    """The time that a run's ``yyyymmddThhmmss`` name stands for."""
+    import datetime as dt
+
+    return dt.datetime.strptime(run_ts, "%Y%m%dT%H%M%S")
+
+
 def split_report(rows: DataFrame, token_limit: int, chunk_tokens: int) -> DataFrame:
     """L3: files whose total exceeds ``token_limit`` are packed greedily; others stay whole.
 
