@@ -50,11 +50,13 @@ BLOCKS = frozenset((
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html li main nav ol optgroup option p pre section summary table tbody td tfoot "
     "th thead tr ul").split())
-#: Words in a class, id or role that mark boilerplate.
-MARKS = frozenset((
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies disqus dialog footer login masthead menu menubar modal nav navbar navigation newsletter "
-    "notice notices notification pagination popup promo promotion related replies reply respond search share sharing "
+#: Words in a class, id or role that mark boilerplate; those that mark reader comments even on an <article>.
+TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
+QUALIFIERS = frozenset("has no with without is".split())
+MARKS = TALK | frozenset((
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs complementary consent "
+    "contentinfo cookie cookies dialog footer login masthead menu menubar modal nav navbar navigation newsletter "
+    "notice notices notification pagination popup promo promotion related search share sharing "
     "sidebar sidebars signup skip social sponsor sponsored subscribe toolbar topbar widget").split())
 #: What a start tag closes of the same kind.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -76,12 +78,15 @@ def _is_boilerplate(name: str, attributes: str, in_content: bool) -> bool:
         return True
     if name == "footer":
         return True
-    if not attributes or name in ("html", "body") or name in CONTENT:
+    if not attributes or name in ("html", "body"):
         return False
+    marks = TALK if name in CONTENT else MARKS
     for m in _NAMING.finditer(attributes):
-        value = m.group(1) or m.group(2) or m.group(3) or ""
-        if not MARKS.isdisjoint(_NAME_WORDS.findall(value.lower())):
-            return True
+        for value in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
+            words = _NAME_WORDS.findall(value)
+            # "has-sidebar" or "no-comments" tell what the page has, not what the element is
+            if words and words[0] not in QUALIFIERS and not marks.isdisjoint(words):
+                return True
     return False
 
 

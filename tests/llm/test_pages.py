@@ -47,6 +47,13 @@ def test_broken_and_large_pages():
     assert X.main_text("<p>" + "&amp;lt; " * 3) == "&lt; &lt; &lt;"
 
 
+def test_names_of_classes():
+    page = '<div class="wrap has-sidebar no-comments"><p>The text of the page is here.</p>%s</div>'
+    assert X.main_text(page % '<p class="site-notice">A notice</p>') == "The text of the page is here."
+    assert X.main_text(page % '<article class="comment"><p>A reader says</p></article>') == "The text of the page is here."
+    assert X.main_text(page % '<div role="complementary">Aside words</div>') == "The text of the page is here."
+
+
 def test_region_is_the_best_scoring_run():
     rng = random.Random(1)
     kinds = {"plain": 1.0, "tag": -2.5}
