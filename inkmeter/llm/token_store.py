@@ -16,7 +16,7 @@ input alone, so a repeated task writes the same file again.
 The text crosses one shuffle, into ranges of doc_id.  Encoding runs per
 distinct word: a text may be cut before a blank that precedes a non-blank,
 where the tokenizer's own pre-tokenisation always cuts, so the ids of the
-pieces joined are the ids of the text; frequent pieces are remembered in a
+pieces joined are the ids of the text (a line feed between two words is a token of its own); frequent pieces are remembered in a
 table of bounded size.
 
 Defined results: null text is empty (only the end id); an empty table gives
@@ -47,7 +47,21 @@ DICTIONARY = "dictionary.zdict"
 SHARD_BYTES = 64 << 20
 #: Characters encoded at a time.
 PIECE = 1 << 20
-_ODD = re.compile(r" (?:\s|\Z)|\A ")
+#: White space other than blank and line feed (fixed values), and pairs of white space.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_PAIRS = ["  ", " \n", "\n ", "\n\n"]
+#: A word and the signs after it; letters up to here are Latin.
+_TAIL, _LATIN = re.compile(r"([^\W\d_]+)([^\w\s]+)"), "\u0250"
+
+
+def _odd_space(text: str) -> bool:
+    """Whether a text has white space that is not one blank or one line feed between two other characters."""
+    return (text[0].isspace() or text[-1].isspace() or any(p in text for p in _PAIRS)
+            or not text.isascii() and any(c in text for c in _OTHER_SPACE)
+            or any(c in text for c in _ASCII_SPACE))
+
+
+_ASCII_SPACE = [c for c in _OTHER_SPACE if c.isascii()]
 _CUT = re.compile(r"(?= \S)")
 _INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("ids", "<u4"), ("at", "<u8"), ("size", "<u4")])
 
@@ -62,19 +76,44 @@ def _byte_letters() -> dict:
 _BYTE_LETTERS = _byte_letters()
 
 
+class Recent(dict):
+    """A table of bounded size: when the young half is full it becomes the old half; what is used again moves back."""
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.old: dict = {}
+        self.half = bound // 2
+
+    def room(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+    def all_of(self, keys: list) -> list:
+        """What is known of the keys; None where nothing is."""
+        got = list(map(self.get, keys))
+        if None in got:
+            old = self.old.get
+            for i, value in enumerate(got):
+                if value is None:
+                    value = old(keys[i])
+                    if value is not None:
+                        self[keys[i]] = got[i] = value
+        return got
+
+
 class Encoder:
     """Whole-text encoding with a local tokenizer file, piece by piece."""
 
-    def __init__(self, path: str, bound: int = 700_000):
+    def __init__(self, path: str, bound: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # a leading blank is looked for in the same place: encoding of " " + piece, and of the bare piece
-        self.spaced: dict = {}
-        self.bare: dict = {}
-        self.bound = bound
+        # encodings of " " + piece, and of the bare piece
+        self.spaced, self.bare = Recent(bound), Recent(bound // 4)
 
     @staticmethod
     def _letters(word: str) -> str:
@@ -84,30 +123,32 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict, missing: list, lead: str) -> None:
-        ask, tail = [], []
+    def _learn(self, known: Recent, missing: list, lead: str) -> None:
+        """Encode the pieces that are not known: words of letters by the model, all others by the whole tokenizer."""
+        mark = "\u0120" if lead else ""
+        rest, tails = [], []
+        tokenize = self.model.tokenize
+
+        def word(p: str) -> None:
+            ids = [t.id for t in tokenize(mark + p if p.isascii() else self._letters(lead + p))]
+            known[p] = struct.pack(f"<{len(ids)}I", *ids)
+
         for p in missing:
-            # a closing mark after a Latin letter or digit is a token of its own
-            if len(p) > 1 and p[-1] in ".," and p[-2].isalnum() and p[-2] < "\u0250":
-                tail.append(p)
-                if p[:-1] not in known:
-                    ask.append(p[:-1])
-            else:
-                ask.append(p)
-        rest = []
-        for p in ask:
-            if p.isalpha() and max(p) < "\u0250":  # one word of Latin letters is one pre-token: straight to the model
-                ids = [t.id for t in self.tokenizer.model.tokenize(self._letters(lead + p))]
-                known[p] = struct.pack(f"<{len(ids)}I", *ids)
+            if p.isalpha() and max(p) < _LATIN:  # one word of Latin letters is one pre-token
+                word(p)
+                continue
+            m = _TAIL.fullmatch(p)
+            if m and max(m.group(1)) < _LATIN:  # signs after a word are a pre-token of their own
+                tails.append((p, m.group(1), m.group(2)))
+                if known.all_of([m.group(1)])[0] is None:
+                    word(m.group(1))
             else:
                 rest.append(p)
-        rest = list(dict.fromkeys(rest))
         known.update(zip(rest, self._whole([lead + p for p in rest])))
-        for p in tail:
-            mark = self.bare.get(p[-1])
-            if mark is None:
-                mark = self.bare[p[-1]] = self._whole([p[-1]])[0]
-            known[p] = known[p[:-1]] + mark
+        for p, stem, signs in tails:
+            if self.bare.all_of([signs])[0] is None:
+                self.bare[signs] = self._whole([signs])[0]
+            known[p] = known[stem] + self.bare[signs]
 
     def _segments(self, text: str) -> Iterator[str]:
         lo = 0
@@ -123,39 +164,54 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
             return self._whole([text])[0]
-        out = []
+        out: list = []
         for part in self._segments(text):
-            if len(self.spaced) + len(self.bare) > self.bound:
-                self.spaced.clear()
-                self.bare.clear()
+            self.spaced.room()
+            self.bare.room()
             if part[0] == " " and len(part) > 1 and not part[1].isspace():
-                first, body = None, part[1:]
+                out += self._odd(part) if _odd_space(part[1:]) else self._line(part[1:], None)
             else:
-                first, body = "", part
-            if _ODD.search(body):
-                pieces = [p for p in _CUT.split(part) if p]
-                bare = [p for p in pieces if p[0] != " " or len(p) < 2 or p[1].isspace()]
-                spaced = [p[1:] for p in pieces if not (p[0] != " " or len(p) < 2 or p[1].isspace())]
-                self._missing(bare, spaced)
-                out += [self.bare[p] if p[0] != " " or len(p) < 2 or p[1].isspace() else self.spaced[p[1:]]
-                        for p in pieces]
-                continue
-            pieces = body.split(" ")
-            head = pieces.pop(0) if first == "" else None
-            self._missing([head] if head else [], pieces)
-            if head:
-                out.append(self.bare[head])
-            out += map(self.spaced.__getitem__, pieces)
+                out += self._odd(part) if _odd_space(part) else self._line(part, "")
         return b"".join(out)
 
-    def _missing(self, bare: list, spaced: list) -> None:
-        known = self.spaced
-        missing = [p for p in spaced if p not in known]
-        if missing:
-            self._learn(known, list(dict.fromkeys(missing)), " ")
-        lost = [p for p in bare if p not in self.bare]
-        if lost:
-            self._learn(self.bare, list(dict.fromkeys(lost)), "")
+    def _of(self, known: Recent, pieces: list, lead: str) -> list:
+        got = known.all_of(pieces)
+        if None in got:
+            self._learn(known, list(dict.fromkeys(p for p, g in zip(pieces, got) if g is None)), lead)
+            got = known.all_of(pieces)
+        return got
+
+    def _line(self, text: str, first: str | None) -> list:
+        """Words between single blanks and line feeds; the first follows no blank unless ``first`` is None."""
+        out: list = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out += self._of(self.bare, ["\n"], "")
+            words = line.split(" ")
+            if k or first is not None:
+                out += self._of(self.bare, words[:1], "")
+                words = words[1:]
+            out += self._of(self.spaced, words, " ")
+        return out
+
+    def _odd(self, part: str) -> list:
+        """Text with runs of white space, or white space other than blanks and line feeds."""
+        out: list = []
+        for p in _CUT.split(part):
+            if p:
+                own = p[0] == " " and len(p) > 1 and not p[1].isspace()
+                out += self._of(self.spaced, [p[1:]], " ") if own else self._of(self.bare, [p], "")
+        return out
+
+
+_ENCODERS: dict = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; its table of pieces serves all of the worker's tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def train_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
@@ -186,7 +242,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, s
     share = min(1.0, sample_rows / max(1, n))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         got = sorted(_narrow(enc(t)[:4 * sample_ids], enc.width) for b in batches for t in b["text"])
         yield pd.DataFrame({"d": [train_dictionary(got)]})
 
@@ -205,7 +261,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, s
               .sortWithinPartitions("part", "key", F.col("id").isNotNull(), F.xxhash64("text"), "text"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         frames = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
         end = struct.pack("<I", end_id)
         out, index, done, part, seq = None, [], [], None, 0
@@ -307,7 +363,9 @@ def read_store(manifest: DataFrame, folder: str) -> DataFrame:
                     "frame_bytes": index["size"].astype(np.int64)})
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file string, row long, frame_bytes long"
-    spread = files.select("file", "base", "sha256").repartition("file")
+    # a number of its own: sized by bytes, the few small rows of the manifest would all go to one task
+    tasks = min(files.count(), 8 * manifest.sparkSession.sparkContext.defaultParallelism) or 1
+    spread = files.select("file", "base", "sha256").repartition(tasks, "file")
     return spread.mapInPandas(read, schema)
 
 
