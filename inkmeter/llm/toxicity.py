@@ -64,6 +64,16 @@ class Features:
         return np.unique(np.concatenate(got)) if got else np.zeros(0, dtype=np.uint64)
 
 
+_FEATURES: list = []
+
+
+def features() -> Features:
+    """The extractor of this Python worker; its table of words serves all of the worker's tasks."""
+    if not _FEATURES:
+        _FEATURES.append(Features())
+    return _FEATURES[0]
+
+
 def fit(texts: list, labels: list, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0,
         l2: float = 0.1, min_docs: int = 3, max_weights: int = 200_000, seed: int = 5) -> ToxicityModel:
     """FTRL-proximal over the rows in a seeded order; features of fewer than ``min_docs`` rows are left out."""
@@ -125,7 +135,7 @@ def score_texts(texts: list, model: ToxicityModel, feats: Features) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = 20_000,
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = 12_000,
           seed: int = 5) -> ToxicityModel:
     """Fit on about ``sample_rows`` labelled rows, chosen by a hash of the text, in one task."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("t"),
@@ -150,9 +160,8 @@ def predict(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        feats = Features()
         for s in batches:
-            yield pd.Series(score_texts([t if isinstance(t, str) else "" for t in s], shared.value, feats))
+            yield pd.Series(score_texts([t if isinstance(t, str) else "" for t in s], shared.value, features()))
 
     out = df.withColumn("score", score(F.col(text)))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -163,7 +172,7 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(fold_mod(col, 5) == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; learns from the labelled rows not held out."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
     labelled = docs.select("doc_id", "text").join(known, "doc_id")
