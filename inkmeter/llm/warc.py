@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 4, roll_bytes: in
               .where((F.col("copies") > 1) & F.col("keeper").isNotNull()).select("digest", "n", "keeper"))
     decisions = small.join(groups, ["digest", "n"]).select("key", "digest", "keeper").distinct()
 
-    tasks = tasks_for(small)
+    tasks = tasks_for(small, rows_per_task=5_000)
     _, edges = range_parts(small, "key", "digest", tasks * 4)
 
     def placed(df: DataFrame) -> DataFrame:
@@ -207,7 +207,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
     schema = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
               "file string")
-    return manifest.select("file", "sha256").repartition("file").mapInPandas(read, schema)
+    # a number of its own: sized by bytes, the few small rows of the manifest would all go to one task
+    tasks = min(manifest.count(), 8 * manifest.sparkSession.sparkContext.defaultParallelism) or 1
+    return manifest.select("file", "sha256").repartition(tasks, "file").mapInPandas(read, schema)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
