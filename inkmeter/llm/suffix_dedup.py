@@ -331,7 +331,8 @@ def repeated_intervals(texts: DataFrame) -> DataFrame:
     """(h, len, start, stop): stretches of the texts that are covered by repeated strings, possibly overlapping."""
     rows = kept(texts.where(F.col("len") >= LENGTH).select("h", "len", "text").mapInPandas(_anchor_rows, ANCHORS),
                 "anchors")
-    twice = rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # written out, so that the join below has an exchange of its own whose hot partitions Spark can split
+    twice = kept(rows.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "grams-twice")
     rows = kept(rows.join(twice, "gram", "left_semi"), "anchors-twice")
     classes = kept(rows.groupBy("gram", "span").agg(
         F.count("*").alias("copies"), F.min(F.struct("h", "len", "place", "first", "last")).alias("one")), "spans")
