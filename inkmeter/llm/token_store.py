@@ -74,6 +74,7 @@ def _byte_letters() -> dict:
 
 
 _BYTE_LETTERS = _byte_letters()
+_MARKED = _BYTE_LETTERS[32]
 
 
 class Recent(dict):
@@ -89,17 +90,11 @@ class Recent(dict):
             self.old = dict(self)
             self.clear()
 
-    def all_of(self, keys: list) -> list:
-        """What is known of the keys; None where nothing is."""
-        got = list(map(self.get, keys))
-        if None in got:
-            old = self.old.get
-            for i, value in enumerate(got):
-                if value is None:
-                    value = old(keys[i])
-                    if value is not None:
-                        self[keys[i]] = got[i] = value
-        return got
+
+#: Marks the key of a piece that follows no blank; the keys of all others leave their blank out.
+_BARE = "\0"
+_FEED = _BARE + "\n"
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 class Encoder:
@@ -111,44 +106,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # encodings of " " + piece, and of the bare piece
-        self.spaced, self.bare = Recent(bound), Recent(bound // 4)
-
-    @staticmethod
-    def _letters(word: str) -> str:
-        return word.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [_BARE]
+        self.known = Recent(bound)
 
     def _whole(self, texts: list) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: Recent, missing: list, lead: str) -> None:
-        """Encode the pieces that are not known: words of letters by the model, all others by the whole tokenizer."""
-        mark = "\u0120" if lead else ""
-        rest, tails = [], []
-        tokenize = self.model.tokenize
-
-        def word(p: str) -> None:
-            ids = [t.id for t in tokenize(mark + p if p.isascii() else self._letters(lead + p))]
-            known[p] = struct.pack(f"<{len(ids)}I", *ids)
-
-        for p in missing:
-            if p.isalpha() and max(p) < _LATIN:  # one word of Latin letters is one pre-token
-                word(p)
+    def _word(self, word: str, lead: str) -> bytes:
+        """One word of Latin letters is one pre-token: straight to the model, in the letters that stand for its bytes."""
+        text = lead + word
+        if word.isascii():
+            text = _MARKED + word if lead else word
+        else:
+            text = text.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return _PACK[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
+
+    def _learn(self, missing) -> None:
+        """Encode keys that are not known: words by the model, a word with signs in two parts, all else as a text."""
+        known, rest = self.known, []
+        for key in missing:
+            lead, piece = ("", key[1:]) if key[0] == _BARE else (" ", key)
+            if piece.isalpha() and (piece.isascii() or max(piece) < _LATIN):
+                known[key] = self._word(piece, lead)
                 continue
-            m = _TAIL.fullmatch(p)
-            if m and max(m.group(1)) < _LATIN:  # signs after a word are a pre-token of their own
-                tails.append((p, m.group(1), m.group(2)))
-                if known.all_of([m.group(1)])[0] is None:
-                    word(m.group(1))
+            m = _TAIL.fullmatch(piece)
+            if m and (piece.isascii() or max(m.group(1)) < _LATIN):  # signs after a word are a pre-token of their own
+                stem = m.group(1) if lead else _BARE + m.group(1)
+                signs = _BARE + m.group(2)
+                if signs not in known:
+                    known[signs] = self._whole([m.group(2)])[0]
+                if stem not in known:
+                    known[stem] = known.old.get(stem) or self._word(m.group(1), lead)
+                known[key] = known[stem] + known[signs]
             else:
-                rest.append(p)
-        known.update(zip(rest, self._whole([lead + p for p in rest])))
-        for p, stem, signs in tails:
-            if self.bare.all_of([signs])[0] is None:
-                self.bare[signs] = self._whole([signs])[0]
-            known[p] = known[stem] + self.bare[signs]
+                rest.append((key, lead + piece))
+        if rest:
+            known.update(zip([k for k, _ in rest], self._whole([t for _, t in rest])))
 
     def _segments(self, text: str) -> Iterator[str]:
         lo = 0
@@ -160,49 +155,49 @@ class Encoder:
             yield text[lo:hi]
             lo = hi
 
+    @staticmethod
+    def _keys(part: str) -> list:
+        """The pieces of a segment as keys."""
+        follows = part[0] == " " and len(part) > 1 and not part[1].isspace()  # a later segment starts with its blank
+        body = part[1:] if follows else part
+        if _odd_space(body):
+            return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else _BARE + p
+                    for p in _CUT.split(part) if p]
+        keys: list = []
+        for line in body.split("\n"):
+            if keys:
+                keys.append(_FEED)
+            words = line.split(" ")
+            if keys or not follows:
+                words[0] = _BARE + words[0]
+            keys += words
+        return keys
+
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
             return self._whole([text])[0]
-        out: list = []
+        out, known = [], self.known
         for part in self._segments(text):
-            self.spaced.room()
-            self.bare.room()
-            if part[0] == " " and len(part) > 1 and not part[1].isspace():
-                out += self._odd(part) if _odd_space(part[1:]) else self._line(part[1:], None)
-            else:
-                out += self._odd(part) if _odd_space(part) else self._line(part, "")
+            known.room()
+            keys = self._keys(part)
+            got = list(map(known.get, keys))
+            if None in got:
+                lost = [i for i, v in enumerate(got) if v is None]
+                old, new = known.old, {}
+                for i in lost:
+                    v = old.get(keys[i])
+                    if v is None:
+                        new[keys[i]] = None
+                    else:
+                        known[keys[i]] = v
+                if new:
+                    self._learn(new)
+                for i in lost:
+                    got[i] = known[keys[i]]
+            out += got
         return b"".join(out)
 
-    def _of(self, known: Recent, pieces: list, lead: str) -> list:
-        got = known.all_of(pieces)
-        if None in got:
-            self._learn(known, list(dict.fromkeys(p for p, g in zip(pieces, got) if g is None)), lead)
-            got = known.all_of(pieces)
-        return got
-
-    def _line(self, text: str, first: str | None) -> list:
-        """Words between single blanks and line feeds; the first follows no blank unless ``first`` is None."""
-        out: list = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out += self._of(self.bare, ["\n"], "")
-            words = line.split(" ")
-            if k or first is not None:
-                out += self._of(self.bare, words[:1], "")
-                words = words[1:]
-            out += self._of(self.spaced, words, " ")
-        return out
-
-    def _odd(self, part: str) -> list:
-        """Text with runs of white space, or white space other than blanks and line feeds."""
-        out: list = []
-        for p in _CUT.split(part):
-            if p:
-                own = p[0] == " " and len(p) > 1 and not p[1].isspace()
-                out += self._of(self.spaced, [p[1:]], " ") if own else self._of(self.bare, [p], "")
-        return out
-
 
 _ENCODERS: dict = {}
 
