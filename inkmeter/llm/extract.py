@@ -11,8 +11,12 @@ sum.  The region is then widened to the innermost element that holds it (the
 element, without boilerplate inside it, are the main text.
 
 Boilerplate is what stands in elements that never hold content (scripts,
-styles, navigation, forms, asides, page headers and footers ...) or whose
-class, id or role names a menu, sidebar, notice, advert or comment section.
+styles, navigation, asides, page headers and footers ...), in forms, or in
+elements whose class, id or role names a menu, sidebar, notice, advert or
+comment section.  A form or a name is no veto for an element that holds the
+page's content ("content-sidebar-wrap" around the article): it costs the
+element's start tag a score (``named``) and is not inherited.
+:func:`_settle` tells which elements those are.
 
 Defined results: null or empty html, and pages without a word outside
 boilerplate, give the empty string; rows with null or repeated page_id are
@@ -42,7 +46,7 @@ _NAME_WORDS = re.compile(r"[a-z]+")
 #: Fixed lists of HTML element names.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head nav aside form button dialog menu label fieldset".split()) | RAW
+NEVER = frozenset("head nav aside button dialog menu label fieldset".split()) | RAW
 PAGE_PARTS = frozenset("header footer".split())
 CONTENT = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main td th table center".split())
@@ -62,38 +66,107 @@ MARKS = TALK | frozenset((
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
            "th": ("td", "th"), "option": ("option",)}
 
-DEFAULT_WEIGHTS = {"plain": 1.0, "link": -1.0, "boiler": -2.0, "tag": -0.5}
+DEFAULT_WEIGHTS = {"plain": 1.0, "link": -1.0, "boiler": -2.0, "named": -2.0, "tag": -0.5}
 
 
 class _Element:
-    __slots__ = ("name", "parent", "boiler", "link", "depth", "content")
+    __slots__ = ("name", "parent", "boiler", "link", "depth", "content", "mark", "over", "talk")
 
-    def __init__(self, name, parent, boiler, link, content):
+    def __init__(self, name, parent, boiler, link, content, mark=""):
         self.name, self.parent, self.boiler, self.link, self.content = name, parent, boiler, link, content
         self.depth = 0 if parent is None else parent.depth + 1
+        self.mark = mark  # "", "name" or "talk": marked by its own name
+        self.over = self if mark else None if parent is None else parent.over  # innermost marked element around a word
+        self.talk = mark == "talk" or parent is not None and parent.talk
 
 
-def _is_boilerplate(name: str, attributes: str, in_content: bool) -> bool:
-    if name in NEVER or name in PAGE_PARTS and not in_content:
-        return True
-    if name == "footer":
-        return True
+def _never_content(name: str, in_content: bool) -> bool:
+    return name in NEVER or name == "footer" or name in PAGE_PARTS and not in_content
+
+
+def _mark(name: str, attributes: str) -> str:
+    """"talk" or "name" if the class, id or role (or a form) marks boilerplate, else ""."""
+    found = "name" if name == "form" else ""
     if not attributes or name in ("html", "body"):
-        return False
+        return found
     marks = TALK if name in CONTENT else MARKS
     for m in _NAMING.finditer(attributes):
         for value in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
             words = _NAME_WORDS.findall(value)
             # "has-sidebar" or "no-comments" tell what the page has, not what the element is
             if words and words[0] not in QUALIFIERS and not marks.isdisjoint(words):
-                return True
-    return False
+                if not TALK.isdisjoint(words):
+                    return "talk"
+                found = "name"
+    return found
+
+
+def _settle(events: list[tuple], elements: list[_Element]) -> None:
+    """Set ``boiler`` below the marked elements that do not hold the page's content.
+
+    The page's content are the words in <article> and <main>, or, where these have less than a tenth of the words
+    outside links, all words outside links.  From the outside in, a marked element holds it
+    - around <article> or <main>: if it has no fewer of these words than stand clear of every mark, and at least a
+      quarter of those of any other marked element of its level (teasers below an article have not);
+    - around neither, and on pages without them: if it has more than half.
+    Reader comments never do, unless next to nothing stands outside them.
+    """
+    marked = [e for e in elements if e.mark and not e.boiler]
+    if not marked:
+        return
+    texts = [(e[2], len(e[1].split())) for e in events if e[0] == "text" and not e[2].boiler]
+    main = [(e, n) for e, n in texts if e.content]
+    plain = [(e, n) for e, n in texts if not e.link]
+
+    def total(words: list) -> int:
+        return sum(n for _, n in words)
+
+    def clear(words: list) -> list:
+        return [(e, n) for e, n in words if not e.talk]
+
+    talk = (total(clear(main)) * 10 < total(main) and total(clear(plain)) * 2 < total(plain)
+            or total(clear(plain)) * 10 < total(plain))
+    if not talk:
+        main, plain = clear(main), clear(plain)
+    by_content = total(main) > 0 and total(main) * 10 >= total(plain)
+    words = main if by_content else plain
+    every = total(words)
+    own: Counter = Counter()
+    for e, n in words:
+        own[e.over] += n
+    held: Counter = Counter(own)
+    levels: dict = {}
+    level: dict = {None: -1}
+    for e in marked:  # an element comes after those around it
+        level[e] = level[e.parent.over] + 1
+        levels.setdefault(level[e], []).append(e)
+    holders = {e.parent.over for e in elements if e.name in CONTENT and not e.boiler and (talk or not e.talk)}
+    for e in reversed(marked):
+        held[e.parent.over] += held[e]
+        if e in holders:
+            holders.add(e.parent.over)
+    free, kept = own[None], {None}
+    for k in sorted(levels):
+        here = [e for e in levels[k] if e.parent.over in kept and held[e] and (talk or e.mark != "talk")]
+        most = max((held[e] for e in here), default=0)
+        for e in here:
+            around = by_content and e in holders
+            if held[e] >= free and held[e] * 4 >= most if around else held[e] * 2 > every:
+                kept.add(e)
+        free += sum(own[e] for e in here if e in kept)
+    for e in elements:
+        if e.over not in kept:
+            e.boiler = True
 
 
 def scan(page: str) -> list[tuple]:
-    """Events of a page in order: ("tag", name, element) and ("text", raw text, element, block number)."""
+    """Events of a page in order: ("tag", name, element) and ("text", raw text, element, block number).
+
+    The start tag of a marked element that holds the page's content is ("named", name, element)."""
     events: list[tuple] = []
+    elements: list[_Element] = []
     here = _Element("", None, False, False, False)
+    opened: list[tuple] = []  # (event, element) of the start tags of marked elements
     block, at, size = 0, 0, len(page)
     find = page.find
     while at < size:
@@ -157,19 +230,27 @@ def scan(page: str) -> list[tuple]:
                 up = up.parent
             if up is not None and up.name == other:
                 here = up.parent
-        here = _Element(name, here, here.boiler or _is_boilerplate(name, attributes, here.content),
-                        here.link or name == "a", here.content or name in CONTENT)
+        mark = _mark(name, attributes)
+        here = _Element(name, here, here.boiler or _never_content(name, here.content), here.link or name == "a",
+                        here.content or name in CONTENT, mark)
+        elements.append(here)
+        if mark:
+            opened.append((len(events) - 1, here))
+    _settle(events, elements)
+    for i, e in opened:
+        if not e.boiler:
+            events[i] = ("named", e.name, events[i][2])
     return events
 
 
 def _kind(event: tuple) -> str:
-    if event[0] == "tag":
-        return "tag:" + event[1]
+    if event[0] != "text":
+        return "tag:" + event[1] if event[0] == "tag" else "named"
     return "boiler" if event[2].boiler else "link" if event[2].link else "plain"
 
 
 def _amount(event: tuple) -> int:
-    return 1 if event[0] == "tag" else len(event[1].split())
+    return len(event[1].split()) if event[0] == "text" else 1
 
 
 def best_region(events: list[tuple], weights: dict) -> tuple[int, int]:

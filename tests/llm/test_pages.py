@@ -54,6 +54,38 @@ def test_names_of_classes():
     assert X.main_text(page % '<div role="complementary">Aside words</div>') == "The text of the page is here."
 
 
+BODY = "The first paragraph of the article has these words.\nThe second one has a few more of them."
+PARTS = "<p>%s</p><p>%s</p>" % tuple(BODY.split("\n"))
+
+
+@pytest.mark.parametrize("wrapper", ['div class="content-sidebar-wrap"', 'div class="layout sidebar-left"', 'div class="page nav-open"',
+                                     'div id="page-with-footer"', 'section class="single comments-open"', 'form id=aspnet method=post'])
+@pytest.mark.parametrize("inner", ["article", "main", "div", 'div class="widget-area"'])
+def test_wrappers_with_names_of_boilerplate(wrapper, inner):
+    """A name or a form is no veto for what holds the page's content; inside it boilerplate stays boilerplate."""
+    page = (f"<html><body><nav>Menu words</nav><{wrapper}><{inner}>{PARTS}<div class='share'>Share this</div></{inner.split()[0]}>"
+            f"<div class='sidebar'><p>Side words</p></div><form><p>Search</p></form><div id='comments'><p>I liked it</p></div>"
+            f"</{wrapper.split()[0]}><footer>Foot</footer></body></html>")
+    assert X.main_text(page) == BODY
+
+
+def test_names_stay_a_veto_beside_the_content():
+    long = "<p>" + "many other words " * 40 + "</p>"
+    for other in (f"<div id='comments'><article>{long}</article></div>", f"<div class='modal'>{PARTS}{PARTS}</div>",
+                  f"<section class='replies'>{long}</section>", "<div class='related'><article>A teaser</article></div>"):
+        for tag in ("article", "main"):
+            assert X.main_text(f"<body><div class='nav-open'><{tag}>{PARTS}</{tag}></div>{other}</body>") == BODY
+            assert X.main_text(f"<body><div><{tag}>{PARTS}</{tag}>{other}</div></body>") == BODY
+    assert X.main_text(f"<main><article>{PARTS}</article><div class='related'><article>A teaser</article></div></main>") == BODY
+
+
+def test_marks_many_and_deep():
+    deep = "<div class='nav-open'>" * 3_000 + PARTS + "</div>" * 3_000
+    assert X.main_text(deep) == BODY
+    widgets = "".join(f"<div class='widget'><article><p>Story number {i} of the day</p></article></div>" for i in range(50))
+    assert X.main_text(f"<main>{widgets}</main>") == "\n".join(f"Story number {i} of the day" for i in range(50))
+
+
 def test_region_is_the_best_scoring_run():
     rng = random.Random(1)
     kinds = {"plain": 1.0, "tag": -2.5}
