@@ -201,7 +201,8 @@ def _three_formats(spark, sf, base: str) -> dict:
     writers.write_json_arrays(_bounded_groups(d.filter(F.col("lang").isin("fr", "de"))),
                               paths[".json"], ["_src", "_blk"])
     _rename_ext(spark, paths[".json"], ".txt", ".json")
-    _one_file_per_group(d.filter(~F.col("lang").isin("en", "fr", "de"))).json(paths[".jsonl"])
+    rest = ~F.coalesce(F.col("lang").isin("en", "fr", "de"), F.lit(False))  # a null language too
+    _one_file_per_group(d.filter(rest)).json(paths[".jsonl"])
     _rename_ext(spark, paths[".jsonl"], ".json", ".jsonl")
     return paths
 

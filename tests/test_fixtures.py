@@ -412,3 +412,21 @@ def test_negative_pack_values_are_refused(spark):
     df = spark.createDataFrame([("f", 1, 5), ("f", 2, -1)], "file string, pos long, tok long")
     with pytest.raises(Exception, match="non-negative"):
         packing.chunk_greedy(df, 10).collect()
+
+
+# ---- documents without a language ------------------------------------------------
+
+def test_documents_without_language_reach_every_file_query(spark, tmp_path):
+    import pandas as pd
+
+    from conftest import SF001
+    from oracle_compare import compare
+
+    for name in os.listdir(SF001):
+        if name != "documents.parquet":
+            os.symlink(f"{SF001}/{name}", tmp_path / name)
+    d = pd.read_parquet(f"{SF001}/documents.parquet").head(200)
+    d.loc[::5, "lang"] = None
+    d.to_parquet(tmp_path / "documents.parquet", index=False)
+    report = compare(spark, str(tmp_path), ["src_dispatch", "src_dir_union", "grade_files"], verbose=False)
+    assert report == {k: ("OK", 200, 200) for k in report} and len(report) == 3
