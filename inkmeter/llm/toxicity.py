@@ -30,6 +30,8 @@ from inkmeter.llm.common import GOLDEN, MIX_A, WordHashes, fold_mod, word_pieces
 
 _WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 STEM = 4
+#: Slots (one byte each) by which features are counted before they are held.
+COUNT_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -74,16 +76,43 @@ def features() -> Features:
     return _FEATURES[0]
 
 
+def _frequent(texts: list, feats: Features, min_docs: int) -> np.ndarray:
+    """Sorted features of at least ``min_docs`` texts, in two passes over the texts.
+
+    The first pass counts texts by the low bits of a hash, never too few; the second counts exactly, but only the
+    features whose slot has enough.  So the many features of one or two texts are never held together."""
+    mask, enough = np.uint64((1 << COUNT_BITS) - 1), min(min_docs, 255)
+    slots = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
+    for t in texts:
+        at = (feats.distinct(t) & mask).astype(np.int64)
+        slots[at] = np.minimum(slots[at], 254) + 1
+    keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    held, size = [], 0
+    for k, t in enumerate(texts):
+        f = feats.distinct(t)
+        held.append(f[slots[(f & mask).astype(np.int64)] >= enough])
+        size += len(held[-1])
+        if size >= 1 << 20 or k == len(texts) - 1:
+            new, n = np.unique(np.concatenate(held), return_counts=True)
+            at = np.searchsorted(keys, new)
+            known = at < len(keys)
+            known[known] = keys[at[known]] == new[known]
+            counts[at[known]] += n[known]
+            counts = np.insert(counts, at[~known], n[~known])
+            keys = np.insert(keys, at[~known], new[~known])
+            held, size = [], 0
+    return keys[counts >= min_docs]
+
+
 def fit(texts: list, labels: list, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0,
         l2: float = 0.1, min_docs: int = 3, max_weights: int = 200_000, seed: int = 5) -> ToxicityModel:
     """FTRL-proximal over the rows in a seeded order; features of fewer than ``min_docs`` rows are left out."""
     feats = Features()
-    rows = [(feats.distinct(t), float(y)) for t, y in zip(texts, labels) if y is not None and y == y]
+    rows = [(t, float(y)) for t, y in zip(texts, labels) if y is not None and y == y]
     empty = ToxicityModel(np.zeros(0, dtype=np.uint64), np.zeros(0), -50.0)
     if not rows:
         return empty
-    keys, counts = np.unique(np.concatenate([f for f, _ in rows]), return_counts=True)
-    keys = keys[counts >= min_docs]
+    keys = _frequent([t for t, _ in rows], feats, min_docs)
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     free = np.full(len(keys) + 1, l1)
     free[-1] = 0.0  # the intercept is not drawn to zero
@@ -92,9 +121,9 @@ def fit(texts: list, labels: list, epochs: int = 3, alpha: float = 1.0, beta: fl
         at = np.searchsorted(keys, f)
         hit = at < len(keys)
         hit[hit] = keys[at[hit]] == f[hit]
-        return np.concatenate((at[hit], [len(keys)]))
+        return np.concatenate((at[hit], [len(keys)])).astype(np.int32)
 
-    coded = [(indices(f), y) for f, y in rows]
+    coded = [(indices(feats.distinct(t)), y) for t, y in rows]
     rng = np.random.default_rng(seed)
 
     def weights(i) -> np.ndarray:
@@ -135,7 +164,7 @@ def score_texts(texts: list, model: ToxicityModel, feats: Features) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = 12_000,
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = 20_000,
           seed: int = 5) -> ToxicityModel:
     """Fit on about ``sample_rows`` labelled rows, chosen by a hash of the text, in one task."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("t"),
@@ -172,7 +201,7 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(fold_mod(col, 5) == 0, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; learns from the labelled rows not held out."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
     labelled = docs.select("doc_id", "text").join(known, "doc_id")

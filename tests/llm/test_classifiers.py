@@ -94,6 +94,24 @@ def test_held_out_toxicity():
     assert T.score_texts(["nothing " * 200_000 + "you moron scum"], model, T.features())[0] > 0.5
 
 
+def test_features_are_counted_in_bounded_memory(monkeypatch):
+    import inspect
+    import tracemalloc
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(3000)) for _ in range(600)]
+    tracemalloc.start()
+    model = T.fit(texts, [k % 2 for k in range(600)], epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6, peak
+    feats = T.Features()
+    keys, n = np.unique(np.concatenate([feats.distinct(t) for t in texts]), return_counts=True)
+    monkeypatch.setattr(T, "COUNT_BITS", 22)  # slots shared by many features change nothing
+    assert (T._frequent(texts, feats, 3) == keys[n >= 3]).all() and np.isin(model.keys, keys[n >= 3]).all()
+    assert inspect.signature(T.classify).parameters["sample_rows"].default == 20_000
+
+
 def test_pieces_see_every_feature():
     import re
 
