@@ -65,6 +65,18 @@ def word_pieces(text: str, words_of, gap, overlap: int, piece: int = 1 << 18):
         last, lo = words[len(words) - overlap:] if len(words) > overlap else words, hi
 
 
+def cut_text(text: str, gap, piece: int = 1 << 18):
+    """Pieces of a text, cut only where ``gap`` (one character that no run holds) matches."""
+    lo = 0
+    while lo < len(text):
+        hi = lo + piece
+        if hi < len(text):
+            blank = gap.search(text, hi)
+            hi = blank.start() if blank else len(text)
+        yield text if lo == 0 and hi >= len(text) else text[lo:hi]
+        lo = hi
+
+
 class WordHashes:
     """64-bit hashes of words (and of their first ``stem`` letters), remembered in a table of bounded size."""
 
@@ -144,6 +156,25 @@ def tasks_for(df: DataFrame, rows_per_task: int = 20_000) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_per_task)
 
 
+#: Bits of one bitmap of :func:`possible` (what ``bitmap_construct_agg`` holds), and the most bitmaps it makes.
+MAP_BITS, MAPS = 1 << 15, 1 << 14
+
+
+def possible(df: DataFrame, wanted: DataFrame, keys: list) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` may be among those of ``wanted``; every row that is there stays, a few others do too.
+
+    The keys' hashes set bits of at most ``MAPS`` bitmaps (4 KB each, 64 MB in all), which are broadcast whatever the
+    tables' sizes; with more keys than that has room for, fewer rows are kept back.  A shuffled join then decides.
+    """
+    maps = int(min(MAPS, max(1, 16 * wanted.count() // MAP_BITS + 1)))
+    h = F.xxhash64(*keys)
+    place = [F.pmod(h, F.lit(maps)).cast("int").alias("_map"), F.pmod(F.shiftright(h, 20), F.lit(MAP_BITS)).alias("_bit")]
+    bits = wanted.select(*place).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = df.select("*", *place).join(F.broadcast(bits), "_map")
+    return found.where(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).select(*df.columns)
+
+
 class FileOutput:
     """A file written under a temporary name and moved to its final name when it is complete."""
 
