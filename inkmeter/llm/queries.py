@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkmeter.llm import decontam, extract, language, minhash, mixing, simhash_pivots, sketch, spelling, suffix_dedup, token_store, toxicity, warc
+from inkmeter.llm import decontam, extract, language, minhash, mixing, search, simhash_pivots, sketch, spelling, suffix_dedup, token_store, toxicity, warc
 from inkmeter.llm.common import table
 from inkmeter.llm.oracle_sql import SQL  # noqa: F401  (read by the driver's contract)
 
@@ -67,7 +67,11 @@ def op12_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 Q = {f.__name__: f for f in (
     op1_simhash_pivots, op2_token_store, op3_mixing, op4_toxicity, op5_language_id, op6_main_text, op7_fingerprints, op8_decontamination, op9_warc, op10_suffix_dedup,
-    op11_spelling_variants, op12_minhash,
+    op11_spelling_variants, op12_minhash, op13_lexical_search,
 )}
