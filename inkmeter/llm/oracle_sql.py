@@ -92,4 +92,76 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(g.removed, 0) AS
        CAST(coalesce(g.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(rest.x)) AS kept_sha256
 FROM d JOIN rest ON d.doc_id = rest.doc_id LEFT JOIN gone g ON d.doc_id = g.doc_id"""
 
-SQL = {"op3_mixing": OP3, "op8_decontamination": OP8, "op9_warc": OP9, "op10_suffix_dedup": OP10}
+# crc32 a byte at a time over its table; near words by deleting one letter of each, at the same place or on one side only.
+OP11 = r"""
+WITH tab AS (SELECT list(list_reduce([i::UBIGINT, 1, 1, 1, 1, 1, 1, 1, 1],
+          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t
+        FROM range(256) r(i)),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents WHERE text IS NOT NULL)
+         WHERE length(r) >= 6 GROUP BY 1, 2),
+bytes AS (SELECT *, hex(encode(concat(coalesce(doc_id::VARCHAR, ''), ':', run))) AS hx FROM runs),
+hashed AS (SELECT doc_id, run, c, xor(list_reduce(
+             list_prepend(4294967295::UBIGINT, list_transform(range(0, length(hx) // 2),
+               lambda k: ('0x' || substr(hx, 2 * k + 1, 2))::UBIGINT)),
+             lambda h, b: xor(h >> 8, t[((xor(h, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS h FROM bytes, tab),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                    ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+          FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n
+         FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+         UNION SELECT h.word, h.n, w.word, w.n FROM holes h JOIN words w ON h.rest = w.word
+         UNION SELECT w.word, w.n, h.word, h.n FROM holes h JOIN words w ON h.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n
+         FROM near GROUP BY word),
+named AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form,
+                 CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+walk AS (WITH RECURSIVE r AS (SELECT word, word AS at FROM named
+           UNION ALL SELECT r.word, named.form FROM r JOIN named ON named.word = r.at WHERE named.form IS NOT NULL)
+         SELECT r.word, r.at AS root FROM r JOIN named ON named.word = r.at AND named.form IS NULL)
+SELECT named.word, n, n_near, form, form_n, root FROM named JOIN walk ON named.word = walk.word"""
+
+# Every pair of sets that share a shingle is counted; components by the smallest id that is reached.
+OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')))) END AS sh
+      FROM d),
+c AS (SELECT md5(array_to_string(sh, chr(10))) AS k, any_value(sh) AS sh, any_value(len(sh)) AS n, min(doc_id) AS first
+      FROM s WHERE len(sh) > 0 GROUP BY 1),
+x AS (SELECT k, n, unnest(sh) AS v FROM c),
+links AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.v = b.v AND a.k <> b.k
+          GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT c.k, least(min(c.first), min(o.first)) AS component_id
+         FROM c LEFT JOIN reach ON c.k = reach.a LEFT JOIN c o ON o.k = reach.b GROUP BY c.k)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles,
+       CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE comp.component_id END AS component_id,
+       coalesce(CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE comp.component_id END = s.doc_id, false) AS kept
+FROM s LEFT JOIN comp ON comp.k = md5(array_to_string(s.sh, chr(10))) AND len(s.sh) > 0"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS i, item_id,
+             list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT i, item_id, unnest(w) AS t FROM b),
+c AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d)
+       WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY t),
+scored AS (SELECT q.i, q.item_id, tf.r, tf.doc_id,
+                  sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // length))))::BIGINT AS score
+           FROM q JOIN tf ON q.t = tf.t JOIN wt ON wt.t = tf.t, c GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 50"""
+
+SQL = {"op11_spelling_variants": OP11, "op12_minhash": OP12, "op13_lexical_search": OP13, "op3_mixing": OP3, "op8_decontamination": OP8, "op9_warc": OP9, "op10_suffix_dedup": OP10}
