@@ -3,23 +3,24 @@
 Row numbers, ``ntile``, running sums and greedy chunk packing are all
 "fold in row order within a group".  A window ``PARTITION BY file`` would
 ship a whole file to one task, so one hot file (a third of all rows) would
-serialise the job.  Instead every scan here runs the same three steps, in
-the style of ``zipWithIndex``:
-
-1. ``repartitionByRange`` on (group, order) and sort within partitions, so
-   each partition holds a contiguous slice of the global order; a large
-   group spans many partitions.  The narrow slice is ``checkpoint()``-ed to
-   the shared checkpoint folder so partition boundaries stay fixed (range
-   bounds are sampled, and a lost executor must recompute the same rows).
-2. One ``mapInPandas`` pass emits a summary per partition: a number or two,
-   and for packing a run-length table of exit states, bounded by the rows
-   that fit in one chunk.  Only these summaries reach the driver, which
-   chains them in partition order.
-3. A second ``mapInPandas`` pass receives each partition's entry state and
-   emits the per-row result; callers join it back on the unique
-   (group, order) key, so wide text columns never cross into Python.
-
-Row numbers need no Python: see ``_number``.
+serialise the job.  Instead every scan here starts from the same layout, in
+the style of ``zipWithIndex``: ``repartitionByRange`` on (group, order),
+sorted within partitions, so each partition holds a contiguous slice of the
+global order and a large group spans many partitions.  The narrow slice is
+``checkpoint()``-ed to the shared checkpoint folder so partition boundaries
+stay fixed (range bounds are sampled, and a lost executor must recompute the
+same rows).
+
+Row numbers and running sums need no Python: see ``_number`` and ``_running``.
+
+Packing folds each partition into a function from the open chunk it is
+entered with to the one it leaves (``inkmeter.plans.packtable``).  These
+functions compose; they are composed ``FAN`` partitions at a time in tasks,
+level by level, and the entry states are handed down the same tree.  The
+driver gets one entry state of constant size per partition.  A second
+``mapInPandas`` pass over the layout emits the rows' chunks; callers join
+them back on the unique (group, order) key, so wide text columns never cross
+into Python.
 
 Order keys must be unique within a group (add a tie-breaker if needed).
 """
@@ -27,7 +28,6 @@ Order keys must be unique within a group (add a tie-breaker if needed).
 from __future__ import annotations
 
 import json
-import math
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkmeter.plans import packtable
+from inkmeter.plans.packtable import entry_cut, next_start
 from inkmeter.session import ensure_checkpoint_dir
 
 _PID = "_scan_pid"
@@ -111,53 +113,6 @@ def _seg_bounds(start: np.ndarray) -> np.ndarray:
     return np.append(idx, len(start))
 
 
-# ---- greedy packing primitives --------------------------------------------
-# S is a 2-D prefix-sum array of shape (m+1, d): one column per limited
-# quantity (tokens, bytes, ...); ``limits`` holds the d limits.
-
-def _next_start(S: np.ndarray, limits: list, row_limit: int | None) -> np.ndarray:
-    """Start of the next chunk, for every j, if a chunk starts at row j."""
-    m = S.shape[0] - 1
-    j = np.arange(m, dtype=np.int64)
-    ktok = np.full(m, m, dtype=np.int64)
-    for d, lim in enumerate(limits):
-        col = S[:, d]
-        ktok = np.minimum(ktok, np.searchsorted(col, col[:-1] + lim, side="right").astype(np.int64) - 1)
-    nxt = np.maximum(j + 1, ktok)
-    if row_limit is not None:
-        nxt = np.minimum(nxt, j + int(row_limit))
-    return np.minimum(nxt, m)
-
-
-def _chase_all(nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pointer doubling: for every j, the last chunk start reached and the hops to it."""
-    m = len(nxt)
-    real = nxt < m
-    jump = np.where(real, nxt, np.arange(m, dtype=np.int64))
-    hops = real.astype(np.int64)
-    while True:
-        nj = jump[jump]
-        if np.array_equal(nj, jump):
-            break
-        hops = hops + hops[jump]
-        jump = nj
-    return jump, hops
-
-
-def _entry_cut(S: np.ndarray, c: list, r: int, limits: list, row_limit) -> int:
-    """Rows [0, j) of a continuing segment join the carried chunk; row j opens the next."""
-    if r == 0:
-        return 0
-    m = S.shape[0] - 1
-    jt = m
-    for d, lim in enumerate(limits):
-        x = lim - c[d]
-        jt = min(jt, 0 if x < 0 else int(np.searchsorted(S[:, d], x, side="right")) - 1)
-    if row_limit is not None:
-        jt = min(jt, int(row_limit) - r)
-    return max(0, min(jt, m))
-
-
 def _starts_from(nxt_list: list, j: int, m: int) -> np.ndarray:
     marks = np.zeros(m, dtype=np.int64)
     s = j
@@ -181,195 +136,119 @@ def _prefix(pdf: pd.DataFrame, cols: list, lo: int, hi: int) -> np.ndarray:
 # --------------------------------------------------------------------------
 
 class _Spec:
-    def __init__(self, kind, gcols, ocols, value_col, pack, row_limit):
-        self.kind = kind
+    def __init__(self, gcols, ocols, pack, row_limit):
         self.gcols = gcols
         self.ocols = ocols
-        self.value_col = value_col
         self.pack_cols = [c for c, _ in pack]
-        self.limits = [lim for _, lim in pack]
-        self.row_limit = row_limit
+        self.limits = packtable.Limits([lim for _, lim in pack], row_limit)
 
 
 def _summarise(spec: _Spec):
-    gcols, kind = spec.gcols, spec.kind
+    """One node per partition: its first and last group, and its packing table or exit state."""
 
     def fn(batches):
         pdf = _concat(batches)
         if pdf is None:
             return
-        pid = int(pdf[_PID].iat[0])
-        n = len(pdf)
-        start = _segment_starts(pdf, gcols)
-        bounds = _seg_bounds(start)
-        nseg = len(bounds) - 1
-        out = {"pid": pid, "n": n, "nseg": nseg,
-               "first_key": _key_at(pdf, gcols, 0), "last_key": _key_at(pdf, gcols, n - 1),
-               "first_n": int(bounds[1] - bounds[0]), "last_n": int(bounds[-1] - bounds[-2])}
-        payload = {}
-        if kind in ("sum", "max"):
-            v = pdf[spec.value_col]
-            first = v.iloc[bounds[0]:bounds[1]]
-            last = v.iloc[bounds[-2]:bounds[-1]]
-            if kind == "sum":
-                payload["first"] = _pyval(first.fillna(0).sum())
-                payload["last"] = _pyval(last.fillna(0).sum())
-            else:
-                payload["first"] = _pyval(first.max())
-                payload["last"] = _pyval(last.max())
-        elif kind == "greedy":
-            # exit of the last segment when it starts fresh in this partition
-            lo, hi = int(bounds[-2]), int(bounds[-1])
-            S = _prefix(pdf, spec.pack_cols, lo, hi)
-            nxt = _next_start(S, spec.limits, spec.row_limit)
-            jump, hops = _chase_all(nxt)
-            m = hi - lo
-            ls = int(jump[0])
-            payload["last_local"] = [(S[m] - S[ls]).tolist(), int(m - ls), int(hops[0]) + 1]
-            if nseg == 1:
-                # exit state as a function of where the carried chunk is closed
-                kmax = m
-                for d, lim in enumerate(spec.limits):
-                    kmax = min(kmax, int(np.searchsorted(S[:, d], lim, side="right")) - 1)
-                J = min(kmax, m - 1)
-                if spec.row_limit is not None:
-                    J = min(J, int(spec.row_limit) - 1)
-                J = max(J, 0)
-                cand = np.arange(J + 1)
-                ls_c = jump[cand]
-                h_c = hops[cand]
-                tl = S[m][None, :] - S[ls_c]
-                rl = m - ls_c
-                change = np.ones(J + 1, dtype=bool)
-                change[1:] = ((h_c[1:] != h_c[:-1]) | (rl[1:] != rl[:-1])
-                              | np.any(tl[1:] != tl[:-1], axis=1))
-                idx = np.flatnonzero(change)
-                payload["runs"] = [[int(a), S[a].tolist(), int(h_c[a]), tl[a].tolist(), int(rl[a])]
-                                   for a in idx]
-                payload["total"] = S[m].tolist()
-        out["payload"] = json.dumps(payload)
-        yield pd.DataFrame([out])
+        bounds = _seg_bounds(_segment_starts(pdf, spec.gcols))
+        lo, hi = int(bounds[-2]), int(bounds[-1])
+        table = packtable.from_rows(_prefix(pdf, spec.pack_cols, lo, hi), spec.limits)
+        keys = _key_at(pdf, spec.gcols, 0), _key_at(pdf, spec.gcols, len(pdf) - 1)
+        yield packtable.to_frame([packtable.leaf(int(pdf[_PID].iat[0]), *keys, len(bounds) == 2, table, spec.limits)])
 
     return fn
 
 
-_SUMMARY_SCHEMA = T.StructType([
-    T.StructField("pid", T.IntegerType()), T.StructField("n", T.LongType()),
-    T.StructField("nseg", T.LongType()), T.StructField("first_key", T.StringType()),
-    T.StructField("last_key", T.StringType()), T.StructField("first_n", T.LongType()),
-    T.StructField("last_n", T.LongType()), T.StructField("payload", T.StringType()),
-])
-
-
-def _greedy_exit(entry, s, payload, limits, row_limit):
-    """Exit state (sums, rows, part, rows seen in the group) of a single-segment partition."""
-    c, r, part, seen = entry
-    n = s["n"]
-    if r > 0:
-        x = [lim - cd for lim, cd in zip(limits, c)]
-        fits = all(t <= xd for t, xd in zip(payload["total"], x))
-        if fits and (row_limit is None or r + n <= row_limit):
-            return ([cd + t for cd, t in zip(c, payload["total"])], r + n, part, seen + n)
-        cap = math.inf if row_limit is None else row_limit - r
-        chosen = payload["runs"][0]
-        for run in payload["runs"]:
-            if all(sa <= xd for sa, xd in zip(run[1], x)) and run[0] <= cap:
-                chosen = run
-            else:
-                break
-    else:
-        chosen = payload["runs"][0]
-    _, _, hops, tl, rl = chosen
-    return (tl, rl, part + 1 + hops, seen + n)
-
-
-def _chain(spec: _Spec, summaries: list[dict]) -> dict:
-    """Driver side: walk partition summaries in order, return each partition's entry."""
-    kind = spec.kind
-    entries: dict[int, dict] = {}
-    carried_key, carried = None, None
-    for s in sorted(summaries, key=lambda d: d["pid"]):
-        payload = json.loads(s["payload"])
-        cont = carried_key is not None and carried_key == s["first_key"]
-        if kind in ("sum", "max"):
-            entry = carried if cont else None
-            if s["nseg"] == 1:
-                whole = payload["first"]
-                if entry is None:
-                    exit_state = whole
-                elif whole is None:
-                    exit_state = entry
-                else:
-                    exit_state = entry + whole if kind == "sum" else max(entry, whole)
-            else:
-                exit_state = payload["last"]
-        else:  # greedy
-            entry = carried if cont else ([0] * len(spec.limits), 0, 0, 0)
-            if s["nseg"] == 1:
-                exit_state = _greedy_exit(entry, s, payload, spec.limits, spec.row_limit)
-            else:
-                exit_state = tuple(payload["last_local"]) + (s["last_n"],)
-        entries[s["pid"]] = {"entry": entry, "first_key": s["first_key"],
-                             "last_key": s["last_key"]}
-        carried_key, carried = s["last_key"], exit_state
-    return entries
+#: Partitions, and nodes of each further level, that one task composes.
+FAN = 16
+
+
+def _entries(nodes: DataFrame, spec: _Spec, count: int) -> dict:
+    """{partition: its entry state}, from the partitions' nodes; composed and handed down in tasks."""
+    limits = spec.limits
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        some = packtable.from_frame(pdf)
+        return packtable.to_frame([packtable.compose(some, limits, int(some[0].node) // FAN)])
+
+    def down(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        return packtable.entry_frame(packtable.enter(packtable.from_frame(pdf), packtable.entries_of(above), limits))
+
+    parent = F.floor(F.col("node") / FAN).cast("long").alias("parent")
+    levels = []
+    while count > FAN:
+        nodes = nodes.checkpoint(eager=True)
+        levels.append(nodes)
+        nodes = nodes.groupBy(parent).applyInPandas(up, packtable.NODE_SCHEMA)
+        count = -(-count // FAN)
+    start = nodes.sparkSession.createDataFrame([(0, None, [0] * len(limits.tops), 0, 0, 0)], packtable.ENTRY_SCHEMA)
+    at = nodes.groupBy(F.lit(0).cast("long").alias("parent")).cogroup(
+        start.groupBy(F.col("node").alias("parent"))).applyInPandas(down, packtable.ENTRY_SCHEMA)
+    for level in reversed(levels):
+        at = level.groupBy(parent).cogroup(at.groupBy(F.col("node").alias("parent"))).applyInPandas(
+            down, packtable.ENTRY_SCHEMA)
+    return {r.node: (list(r.c), r.r, r.part, r.seen) for r in at.collect()}
 
 
 def _emit(spec: _Spec, entries, extra: list[str]):
     """Second pass; ``entries`` is a broadcast of {partition id: entry state}."""
-    gcols, kind = spec.gcols, spec.kind
+    gcols, limits = spec.gcols, spec.limits
     keep = gcols + spec.ocols + extra
 
     def fn(batches):
         pdf = _concat(batches)
         if pdf is None:
             return
-        pid = int(pdf[_PID].iat[0])
-        info = entries.value[pid]
-        entry = info["entry"]
+        entry = entries.value[int(pdf[_PID].iat[0])]
         n = len(pdf)
-        start = _segment_starts(pdf, gcols)
-        bounds = _seg_bounds(start)
-        seg = np.cumsum(start) - 1
+        bounds = _seg_bounds(_segment_starts(pdf, gcols))
         out = pdf[keep].copy()
-        if kind in ("sum", "max"):
-            v = pdf[spec.value_col]
-            if kind == "sum":
-                v = v.fillna(0)
-                run = v.groupby(seg).cumsum().to_numpy()
+        part = np.zeros(n, dtype=np.int64)
+        rn = np.zeros(n, dtype=np.int64)
+        for si in range(len(bounds) - 1):
+            lo, hi = int(bounds[si]), int(bounds[si + 1])
+            m = hi - lo
+            S = _prefix(pdf, spec.pack_cols, lo, hi)
+            nxt = next_start(S, limits).tolist()
+            if si == 0:
+                c, r, base, seen = entry
+                j = entry_cut(S, c, r, limits)
             else:
-                run = v.groupby(seg).cummax().to_numpy()
-            if entry is not None:
-                first_len = bounds[1] - bounds[0]
-                head = run[:first_len]
-                if kind == "sum":
-                    run[:first_len] = head + entry
-                else:
-                    run[:first_len] = np.where(pd.isna(head), entry, np.maximum(head, entry))
-            out["_run"] = run
-        else:
-            part = np.zeros(n, dtype=np.int64)
-            rn = np.zeros(n, dtype=np.int64)
-            for si in range(len(bounds) - 1):
-                lo, hi = int(bounds[si]), int(bounds[si + 1])
-                m = hi - lo
-                S = _prefix(pdf, spec.pack_cols, lo, hi)
-                nxt = _next_start(S, spec.limits, spec.row_limit).tolist()
-                if si == 0:
-                    c, r, base, seen = entry
-                    j = _entry_cut(S, c, r, spec.limits, spec.row_limit)
-                else:
-                    base, j, seen = 0, 0, 0
-                marks = _starts_from(nxt, j, m)
-                part[lo:hi] = base + np.cumsum(marks)
-                rn[lo:hi] = seen + np.arange(1, m + 1)
-            out["_part"] = part
-            out["_rn"] = rn
+                base, j, seen = 0, 0, 0
+            marks = _starts_from(nxt, j, m)
+            part[lo:hi] = base + np.cumsum(marks)
+            rn[lo:hi] = seen + np.arange(1, m + 1)
+        out["_part"] = part
+        out["_rn"] = rn
         yield out
 
     return fn
 
 
+def _running(laid: DataFrame, gcols: list[str], ocols: list[str], others: list[str], value_col: str, kind: str) -> DataFrame:
+    """Running sum or maximum over a fixed layout, in the JVM and on two levels.
+
+    A slice is the part of a group that one partition holds.  Inside a slice a window folds the rows in order; what
+    the group's earlier slices amount to comes from a table of one row per slice.
+    """
+    fold = F.sum if kind == "sum" else F.max
+    tagged = laid.withColumn(_PID, F.spark_partition_id())
+    group = Window.partitionBy(*gcols)
+    earlier = group.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    slices = tagged.groupBy(_PID, *gcols).agg(fold(value_col).alias("_all"))
+    slices = slices.withColumn("_before", fold("_all").over(earlier))
+    own = Window.partitionBy(_PID, *gcols).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
+    left, right = tagged.withColumn("_here", fold(value_col).over(own)).alias("_l"), slices.alias("_r")
+    cond = F.col(f"_l.{_PID}") == F.col(f"_r.{_PID}")
+    for c in gcols:
+        cond = cond & F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))
+    zero = F.lit(0).cast(laid.schema[value_col].dataType)
+    run = (F.coalesce("_here", zero) + F.coalesce("_before", zero)) if kind == "sum" else F.greatest("_here", "_before")
+    whole = isinstance(laid.schema[value_col].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
+    return left.join(right, cond).select(*[F.col(f"_l.{c}") for c in gcols + ocols + others],
+                                         run.cast("long" if whole else "double").alias("_run"))
+
+
 def _number(laid: DataFrame, gcols: list[str], others: list[str]) -> DataFrame:
     """Row numbers and group sizes over a fixed layout, in the JVM.
 
@@ -415,55 +294,35 @@ def ordered_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], ki
     extra = ([value_col] if value_col else []) + [c for c, _ in pack]
     cols = gcols + ocols + [c for c in dict.fromkeys(extra) if c not in gcols + ocols]
     extra_out = [c for c in cols if c not in gcols + ocols]
-    spec = _Spec(kind, gcols, ocols, value_col, pack, row_limit)
-    # The narrow projection is read twice (range-bound sampling, checkpoint
+    # The narrow projection is read several times (count, range-bound sampling, checkpoint
     # write); keep it so computed columns (e.g. token counts) run once.
     narrow = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if kind == "greedy" and not num_partitions:
-            num_partitions = _greedy_partitions(narrow, spec)
+            num_partitions = packing_partitions(narrow.count())
         laid = range_layout(narrow, gcols + ocols, num_partitions)
     finally:
         narrow.unpersist()
     if kind == "number":
         return _number(laid, gcols, ocols + extra_out)
+    if kind != "greedy":
+        return _running(laid, gcols, ocols, extra_out, value_col, kind)
+    spec = _Spec(gcols, ocols, pack, row_limit)
     tagged = laid.withColumn(_PID, F.spark_partition_id())
-    summaries = [r.asDict() for r in
-                 tagged.mapInPandas(_summarise(spec), _SUMMARY_SCHEMA).collect()]
-    entries = _chain(spec, summaries)
-
+    entries = _entries(tagged.mapInPandas(_summarise(spec), packtable.NODE_SCHEMA), spec, _num_partitions(laid, num_partitions))
     fields = [laid.schema[c] for c in gcols + ocols + extra_out]
-    if kind in ("sum", "max"):
-        vt = laid.schema[value_col].dataType
-        rt = T.LongType() if isinstance(vt, (T.IntegerType, T.LongType, T.ShortType,
-                                             T.ByteType)) else T.DoubleType()
-        fields += [T.StructField("_run", rt)]
-    else:
-        fields += [T.StructField("_part", T.LongType()), T.StructField("_rn", T.LongType())]
+    fields += [T.StructField("_part", T.LongType()), T.StructField("_rn", T.LongType())]
     # One entry per partition: shipped once per executor, not inside every task's closure.
     bc = laid.sparkSession.sparkContext.broadcast(entries)
     return tagged.mapInPandas(_emit(spec, bc, extra_out), T.StructType(fields))
 
 
-# A packing partition should hold many chunks, so that chains started from
-# different cut points merge inside it and its exit-state table stays short.
-CHUNKS_PER_PARTITION = 16
+#: Narrow rows of one packing partition, which its task holds.
+ROWS_PER_PARTITION = 100_000
 
 
-def _greedy_partitions(narrow: DataFrame, spec: _Spec) -> int:
-    """Partitions for a packing scan: the session default, fewer if chunks are large."""
-    default = _num_partitions(narrow, None)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"a{i}") for i, c in enumerate(spec.pack_cols)]
-    row = narrow.agg(*aggs).first()
-    n = row["n"] or 0
-    if n == 0:
-        return 1
-    per_chunk = float(spec.row_limit) if spec.row_limit else float(n)
-    for i, lim in enumerate(spec.limits):
-        avg = row[f"a{i}"] or 0.0
-        if avg > 0:
-            per_chunk = min(per_chunk, max(1.0, lim / avg))
-    return int(max(1, min(default, n // max(1.0, per_chunk * CHUNKS_PER_PARTITION))))
+def packing_partitions(rows: int) -> int:
+    return max(1, -(-rows // ROWS_PER_PARTITION))
 
 
 def attach(df: DataFrame, scanned: DataFrame, keys: list[str], result_cols: list[str]) -> DataFrame:
