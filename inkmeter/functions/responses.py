@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkmeter.functions import keybits
+
 # Error texts of the answer contract.
 MALFORMED = "Error: Malformed response data"
 UNKNOWN = "Error: Unknown structure in output item"
@@ -33,40 +35,60 @@ STATUS_PREFIX = "Error: Batch job status - "
 _FALSY = ["{}", "[]", "", "0", "0.0", "false"]
 
 
-def _truthy(raw: Column, line: Column, path: str) -> Column:
-    """Whether a JSON value counts as present.  ``raw`` is unquoted, so the texts ``0``, ``false``, ``{}`` are told from
-    the literals by their JSON type."""
+def _kind(v: Column, path: str) -> Column:
+    """Type of the value at a path: null where there is none, ``VOID`` for a JSON null."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _scalar(v: Column, path: str) -> Column:
+    """A value as unquoted text, null for a JSON null."""
+    return F.try_variant_get(v, path, "string")
+
+
+def _present(v: Column, path: str) -> Column:
+    """Whether a JSON value counts as present.  The texts ``"0"``, ``"false"``, ``"{}"`` are told from the literals by
+    their type, which is looked at only where the text leaves it open."""
+    raw = _scalar(v, path)
     literal = raw.isin(*_FALSY) & (raw != "")
-    text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(line), path, "variant")) == "STRING"
-    return F.when(raw.isNull() | (raw == ""), F.lit(False)).when(literal, F.coalesce(text, F.lit(False))).otherwise(
-        F.lit(True))
+    return F.when(raw.isNull() | (raw == ""), F.lit(False)).when(
+        literal, F.coalesce(_kind(v, path) == "STRING", F.lit(False))).otherwise(F.lit(True))
+
 
+def _text(v: Column, line: Column, path: str) -> Column:
+    """A value as text: strings as they are, anything nested as the line writes it (only then is the line read again)."""
+    nested = F.try_variant_get(v, path, "variant")
+    kind = F.schema_of_variant(nested)
+    return (F.when(nested.isNull() | F.is_variant_null(nested), F.lit(None).cast("string"))
+            .when(kind == "STRING", _scalar(v, path)).otherwise(F.get_json_object(line, path)))
 
-def classify(line_col: str = "value") -> list[Column]:
+
+def classify(line_col: str = "value", parsed: Column | None = None) -> list[Column]:
     """Columns: custom_id, llm_score, error_type, error_message, corrupt."""
-    return [c.alias(name) for name, c in classify_parts(line_col).items()]
+    return [c.alias(name) for name, c in classify_parts(line_col, parsed).items()]
+
 
+def classify_parts(line_col: str = "value", parsed: Column | None = None) -> dict[str, Column]:
+    """The classification as named expressions (see ``classify``).
 
-def classify_parts(line_col: str = "value") -> dict[str, Column]:
-    """The classification as named expressions (see ``classify``)."""
+    ``parsed``: a column that holds ``parse(line_col)``, so that the line is parsed once and every field is looked up
+    in the result.
+    """
     line = F.col(line_col)
-    corrupt = F.try_parse_json(line).isNull()
-    cid = F.get_json_object(line, "$.custom_id")
-    resp = F.get_json_object(line, "$.response")
-    err = F.get_json_object(line, "$.error")
-    message = F.get_json_object(line, "$.response.body.choices[0].message")
-    has_content = F.coalesce(F.array_contains(F.json_object_keys(message), "content"), F.lit(False))
-    content = F.get_json_object(line, "$.response.body.choices[0].message.content")
-    named = F.coalesce(F.json_object_keys(err), F.array().cast("array<string>"))
+    v = parse(line_col) if parsed is None else parsed
+    answer = "$.response.body.choices[0].message.content"
+    corrupt = v.isNull()
+    has_content = F.try_variant_get(v, answer, "variant").isNotNull()
+    content = _text(v, line, answer)
 
     def field(name: str, default: str) -> Column:
         """A field of the error object; a null value reads ``None``, a missing one the default."""
-        return F.coalesce(F.get_json_object(line, f"$.error.{name}"),
-                          F.when(F.array_contains(named, name), F.lit("None")).otherwise(F.lit(default)))
+        there = F.try_variant_get(v, f"$.error.{name}", "variant")
+        return F.when(there.isNull(), F.lit(default)).when(F.is_variant_null(there), F.lit("None")).otherwise(
+            _text(v, line, f"$.error.{name}"))
 
     code, msg = field("code", "N/A"), field("message", "Unknown error")
-    bad = _truthy(err, line, "$.error")
-    ok = _truthy(resp, line, "$.response") & ~bad
+    bad = _present(v, "$.error")
+    ok = _present(v, "$.response") & ~bad
     score = (F.when(corrupt, F.lit(None).cast("string"))
              .when(ok & has_content, content)
              .when(ok, F.lit(MALFORMED))
@@ -78,14 +100,20 @@ def classify_parts(line_col: str = "value") -> dict[str, Column]:
              .when(ok, F.lit("Malformed"))
              .when(bad, F.lit("ApiError"))
              .otherwise(F.lit("UnknownStructure")))
-    return {"custom_id": F.when(~corrupt, cid), "llm_score": score, "error_type": etype,
+    return {"custom_id": _text(v, line, "$.custom_id"), "llm_score": score, "error_type": etype,
             "error_message": F.when(bad & ~ok, msg), "corrupt": corrupt}
 
 
+def parse(line_col: str) -> Column:
+    """A line as a variant; null if it is no JSON."""
+    return F.try_parse_json(F.col(line_col))
+
+
 def parse_lines(lines: DataFrame, line_col: str = "value", keep=()) -> DataFrame:
     """D6/D7 over every non-blank line; ``keep`` carries order columns."""
     nonblank = lines.filter(F.trim(F.col(line_col)) != "")
-    return nonblank.select(*keep, *classify(line_col))
+    once = nonblank.select(*keep, F.col(line_col).alias("_line"), parse(line_col).alias("_parsed"))
+    return once.select(*keep, *classify("_line", F.col("_parsed")))
 
 
 def with_id(parsed: DataFrame) -> DataFrame:
@@ -113,13 +141,21 @@ def readability(parsed: DataFrame, batch_col: str) -> DataFrame:
 def dedupe_last(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """Last write wins per key in (order_cols) order.
 
-    ``max_by`` is a hash aggregate with a partial (map-side) step, so even a key
-    repeated across a third of all rows is reduced inside each task first.
+    Most ids come once.  A hash aggregate counts the keys' 64-bit hashes; those that come more than once set bits of a
+    bitmap of at most 16 MB, which is broadcast.  Rows whose bit is not set are the only ones of their key and pass
+    through without a shuffle or a sort; only the others go to ``max_by``, which reduces them inside each task first.
+    A bitmap that is too small for all repeated keys sends more rows that way and changes no result.
+
+    ``df`` is read three times: hand over something cheap to read, such as a checkpointed table.  Null keys are a key.
     """
     others = [c for c in df.columns if c != key]
+    hashed = df.select("*", F.xxhash64(F.col(key)).alias("_key_hash"))
+    repeated = hashed.groupBy("_key_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key_hash")
+    marked = keybits.marked(hashed, "_key_hash", keybits.bitmaps(repeated, "_key_hash"), "_again")
+    once = marked.filter(~F.col("_again")).select(key, *others)
     order = F.struct(*[F.col(c) for c in order_cols])
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in others]), order).alias("_w"))
-    return picked.select(key, *[F.col("_w")[c].alias(c) for c in others])
+    picked = marked.filter("_again").groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in others]), order).alias("_w"))
+    return once.unionByName(picked.select(key, *[F.col("_w")[c].alias(c) for c in others]))
 
 
 # Forms of a score: a whole number, alone or after the label.

@@ -148,9 +148,9 @@ def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrenc
     return laid.mapInPandas(run, schema)
 
 
-def scored_answer(scored: DataFrame) -> list[Column]:
-    """llm_score and error_type of each scored row (F1 + F4 rules, parsed in the JVM)."""
-    parts = R.classify_parts("line")
+def scored_answer(scored: DataFrame) -> DataFrame:
+    """``scored`` plus llm_score and error_type of each row (F1 + F4 rules, each line parsed once in the JVM)."""
+    parts = R.classify_parts("line", F.col("_parsed"))
     score, etype = parts["llm_score"], parts["error_type"]
     failed = F.col("status").isin("failed", "error")
     llm = (F.when(failed, F.coalesce(F.col("error_message"), F.lit("Error during job preparation")))
@@ -159,7 +159,7 @@ def scored_answer(scored: DataFrame) -> list[Column]:
     et = (F.when(failed, F.concat(F.lit("Chunk:"), F.col("status")))
           .when(F.col("line").isNull(), F.lit("NotFound"))
           .otherwise(etype))
-    return [llm.alias("llm_score"), et.alias("error_type")]
+    return scored.withColumn("_parsed", R.parse("line")).select(*scored.columns, llm.alias("llm_score"), et.alias("error_type"))
 
 
 def chunk_status(scored: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def chunk_status(scored: DataFrame) -> DataFrame:
 
 def policy_continue(scored: DataFrame) -> DataFrame:
     """Every row returned; rows of failed chunks carry the chunk error."""
-    return scored.select("*", *scored_answer(scored))
+    return scored_answer(scored)
 
 
 def policy_halt(scored: DataFrame, keys=("file",), part_cols=("part",)) -> DataFrame:
@@ -183,4 +183,4 @@ def policy_halt(scored: DataFrame, keys=("file",), part_cols=("part",)) -> DataF
                  .groupBy(*keys).agg(F.min(part).alias("_first_bad")))
     j = scored.join(broadcast_if_small(first_bad), list(keys), "left")
     kept = j.filter(F.col("_first_bad").isNull() | (part < F.col("_first_bad"))).drop("_first_bad")
-    return kept.select("*", *scored_answer(kept))
+    return scored_answer(kept)

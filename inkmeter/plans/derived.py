@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from inkmeter.functions import ids, responses
 from inkmeter.plans import inputs
+from inkmeter.session import ensure_checkpoint_dir
 
 # Line templates of the answer file (service JSON shape).
 OK_LINE = ('{"id": "batch_req_%d", "custom_id": "%s", "response": {"status_code": 200, "body": '
@@ -89,6 +90,7 @@ def parsed_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def final_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Usable answers, one per id, last line wins."""
-    usable = responses.with_id(parsed_answers(spark, sf))
-    return responses.dedupe_last(usable.drop("corrupt"), "custom_id", ["pos", "k"])
+    """Usable answers, one per id, last line wins.  Lines are parsed once, into a checkpointed table."""
+    ensure_checkpoint_dir(spark)
+    usable = responses.with_id(parsed_answers(spark, sf)).drop("corrupt").checkpoint(eager=True)
+    return responses.dedupe_last(usable, "custom_id", ["pos", "k"])

@@ -430,3 +430,53 @@ def test_documents_without_language_reach_every_file_query(spark, tmp_path):
     d.to_parquet(tmp_path / "documents.parquet", index=False)
     report = compare(spark, str(tmp_path), ["src_dispatch", "src_dir_union", "grade_files"], verbose=False)
     assert report == {k: ("OK", 200, 200) for k in report} and len(report) == 3
+
+
+# --------------------------------------------------------------------------
+# last write wins through the bitmap of repeated ids
+# --------------------------------------------------------------------------
+
+def test_dedupe_last_with_many_and_no_repeats(spark, monkeypatch):
+    import random
+
+    from inkmeter.functions import keybits
+
+    rng = random.Random(3)
+    rows = [(f"k{rng.randrange(3000)}", i, f"v{i}") for i in range(4000)] + [("hot", 5000 + i, f"h{i}") for i in range(900)]
+    rows += [(None, 9000, "n0"), (None, 9001, "n1"), ("null value", 9002, "x"), ("null value", 9003, None)]
+    rng.shuffle(rows)
+    want = {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        want[k] = (i, v)
+    df = spark.createDataFrame(rows, "custom_id string, pos long, llm_score string").checkpoint()
+    for maps in (keybits.MAPS, 1):  # one bitmap is crowded: more rows take the long way, the result is the same
+        bits, mark = keybits.bitmaps, keybits.marked
+        with monkeypatch.context() as m:
+            m.setattr(keybits, "bitmaps", lambda k, h: bits(k, h, maps))
+            m.setattr(keybits, "marked", lambda d, h, t, n: mark(d, h, t, n, maps))
+            got = responses.dedupe_last(df, "custom_id", ["pos"]).collect()
+        assert {r.custom_id: (r.pos, r.llm_score) for r in got} == want and len(got) == len(want)
+    plan = responses.dedupe_last(df, "custom_id", ["pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_a_line_is_parsed_once(spark):
+    """Fields are looked up in the parsed value; only nested answers are read from the line again."""
+    df = spark.createDataFrame([("{}",)], "value string")
+    plan = responses.parse_lines(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") <= 1
+
+
+def test_nested_and_literal_lookalikes(spark):
+    def line(**k):
+        return json.dumps(k)
+
+    body = {"body": {"choices": [{"message": {"content": {"b": 1, "a": [2]}}}]}}
+    cases = [(line(custom_id="1", response=body, error=None), '{"b":1,"a":[2]}', None),
+             (line(custom_id="2", response="{}", error=None), responses.MALFORMED, "Malformed"),
+             (line(custom_id="3", response={}, error="false"), "Error: N/A - Unknown error", "ApiError"),
+             (line(custom_id="4", response=0, error=False), responses.UNKNOWN, "UnknownStructure"),
+             (line(custom_id="5", response={}, error={"code": None}), "Error: None - Unknown error", "ApiError")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "value string")
+    got = {r.custom_id: (r.llm_score, r.error_type) for r in responses.parse_lines(df).collect()}
+    assert got == {str(i): c[1:] for i, c in enumerate(cases, 1)}
