@@ -185,7 +185,7 @@ def ingest_dir(spark, input_dir: str, text_col: str = "response", schema=None,
     raw = readers.read_input_dir(spark, input_dir, schema, recursive)
     if raw is None:
         return None
-    located = raw.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    located = raw.checkpoint(eager=True)
     ranks = ordered_scan(located, ["file"], ["_block", "_row"], "number")
     rows = attach(located, ranks, ["file", "_block", "_row"], ["_rn"]).withColumnRenamed("_rn", "pos")
     rows = rows.drop("_block", "_row", "_n").withColumn("text", F.col(text_col).cast("string"))

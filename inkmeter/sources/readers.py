@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkmeter.sources import splitread
+
 SUPPORTED = (".csv", ".json", ".jsonl")
 
 PRICING_SCHEMA = T.StructType([T.StructField("Model", T.StringType()),
@@ -40,24 +43,21 @@ def with_file_order(df: DataFrame) -> DataFrame:
             .withColumn("_row", F.monotonically_increasing_id()))
 
 
-def csv_options(reader, schema=None, multi_line: bool = True, mode: str = "FAILFAST"):
-    r = reader.option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", mode)
-    return r.schema(schema) if schema is not None else r.option("inferSchema", True)
-
-
-def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True, mode: str = "FAILFAST") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema=None, split: bool = True, mode: str = "FAILFAST") -> DataFrame:
     """A1: header row; explicit schema preferred, inference optional.
 
-    Malformed rows raise (``mode="PERMISSIVE"`` turns them into nulls).  Quoted line breaks need ``multi_line``;
-    without them ``multi_line=False`` splits a large file over many tasks.
+    Malformed rows raise (``mode="PERMISSIVE"`` turns them into nulls).  A large file is read by many tasks, quoted line
+    breaks included; ``split=False`` gives every file to one task, for quoting that is not RFC 4180.
     """
-    return csv_options(spark.read, schema, multi_line, mode).csv(path)
+    if split:
+        return splitread.parsed_csv(spark, path, schema, mode).select("r.*")
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", mode)
+    return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A2: a file holding one JSON array of objects (not splittable); malformed input raises."""
-    r = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    return (r.schema(schema) if schema is not None else r).json(path)
+    """A2: files that hold one JSON array of objects, read by many tasks; malformed input raises."""
+    return splitread.parsed_json(spark, path, schema).select("r.*")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -93,27 +93,22 @@ def file_extensions(spark: SparkSession, directory: str, recursive: bool = False
 def read_input_dir(spark: SparkSession, directory: str, schema=None, recursive: bool = False) -> DataFrame | None:
     """Every .csv/.json/.jsonl in a folder (``recursive``: and below), unioned by column name.
 
-    Each source row keeps its file path as ``file`` and its split offset as
-    ``_block`` (for file order); None when nothing matches.  Malformed input raises.
+    Each source row keeps its file path as ``file``, its split offset as ``_block`` and its place in the split as
+    ``_row`` (for file order); None when nothing matches.  Malformed input raises.
     """
     parts = []
     found = file_extensions(spark, directory, recursive)
-    for ext in (".csv", ".json", ".jsonl"):
-        if ext not in found:
-            continue
+    if ".csv" in found:
+        parts.append(splitread.read_csv(spark, directory, schema, recursive=recursive, glob="*.csv"))
+    if ".json" in found:
+        parts.append(splitread.read_json_array(spark, directory, schema, recursive, "*.json"))
+    if ".jsonl" in found:
+        reader = spark.read.option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", recursive)
         try:
-            df = csv_options(spark.read, schema) if ext == ".csv" else (
-                spark.read.option("multiLine", ext == ".json").option("mode", "FAILFAST"))
-            if ext != ".csv" and schema is not None:
-                df = df.schema(schema)
-            df = df.option("pathGlobFilter", f"*{ext}").option("recursiveFileLookup", recursive)
-            loaded = df.csv(directory) if ext == ".csv" else df.json(directory)
-            parts.append(loaded.withColumn("file", F.col("_metadata.file_path"))
-                         .withColumn("_block", F.col("_metadata.file_block_start")))
-        except Exception as exc:  # noqa: BLE001 - "no files" is a normal outcome
-            if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-                continue
-            raise
+            parts.append(with_file_order((reader if schema is None else reader.schema(schema)).json(directory)))
+        except AnalysisException as exc:  # files without a line have no schema
+            if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
     if not parts:
         return None
     out = parts[0]
