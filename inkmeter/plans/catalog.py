@@ -904,21 +904,23 @@ def grade_usage(spark, sf):
     return ev.select("file", "api_key_prefix", "model", "input_tokens", "output_tokens", "total_tokens", "cost")
 
 
-FAILED_FILE = "src3"
+FAILED_FILE, WAVE_FILES = "src3", 5
 
 
 @register("grade_job")
 def grade_job(spark, sf):
-    """L1 with its sinks: one file fails as a whole and halts the later ones; everything written is read back."""
+    """L1 with its sinks, in waves of files: one file fails as a whole and halts the later ones; all that the run has
+    committed is read back.  The daily log counts the tokens of the whole failed wave, which were sent."""
     from inkmeter.plans.jobs import run_job
+    from inkmeter.sources import runs
 
-    paths = run_job(derived.docs(spark, sf), inputs.Prompt(), scratch_path(spark, "job"), _prices(spark),
-                    "sk-inkmeter-grader", "20240201T000000", split_token_limit=PARAMS["chunk_tokens"],
-                    scorer=derived.failing_scorer(FAILED_FILE), halt_on_chunk_failure=False)
-    result = spark.read.parquet(paths["results"]).groupBy("file").agg(
+    out = scratch_path(spark, "job")
+    run_job(derived.docs(spark, sf), inputs.Prompt(), out, _prices(spark), "sk-inkmeter-grader", "20240201T000000",
+            split_token_limit=PARAMS["chunk_tokens"], wave_files=WAVE_FILES,
+            scorer=derived.failing_scorer(FAILED_FILE), halt_on_chunk_failure=False)
+    result = runs.read_results(spark, out).groupBy("file").agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.sum("input_tokens").cast("long").alias("tokens"))
-    usage = readers.read_usage_events(spark, paths["usage"])
-    daily = readers.read_daily_log(spark, paths["daily"], multi_line=False)
+    usage, daily = runs.read_usage(spark, out), runs.read_daily(spark, out)
     one = F.lit(1).cast("long")
     return (result.select(F.lit("result").alias("kind"), F.col("file").alias("name"), "n", "tokens")
             .unionByName(usage.select(F.lit("usage").alias("kind"), F.col("request_id").alias("name"), one.alias("n"),

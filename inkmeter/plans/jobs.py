@@ -9,7 +9,7 @@ from inkmeter.functions import prompts, tokens
 from inkmeter.functions.ids import mask_key
 from inkmeter.operators import admission, aggregates, ledger, packing, results, scoring
 from inkmeter.session import ensure_checkpoint_dir
-from inkmeter.sources import writers
+from inkmeter.sources import readers, runs, writers
 
 # Fixed value: tokens a chunk may hold by default.
 SPLIT_TOKEN_LIMIT = 500_000
@@ -33,6 +33,17 @@ def grade(rows: DataFrame, prompt, token_limit: int | None = None, split_token_l
     ``halt_on_chunk_failure`` keeps only chunks before a file's first failed
     chunk (G11); without it every admitted row comes back exactly once.
     """
+    chunks = packed_rows(rows, prompt, token_limit, split_token_limit, chunk_rows, force_chunk_count)
+    # Score once: a real scorer is a billed external call, so later actions (and the
+    # two reads of the halt policy) use this snapshot instead of calling it again.
+    # The snapshot holds answers and ids only, never the input text.
+    scored = scored_rows(rows, chunks, scorer, concurrency).checkpoint(eager=True)
+    return graded_rows(scored, halt_on_chunk_failure)
+
+
+def packed_rows(rows: DataFrame, prompt, token_limit: int | None = None, split_token_limit: int = SPLIT_TOKEN_LIMIT,
+                chunk_rows: int = packing.MAX_REQUESTS_PER_BATCH, force_chunk_count: int = 0) -> DataFrame:
+    """(file, pos, tok, part, split_part, chunk_id) of every admitted row: what will be sent, and in which chunk."""
     # Token counts are the expensive column and are read by the cap and the
     # packer: compute them once into a narrow checkpointed table.
     ensure_checkpoint_dir(rows.sparkSession)
@@ -46,17 +57,21 @@ def grade(rows: DataFrame, prompt, token_limit: int | None = None, split_token_l
     else:
         packed = packing.with_chunk_names(packing.chunk_greedy(toks, split_token_limit, chunk_rows))
         packed = packed.withColumn("split_part", F.lit(0).cast("long"))
-    chunks = rows.drop("tok").join(packed.select("file", "pos", "tok", "part", "split_part", "chunk_id"),
-                                   ["file", "pos"])
+    return packed.select("file", "pos", "tok", "part", "split_part", "chunk_id")
+
+
+def scored_rows(rows: DataFrame, packed: DataFrame, scorer: scoring.Scorer, concurrency: int | None = None) -> DataFrame:
+    """Answer lines and chunk status of every packed row."""
+    chunks = rows.drop("tok").join(packed, ["file", "pos"])
     # The scorer sees the text to evaluate (null -> 'nan', as in the request); the
     # system prompt and model are its configuration (see prompts.request_json).
     req = chunks.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("nan")))
-    scored = scoring.score_chunks(req, scorer, concurrency=concurrency, carry=("pos", "id", "chunk_id", "tok"),
-                                  chunk_cols=("file", "part", "split_part"))
-    # Score once: a real scorer is a billed external call, so later actions (and the
-    # two reads of the halt policy) use this snapshot instead of calling it again.
-    # The snapshot holds answers and ids only, never the input text.
-    scored = scored.checkpoint(eager=True)
+    return scoring.score_chunks(req, scorer, concurrency=concurrency, carry=("pos", "id", "chunk_id", "tok"),
+                                chunk_cols=("file", "part", "split_part"))
+
+
+def graded_rows(scored: DataFrame, halt_on_chunk_failure: bool = True) -> DataFrame:
+    """Scores, errors and token counts from a snapshot of :func:`scored_rows`."""
     out = (scoring.policy_halt(scored, part_cols=("part", "split_part")) if halt_on_chunk_failure
            else scoring.policy_continue(scored))
     return out.select(
@@ -80,32 +95,68 @@ def grade_usage(graded: DataFrame, pricing: DataFrame, api_key: str | None,
         F.concat(F.lit("file:"), F.col("file")).alias("request_id"))
 
 
+#: Waves of files a run is divided into if it is not told how many files make one.
+WAVES = 16
+
+
+def file_waves(rows: DataFrame, wave_files: int | None = None) -> DataFrame:
+    """(file, wave): files in order, ``wave_files`` to a wave (by default as many as make ``WAVES`` waves)."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    files = rows.select("file").distinct().withColumn("_g", F.lit(0)).checkpoint(eager=True)
+    size = wave_files or max(1, -(-files.count() // WAVES))
+    numbered = packing.number_rows(files, "_g", "file")
+    return numbered.select("file", F.floor((F.col("rn") - 1) / size).cast("int").alias("wave")).checkpoint(eager=True)
+
+
 def run_job(rows: DataFrame, prompt, out: str, pricing: DataFrame, api_key: str | None, run_ts: str,
-            daily_log: DataFrame | None = None, halt_on_file_failure: bool = True,
-            model: str = prompts.DEFAULT_MODEL, fmt: str = "parquet", **kw) -> dict[str, str]:
-    """L1 to the end: grade, then write results, daily token log and usage events below ``out``; returns the paths.
-
-    A file whose every row is an error has failed.  With ``halt_on_file_failure`` the files after the first failed one,
-    in file order, are not part of the run: they leave no result, no tokens and no event.  The failed file's own result
-    and tokens are kept, but it has no usage event.  Results go to a new ``run_ts=`` folder and never overwrite; the
-    day's tokens are added to ``daily_log`` and written as a new version beside it; events are appended.
+            halt_on_file_failure: bool = True, model: str = prompts.DEFAULT_MODEL, wave_files: int | None = None,
+            scorer: scoring.Scorer = scoring.length_scorer, concurrency: int | None = None,
+            halt_on_chunk_failure: bool = True, **packing_args) -> dict[str, str]:
+    """L1 to the end: files are scored in waves, then results, daily tokens and usage events are committed at once.
+
+    A file whose every row is an error has failed.  With ``halt_on_file_failure`` the waves after the one with the
+    first failed file are never packed nor sent to the scorer, and files after the failed one leave no result and no
+    event; ``wave_files=1`` sends nothing at all after a failed file.  The failed file's own result is kept, but it
+    has no usage event.  The daily log counts every token that was sent: a wave's tokens are written before its first
+    call, later files of a failed wave included.
+
+    A scored wave is written to its end before the next one is admitted.  A run that is repeated under its ``run_ts``
+    after it was killed goes on behind the last such wave and commits one copy of each sink; a committed run raises.
+    Returns the paths that the run's manifest names (``sources.runs`` reads them).
     """
-    graded = grade(rows, prompt, **kw).checkpoint(eager=True)
-    files = aggregates.all_failed(graded).withColumnRenamed("all_failed", "failed")
-    if halt_on_file_failure:
-        files = admission.halt_prefix(files).filter("processed").drop("processed")
-    files = files.checkpoint(eager=True)
-    done = graded.join(results.broadcast_if_small(files), "file")
+    spark = rows.sparkSession
+    work = runs.open_run(spark, out, run_ts)
     day = F.to_date(F.lit(run_ts), "yyyyMMdd'T'HHmmss")
-    paths = {"results": writers.write_versioned(done.drop("failed"), f"{out}/results", run_ts, fmt)}
-    delta = done.agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).cast("long").alias("tokens_submitted")).select(
-        day.alias("date"), mask_key(F.lit(api_key).cast("string")).alias("api_key_prefix"), "tokens_submitted")
-    log = delta if daily_log is None else ledger.daily_upsert(daily_log, delta)
-    paths["daily"] = writers.write_versioned(log, f"{out}/daily", run_ts, "json")
-    events = grade_usage(done.filter(~F.col("failed")), pricing, api_key, model,
-                         str(day_time(run_ts))).drop("file")
-    writers.append_usage(events, f"{out}/usage")
-    paths["usage"] = f"{out}/usage"
+    waves = file_waves(rows, wave_files if halt_on_file_failure else 1 << 62)
+    done: list[str] = []
+    for wave in range((waves.agg(F.max("wave")).first()[0] or 0) + 1):
+        path = f"{work}/scored/wave={wave}"
+        if not runs.complete(spark, path):
+            mine = rows.join(waves.filter(F.col("wave") == wave).select("file"), "file", "left_semi")
+            packed = packed_rows(mine, prompt, **packing_args).checkpoint(eager=True)
+            sent = packed.agg(F.coalesce(F.sum("tok"), F.lit(0)).cast("long").alias("tokens_submitted"))
+            sent.write.mode("overwrite").parquet(f"{work}/sent/wave={wave}")
+            scored_rows(mine, packed, scorer, concurrency).write.mode("overwrite").parquet(path)
+        done.append(path)
+        if halt_on_file_failure:
+            last = graded_rows(spark.read.parquet(path), halt_on_chunk_failure)
+            if aggregates.all_failed(last).filter("all_failed").limit(1).count():
+                break
+    graded = graded_rows(spark.read.parquet(*done), halt_on_chunk_failure)
+    files = aggregates.all_failed(graded).withColumnRenamed("all_failed", "failed").checkpoint(eager=True)
+    if halt_on_file_failure:
+        files = admission.halt_prefix(files).filter("processed").drop("processed").checkpoint(eager=True)
+    kept = graded.join(results.broadcast_if_small(files), "file")
+    paths = {k: f"{work}/{k}" for k in ("results", "daily", "usage")}
+    kept.drop("failed").write.mode("overwrite").parquet(paths["results"])
+    sent = spark.read.parquet(*[p.replace("/scored/", "/sent/") for p in done])
+    sent.agg(F.sum("tokens_submitted").cast("long").alias("tokens_submitted")).select(
+        day.alias("date"), mask_key(F.lit(api_key).cast("string")).alias("api_key_prefix"), "tokens_submitted").write.mode(
+        "overwrite").json(paths["daily"])
+    events = grade_usage(spark.read.parquet(paths["results"]).join(files.filter(~F.col("failed")), "file", "left_semi"),
+                         pricing, api_key, model, str(day_time(run_ts))).drop("file")
+    events.write.mode("overwrite").option("timestampFormat", readers.ISO_TS).json(paths["usage"])
+    runs.commit(spark, out, run_ts, paths)
     return paths
 
 

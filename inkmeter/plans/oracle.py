@@ -13,7 +13,7 @@ import re
 from inkmeter.functions import prompts, responses as R
 from inkmeter.functions.tokens import TOKEN_PATTERN
 from inkmeter.plans import derived
-from inkmeter.plans.catalog import FAILED_FILE as JOB_FAILED_FILE, ID_BLOCK, PARAMS, PRICE_LIST
+from inkmeter.plans.catalog import FAILED_FILE as JOB_FAILED_FILE, WAVE_FILES as JOB_WAVE_FILES, ID_BLOCK, PARAMS, PRICE_LIST
 from inkmeter.plans.inputs import EXAMPLES_PER_FILE
 
 
@@ -466,13 +466,15 @@ FROM grade GROUP BY file""")
 SQL["grade_job"] = with_base(f"""
 x AS (SELECT 1),
 run AS (SELECT file, tok, {tok("CAST(1 + length(coalesce(text, 'nan')) % 5 AS VARCHAR)")} AS output_tokens
-        FROM sub WHERE file <= '{JOB_FAILED_FILE}')
+        FROM sub WHERE file <= '{JOB_FAILED_FILE}'),
+waves AS (SELECT file, (row_number() OVER (ORDER BY file) - 1) // {JOB_WAVE_FILES} AS wave FROM (SELECT DISTINCT file FROM sub))
 SELECT 'result' AS kind, file AS name, CAST(count(*) AS BIGINT) AS n, CAST(sum(tok) AS BIGINT) AS tokens FROM run GROUP BY file
 UNION ALL
 SELECT 'usage', 'file:' || file, 1, CAST(sum(tok) + sum(output_tokens) AS BIGINT) FROM run
 WHERE file <> '{JOB_FAILED_FILE}' GROUP BY file
 UNION ALL
-SELECT 'daily', '2024-02-01|sk-inkmete**********', 1, CAST(sum(tok) AS BIGINT) FROM run""")
+SELECT 'daily', '2024-02-01|sk-inkmete**********', 1, CAST(sum(tok) AS BIGINT) FROM sub
+WHERE file IN (SELECT file FROM waves WHERE wave <= (SELECT wave FROM waves WHERE file = '{JOB_FAILED_FILE}'))""")
 SQL["grade_files"] = with_base(f"""
 fg AS (SELECT s.*, CASE WHEN lang = 'en' THEN 'csv' WHEN lang IN ('fr', 'de') THEN 'json' ELSE 'jsonl' END
                    || '|' || file || '|' || CAST(floor(pos / {ID_BLOCK}) AS VARCHAR) AS infile FROM sub s)
