@@ -19,19 +19,23 @@ listed where little else is left.  Sets of at most ``PERCENT`` % of K
 shingles are whole sketches, and so are their partners'; for these LEAST is
 the overlap the threshold asks for, without any chance.
 
-Estimate.  For a pair of a list the K least values of both sketches together
-are a sketch of the union; a pair stays if at least LEAST of them are in both
-(for whole sketches: if the exact ratio reaches the threshold).
-
-Verification.  The shingles of both texts are compared as strings.
-
-Order of work.  First every class is tried with the smallest member of its
-lists (the one it shares most lists with); the verified links give the groups
-that near copies form, without all their pairs.  Then, in each list that
-still holds more than one group, all pairs of different groups are estimated
-(inside tasks, in pieces of at most ``CELL`` by ``CELL`` rows) and verified.
-The components of both kinds of links are the result: a pair that is not
-tried has both its ends in one component already.
+Groups.  The lists whose smallest class is the same form one group: near
+copies share most of their lists, so a pair meets in few groups and not once
+for every value it shares.  A group is compared inside one task:
+
+- Estimate: the K least values of both sketches together are a sketch of the
+  union; a pair stays if at least LEAST of them are in both (for whole
+  sketches: if the exact ratio reaches the threshold).
+- Verification: the whole sets are intersected, and a pair that links two
+  parts of the group that were not connected before is verified once more on
+  the shingles themselves.  Pairs that are connected already are not tried,
+  so n near copies give n - 1 links and about as many comparisons.
+
+Groups of more than ``CELL`` classes (or ``SHINGLES`` shingles) are compared
+in parts, each with a few classes common to all parts.  Where that leaves
+them in more than one component, the classes outside of the largest one are
+compared with all of the group, again in parts.  So memory is bounded and no
+link between components is lost.
 
 Defined results: null and empty texts have n_shingles 0 and are their own
 component; rows with a null doc_id keep their row, have no part in choosing
@@ -61,9 +65,8 @@ K = 64
 LEAST = 34
 #: Largest set whose linked partners are whole sketches, too.
 WHOLE = K * PERCENT // 100
-#: Rows of a list that are compared with each other in one piece, and pairs of one centre that one task verifies.
-CELL = 4096
-STAR = 256
+#: Classes, and shingles, of one part of a group; classes that all parts have in common (about).
+CELL, SHINGLES, ANCHORS = 2048, 4_000_000, 16
 _BLANK = re.compile("[\x20\x09-\x0d]")
 
 
@@ -146,7 +149,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def lists_of(classes: DataFrame) -> DataFrame:
-    """(v, id): of every class the rarest values that two linked sketches share one of, if another class retains it."""
+    """(v, id, n): of every class the rarest values that two linked sketches share one of, if another class retains it."""
     values = classes.select("id", F.explode("sketch").alias("v"))
     counts = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     several = values.join(counts, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("several"))
@@ -155,8 +158,17 @@ def lists_of(classes: DataFrame) -> DataFrame:
     # values that no other class retains are the rarest ones of all
     take = (size - needed + 1) - (size - F.size("several"))
     few = several.join(classes.select("id", "n", "sketch"), "id").select(
-        "id", F.explode(F.slice("several", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("s"))
-    return few.select("s.v", "id")
+        "id", "n", F.explode(F.slice("several", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("s"))
+    return few.select("s.v", "id", "n")
+
+
+def groups_of(lists: DataFrame, cell: int = CELL) -> DataFrame:
+    """(a, id, size, parts): the classes of all lists whose smallest class is a, at least two, and the parts they make."""
+    least = lists.groupBy("v").agg(F.min("id").alias("a"))
+    members = kept(lists.join(least, "v").select("a", "id", "n").distinct(), "minhash-members")
+    sizes = members.groupBy("a").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    parts = F.greatest(F.ceil(F.col("size") / cell), F.ceil(F.col("shingles") / SHINGLES)).cast("int").alias("parts")
+    return kept(members.join(sizes.select("a", "size", parts), "a").select("a", "id", "size", "parts"), "minhash-groups")
 
 
 # --------------------------------------------------------------------------
@@ -190,76 +202,8 @@ def _matrix(sketches) -> np.ndarray:
     return out
 
 
-def _estimate_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        other = _matrix(pdf["sketch_b"])
-        na, nb = pdf["n_a"].to_numpy(np.int64), pdf["n_b"].to_numpy(np.int64)
-        keep = np.array([estimated(np.asarray(s), n, other[i:i + 1], nb[i:i + 1])[0]
-                         for i, (s, n) in enumerate(zip(pdf["sketch_a"], na.tolist()))], dtype=bool)
-        yield pdf.loc[keep, ["a", "b"]]
-
-
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The (a, b) whose sketches let a link be possible."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(_estimate_pairs, "a long, b long")
-
-
-def _compare_piece(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs of different roots inside runs of equal (v, piece)."""
-    v, piece = pdf["v"].to_numpy(np.int64), pdf["piece"].to_numpy(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (piece[1:] != piece[:-1]))))
-    ids, root, n = (pdf[c].to_numpy(np.int64) for c in ("id", "root", "n"))
-    sketch = _matrix(pdf["sketch"])
-    a, b = [], []
-    for lo, hi in zip(new.tolist(), np.append(new[1:], len(v)).tolist()):
-        for i in range(lo, hi - 1):
-            other = i + 1 + np.flatnonzero(root[i + 1:hi] != root[i])
-            if len(other):
-                hit = other[estimated(sketch[i][:min(n[i], K)], int(n[i]), sketch[other], n[other])]
-                a.append(np.full(len(hit), ids[i]))
-                b.append(ids[hit])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def _compare_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted batches in; the last run of a batch waits for the next one (at most 2 * CELL rows)."""
-    rest = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        last = ((pdf["v"] == pdf["v"].iloc[-1]) & (pdf["piece"] == pdf["piece"].iloc[-1])).to_numpy()
-        cut = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0
-        rest = pdf.iloc[cut:].reset_index(drop=True)
-        if cut:
-            yield _compare_piece(pdf.iloc[:cut])
-    if rest is not None:
-        yield _compare_piece(rest)
-
-
-def across_groups(lists: DataFrame, classes: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame:
-    """Likely (a, b) of different roots that share a list; ``roots`` has (node, root) of the classes that have links."""
-    rows = kept(lists.join(roots.withColumnRenamed("node", "id"), "id", "left")
-                .select("v", "id", F.coalesce("root", "id").alias("root")), "minhash-rooted")
-    sizes = rows.groupBy("v").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    groups = F.when(F.col("size") > cell, F.ceil(F.col("size") / cell)).otherwise(F.lit(1)).cast("int").alias("groups")
-    mixed = kept(sizes.where("low < high").select("v", groups), "minhash-mixed")
-    own = F.pmod(F.xxhash64("id"), F.col("groups")).cast("long")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("groups") - 1),
-                        lambda g: F.least(own, g) * F.col("groups") + F.greatest(own, g))
-    dealt = rows.join(mixed, "v").select("v", "id", "root", F.explode(pairs).alias("piece"))
-    dealt = dealt.join(classes.select("id", "n", "sketch"), "id")
-    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(tasks, "v", "piece").sortWithinPartitions("v", "piece", "id")
-    found = dealt.select("v", "piece", "id", "root", "n", "sketch").mapInPandas(_compare_batches, "a long, b long")
-    return found.distinct()
-
-
 # --------------------------------------------------------------------------
-# verification
+# comparison
 # --------------------------------------------------------------------------
 
 def linked(a: set, b: set) -> bool:
@@ -267,55 +211,109 @@ def linked(a: set, b: set) -> bool:
     return bool(shared) and 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
 
-def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (a, part, centre last): a centre's text, then the texts of those to be compared with it."""
-    centre, mine = None, set()
+class Piece:
+    """Texts that are compared with each other."""
+
+    def __init__(self, texts: list):
+        self.texts = texts
+        self.sets = [hashes(t) for t in texts]
+        self.n = np.array([len(h) for h in self.sets], dtype=np.int64)
+        self.sketch = _matrix([h[:K] for h in self.sets])
+
+    def linked(self, i: int, other: np.ndarray) -> np.ndarray:
+        """Which of ``other`` are linked with text i: by estimate, then by the whole sets of hashes."""
+        mine = self.sets[i]
+        other = other[estimated(mine[:K], int(self.n[i]), self.sketch[other], self.n[other])]
+        if not len(other):
+            return other
+        flat = np.concatenate([self.sets[j] for j in other.tolist()])
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        shared = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(self.n[other]) - self.n[other])
+        return other[100 * shared >= PERCENT * (self.n[i] + self.n[other] - shared)]
+
+    def links(self, root: np.ndarray) -> list:
+        """Verified links (i, j) that connect all that is linked; ``root``: what is connected already."""
+        root, out = root.copy(), []
+        for i in range(len(root) - 1):
+            mine = None
+            for j in self.linked(i, i + 1 + np.flatnonzero(root[i + 1:] != root[i])).tolist():
+                if root[j] == root[i]:
+                    continue
+                mine = shingle_set(self.texts[i]) if mine is None else mine
+                if linked(mine, shingle_set(self.texts[j])):
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+        return out
+
+
+def _links_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids = pdf["id"].to_numpy(np.int64)
+    found = Piece(pdf["text"].tolist()).links(pdf["root"].to_numpy(np.int64))
+    a, b = (np.array([ids[p[k]] for p in found], dtype=np.int64) for k in (0, 1))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _link_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted batches in; a piece ends where (a, x, y) changes, the last one of a batch waits for the next batch."""
+    held: list = []
     for pdf in batches:
-        out = []
-        for a, part, b, text in zip(pdf["a"], pdf["part"], pdf["b"], pdf["text"]):
-            if b < 0:
-                if centre != a:
-                    centre, mine = a, shingle_set(text)
-            elif linked(mine, shingle_set(text)):
-                out.append((a, b))
-        yield pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The (a, b) that are linked, decided on the whole shingle sets of their texts.
-
-    Only texts that occur in a pair are moved.  The pairs of a centre a are dealt in parts of about ``STAR``, each with
-    a copy of the centre's text, so that one task never holds all partners of a centre.
-    """
-    pairs = kept(pairs, "minhash-pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = kept(classes.select("id", "key", F.col("doc").cast("string").alias("doc")).join(ends, "id"), "minhash-wanted")
+        key = pdf[["a", "x", "y"]].to_numpy(np.int64)
+        cuts = [0, *(1 + np.flatnonzero((key[1:] != key[:-1]).any(axis=1))).tolist(), len(pdf)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if held and held[0][0] != tuple(key[lo]):
+                yield _links_of(pd.concat([p for _, p in held], ignore_index=True))
+                held = []
+            held.append((tuple(key[lo]), pdf.iloc[lo:hi]))
+    if held:
+        yield _links_of(pd.concat([p for _, p in held], ignore_index=True))
+
+
+def _compared(pieces: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) found in the pieces (a, x, y, id, root)."""
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.join(texts, "id").repartition(tasks, "a", "x", "y").sortWithinPartitions("a", "x", "y", "id")
+    return kept(dealt.select("a", "x", "y", "id", "root", "text").mapInPandas(_link_batches, "a long, b long"), "minhash-links")
+
+
+def texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, text) of the classes ``ids`` (id); only texts that are asked for are moved."""
+    wanted = classes.select("id", "key", F.coalesce(F.col("doc").cast("string"), F.lit("")).alias("doc")).join(ids, "id")
+    wanted = kept(wanted.select("id", "key", "doc"), "minhash-wanted")
     rows = docs.select(text_key(text), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"),
                        F.coalesce(text, F.lit("")).alias("text"))
-    wanted = wanted.select("id", "key", F.coalesce("doc", F.lit("")).alias("doc"))
-    texts = possible(rows, wanted, ["key", "doc"]).join(wanted, ["key", "doc"]).dropDuplicates(["id"])
-    texts = kept(texts.select("id", "text"), "minhash-texts")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    centres = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("long").alias("b"))
-    # a centre's own text has no b: -1 comes first in the order
-    rows = members.withColumn("id", F.col("b")).unionByName(centres.withColumn("id", F.col("a"))).join(texts, "id")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("a", "part", "b", "text").repartition(tasks, "a", "part").sortWithinPartitions("a", "part", "b")
-    return dealt.mapInPandas(_verify_batches, "a long, b long")
+    found = possible(rows, wanted, ["key", "doc"]).join(wanted, ["key", "doc"]).dropDuplicates(["id"])
+    return kept(found.select("id", "text"), "minhash-texts")
 
 
 def links_of(classes: DataFrame, docs: DataFrame, text: str = "text", cell: int = CELL) -> DataFrame:
     """Verified links (a, b) between classes: enough to connect all that are linked."""
-    lists = kept(lists_of(classes), "minhash-lists")
-    least = lists.groupBy("v").agg(F.min("id").alias("a"))
-    tries = lists.withColumnRenamed("id", "b").join(least, "v").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    tries = tries.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    tried = kept(likely(tries, classes), "minhash-tried")
-    first = kept(verified(tried, classes, docs, text), "minhash-links")
-    more = across_groups(lists, classes, components(first), cell)
-    more = more.join(tried, ["a", "b"], "left_anti")
-    return first.unionByName(verified(more, classes, docs, text))
+    groups = groups_of(kept(lists_of(classes), "minhash-lists"), cell)
+    texts = texts_of(groups.select("id").distinct(), classes, docs, text)
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    common = (F.col("parts") > 1) & (F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("size") / ANCHORS)) == 0)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    first = _compared(groups.select("a", "id", F.col("id").alias("root"), F.lit(0).alias("y"), F.explode(
+        F.when(common, every).otherwise(F.array(part))).alias("x")), texts)
+
+    # groups that were compared in parts and are not one component yet
+    rooted = groups.where("parts > 1").join(components(first).withColumnRenamed("node", "id"), "id", "left")
+    rooted = kept(rooted.withColumn("root", F.coalesce("root", "id")), "minhash-rooted")
+    main = rooted.groupBy("a", "root").agg(F.count("*").alias("n"), F.max("size").alias("size")).groupBy("a").agg(
+        F.max(F.struct("n", "root")).alias("m"), F.max("size").alias("size"))
+    main = main.where("m.n < size").select("a", F.col("m.root").alias("main"),
+                                           F.ceil((F.col("size") - F.col("m.n")) / cell).cast("int").alias("few"))
+    split = rooted.join(main, "a")
+    rest = F.sequence(F.lit(0), F.col("few") - 1)
+    mine = F.pmod(F.xxhash64("id", F.lit(2)), F.col("few")).cast("int")
+    place = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    # a class of the largest component meets all parts of the others; these meet all parts of it and each other
+    with_main = F.when(F.col("root") == F.col("main"), F.transform(rest, lambda y: place(part, y))).otherwise(F.concat(
+        F.transform(every, lambda x: place(x, mine)),
+        F.transform(rest, lambda y: place(-1 - F.least(mine, y), F.greatest(mine, y)))))
+    pieces = split.select("a", "id", "root", F.explode(with_main).alias("p")).select("a", "id", "root", "p.x", "p.y")
+    return first.unionByName(_compared(pieces, texts))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", cell: int = CELL) -> DataFrame:

@@ -90,6 +90,19 @@ def test_components_match_plain_python(spark, cell):
     assert rows_of(M.near_duplicates(df, cell=cell)) == plain_result(docs)
 
 
+def test_piece_connects_what_is_linked():
+    """Against all pairs; pairs of one root are not tried."""
+    rng = random.Random(5)
+    base = words(rng, 120)
+    texts = [" ".join(mutated(rng, base, rng.randint(0, 4))) for _ in range(40)] + [" ".join(words(rng, 30)) for _ in range(5)]
+    sets = [plain_set(t) for t in texts]
+    links = M.Piece(texts).links(np.arange(len(texts)))
+    assert all(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for i, j in links)
+    want = plain_result(list(enumerate(texts)))
+    assert len(links) == len(texts) - sum(kept for *_, kept in want)
+    assert M.Piece(texts).links(np.zeros(len(texts), dtype=np.int64)) == []
+
+
 def test_links_join_all_that_is_linked(spark):
     """Links between classes are exact and connect every linked pair."""
     docs = corpus(9)
