@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmeter.functions.ids import chunk_name
-from inkmeter.plans.ordered import attach, ordered_scan
+from inkmeter.plans.ordered import attach, hybrid_scan, ordered_scan
 
 # Batch service limits.
 MAX_REQUESTS_PER_BATCH = 50_000
@@ -87,15 +87,11 @@ def chunk_hybrid(df: DataFrame, k: int, token_limit: int, tok_col: str = "tok",
 
     Adds ``part``, ``split_part`` (null unless re-split).
     """
-    forced = chunk_forced(df, k, file_col, pos_col)
-    sums = chunk_sums(forced, (file_col, "part"), tok_col)
-    over = sums.filter(F.col("chunk_tokens") > token_limit).select(file_col, "part")
-    # Only rows of oversize chunks go through the packer.
-    flagged = forced.join(over, [file_col, "part"], "left_semi").select(file_col, "part", pos_col, tok_col)
-    resplit = chunk_greedy(flagged.withColumnRenamed("part", "_forced"), token_limit, None, tok_col,
-                           file_col, pos_col, group_cols=[file_col, "_forced"])
-    resplit = resplit.select(F.col(file_col), F.col(pos_col), F.col("part").alias("split_part"))
-    return forced.join(resplit, [file_col, pos_col], "left")
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    s = hybrid_scan(df, [file_col], [pos_col], tok_col, k, token_limit)
+    s = s.withColumnRenamed("_forced", "part").withColumnRenamed("_part", "split_part")
+    return attach(df, s, [file_col, pos_col], ["part", "split_part"])
 
 
 def split_gate(df: DataFrame, limit: int, file_col: str = "file", tok_col: str = "tok") -> DataFrame:

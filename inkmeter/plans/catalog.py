@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmeter.functions import ids, prompts, responses, tokens
-from inkmeter.operators import admission, aggregates, ledger, packing, results, scoring
+from inkmeter.operators import admission, aggregates, ledger, packing, quality, results, scoring
 from inkmeter.plans import derived, inputs
 from inkmeter.session import scratch_path
 from inkmeter.sources import readers, writers
@@ -863,7 +863,9 @@ def custom_counter(spark, sf):
 
 @register("score_rows")
 def score_rows(spark, sf):
-    lines = scoring.score_rows(derived.docs(spark, sf))
+    """K2 with a model as the scorer, fitted on all texts that ``labels`` marks."""
+    model = quality.fit(inputs.table(spark, sf, "documents"), inputs.table(spark, sf, "labels"))
+    lines = scoring.score_rows(derived.docs(spark, sf), quality.model_scorer(model))
     return responses.parse_lines(lines, "line").select("custom_id", "llm_score")
 
 

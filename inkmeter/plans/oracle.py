@@ -529,8 +529,15 @@ SQL["custom_counter"] = with_base(
     "wd AS (SELECT d.*, CAST(len(string_split(text, ' ')) AS BIGINT) AS tok FROM docs d),"
     + greedy("gw", "wd", ["file"], ["tok"], [PARAMS["word_limit"]], None)
     + ",\nj AS (SELECT w.tok, g.* FROM gw g JOIN wd w USING (file, pos))\n" + _TOTALS.format(keys="file, part", src="j"))
-SQL["score_rows"] = with_base(
-    "x AS (SELECT 1) SELECT custom_id, CAST(1 + length(coalesce(text, 'nan')) % 5 AS VARCHAR) AS llm_score FROM docs")
+SQL["score_rows"] = with_base(r"""
+feat AS (SELECT custom_id, pos, ln(1 + n) AS x1, length(t) / greatest(n, 1)::DOUBLE AS x2 FROM (
+  SELECT custom_id, pos, coalesce(text, 'nan') AS t, len(regexp_extract_all(coalesce(text, 'nan'), '[^\x20\x09-\x0D]+')) AS n FROM docs)),
+mom AS (SELECT avg(y) AS y, avg(x1) AS a, avg(x2) AS b, var_pop(x1) AS aa, var_pop(x2) AS bb, covar_pop(x1, x2) AS ab,
+               covar_pop(x1, y) AS ay, covar_pop(x2, y) AS by_
+        FROM (SELECT x1, x2, CAST(quality AS DOUBLE) AS y FROM feat JOIN labels ON feat.pos = labels.doc_id WHERE quality IS NOT NULL)),
+w AS (SELECT y, a, b, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS w1, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS w2 FROM mom)
+SELECT custom_id, CAST(1 + least(4, greatest(0, CAST(floor(5 * round(y - w1 * a - w2 * b + w1 * x1 + w2 * x2, 9)) AS BIGINT))) AS VARCHAR) AS llm_score
+FROM feat, w""")
 
 # ---- jobs -----------------------------------------------------------------------------
 SQL["split_report"] = with_base(f"""

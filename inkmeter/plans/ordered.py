@@ -136,7 +136,8 @@ def _prefix(pdf: pd.DataFrame, cols: list, lo: int, hi: int) -> np.ndarray:
 # --------------------------------------------------------------------------
 
 class _Spec:
-    def __init__(self, gcols, ocols, pack, row_limit):
+    def __init__(self, gcols, ocols, pack, row_limit, prepare=None):
+        self.prepare = prepare or (lambda pdf: pdf)  # adds group columns that follow from the row's place
         self.gcols = gcols
         self.ocols = ocols
         self.pack_cols = [c for c, _ in pack]
@@ -150,6 +151,7 @@ def _summarise(spec: _Spec):
         pdf = _concat(batches)
         if pdf is None:
             return
+        pdf = spec.prepare(pdf)
         bounds = _seg_bounds(_segment_starts(pdf, spec.gcols))
         lo, hi = int(bounds[-2]), int(bounds[-1])
         table = packtable.from_rows(_prefix(pdf, spec.pack_cols, lo, hi), spec.limits)
@@ -200,6 +202,7 @@ def _emit(spec: _Spec, entries, extra: list[str]):
         if pdf is None:
             return
         entry = entries.value[int(pdf[_PID].iat[0])]
+        pdf = spec.prepare(pdf)
         n = len(pdf)
         bounds = _seg_bounds(_segment_starts(pdf, gcols))
         out = pdf[keep].copy()
@@ -325,6 +328,103 @@ def packing_partitions(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_PARTITION))
 
 
+# --------------------------------------------------------------------------
+# even parts, and the large ones packed again: both from one layout
+# --------------------------------------------------------------------------
+
+_FORCED = "_forced"
+
+
+def _even_parts(gcols: list[str], k: int, crossing):
+    """Adds ``_forced``, the row's ``ntile(k)`` in its group.
+
+    ``crossing`` is a broadcast of {partition: {group: (rows before the partition, rows in all)}} for the groups that
+    cross its borders, two at most; the others are whole inside it.
+    """
+    def prepare(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = crossing.value.get(int(pdf[_PID].iat[0]), {})
+        bounds = _seg_bounds(_segment_starts(pdf, gcols))
+        part = np.zeros(len(pdf), dtype=np.int64)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            before, n = known.get(_key_at(pdf, gcols, lo), (0, hi - lo))
+            at = before + np.arange(hi - lo)
+            q, r = divmod(n, k)
+            big = r * (q + 1)
+            part[lo:hi] = np.where(at < big, at // (q + 1), r + (at - big) // max(q, 1)) + 1
+        return pdf.assign(**{_FORCED: part})
+
+    return prepare
+
+
+def _border_sums(spec: _Spec, value_col: str):
+    """Sum of the first and of the last group slice of a partition (of a single one: once)."""
+    def fn(batches):
+        pdf = _concat(batches)
+        if pdf is None:
+            return
+        pdf = spec.prepare(pdf)
+        bounds = _seg_bounds(_segment_starts(pdf, spec.gcols)).tolist()
+        some = sorted({0, len(bounds) - 2})
+        values = pdf[value_col].fillna(0)
+        yield pd.DataFrame({"key": pd.Series([_key_at(pdf, spec.gcols, bounds[i]) for i in some], dtype=object),
+                            "total": [int(values.iloc[bounds[i]:bounds[i + 1]].sum()) for i in some]})
+
+    return fn
+
+
+def _emit_hybrid(spec: _Spec, entries, totals, value_col: str, limit: int):
+    """Rows with ``_forced`` and, where the part's total is above ``limit``, ``_part``: its place when packed again."""
+    packed = _emit(spec, entries, [value_col])
+
+    def fn(batches):
+        for pdf in packed(batches):
+            start = _segment_starts(pdf, spec.gcols)
+            seg = np.cumsum(start) - 1
+            bounds = _seg_bounds(start).tolist()
+            sums = pdf[value_col].fillna(0).groupby(seg).sum().to_numpy(dtype=np.int64)
+            for i in {0, len(bounds) - 2}:
+                sums[i] = totals.value.get(_key_at(pdf, spec.gcols, bounds[i]), sums[i])
+            yield pdf.assign(_part=pdf["_part"].astype("Int64").where((sums > limit)[seg])).drop(columns=["_rn"])
+
+    return fn
+
+
+def hybrid_scan(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, k: int, limit: int,
+                num_partitions: int | None = None) -> DataFrame:
+    """``_forced`` (``ntile(k)`` in group order) and ``_part`` (null unless the forced part's sum of ``value_col`` is
+    above ``limit``: next-fit chunk inside the part), from one layout of the rows.
+
+    A row's forced part follows from how many rows of its group earlier partitions hold, so the packing state is reset
+    at the borders of parts while the same layout is read on.  The driver gets, for each partition, the sizes and
+    sums of the groups and parts that cross its borders, and its entry state.
+    """
+    gcols, ocols = list(group_cols), list(order_cols)
+    narrow = df.select(*gcols, *ocols, value_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_parts = num_partitions or packing_partitions(narrow.count())
+        laid = range_layout(narrow, gcols + ocols, n_parts)
+    finally:
+        narrow.unpersist()
+    sc = laid.sparkSession.sparkContext
+    tagged = laid.withColumn(_PID, F.spark_partition_id())
+    group = Window.partitionBy(*gcols)
+    slices = tagged.groupBy(_PID, *gcols).agg(F.count(F.lit(1)).alias("_here"))
+    slices = slices.withColumn("_n", F.sum("_here").over(group)).withColumn("_before", F.coalesce(F.sum("_here").over(
+        group.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    crossing: dict = {}
+    for r in slices.filter(F.col("_n") > F.col("_here")).collect():  # at most two groups a partition
+        key = json.dumps([_pyval(r[c]) for c in gcols], default=str)
+        crossing.setdefault(r[_PID], {})[key] = (r["_before"], r["_n"])
+    spec = _Spec([*gcols, _FORCED], ocols, [(value_col, limit)], None, _even_parts(gcols, k, sc.broadcast(crossing)))
+    entries = _entries(tagged.mapInPandas(_summarise(spec), packtable.NODE_SCHEMA), spec, n_parts)
+    sums = tagged.mapInPandas(_border_sums(spec, value_col), "key string, total long").groupBy("key").agg(
+        F.sum("total").alias("total"))
+    totals = {r.key: r.total for r in sums.collect()}  # at most two parts a partition
+    fields = [laid.schema[c] for c in gcols] + [T.StructField(_FORCED, T.LongType())]
+    fields += [laid.schema[c] for c in [*ocols, value_col]] + [T.StructField("_part", T.LongType())]
+    return tagged.mapInPandas(_emit_hybrid(spec, sc.broadcast(entries), sc.broadcast(totals), value_col, limit), T.StructType(fields))
+
+
 def attach(df: DataFrame, scanned: DataFrame, keys: list[str], result_cols: list[str]) -> DataFrame:
     """Join scan results back onto the full rows on the unique (group, order) key.
 

@@ -199,3 +199,22 @@ def test_running_sum_has_no_python_stage(spark):
     df = spark.createDataFrame(_data(3), SCHEMA)
     plan = ordered_scan(df, ["file"], ["pos"], "sum", value_col="tok")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("parts,k,limit", [(1, 3, 200), (9, 3, 200), (16, 4, 1500), (16, 1, 90), (7, 5000, 60)])
+def test_hybrid_matches_fold(spark, parts, k, limit):
+    """Even parts, and those above the limit packed again, with groups and parts across partitions."""
+    rows = _data(parts + k)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.file, r.pos): (r._forced, r._part) for r in
+           ordered.hybrid_scan(df, ["file"], ["pos"], "tok", k, limit, num_partitions=parts).collect()}
+    assert len(got) == len(rows)
+    for g, rs in _by_group(rows).items():
+        q, rest = divmod(len(rs), k)
+        lo = 0
+        for p in range(1, min(k, len(rs)) + 1):
+            mine = rs[lo:lo + q + (p <= rest)]
+            lo += len(mine)
+            packed = _greedy([(r[2],) for r in mine], [limit], None)
+            over = sum(r[2] for r in mine) > limit
+            assert [got[(g, r[1])] for r in mine] == [(p, x if over else None) for x in packed], (g, p)
