@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmeter.functions import responses as R
+from inkmeter.session import ensure_checkpoint_dir
 
 # Per-file tables are broadcast only while their measured size is under this many bytes.
 MAX_BROADCAST_BYTES = 16 << 20
@@ -26,6 +27,12 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> D
     return F.broadcast(df) if (row["b"] or 0) <= max_bytes else df
 
 
+def _small(status: DataFrame) -> DataFrame:
+    """A table of one row per chunk, computed once and broadcast by its bytes: rows of a chunk stay where they are."""
+    ensure_checkpoint_dir(status.sparkSession)
+    return broadcast_if_small(status.checkpoint(eager=True))
+
+
 def join_results(rows: DataFrame, answers: DataFrame, out_col: str = "llm_score") -> DataFrame:
     """every row keeps its place; unmatched and null answers become errors."""
     a = answers.select("custom_id", F.col("llm_score").alias("_ans"),
@@ -58,7 +65,7 @@ def chunk_error_rows(rows: DataFrame, status: DataFrame, keys=("file", "part"),
                      out_col: str = "llm_score") -> DataFrame:
     """Completed chunks keep their answers; failed/error chunks carry the chunk error."""
     st = status.select(*keys, F.col("status").alias("_status"), F.col("error_message").alias("_chunk_err"))
-    j = rows.join(st, list(keys), "left")
+    j = rows.join(_small(st), list(keys), "left")
     failed = F.col("_status").isin("failed", "error")
     err_text = F.coalesce(F.col("_chunk_err"), F.lit("Error during job preparation"))
     return (j.withColumn(out_col, F.when(failed, err_text).otherwise(F.col(out_col)))
@@ -76,7 +83,7 @@ def batch_status_rows(rows: DataFrame, batches: DataFrame, key: str = "chunk_id"
     """
     b = batches.select(key, F.col("status").alias("_bstatus"), F.col("has_output").alias("_has_out"),
                        F.col("output_readable").alias("_readable"))
-    j = rows.join(b, key, "left")
+    j = rows.join(_small(b), key, "left")
     done = F.col("_bstatus") == "completed"
     score = (F.when(F.col("_bstatus").isNull(), F.col(out_col))
              .when(~done, F.concat(F.lit(R.STATUS_PREFIX), F.col("_bstatus")))

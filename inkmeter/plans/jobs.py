@@ -167,20 +167,26 @@ def day_time(run_ts: str):
     return dt.datetime.strptime(run_ts, "%Y%m%dT%H%M%S")
 
 
-def split_report(rows: DataFrame, token_limit: int, chunk_tokens: int) -> DataFrame:
-    """L3: files whose total exceeds ``token_limit`` are packed greedily; others stay whole.
+def split_parts(rows: DataFrame, token_limit, chunk_tokens: int) -> DataFrame:
+    """(file, pos, tok, part, needs_split): files whose total exceeds ``token_limit`` are packed greedily; others stay whole.
 
     Only (file, pos, tok) is needed: it is checkpointed once so the token
     expression is not re-evaluated by the gate, the packer and the totals.
+    ``token_limit`` may be a function of that table.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     narrow = rows.select("file", "pos", "tok").checkpoint(eager=True)
-    gate = packing.split_gate(narrow, token_limit).select("file", "needs_split")
-    tagged = narrow.join(gate, "file")
+    limit = token_limit(narrow) if callable(token_limit) else token_limit
+    gate = packing.split_gate(narrow, limit).select("file", "needs_split").checkpoint(eager=True)
+    tagged = narrow.join(results.broadcast_if_small(gate), "file")
     split = packing.chunk_greedy(tagged.filter(F.col("needs_split")), chunk_tokens)
-    whole = tagged.filter(~F.col("needs_split")).withColumn("part", F.lit(1).cast("long"))
-    both = split.unionByName(whole)
-    return aggregates.chunk_totals(both).join(gate, "file")
+    return split.unionByName(tagged.filter(~F.col("needs_split")).withColumn("part", F.lit(1).cast("long")))
+
+
+def split_report(rows: DataFrame, token_limit, chunk_tokens: int) -> DataFrame:
+    """L3: totals of every chunk of :func:`split_parts`."""
+    parts = split_parts(rows, token_limit, chunk_tokens)
+    return aggregates.chunk_totals(parts, ("file", "part", "needs_split"))
 
 
 def costs_report(usage: DataFrame, day: str | None = None) -> DataFrame:
@@ -266,18 +272,20 @@ def count_files(spark, input_dir: str, examples_path: str | None = None, text_co
 
 def split_files(spark, input_dir: str, output_dir: str, token_limit: int, chunk_tokens: int,
                 examples_path: str | None = None, text_col: str = "response", schema=None,
-                fmt: str = "jsonl") -> DataFrame | None:
+                fmt: str = "jsonl", recursive: bool = False) -> DataFrame | None:
     """L3 over a folder: files over ``token_limit`` are packed greedily and written one folder
     per chunk (B2); returns the per-chunk report."""
-    rows = ingest_dir(spark, input_dir, text_col, schema)
+    rows = ingest_dir(spark, input_dir, text_col, schema, recursive)
     if rows is None:
         return None
     p = FilePrompt(spark, examples_path)
     rows = rows.withColumn("tok", p.submitted("text"))
-    report = split_report(rows, token_limit, chunk_tokens)
-    gate = report.select("file", "needs_split").distinct()
-    narrow = rows.select("file", "pos", "tok").join(gate.filter(F.col("needs_split")), "file", "left_semi")
-    parts = packing.chunk_greedy(narrow, chunk_tokens).select("file", "pos", "part")
-    chunk_rows = rows.join(parts, ["file", "pos"]).withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
-    writers.write_chunks(chunk_rows.drop("tok"), output_dir, fmt=fmt)
-    return report
+    parts = split_parts(rows, token_limit, chunk_tokens).checkpoint(eager=True)
+    packed = parts.filter("needs_split").select("file", "pos", "part")
+    # a chunk folder is named after the file's path below the input folder, so equal names in two folders stay apart
+    root = readers.absolute_path(spark, input_dir)
+    path = F.regexp_replace("file", "^file:/+", "file:/")  # metadata has local files with one slash or three
+    below = F.when(F.startswith(path, F.lit(root + "/")), F.substring(path, F.lit(len(root) + 2), F.length(path))).otherwise(
+        F.regexp_extract("file", r"([^/]+)$", 1))
+    writers.write_chunks(rows.join(packed, ["file", "pos"]).withColumn("file", below).drop("tok"), output_dir, fmt=fmt)
+    return aggregates.chunk_totals(parts, ("file", "part", "needs_split"))

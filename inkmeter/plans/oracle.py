@@ -292,7 +292,8 @@ SQL["row_text"] = ("SELECT source AS file, doc_id AS pos, concat_ws(' ', CAST(do
 SQL["mask_key"] = with_base(f"x AS (SELECT 1) SELECT DISTINCT api_key, {MASK.format(k='api_key')} AS api_key_prefix FROM ev_raw")
 SQL["error_rows"] = with_base("x AS (SELECT 1) SELECT file, pos, llm_score FROM graded WHERE llm_score ILIKE '%error%'")
 SQL["row_cap"] = ("SELECT file, pos FROM (SELECT source AS file, doc_id AS pos, row_number() OVER "
-                  "(PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 50000")
+                  "(PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= "
+                  "(SELECT ceil(avg(n) / 2) FROM (SELECT count(*) AS n FROM documents GROUP BY source))")
 SQL["usage_date_range"] = with_base(
     f"x AS (SELECT 1) SELECT request_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day FROM usage WHERE {RANGE}")
 SQL["responses_no_id"] = with_base("""

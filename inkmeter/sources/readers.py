@@ -9,6 +9,7 @@ set of files.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,13 @@ def file_extensions(spark: SparkSession, directory: str, recursive: bool = False
     return out
 
 
+def absolute_path(spark: SparkSession, path: str) -> str:
+    """A folder with its scheme, local ones as ``file:/…``, without a slash at its end."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:/", fs.makeQualified(hpath).toString().rstrip("/"))
+
+
 def read_input_dir(spark: SparkSession, directory: str, schema=None, recursive: bool = False) -> DataFrame | None:
     """Every .csv/.json/.jsonl in a folder (``recursive``: and below), unioned by column name.
 
@@ -148,15 +156,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_usage_events(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines usage events; blank lines skipped; a missing log is empty."""
+    """JSON Lines usage events; blank lines skipped, malformed lines raise; a missing log is empty.
+
+    :func:`rejected_usage_lines` lists what raises.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], USAGE_SCHEMA)
-    return spark.read.schema(USAGE_SCHEMA).option("timestampFormat", ISO_TS).json(path)
+    return usage_reader(spark.read).json(path)
+
+
+def usage_reader(reader):
+    """The reader, or stream reader, of usage events: J1 and J2 raise on a malformed line, too."""
+    return reader.schema(USAGE_SCHEMA).option("timestampFormat", ISO_TS).option("mode", "FAILFAST")
 
 
 CORRUPT = "_corrupt_record"
 
 
+def rejected_usage_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A8 audit: the text of every line that is no usage event."""
+    schema = T.StructType([*USAGE_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    options = {"timestampFormat": ISO_TS, "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema, options).getField(CORRUPT).alias(CORRUPT)).filter(F.col(CORRUPT).isNotNull())
+
+
 def read_daily_log(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Daily usage log, one (indented) JSON array per file; missing -> empty, corrupt input skipped.
 

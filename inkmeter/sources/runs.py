@@ -72,7 +72,7 @@ def read_usage(spark: SparkSession, out: str) -> DataFrame:
     paths = [p for _, p in committed(spark, out, "usage")]
     if not paths:
         return spark.createDataFrame([], readers.USAGE_SCHEMA)
-    return spark.read.schema(readers.USAGE_SCHEMA).option("timestampFormat", readers.ISO_TS).json(paths)
+    return readers.usage_reader(spark.read).json(paths)
 
 
 def read_daily(spark: SparkSession, out: str) -> DataFrame:

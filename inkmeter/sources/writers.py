@@ -6,9 +6,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkmeter.operators.results import broadcast_if_small
+from inkmeter.session import ensure_checkpoint_dir
 from inkmeter.sources.readers import ISO_TS
 
 MAX_RECORDS_PER_REQUEST_FILE = 50_000
@@ -36,10 +38,29 @@ def write_json_arrays(df: DataFrame, path: str, group_cols: list[str], mode: str
     payload.write.mode(mode).partitionBy(*group_cols).text(path)
 
 
+def _sliced(df: DataFrame, keys: list[str], place: Column, max_rows: int) -> DataFrame:
+    """``df`` dealt out by (chunk, slice): every chunk is cut into as many equal ranges of ``place`` as hold about
+    ``max_rows`` rows each, so a large chunk is written by many tasks and a small one by one.
+
+    The chunks' sizes and ranges are a table of one row a chunk, joined by broadcast while its bytes are few.
+    """
+    at = df.withColumn("_place", place.cast("long"))
+    sizes = at.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_rows).cast("long").alias("_slices"),
+                                  F.min("_place").alias("_low"), F.max("_place").alias("_high")).checkpoint(eager=True)
+    wide = F.greatest(F.col("_high").cast("double") - F.col("_low").cast("double"), F.lit(1.0))
+    share = (F.col("_place").cast("double") - F.col("_low").cast("double")) / wide
+    slice_ = F.least(F.floor(share * F.col("_slices")), F.col("_slices") - 1)
+    cut = at.join(broadcast_if_small(sizes), keys).withColumn("_slice", F.coalesce(slice_, F.lit(0)))
+    return cut.repartition(*keys, "_slice").select(*df.columns)
+
+
 def write_chunks(df: DataFrame, path: str, file_col: str = "file", part_col: str = "part",
-                 fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """B2: one folder per chunk (``file=…/part=…``)."""
-    w = df.repartition(file_col, part_col).write.mode(mode).partitionBy(file_col, part_col)
+                 fmt: str = "parquet", mode: str = "errorifexists", pos_col: str = "pos",
+                 max_rows: int = MAX_RECORDS_PER_REQUEST_FILE) -> None:
+    """B2: one folder per chunk (``file=…/part=…``), in files of at most ``max_rows`` rows; ``pos_col`` keeps the order."""
+    ensure_checkpoint_dir(df.sparkSession)
+    w = (_sliced(df, [file_col, part_col], F.col(pos_col), max_rows).write.mode(mode)
+         .option("maxRecordsPerFile", max_rows).partitionBy(file_col, part_col))
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "jsonl":
@@ -70,7 +91,10 @@ def append_usage(events: DataFrame, path: str) -> None:
 def write_requests(requests: DataFrame, path: str, chunk_col: str = "chunk_id",
                    max_records: int = MAX_RECORDS_PER_REQUEST_FILE) -> None:
     """Request JSON lines, one folder per chunk, at most ``max_records`` lines per file."""
-    (requests.select(chunk_col, F.col("request").alias("value")).repartition(chunk_col)
+    ensure_checkpoint_dir(requests.sparkSession)
+    place = F.col("pos") if "pos" in requests.columns else F.xxhash64("request")
+    lines = _sliced(requests.withColumn("_at", place), [chunk_col], F.col("_at"), max_records)
+    (lines.select(chunk_col, F.col("request").alias("value"))
      .write.mode("errorifexists").option("maxRecordsPerFile", max_records)
      .partitionBy(chunk_col).text(path))
 

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from inkmeter.functions import keybits, responses
 from inkmeter.session import ensure_checkpoint_dir
-from inkmeter.sources.readers import ISO_TS, USAGE_SCHEMA, path_exists
+from inkmeter.sources.readers import ISO_TS, path_exists, usage_reader
 
 EXPIRED = "Error: batch_expired - Batch expired before the request was processed"
 
@@ -142,8 +142,7 @@ def _compact_if_due(spark: SparkSession, out: str, key: str, schema: str, every:
 
 
 def usage_stream(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
-    return (_read_stream(spark, max_files).schema(USAGE_SCHEMA).option("timestampFormat", ISO_TS)
-            .json(source_dir))
+    return usage_reader(_read_stream(spark, max_files)).json(source_dir)
 
 
 USAGE_KEYS, USAGE_SUMS = ["day", "model"], "day string, model string, tokens long, cost double, count long"
