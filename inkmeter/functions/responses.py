@@ -35,85 +35,77 @@ STATUS_PREFIX = "Error: Batch job status - "
 _FALSY = ["{}", "[]", "", "0", "0.0", "false"]
 
 
-def _kind(v: Column, path: str) -> Column:
-    """Type of the value at a path: null where there is none, ``VOID`` for a JSON null."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def _lookup(path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(F.col("_v"), path, kind)
 
 
-def _scalar(v: Column, path: str) -> Column:
-    """A value as unquoted text, null for a JSON null."""
-    return F.try_variant_get(v, path, "string")
+def _as_text(node: str, path: str) -> Column:
+    """A value as text, null for a JSON null: strings as they are, anything else as the line writes it (only then is
+    the line read again)."""
+    v = F.col(node)
+    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("string"))
+            .when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+            .otherwise(F.get_json_object("_line", path)))
 
 
-def _present(v: Column, path: str) -> Column:
+def _present(node: str) -> Column:
     """Whether a JSON value counts as present.  The texts ``"0"``, ``"false"``, ``"{}"`` are told from the literals by
     their type, which is looked at only where the text leaves it open."""
-    raw = _scalar(v, path)
-    literal = raw.isin(*_FALSY) & (raw != "")
-    return F.when(raw.isNull() | (raw == ""), F.lit(False)).when(
-        literal, F.coalesce(_kind(v, path) == "STRING", F.lit(False))).otherwise(F.lit(True))
+    v = F.col(node)
+    raw = F.try_variant_get(v, "$", "string")
+    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(False)).when(raw == "", F.lit(False))
+            .when(raw.isin(*_FALSY), F.schema_of_variant(v) == "STRING").otherwise(F.lit(True)))
 
 
-def _text(v: Column, line: Column, path: str) -> Column:
-    """A value as text: strings as they are, anything nested as the line writes it (only then is the line read again)."""
-    nested = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(nested)
-    return (F.when(nested.isNull() | F.is_variant_null(nested), F.lit(None).cast("string"))
-            .when(kind == "STRING", _scalar(v, path)).otherwise(F.get_json_object(line, path)))
+ANSWER = "$.response.body.choices[0].message.content"
+FIELDS = ("custom_id", "llm_score", "error_type", "error_message", "corrupt")
 
 
-def classify(line_col: str = "value", parsed: Column | None = None) -> list[Column]:
-    """Columns: custom_id, llm_score, error_type, error_message, corrupt."""
-    return [c.alias(name) for name, c in classify_parts(line_col, parsed).items()]
+def classified(df: DataFrame, line_col: str = "value") -> DataFrame:
+    """``df`` plus custom_id, llm_score, error_type, error_message and corrupt of each line (as one struct ``_c``).
 
-
-def classify_parts(line_col: str = "value", parsed: Column | None = None) -> dict[str, Column]:
-    """The classification as named expressions (see ``classify``).
-
-    ``parsed``: a column that holds ``parse(line_col)``, so that the line is parsed once and every field is looked up
-    in the result.
+    The steps are projections of their own, so that a line is parsed once, every node is looked up once and every
+    decision is made once, however often the next step refers to it.
     """
-    line = F.col(line_col)
-    v = parse(line_col) if parsed is None else parsed
-    answer = "$.response.body.choices[0].message.content"
-    corrupt = v.isNull()
-    has_content = F.try_variant_get(v, answer, "variant").isNotNull()
-    content = _text(v, line, answer)
-
-    def field(name: str, default: str) -> Column:
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    parsed = df.select(*keep, F.col(line_col).alias("_line"), F.try_parse_json(F.col(line_col)).alias("_v"))
+    found = parsed.select(*keep, "_line", F.col("_v").isNull().alias("_bad_line"), _lookup("$.custom_id").alias("_id"),
+                          _lookup("$.response").alias("_resp"), _lookup("$.error").alias("_err"), _lookup(ANSWER).alias("_ans"),
+                          _lookup("$.error.code").alias("_code"), _lookup("$.error.message").alias("_msg"))
+    held = found.select(*keep, "_line", "_bad_line", "_ans", "_code", "_msg", "_id", _present("_err").alias("_failed"),
+                        # an answer that is there makes the response one that is not empty
+                        F.when(F.col("_ans").isNotNull(), F.lit(True)).otherwise(_present("_resp")).alias("_answered"))
+
+    def field(node: str, name: str, default: str) -> Column:
         """A field of the error object; a null value reads ``None``, a missing one the default."""
-        there = F.try_variant_get(v, f"$.error.{name}", "variant")
-        return F.when(there.isNull(), F.lit(default)).when(F.is_variant_null(there), F.lit("None")).otherwise(
-            _text(v, line, f"$.error.{name}"))
-
-    code, msg = field("code", "N/A"), field("message", "Unknown error")
-    bad = _present(v, "$.error")
-    ok = _present(v, "$.response") & ~bad
+        return F.when(F.col(node).isNull(), F.lit(default)).otherwise(
+            F.coalesce(_as_text(node, f"$.error.{name}"), F.lit("None")))
+
+    bad = F.col("_failed")
+    texts = held.select(*keep, "_bad_line", "_failed", (F.col("_answered") & ~bad).alias("_ok"), F.col("_ans").isNotNull().alias("_has"),
+                        _as_text("_ans", ANSWER).alias("_content"), _as_text("_id", "$.custom_id").alias("_cid"),
+                        F.when(bad, field("_code", "code", "N/A")).alias("_code"),
+                        F.when(bad, field("_msg", "message", "Unknown error")).alias("_msg"))
+    corrupt, ok, has, content = F.col("_bad_line"), F.col("_ok"), F.col("_has"), F.col("_content")
     score = (F.when(corrupt, F.lit(None).cast("string"))
-             .when(ok & has_content, content)
+             .when(ok & has, content)
              .when(ok, F.lit(MALFORMED))
-             .when(bad, F.concat(F.lit("Error: "), code, F.lit(" - "), msg))
+             .when(bad, F.concat(F.lit("Error: "), F.col("_code"), F.lit(" - "), F.col("_msg")))
              .otherwise(F.lit(UNKNOWN)))
     etype = (F.when(corrupt, F.lit("CorruptLine"))
-             .when(ok & has_content & content.isNull(), F.lit("NullContent"))
-             .when(ok & has_content, F.lit(None).cast("string"))
+             .when(ok & has & content.isNull(), F.lit("NullContent"))
+             .when(ok & has, F.lit(None).cast("string"))
              .when(ok, F.lit("Malformed"))
              .when(bad, F.lit("ApiError"))
              .otherwise(F.lit("UnknownStructure")))
-    return {"custom_id": _text(v, line, "$.custom_id"), "llm_score": score, "error_type": etype,
-            "error_message": F.when(bad & ~ok, msg), "corrupt": corrupt}
-
-
-def parse(line_col: str) -> Column:
-    """A line as a variant; null if it is no JSON."""
-    return F.try_parse_json(F.col(line_col))
+    parts = (F.col("_cid"), score, etype, F.when(bad & ~ok, F.col("_msg")), corrupt)
+    return texts.select(*keep, F.struct(*[c.alias(n) for c, n in zip(parts, FIELDS)]).alias("_c"))
 
 
 def parse_lines(lines: DataFrame, line_col: str = "value", keep=()) -> DataFrame:
     """D6/D7 over every non-blank line; ``keep`` carries order columns."""
-    nonblank = lines.filter(F.trim(F.col(line_col)) != "")
-    once = nonblank.select(*keep, F.col(line_col).alias("_line"), parse(line_col).alias("_parsed"))
-    return once.select(*keep, *classify("_line", F.col("_parsed")))
+    nonblank = lines.filter(F.trim(F.col(line_col)) != "").select(*keep, F.col(line_col).alias("_text"))
+    return classified(nonblank, "_text").select(*keep, "_c.*")
 
 
 def with_id(parsed: DataFrame) -> DataFrame:

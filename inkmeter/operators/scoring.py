@@ -150,8 +150,7 @@ def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrenc
 
 def scored_answer(scored: DataFrame) -> DataFrame:
     """``scored`` plus llm_score and error_type of each row (F1 + F4 rules, each line parsed once in the JVM)."""
-    parts = R.classify_parts("line", F.col("_parsed"))
-    score, etype = parts["llm_score"], parts["error_type"]
+    score, etype = F.col("_c.llm_score"), F.col("_c.error_type")
     failed = F.col("status").isin("failed", "error")
     llm = (F.when(failed, F.coalesce(F.col("error_message"), F.lit("Error during job preparation")))
            .when(F.col("line").isNull(), F.lit(R.NOT_FOUND))
@@ -159,7 +158,7 @@ def scored_answer(scored: DataFrame) -> DataFrame:
     et = (F.when(failed, F.concat(F.lit("Chunk:"), F.col("status")))
           .when(F.col("line").isNull(), F.lit("NotFound"))
           .otherwise(etype))
-    return scored.withColumn("_parsed", R.parse("line")).select(*scored.columns, llm.alias("llm_score"), et.alias("error_type"))
+    return R.classified(scored, "line").select(*scored.columns, llm.alias("llm_score"), et.alias("error_type"))
 
 
 def chunk_status(scored: DataFrame) -> DataFrame:
