@@ -33,11 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import LOWEST, FileOutput, kept, range_parts, read_file, tasks_for
+from inkmeter.llm.common import LOWEST, FileOutput, kept, range_parts, read_file
 from inkmeter.session import scratch_path
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 64 << 20
+#: Payload bytes of a range, which compress to about one file; and what the reader hands to the decompressor at a time.
+RANGE_BYTES, SLICE = 4 * ROLL_BYTES, 1 << 14
 #: Fixed values of the WARC/1.1 format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -80,15 +82,17 @@ def response_or_revisit(page_id, url, payload: bytes, digest: str, keeper, level
 
 
 def members(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(headers, block) of each record of an archive."""
+    """(headers, block) of each record of an archive; what is behind a record is copied a slice at most."""
     view, at = memoryview(data), 0
     while at < len(view):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(view[at:])
-        if not z.eof:
-            raise ValueError("the archive ends inside a record")
-        at = len(view) - len(z.unused_data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends inside a record")
+            parts.append(z.decompress(view[at:at + SLICE]))
+            at = min(at + SLICE, len(view))
+        at -= len(z.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode("utf-8").split("\r\n")
         if lines[0] != "WARC/1.1":
             raise ValueError("not a WARC record")
@@ -114,11 +118,13 @@ def write_archives(pages: DataFrame, folder: str, level: int = 4, roll_bytes: in
               .where((F.col("copies") > 1) & F.col("keeper").isNotNull()).select("digest", "n", "keeper"))
     decisions = small.join(groups, ["digest", "n"]).select("key", "digest", "keeper").distinct()
 
-    tasks = tasks_for(small, rows_per_task=5_000)
-    _, edges = range_parts(small, "key", "digest", tasks * 4)
+    # ranges are sized by bytes: a file each, or as many as the session has partitions if the pages are few
+    payload = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-payload // RANGE_BYTES))
+    _, edges = range_parts(small, "key", "digest", tasks)
 
     def placed(df: DataFrame) -> DataFrame:
-        return range_parts(df, "key", "digest", tasks * 4, edges)[0]
+        return range_parts(df, "key", "digest", tasks, edges)[0]
 
     nothing = F.lit(None).cast("string")
     wide = placed(rows.withColumn("digest", F.sha1("html"))).select(
@@ -126,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 4, roll_bytes: in
     extra = placed(decisions).select(
         "part", "key", F.lit(0).alias("kind"), "digest", F.col("keeper").cast("string").alias("id"),
         nothing.alias("url"), nothing.alias("html"))
-    ordered = (wide.unionByName(extra).repartition(tasks, "part")
+    ordered = (wide.unionByName(extra).repartitionById(tasks, F.col("part"))
                .sortWithinPartitions("part", "key", "kind", "digest", "url"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -180,3 +180,17 @@ def test_damaged_files_are_refused(spark):
 
 def test_empty_table(spark):
     assert W.archive_and_read(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_reading_many_small_records_is_linear():
+    """What is behind a record is not copied for each of them."""
+    import time
+
+    one = W.response_or_revisit(1, "u", b"small payload", hashlib.sha1(b"small payload").hexdigest(), None)
+    took = []
+    for n in (2_000, 16_000):
+        data = one * n
+        start = time.perf_counter()
+        assert sum(1 for _ in W.members(data)) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] * 3
