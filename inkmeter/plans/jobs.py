@@ -194,10 +194,9 @@ def costs_report(usage: DataFrame, day: str | None = None) -> DataFrame:
 
     The events are aggregated once to (day, model); every breakdown is a sum over that small table.
     """
-    ensure_checkpoint_dir(usage.sparkSession)
     per = (usage.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "model")
            .agg(F.sum("total_tokens").cast("long").alias("tokens"), F.sum("cost").alias("cost"),
-                F.count(F.lit(1)).cast("long").alias("count"))).checkpoint(eager=True)
+                F.count(F.lit(1)).cast("long").alias("count"))).cache()  # a row per day and model
     day = day or per.agg(F.max("day").alias("d")).first()["d"]
     all_time = ledger.breakdowns(per).withColumn("scope", F.lit("all_time"))
     if day is None:

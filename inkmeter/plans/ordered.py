@@ -168,6 +168,8 @@ FAN = 16
 def _entries(nodes: DataFrame, spec: _Spec, count: int) -> dict:
     """{partition: its entry state}, from the partitions' nodes; composed and handed down in tasks."""
     limits = spec.limits
+    if count == 1:  # nothing stands before a single partition
+        return {0: ([0] * len(limits.tops), 0, 0, 0)}
 
     def up(pdf: pd.DataFrame) -> pd.DataFrame:
         some = packtable.from_frame(pdf)
@@ -183,9 +185,11 @@ def _entries(nodes: DataFrame, spec: _Spec, count: int) -> dict:
         levels.append(nodes)
         nodes = nodes.groupBy(parent).applyInPandas(up, packtable.NODE_SCHEMA)
         count = -(-count // FAN)
-    start = nodes.sparkSession.createDataFrame([(0, None, [0] * len(limits.tops), 0, 0, 0)], packtable.ENTRY_SCHEMA)
-    at = nodes.groupBy(F.lit(0).cast("long").alias("parent")).cogroup(
-        start.groupBy(F.col("node").alias("parent"))).applyInPandas(down, packtable.ENTRY_SCHEMA)
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        return packtable.entry_frame(packtable.enter(packtable.from_frame(pdf), (None, packtable.fresh(limits)), limits))
+
+    at = nodes.groupBy(F.lit(0).alias("all")).applyInPandas(top, packtable.ENTRY_SCHEMA)
     for level in reversed(levels):
         at = level.groupBy(parent).cogroup(at.groupBy(F.col("node").alias("parent"))).applyInPandas(
             down, packtable.ENTRY_SCHEMA)
