@@ -156,6 +156,21 @@ def tasks_for(df: DataFrame, rows_per_task: int = 20_000) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_per_task)
 
 
+def distinct_sample(rows: DataFrame, of: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """At most ``size`` different rows of ``rows``: those with the smallest hashes, whatever order the files have.
+
+    Only hashes in the share of the range that holds about four times ``size`` of the rows of ``of`` are looked at, so
+    fewer rows than ``size`` come back where copies (or rows of ``of`` that are not in ``rows``) are most of them.  Copies
+    of a row are reduced to one in every task before the shuffle.
+    """
+    share = min(1.0, 4 * size / max(1, of.count()))
+    hashed = rows.select(F.xxhash64(*[F.col(c) for c in rows.columns], F.lit(seed)).alias("_hash"), *rows.columns)
+    if share < 1.0:
+        hashed = hashed.where(F.col("_hash") < int((2 * share - 1) * (1 << 63)))
+    one = hashed.groupBy("_hash").agg(*[F.first(c).alias(c) for c in rows.columns])
+    return one.orderBy("_hash").limit(size).select(*rows.columns)
+
+
 #: Bits of one bitmap of :func:`possible` (what ``bitmap_construct_agg`` holds), and the most bitmaps it makes.
 MAP_BITS, MAPS = 1 << 15, 1 << 14
 

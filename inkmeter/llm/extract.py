@@ -2,24 +2,36 @@
 
 A page is read once, from left to right, into runs of words and tags.  Words
 score positive, tags negative; a run of words scores according to where it
-stands (plain, inside a link, inside boilerplate) and a tag according to its
-name.  The weights are log-odds counted on labelled pages: pages of the
-table that mark their content themselves with exactly one <article> or
-<main> element.  A linear scan finds the contiguous region with the largest
-sum.  The region is then widened to the innermost element that holds it (the
-<article> or <main> around it, where there is one), and the blocks of that
-element, without boilerplate inside it, are the main text.
-
-Boilerplate is what stands in elements that never hold content (scripts,
-styles, navigation, asides, page headers and footers ...), in forms, or in
-elements whose class, id or role names a menu, sidebar, notice, advert or
-comment section.  A form or a name is no veto for an element that holds the
-page's content ("content-sidebar-wrap" around the article): it costs the
-element's start tag a score (``named``) and is not inherited.
-:func:`_settle` tells which elements those are.
-
-Defined results: null or empty html, and pages without a word outside
-boilerplate, give the empty string; rows with null or repeated page_id are
+stands (:func:`_kind`) and a tag according to its name.  The weights are
+log-odds counted on labelled pages: pages of the table that mark their
+content themselves with exactly one <article> or <main> element.  Names of
+classes and ids whose words stand outside the content on these pages are
+learned as boilerplate too.  A linear scan finds the contiguous region with
+the largest sum, and the blocks of that region are the main text: a block of
+which the region holds a word is taken whole, everything before the first
+and after the last one is left out.
+
+Kinds of words:
+- ``plain``: positive.  Headings that are links count as plain.
+- ``link``: negative, so link lists at the ends of the region fall off.
+- ``boiler``: negative; words of elements that never hold content (navigation, asides, page headers and footers ...),
+  of forms and of elements whose class, id or role names a menu, sidebar, notice, advert or comment section.  Words
+  of one such element count at most ``BOUND`` times, so that a long one between two paragraphs does not part them;
+  they are no text, whichever block they stand in.
+- ``control``: negative; labels and buttons.  A block of nothing else is left out, in a sentence they stay.
+- ``beside``: negative; words outside <article> and <main> on a page whose content these hold.
+
+Inside <article> or <main> on such a page, links, controls and boilerplate score nothing: the page itself says that
+they do not end the content.  If a page holds nothing but links there, those are its words.
+
+A form or a name is no mark for an element that holds the page's content
+("content-sidebar-wrap" around the article): it costs the element's start tag
+a score (``named``) and is not inherited.  :func:`_settle` tells which
+elements those are.  Names that only mark in some compounds ("related-posts",
+not "related-work") count if nothing but a word for a part of a page follows.
+
+Defined results: null or empty html, and pages without a run that scores
+above zero, give the empty string; rows with null or repeated page_id are
 extracted like any other; markup that never closes (an open comment, script
 or tag) reaches to the end of the page, a quote left open to the end of its
 tag; a less-than sign before anything but a name is text; other columns are
@@ -39,6 +51,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkmeter.llm.common import distinct_sample
+
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 _NAMING = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_WORDS = re.compile(r"[a-z]+")
@@ -46,7 +60,9 @@ _NAME_WORDS = re.compile(r"[a-z]+")
 #: Fixed lists of HTML element names.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head nav aside button dialog menu label fieldset".split()) | RAW
+NEVER = frozenset("head nav aside dialog menu fieldset".split()) | RAW
+CONTROLS = frozenset("button label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE_PARTS = frozenset("header footer".split())
 CONTENT = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main td th table center".split())
@@ -58,19 +74,27 @@ BLOCKS = frozenset((
 TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
 QUALIFIERS = frozenset("has no with without is".split())
 MARKS = TALK | frozenset((
-    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs complementary consent "
-    "contentinfo cookie cookies dialog footer login masthead menu menubar modal nav navbar navigation newsletter "
-    "notice notices notification pagination popup promo promotion related search share sharing "
-    "sidebar sidebars signup skip social sponsor sponsored subscribe toolbar topbar widget").split())
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent "
+    "contentinfo cookie cookies footer masthead menu menubar modal nav navbar navigation newsletter "
+    "pagination popup promo sidebar sidebars signup sponsored subscribe toolbar topbar widget").split())
+#: Words that mark boilerplate at the end of a name or before words for parts of a page only.
+ENDINGS = frozenset((
+    "alert dialog login notice notices notification promotion related search share sharing skip social sponsor").split())
+PARTS = frozenset((
+    "area articles bar block bottom box button buttons container content form icons inner items left link links list "
+    "module outer panel posts right section stories to top wrap wrapper").split())
 #: What a start tag closes of the same kind.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
            "th": ("td", "th"), "option": ("option",)}
 
-DEFAULT_WEIGHTS = {"plain": 1.0, "link": -1.0, "boiler": -2.0, "named": -2.0, "tag": -0.5}
+DEFAULT_WEIGHTS = {"plain": 1.0, "link": -1.0, "boiler": -2.0, "control": -1.0, "beside": -1.0, "named": -2.0, "tag": -0.2}
+#: Words of one boilerplate element that count at most.
+BOUND = 10
 
 
 class _Element:
-    __slots__ = ("name", "parent", "boiler", "link", "depth", "content", "mark", "over", "talk")
+    __slots__ = ("name", "parent", "boiler", "link", "depth", "content", "mark", "over", "talk", "heading", "prose", "control",
+                 "attributes", "top")
 
     def __init__(self, name, parent, boiler, link, content, mark=""):
         self.name, self.parent, self.boiler, self.link, self.content = name, parent, boiler, link, content
@@ -78,26 +102,46 @@ class _Element:
         self.mark = mark  # "", "name" or "talk": marked by its own name
         self.over = self if mark else None if parent is None else parent.over  # innermost marked element around a word
         self.talk = mark == "talk" or parent is not None and parent.talk
+        self.heading = name in HEADINGS or parent is not None and parent.heading
+        self.prose = name == "p" or parent is not None and parent.prose and name not in BLOCKS
+        self.control = name in CONTROLS or parent is not None and parent.control
+        self.attributes = ""
+        self.top = None  # the outermost boilerplate element around a word
 
 
 def _never_content(name: str, in_content: bool) -> bool:
     return name in NEVER or name == "footer" or name in PAGE_PARTS and not in_content
 
 
-def _mark(name: str, attributes: str) -> str:
+def _names(attributes: str) -> Iterator[list[str]]:
+    """The words of each value of the class, id and role attributes."""
+    for m in _NAMING.finditer(attributes):
+        for value in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
+            yield _NAME_WORDS.findall(value)
+
+
+def _ends(words: list[str]) -> bool:
+    """Whether one of ``ENDINGS`` is followed by nothing but ``PARTS``."""
+    for w in reversed(words):
+        if w not in PARTS:
+            return w in ENDINGS
+    return False
+
+
+def _mark(name: str, attributes: str, learned: frozenset = frozenset()) -> str:
     """"talk" or "name" if the class, id or role (or a form) marks boilerplate, else ""."""
     found = "name" if name == "form" else ""
     if not attributes or name in ("html", "body"):
         return found
-    marks = TALK if name in CONTENT else MARKS
-    for m in _NAMING.finditer(attributes):
-        for value in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
-            words = _NAME_WORDS.findall(value)
-            # "has-sidebar" or "no-comments" tell what the page has, not what the element is
-            if words and words[0] not in QUALIFIERS and not marks.isdisjoint(words):
-                if not TALK.isdisjoint(words):
-                    return "talk"
-                found = "name"
+    marks, any_name = (TALK, False) if name in CONTENT else (MARKS, True)
+    for words in _names(attributes):
+        # "has-sidebar" or "no-comments" tell what the page has, not what the element is
+        if not words or words[0] in QUALIFIERS:
+            continue
+        if not TALK.isdisjoint(words):
+            return "talk"
+        if not marks.isdisjoint(words) or any_name and (_ends(words) or "-".join(words) in learned):
+            found = "name"
     return found
 
 
@@ -159,7 +203,7 @@ def _settle(events: list[tuple], elements: list[_Element]) -> None:
             e.boiler = True
 
 
-def scan(page: str) -> list[tuple]:
+def scan(page: str, learned: frozenset = frozenset()) -> list[tuple]:
     """Events of a page in order: ("tag", name, element) and ("text", raw text, element, block number).
 
     The start tag of a marked element that holds the page's content is ("named", name, element)."""
@@ -230,123 +274,184 @@ def scan(page: str) -> list[tuple]:
                 up = up.parent
             if up is not None and up.name == other:
                 here = up.parent
-        mark = _mark(name, attributes)
+        mark = _mark(name, attributes, learned)
         here = _Element(name, here, here.boiler or _never_content(name, here.content), here.link or name == "a",
                         here.content or name in CONTENT, mark)
+        here.attributes = attributes
         elements.append(here)
         if mark:
             opened.append((len(events) - 1, here))
     _settle(events, elements)
+    for e in elements:  # an element comes after those around it
+        if e.boiler:
+            e.top = e.parent.top or e
     for i, e in opened:
         if not e.boiler:
             events[i] = ("named", e.name, events[i][2])
     return events
 
 
-def _kind(event: tuple) -> str:
+def declares(events: list[tuple]) -> bool:
+    """Whether <article> and <main> hold the page's content: a tenth or more of its words outside links and boilerplate."""
+    inside = plain = 0
+    for e in events:
+        if e[0] == "text" and not e[2].boiler:
+            n = len(e[1].split())
+            inside += n if e[2].content else 0
+            plain += 0 if e[2].link else n
+    return inside > 0 and inside * 10 >= plain
+
+
+def _kind(event: tuple, declared: bool = False) -> str:
     if event[0] != "text":
         return "tag:" + event[1] if event[0] == "tag" else "named"
-    return "boiler" if event[2].boiler else "link" if event[2].link else "plain"
+    e = event[2]
+    if e.boiler:
+        return "boiler"
+    if declared and not e.content:
+        return "beside"
+    if e.control:
+        return "control"
+    return "link" if e.link and not e.heading and not (declared and e.prose) else "plain"
 
 
 def _amount(event: tuple) -> int:
     return len(event[1].split()) if event[0] == "text" else 1
 
 
-def best_region(events: list[tuple], weights: dict) -> tuple[int, int]:
-    """(first, last + 1) of the events whose scores sum highest; (0, 0) if no run scores above zero."""
+def best_region(events: list[tuple], weights: dict, declared: bool = False) -> tuple[int, int]:
+    """(first, last + 1) of the events whose scores sum highest, the longest of these; (0, 0) if none scores above zero."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     tag = weights["tag"]
+    counted: Counter = Counter()
     for i, e in enumerate(events):
-        total += weights.get(_kind(e), tag) * _amount(e)
+        kind, amount = _kind(e, declared), _amount(e)
+        if kind in ("boiler", "link", "control"):
+            if declared and e[2].content:
+                continue
+            if kind == "boiler":
+                amount = min(amount, BOUND - counted[e[2].top])
+                counted[e[2].top] += amount
+        total += weights.get(kind, tag) * amount
         if total <= 0:
             total, start = 0.0, i + 1
-        elif total > best:
+        elif total > best or total == best and amount and e[0] == "text":
             best, span = total, (start, i + 1)
     return span
 
 
+def learned_names(weights: dict) -> frozenset:
+    return frozenset(k[5:] for k in weights if k.startswith("name:"))
+
+
 def main_text(page, weights: dict = DEFAULT_WEIGHTS) -> str:
     if not page:
         return ""
-    events = scan(page)
-    first, last = best_region(events, weights)
-    root = None
-    for e in events[first:last]:
-        if e[0] == "text" and not e[2].boiler and not e[1].isspace():
-            here = e[2]
-            if root is None:
-                root = here
-                continue
-            while root is not here:  # the innermost element that holds both
-                if root.depth >= here.depth:
-                    root = root.parent
-                else:
-                    here = here.parent
-    if root is None:
+    events = scan(page, learned_names(weights))
+    declared = declares(events)
+    first, last = best_region(events, weights, declared)
+    if first == last and declared:  # links only
+        for e in events:
+            e[2].link = False
+        first, last = best_region(events, weights, declared)
+    touched = [e[3] for e in events[first:last] if e[0] == "text" and not e[1].isspace() and not e[2].boiler]
+    if not touched:
         return ""
-    while root.name not in CONTAINERS and root.parent is not None:
-        root = root.parent
-    up = root
-    while up is not None:
-        if up.name in CONTENT:
-            root = up
-        up = up.parent
     blocks: dict = {}
-    inside: dict = {}
+    prose = set()
     for e in events:
-        if e[0] != "text" or e[2].boiler:
+        if e[0] != "text" or not touched[0] <= e[3] <= touched[-1]:
             continue
-        ok = inside.get(id(e[2]))
-        if ok is None:
-            up = e[2]
-            while up is not None and up.depth > root.depth:
-                up = up.parent
-            ok = inside[id(e[2])] = up is root
-        if ok:
-            blocks.setdefault(e[3], []).append(e[1])
-    lines = (" ".join(_html.unescape("".join(parts)).split()) for parts in blocks.values())
+        kind = _kind(e, declared)
+        if kind in ("boiler", "beside"):
+            continue
+        blocks.setdefault(e[3], []).append(e[1])
+        if kind != "control" and not e[1].isspace():
+            prose.add(e[3])
+    lines = (" ".join(_html.unescape("".join(parts)).split()) for b, parts in blocks.items() if b in prose)
     return "\n".join(x for x in lines if x)
 
 
 def label_counts(page: str) -> Counter:
-    """Counts of (kind, inside the marked content?) of a page that marks its content with one element."""
+    """Counts of (kind, inside the marked content?) of a page that marks its content with one element.
+
+    Kinds are those of :func:`_kind` and, for words, ``name:`` and each class or id around them."""
     events = scan(page or "")
     tops = {id(e[2]) for e in events if e[2].name in CONTENT and not (e[2].parent and e[2].parent.content)}
     out: Counter = Counter()
     if len(tops) == 1:
+        named: dict = {}
         for e in events:
             n = _amount(e)
             if n:
-                out[_kind(e), e[2].content and not e[2].boiler] += n
+                inside = e[2].content and not e[2].boiler
+                out[_kind(e), inside] += n
+                if e[0] == "text":
+                    for name in _around(e[2], named):
+                        out["name:" + name, e[2].content] += n
     return out
 
 
+def _around(e: _Element, known: dict) -> frozenset:
+    """Names of the element and of those around it."""
+    chain = []
+    while e is not None and id(e) not in known:
+        chain.append(e)
+        e = e.parent
+    names = known[id(e)] if e is not None else frozenset()
+    for e in reversed(chain):
+        own = frozenset("-".join(w) for w in _names(e.attributes) if w)
+        names = known[id(e)] = names | own if own else names
+    return names
+
+
+#: Words that a name must have outside the content, for each of them at most a fiftieth inside, to be learned; names kept.
+NAME_WORDS, NAMES = 200, 1000
+
+
 def weights_from(counts: Counter) -> dict:
-    """Log-odds of each kind inside against outside the content; words stay positive, the rest negative."""
-    inside = sum(v for (_, ok), v in counts.items() if ok)
-    outside = sum(v for (_, ok), v in counts.items() if not ok)
+    """Log-odds of each kind inside against outside the content; plain words stay positive, the rest negative."""
+    kinds = {k: v for k, v in counts.items() if not k[0].startswith("name:")}
+    inside = sum(v for (_, ok), v in kinds.items() if ok)
+    outside = sum(v for (_, ok), v in kinds.items() if not ok)
     if not inside or not outside:
         return dict(DEFAULT_WEIGHTS)
+
+    def odds(kind: str) -> float:
+        return math.log((counts[kind, True] + 1) / (inside + 2)) - math.log((counts[kind, False] + 1) / (outside + 2))
+
     out = dict(DEFAULT_WEIGHTS)
-    for kind in {k for k, _ in counts}:
-        odds = math.log((counts[kind, True] + 1) / (inside + 2)) - math.log((counts[kind, False] + 1) / (outside + 2))
-        out[kind] = min(max(odds, 0.25), 4.0) if kind == "plain" else min(max(odds, -4.0), -0.05)
+    for kind in {k for k, _ in kinds}:
+        low, high = (1.0, 4.0) if kind == "plain" else (-1.0, -0.05) if kind.startswith("tag:") else (-4.0, -0.5)
+        out[kind] = min(max(odds(kind), low), high)
+    out["beside"] = -out["plain"]
+    names = {k for k, _ in counts if k.startswith("name:") and counts[k, False] >= NAME_WORDS
+             and counts[k, True] * 50 <= counts[k, False]}
+    for name in sorted(names, key=lambda k: (-counts[k, False], k))[:NAMES]:
+        out[name] = out["boiler"]
     return out
 
 
+def _bounded(counts: Counter, names: int = 50 * NAMES) -> Counter:
+    """``counts`` with the ``names`` most frequent names only."""
+    own = [k for k in counts if k[0].startswith("name:")]
+    if len(own) > names:
+        for k in sorted(own, key=lambda k: (-counts[k], k))[names:]:
+            del counts[k]
+    return counts
+
+
 def learn_weights(pages: DataFrame, sample_rows: int = 500) -> dict:
-    """Weights from about ``sample_rows`` labelled pages, counted in parallel; a short dictionary comes back."""
-    rows = pages.where(F.col("html").isNotNull()).select("html")
-    marked = rows.where(F.lower("html").rlike("<(article|main)[\\s>]"))
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    chosen = marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample_rows)
+    """Weights from ``sample_rows`` different labelled pages, counted in parallel; a short dictionary comes back."""
+    rows = pages.where(F.lower("html").rlike("<(article|main)[\\s>]")).select("html")
+    chosen = distinct_sample(rows, pages, sample_rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for b in batches:
             for page in b["html"]:
                 total.update(label_counts(page))
+            total = _bounded(total)
         yield pd.DataFrame([(json.dumps(sorted([k, bool(ok), int(v)] for (k, ok), v in total.items())),)], columns=["c"])
 
     total: Counter = Counter()
