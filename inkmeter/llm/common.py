@@ -130,16 +130,19 @@ class WordHashes:
 LOWEST = -(1 << 63)
 
 
-def range_parts(df: DataFrame, key: str, text: str, parts: int, edges=None) -> tuple[DataFrame, np.ndarray]:
+def range_parts(df: DataFrame, key: str, text: str, parts: int, edges=None, exact: bool = False) -> tuple[DataFrame, np.ndarray]:
     """``df`` plus ``part``: ascending ranges of the long column ``key``, about equal in rows.
 
     The ranges are cut at quantiles.  A key that fills several ranges is a cut
     several times over; its rows are spread over those ranges by a hash of ``text``.
-    ``edges``: the cuts of an earlier call, to place other rows alike.
+    ``edges``: the cuts of an earlier call, to place other rows alike.  ``exact``: cuts by the keys' exact ranks, which
+    depend on the rows only; approximate quantiles also depend on the order and the partitions the rows come in.
     """
     if edges is None:
         cuts = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
         edges = np.array(sorted(int(min(max(c, LOWEST), (1 << 63) - 1024)) for c in cuts), dtype=np.int64)
+        if exact and len(edges):
+            return range_parts(df, key, text, parts, _exact_edges(df, key, parts, edges))
 
     @F.pandas_udf("int")
     def part_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
@@ -151,6 +154,27 @@ def range_parts(df: DataFrame, key: str, text: str, parts: int, edges=None) -> t
     return df.withColumn("part", part_of(F.col(key), F.xxhash64(text))), edges
 
 
+def _exact_edges(df: DataFrame, key: str, parts: int, edges: np.ndarray) -> np.ndarray:
+    """The keys at the ranks i * rows / parts.  ``edges`` (about there) deal the keys, one row each, to tasks."""
+    from pyspark.sql import Window
+
+    counts = df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).withColumn("text", F.lit(""))
+    # equal cuts add nothing here: a key is one row
+    dealt, _ = range_parts(counts, "key", "text", parts, np.unique(edges))
+    dealt = kept(dealt.select("part", "key", "n"), "range-keys")
+    base = prefix_sums(dealt.groupBy("part").agg(F.sum("n").alias("m")), "part", "m").select("part", "base")
+    last = F.col("base") + F.sum("n").over(Window.partitionBy("part").orderBy("key"))
+    ranked = dealt.join(base, "part").withColumn("last", last)
+    total = F.lit(int(dealt.agg(F.sum("n")).first()[0]))
+
+    def cut(rank):
+        return F.least(F.floor(rank * parts / total), F.lit(parts - 1))
+
+    found = ranked.select("key", cut(F.col("last") - F.col("n")).alias("a"), cut(F.col("last")).alias("b")).where("b > a")
+    rows = found.select("key", F.explode(F.sequence(F.col("a") + 1, F.col("b")))).collect()  # one row a cut
+    return np.array(sorted(r.key for r in rows), dtype=np.int64)
+
+
 def tasks_for(df: DataFrame, rows_per_task: int = 20_000) -> int:
     """Number of shuffle partitions for a wide table: the session's, or more for many rows."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_per_task)

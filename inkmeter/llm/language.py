@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import GOLDEN, fold_mod, mix64
+from inkmeter.llm.common import GOLDEN, distinct_sample, fold_mod, mix64
 
 BITS = 17
 #: Characters worked on at a time; longer texts are read in pieces that overlap by two characters.
@@ -190,15 +190,12 @@ def fit(texts: list, labels: list, dim: int = 16, epochs: int = 3, rate: float =
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 5000,
           seed: int = 7) -> LanguageModel | None:
-    """Fit on about ``sample_rows`` labelled rows, chosen by a hash of the text, in one task."""
+    """Fit in one task on ``sample_rows`` different pairs of text and label, those with the smallest hashes."""
     import pickle
 
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("t"), F.col(lang).alias("y"))
-    n = rows.count()
-    keep = min(1.0, sample_rows / max(1, n))
-    chosen = rows.where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
-    chosen = chosen.limit(2 * sample_rows)
+    chosen = distinct_sample(rows, rows, sample_rows, seed)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches]

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import (LOWEST, FileOutput, filesystem, kept, prefix_sums, range_parts, read_file, tasks_for)
+from inkmeter.llm.common import (LOWEST, FileOutput, distinct_sample, filesystem, kept, prefix_sums, range_parts, read_file, tasks_for)
 from inkmeter.session import scratch_path
 
 MAGIC = b"IMTOKS1\n"
@@ -230,19 +230,23 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, s
                 sample_ids: int = 4096, level: int = 3) -> DataFrame:
     """Encode ``docs`` (doc_id, text), write the shards below ``folder``, return the manifest.
 
-    The dictionary is trained in one task on the first ``sample_ids`` ids of about ``sample_rows`` documents.
+    The dictionary is trained in one task on ``sample_ids`` ids of each of ``sample_rows`` different texts; in a longer
+    text the stretch begins at a place given by the text's crc32.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    share = min(1.0, sample_rows / max(1, n))
+
+    def stretch(ids: bytes, text: str) -> bytes:
+        spare = len(ids) // 4 - sample_ids
+        at = 4 * (zlib.crc32(text.encode("utf-8", "surrogatepass")) % (spare + 1)) if spare > 0 else 0
+        return ids[at:at + 4 * sample_ids]
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
-        got = sorted(_narrow(enc(t)[:4 * sample_ids], enc.width) for b in batches for t in b["text"])
+        got = sorted(_narrow(stretch(enc(t), t), enc.width) for b in batches for t in b["text"])
         yield pd.DataFrame({"d": [train_dictionary(got)]})
 
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    made = chosen.select("text").limit(2 * sample_rows).repartition(1).mapInPandas(learn, "d binary").collect()
+    chosen = distinct_sample(rows.select("text"), rows, sample_rows)
+    made = chosen.repartition(1).mapInPandas(learn, "d binary").collect()
     dictionary = bytes(made[0].d) if made else b""
     out = FileOutput(folder, DICTIONARY)
     out.write(dictionary)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import GOLDEN, MIX_A, WordHashes, fold_mod, word_pieces
+from inkmeter.llm.common import GOLDEN, MIX_A, WordHashes, distinct_sample, fold_mod, word_pieces
 
 _WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 STEM = 4
@@ -166,12 +166,10 @@ def score_texts(texts: list, model: ToxicityModel, feats: Features) -> np.ndarra
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = 20_000,
           seed: int = 5) -> ToxicityModel:
-    """Fit on about ``sample_rows`` labelled rows, chosen by a hash of the text, in one task."""
+    """Fit in one task on ``sample_rows`` different pairs of text and label, those with the smallest hashes."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("t"),
                                                            F.col(label).cast("double").alias("y"))
-    n = rows.count()
-    keep = min(1.0, sample_rows / max(1, n))
-    chosen = rows.where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
+    chosen = distinct_sample(rows, rows, sample_rows, seed)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches]
@@ -179,7 +177,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_
         pdf = pdf.sort_values(["t", "y"])
         yield pd.DataFrame({"m": [pickle.dumps(fit(pdf.t.tolist(), pdf.y.tolist(), seed=seed))]})
 
-    got = chosen.limit(2 * sample_rows).repartition(1).mapInPandas(learn, "m binary").collect()
+    got = chosen.repartition(1).mapInPandas(learn, "m binary").collect()
     return pickle.loads(got[0].m) if got else fit([], [])
 
 

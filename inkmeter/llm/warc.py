@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 4, roll_bytes: in
     # ranges are sized by bytes: a file each, or as many as the session has partitions if the pages are few
     payload = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-payload // RANGE_BYTES))
-    _, edges = range_parts(small, "key", "digest", tasks)
+    _, edges = range_parts(small, "key", "digest", tasks, exact=True)
 
     def placed(df: DataFrame) -> DataFrame:
         return range_parts(df, "key", "digest", tasks, edges)[0]

@@ -138,3 +138,17 @@ def test_toxicity_table(spark):
     none = T.classify(d, l.limit(0)).collect()
     assert len(none) == len(rows) and max(r.score for r in none) < 1e-9
     assert T.classify(d.limit(0), l).count() == 0
+
+
+def test_samples_do_not_depend_on_order_or_copies(spark):
+    from inkmeter.llm.common import distinct_sample
+    rows = [(f"text {i}", float(i % 2)) for i in range(200)]
+    many = rows + [("one text many times", 1.0)] * 400
+    got = []
+    for order in (many, many[::-1]):
+        d = spark.createDataFrame(order, "t string, y double").repartition(5)
+        got.append(sorted((r.t, r.y) for r in distinct_sample(d, d, 60).collect()))
+    assert got[0] == got[1] and len(got[0]) == 60 and len(set(got[0])) == 60
+    d = spark.createDataFrame(many, "t string, y double")
+    assert distinct_sample(d, d, 1000).count() == 201
+    assert distinct_sample(d.limit(0), d, 10).count() == 0

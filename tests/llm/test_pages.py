@@ -79,6 +79,82 @@ def test_names_stay_a_veto_beside_the_content():
     assert X.main_text(f"<main><article>{PARTS}</article><div class='related'><article>A teaser</article></div></main>") == BODY
 
 
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Menu{i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{MENU}{PARTS}</body>",
+    f"<body><div class='top-links'>{MENU}</div>{PARTS}</body>",
+    f"<body><main>{PARTS}<div class='more'><a href=/a>One more story</a> <a href=/b>And another story</a></div></main></body>",
+    f"<body><article>{PARTS}</article><div>Copyright 2024 All rights reserved</div></body>",
+    f"<body>{MENU}<div>{PARTS}</div>{MENU}</body>",
+])
+def test_what_is_outside_the_region_is_left_out(page, monkeypatch):
+    """Menus and notices without a telling name fall off because of the region, and come back with the whole page as region."""
+    assert X.main_text(page) == BODY
+    monkeypatch.setattr(X, "best_region", lambda events, *a: (0, len(events)))
+    if "<main>" not in page and "Copyright" not in page:
+        assert X.main_text(page) != BODY
+
+
+def test_names_and_controls_inside_the_article():
+    for name in ("share-price-table", "related-work", "search-theory"):
+        extra = f"<div class='{name}'><p>These words belong to it.</p></div>"
+        assert X.main_text(f"<article>{PARTS}{extra}</article>") == BODY + "\nThese words belong to it."
+    for name in ("share", "share-buttons", "related-posts", "site-search", "search-form", "skip-to-content", "cookie-notice"):
+        assert X.main_text(f"<article>{PARTS}<div class='{name}'><p>These words do not.</p></div></article>") == BODY
+    assert X.main_text("<article><p>Use the <label>red key</label> to sign, press <button>Enter</button> now</p></article>") == \
+        "Use the red key to sign, press Enter now"
+    assert X.main_text(f"<article>{PARTS}<button>Send</button><label>Name</label></article>") == BODY
+
+
+def test_boilerplate_between_paragraphs_does_not_end_the_text():
+    long = "<div class='ad'>" + "buy this now " * 20 + "</div>"  # under half of the words: no wrapper of the content
+    body = "\n".join([BODY] * 4)
+    for end, page in (("End.", "<article>%s%s<p>End.</p></article>"), ("the end " * 20, "<div>%s%s<p>" + "the end " * 20 + "</p></div>")):
+        assert X.main_text(page % (PARTS * 4, long)) == body + "\n" + end.strip()
+    linked = f"<article>{PARTS}{MENU}<p><a href=x>Only a link</a></p><h2><a href=y>Part</a></h2>{PARTS}</article>"
+    assert X.main_text(linked).split("\n")[-4:] == ["Only a link", "Part", *BODY.split("\n")]
+    assert X.main_text("<article><ul><li><a>First story</a></li><li><a>Second story</a></li></ul></article>") == "First story\nSecond story"
+
+
+def slow_region(events, weights, declared):
+    """All runs, each summed on its own."""
+    used, score = {}, []
+    for e in events:
+        kind = X._kind(e, declared)
+        n = len(e[1].split()) if e[0] == "text" else 1
+        if kind in ("boiler", "link", "control") and declared and e[2].content:
+            n = 0
+        elif kind == "boiler":
+            room = X.BOUND - used.get(id(e[2].top), 0)
+            n = min(n, room)
+            used[id(e[2].top)] = used.get(id(e[2].top), 0) + n
+        score.append(weights.get(kind, weights["tag"]) * n)
+    return max([0.0] + [sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)]), score
+
+
+def test_region_of_pages_against_all_runs():
+    rng = random.Random(4)
+    parts = [PARTS, MENU, "<div class='ad'>Buy it</div>", "<p><a href=x>Read on</a></p>", "<button>Go</button>", "<footer>Foot</footer>",
+             "<article><p>Short.</p></article>", "<h2>Part</h2>", "<aside>" + "side " * 30 + "</aside>"]
+    for _ in range(40):
+        events = X.scan("<body>" + "".join(rng.choice(parts) for _ in range(5)) + "</body>")
+        declared = X.declares(events)
+        i, j = X.best_region(events, X.DEFAULT_WEIGHTS, declared)
+        best, score = slow_region(events, X.DEFAULT_WEIGHTS, declared)
+        assert sum(score[i:j]) == pytest.approx(best)
+
+
+def test_names_are_learned_from_labelled_pages(spark):
+    side = "<div class='kiosk'>" + "buy our paper today and tomorrow " * 3 + "</div>"
+    rows = [(i, "u", f"<body><article>{PARTS} Page {i}</article>{side}</body>") for i in range(30)]
+    w = X.learn_weights(spark.createDataFrame(rows, PAGES))
+    assert "name:kiosk" in w
+    page = f"<body>{PARTS}{side}</body>"
+    assert X.main_text(page, w) == BODY and X.main_text(page) != BODY
+
+
 def test_marks_many_and_deep():
     deep = "<div class='nav-open'>" * 3_000 + PARTS + "</div>" * 3_000
     assert X.main_text(deep) == BODY
