@@ -199,9 +199,11 @@ def distinct_sample(rows: DataFrame, of: DataFrame, size: int, seed: int = 42) -
 MAP_BITS, MAPS = 1 << 15, 1 << 14
 
 
-def possible(df: DataFrame, wanted: DataFrame, keys: list) -> DataFrame:
+def possible(df: DataFrame, wanted: DataFrame, keys: list, flag: str | None = None) -> DataFrame:
     """Rows of ``df`` whose ``keys`` may be among those of ``wanted``; every row that is there stays, a few others do too.
 
+    With ``flag`` all rows stay and that boolean column tells them apart.
+
     The keys' hashes set bits of at most ``MAPS`` bitmaps (4 KB each, 64 MB in all), which are broadcast whatever the
     tables' sizes; with more keys than that has room for, fewer rows are kept back.  A shuffled join then decides.
     """
@@ -210,8 +212,11 @@ def possible(df: DataFrame, wanted: DataFrame, keys: list) -> DataFrame:
     place = [F.pmod(h, F.lit(maps)).cast("int").alias("_map"), F.pmod(F.shiftright(h, 20), F.lit(MAP_BITS)).alias("_bit")]
     bits = wanted.select(*place).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = df.select("*", *place).join(F.broadcast(bits), "_map")
-    return found.where(F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1).select(*df.columns)
+    found = df.select("*", *place).join(F.broadcast(bits), "_map", "left" if flag else "inner")
+    hit = F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1
+    if flag:
+        return found.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(flag))
+    return found.where(hit).select(*df.columns)
 
 
 class FileOutput:

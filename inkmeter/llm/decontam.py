@@ -15,14 +15,18 @@ words are compared with it:
 3. Multi-index.  The 64 bits are cut into ``BLOCKS`` blocks.  Within
    ``RADIUS`` differing bits, some block differs in at most RADIUS // BLOCKS
    bits; the item side is listed under every block value within that
-   distance, so an equality join on (size, block, value) meets all pairs
-   within the radius, and the exact distance removes the rest.
+   distance, so an equality join on (item, block, value) meets all pairs
+   within the radius, and the exact distance removes the rest.  A window is
+   held against the items of its size that share a shingle with its text:
+   all others have similarity zero.
 4. Verification.  The weighted Jaccard similarity of the two shingle lists
    (smaller count over larger count, summed) must reach ``SIMILARITY``.
 
 Work is done once per distinct text (64-bit hash and length), so a text with
-many copies costs one verification.  The item side is broadcast only while
-its measured number of rows is small; past that it is joined like any table.
+many copies costs one verification.  No table is broadcast by a hint: bitmaps
+of bounded size (:func:`inkmeter.llm.common.possible`) keep back the shingles
+and texts that no item can have, at every size of the benchmark, and only
+the others are joined, as Spark plans it from measured bytes.
 
 Defined results: null or wordless documents and items match nothing; a
 document shorter than an item is one window; repeated rows and rows with
@@ -34,19 +38,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmeter.llm.common import kept, whole_row
+from inkmeter.llm.common import kept, possible, whole_row
 
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 24
 BLOCKS = 8
-#: Rows of a side that may be broadcast (a row is under 200 bytes).
-BROADCAST_ROWS = 200_000
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
 
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once (a plain column would be put into every use of it)."""
@@ -134,20 +131,21 @@ def text_key() -> list[Column]:
 
 def _matches_of_size(docs: DataFrame, benchmark: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     items = kept(benchmark_items(benchmark, k), "bench-items")
-    shingles = kept(items.select("n", F.explode("hashes").alias("h")).distinct(), "bench-shingles")
+    of_items = kept(items.select("item_id", "n", F.explode("hashes").alias("h")).distinct(), "bench-shingles")
+    shingles = kept(of_items.select("n", "h").distinct(), "bench-sizes")
     index = kept(block_index(items, radius), "bench-index")
 
     texts = docs.where(F.col("text").isNotNull()).select("text", *text_key())
     hashed = texts.select("_h", "_len", F.explode(F.transform(
         F.array(_words(F.col("text"))), lambda w: F.struct(F.size(w).alias("nw"), _hashes(w, k).alias("hs")))).alias("d"))
     places = hashed.select("_h", "_len", "d.nw", F.posexplode("d.hs").alias("pos", "h"))
-    hits = places.join(_small(shingles, shingles.count()), "h")
+    met = kept(possible(places, shingles, ["h"]), "bench-places")
     first = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("nw") - F.col("n")))
-    windows = kept(hits.groupBy("_h", "_len").agg(F.collect_set(F.struct(first.alias("s"), "n")).alias("wins")),
-                   "bench-windows")
+    windows = kept(met.join(shingles, "h").groupBy("_h", "_len").agg(
+        F.collect_set(F.struct(first.alias("s"), "n")).alias("wins")), "bench-windows")
+    sharing = met.select("_h", "_len", "h").distinct().join(of_items, "h").select("_h", "_len", "item_id", "n").distinct()
 
-    found = texts.join(_small(windows, windows.select(F.coalesce(F.sum(F.size("wins")), F.lit(0))).first()[0]),
-                       ["_h", "_len"]).dropDuplicates(["_h", "_len"])
+    found = possible(texts, windows, ["_h", "_len"]).dropDuplicates(["_h", "_len"]).join(windows, ["_h", "_len"])
     cut = found.select("_h", "_len", F.explode(F.get(F.transform(
         F.array(_words(F.col("text"))),
         lambda words: F.transform("wins", lambda w: F.struct(
@@ -155,13 +153,15 @@ def _matches_of_size(docs: DataFrame, benchmark: DataFrame, k: int, similarity:
         F.lit(0))).alias("w")).select("_h", "_len", "w.*")
     prints = kept(cut.select("_h", "_len", "s", "n", "words", _let(_hashes(F.col("words"), k), _simhash).alias("fp")),
                   "bench-prints")
-    probes = prints.select("_h", "_len", "s", "n", "words", "fp", F.explode(_block_values(F.col("fp"), BLOCKS)).alias("b"))
-    probes = probes.select("_h", "_len", "s", "n", "words", "fp", "b.*")
-    near = (probes.join(_small(index, index.count()), ["n", "block", "value"])
+    probes = prints.select("_h", "_len", "s", "n", "fp").join(sharing, ["_h", "_len", "n"])
+    probes = probes.select("_h", "_len", "s", "item_id", "fp", F.explode(_block_values(F.col("fp"), BLOCKS)).alias("b"))
+    probes = probes.select("_h", "_len", "s", "item_id", "fp", "b.*")
+    near = (probes.join(index, ["item_id", "block", "value"])
             .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
             .where(F.col("distance") <= radius)
-            .groupBy("_h", "_len", "s", "n", "words", "item_id", "distance").agg(F.count("*").alias("blocks_met")))
-    checked = near.join(_small(items.select("item_id", "shingles"), items.count()), "item_id").withColumn(
+            .groupBy("_h", "_len", "s", "n", "item_id", "distance").agg(F.count("*").alias("blocks_met")))
+    candidates = near.join(prints.drop("fp"), ["_h", "_len", "s", "n"])
+    checked = candidates.join(items.select("item_id", "n", "shingles"), ["item_id", "n"]).withColumn(
         "similarity", _let(_shingles(F.col("words"), k), lambda mine: _similarity(F.col("shingles"), mine)))
     best = checked.where(F.col("similarity") >= similarity).groupBy("_h", "_len", "item_id", "n").agg(
         F.max(F.struct("similarity", (-F.col("s")).alias("s"), (-F.col("distance")).alias("d"))).alias("m"))
@@ -187,13 +187,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """doc_id, item_id, similarity, start_word, n_words, distance of every document row that holds an item."""
     matches = matched_texts(docs, benchmark, similarity, radius)
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", *text_key())
-    return rows.join(_small(matches, matches.count()), ["_h", "_len"]).select(
+    return possible(rows, matches, ["_h", "_len"]).join(matches, ["_h", "_len"]).select(
         "doc_id", "item_id", "similarity", "start_word", "n_words", "distance")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                          radius: int = RADIUS) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item."""
-    keys = matched_texts(docs, benchmark, similarity, radius).select("_h", "_len").distinct()
-    rows = docs.select(whole_row(docs), *text_key())
-    return rows.join(_small(keys, keys.count()), ["_h", "_len"], "left_anti").select("row.*")
+    keys = kept(matched_texts(docs, benchmark, similarity, radius).select("_h", "_len").distinct(), "bench-keys")
+    rows = possible(docs.select(whole_row(docs), *text_key()), keys, ["_h", "_len"], flag="_maybe")
+    clear = rows.where(~F.col("_maybe"))
+    doubted = rows.where("_maybe").join(keys, ["_h", "_len"], "left_anti")
+    return clear.select("row.*").unionByName(doubted.select("row.*"))

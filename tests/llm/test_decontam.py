@@ -116,3 +116,24 @@ def test_no_python_in_the_plan(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     assert "Python" not in D._matches_of_size(d, b, 5, 0.8, 24)._jdf.queryExecution().toString()
+
+
+def test_bitmaps_keep_every_row_that_is_there(spark):
+    from inkmeter.llm.common import possible
+    wanted = spark.range(0, 3000, 3).selectExpr("id as k")
+    rows = spark.range(3000).selectExpr("cast(nullif(id, 7) as long) as k", "id as v")
+    got = {r.v for r in possible(rows, wanted, ["k"]).collect()}
+    assert got >= set(range(0, 3000, 3)) and len(got) < 1500
+    flagged = {r.v: r.maybe for r in possible(rows, wanted, ["k"], flag="maybe").collect()}
+    assert len(flagged) == 3000 and {v for v, m in flagged.items() if m} == got
+    assert possible(rows, wanted.limit(0), ["k"]).count() == 0
+    assert possible(rows, wanted.limit(0), ["k"], flag="maybe").where("not maybe").count() == 3000
+
+
+def test_items_that_share_a_common_shingle(spark):
+    """Windows are held against the items they share words with; a shingle of every item is no special case."""
+    common = "choose the one best answer"
+    items = [(i, f"{common} " + " ".join(f"w{i}x{j}" for j in range(12))) for i in range(30)]
+    docs = [(i, "before it " + items[i][1] + " behind") for i in range(10)] + [(50, common), (51, f"{common} and nothing else")]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items) and {(k, i) for k, i, _ in got} == {(i, i) for i in range(10)}
