@@ -210,10 +210,14 @@ def possible(df: DataFrame, wanted: DataFrame, keys: list, flag: str | None = No
     maps = int(min(MAPS, max(1, 16 * wanted.count() // MAP_BITS + 1)))
     h = F.xxhash64(*keys)
     place = [F.pmod(h, F.lit(maps)).cast("int").alias("_map"), F.pmod(F.shiftright(h, 20), F.lit(MAP_BITS)).alias("_bit")]
-    bits = wanted.select(*place).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bits = wanted.select(*place).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bytes"))
+    # as an array of longs, which a row looks up without any work on strings; byte 0 is the highest of a long
+    longs = F.expr(f"transform(sequence(0, {MAP_BITS // 64 - 1}), i -> cast(conv(hex(substring(_bytes, 8 * i + 1, 8)), 16, -10) as long))")
+    bits = bits.select("_map", longs.alias("_bits"))
     found = df.select("*", *place).join(F.broadcast(bits), "_map", "left" if flag else "inner")
-    hit = F.getbit(byte, F.pmod("_bit", F.lit(8)).cast("int")) == 1
+    at = F.col("_bit").cast("int")
+    word = F.get("_bits", F.shiftright(at, 6))
+    hit = F.getbit(word, F.lit(56) - F.shiftright(at.bitwiseAND(63), 3) * 8 + at.bitwiseAND(7)) == 1
     if flag:
         return found.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(flag))
     return found.where(hit).select(*df.columns)
