@@ -153,3 +153,35 @@ def test_scoring_calls_are_bounded(spark):
     scored = scoring.policy_continue(scoring.score_chunks(rows, counting, max_rows=1_000))
     got = {r.llm_score: r["count"] for r in scored.groupBy("llm_score").count().collect()}
     assert got == {"1000": 2_000, "500": 500}
+
+
+def test_scoring_in_waves_reads_bounded_tasks(spark, monkeypatch):
+    """More text than ``concurrency`` tasks may hold: same rows in waves, in which no task reads it all."""
+    import os
+
+    from inkmeter.operators import scoring
+    from inkmeter.session import local_path
+
+    def call_sizes(batches):
+        frames = list(batches)
+        n = sum(len(f) for f in frames)
+        for f in frames:
+            yield f[["custom_id"]].assign(line=[scoring.answer_line(c, str(n)) for c in f["custom_id"]])
+
+    rows = spark.range(4_000).selectExpr("if(id < 3000, 'hot', if(id % 50 = 0, null, concat('f', id % 20))) AS file", "id % 2 AS part",
+                                         "cast(id as string) AS custom_id", "if(id % 7 = 0, null, repeat('x', 100)) AS text", "id")
+    rows = rows.unionByName(rows.filter("id = 5"))  # an id asked for twice
+    plain = scoring.score_chunks(rows, concurrency=2, carry=("id",), max_rows=100)
+    assert plain.rdd.getNumPartitions() == 2
+    monkeypatch.setattr(scoring, "WAVE_BYTES", 20_000)
+    scored = scoring.score_chunks(rows, concurrency=2, carry=("id",), max_rows=100)
+    assert sorted(map(str, scored.collect())) == sorted(map(str, plain.collect())) and scored.columns == plain.columns
+    out = os.path.dirname(local_path(scored.inputFiles()[0]))
+    waves = [w for w in os.listdir(os.path.dirname(out)) if w.startswith("wave=")]
+    assert len(waves) > 5
+    for w in waves:
+        files = [f for f in os.listdir(f"{os.path.dirname(out)}/{w}") if f.startswith("part-")]
+        assert 1 <= len(files) <= 2
+        assert spark.read.parquet(f"{os.path.dirname(out)}/{w}").count() < 2_000
+    sizes = scoring.policy_continue(scoring.score_chunks(rows, call_sizes, concurrency=2, max_rows=100))
+    assert max(int(r.llm_score) for r in sizes.select("llm_score").distinct().collect()) <= 100
