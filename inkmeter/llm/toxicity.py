@@ -30,6 +30,8 @@ from inkmeter.llm.common import GOLDEN, MIX_A, WordHashes, distinct_sample, fold
 
 _WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 STEM = 4
+#: Seed of the sample and of the order in which it is learned.
+SEED = 5
 #: Slots (one byte each) by which features are counted before they are held.
 COUNT_BITS = 26
 
@@ -165,11 +167,36 @@ def score_texts(texts: list, model: ToxicityModel, feats: Features) -> np.ndarra
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = 20_000,
-          seed: int = 5) -> ToxicityModel:
+          seed: int = SEED) -> ToxicityModel:
     """Fit in one task on ``sample_rows`` different pairs of text and label, those with the smallest hashes."""
     rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("t"),
                                                            F.col(label).cast("double").alias("y"))
-    chosen = distinct_sample(rows, rows, sample_rows, seed)
+    return _fit_in_one_task(distinct_sample(rows, rows, sample_rows, seed), seed)
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, size: int, seed: int) -> DataFrame:
+    """(t, y): the rows that :func:`distinct_sample` has of the texts of ``docs`` joined with the labels ``known``
+    (doc_id, toxic), but no text is shuffled before the sample is known.
+
+    Hashes of a text with every value that labels take (two of them) are joined with the labels; the smallest hashes,
+    each with one doc_id, are then broadcast to the texts.
+    """
+    labels = known.select("doc_id", F.col("toxic").cast("double").alias("y"))
+    values = [r.y for r in labels.select("y").distinct().collect()]
+    t = F.coalesce(F.col("text"), F.lit("")).alias("t")
+    hashes = F.array(*[F.xxhash64(t, F.lit(y), F.lit(seed)) for y in values]).cast("array<long>").alias("_hashes")
+    of_label = F.coalesce(F.lit(None).cast("long"), *[F.when(F.col("y") == y, F.col("_hashes")[i]) for i, y in enumerate(values)])
+    hashed = docs.select("doc_id", hashes).join(labels, "doc_id").select("doc_id", "y", of_label.alias("_hash"))
+    share = min(1.0, 4 * size / max(1, hashed.count()))
+    if share < 1.0:
+        hashed = hashed.where(F.col("_hash") < int((2 * share - 1) * (1 << 63)))
+    one = hashed.groupBy("_hash").agg(F.min("doc_id").alias("doc_id"), F.first("y").alias("y")).orderBy("_hash").limit(size)
+    found = docs.select("doc_id", t, hashes).join(F.broadcast(one), "doc_id").where(of_label == F.col("_hash"))
+    return found.groupBy("_hash").agg(F.first("t").alias("t"), F.first("y").alias("y")).select("t", "y")
+
+
+def _fit_in_one_task(chosen: DataFrame, seed: int) -> ToxicityModel:
+    """The model of the rows (t, y), which one task holds."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches]
@@ -202,7 +229,6 @@ def held_out(col: str = "doc_id"):
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; learns from the labelled rows not held out."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    model = train(labelled, sample_rows=sample_rows)
+    model = _fit_in_one_task(labelled_sample(docs, known, sample_rows, SEED), SEED)
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -152,3 +152,24 @@ def test_samples_do_not_depend_on_order_or_copies(spark):
     d = spark.createDataFrame(many, "t string, y double")
     assert distinct_sample(d, d, 1000).count() == 201
     assert distinct_sample(d.limit(0), d, 10).count() == 0
+
+
+def test_toxicity_sample_shuffles_no_texts(spark):
+    """The sample of the joined texts, found by hashes: only chosen texts and narrow rows are shuffled."""
+    from inkmeter.llm.common import distinct_sample
+
+    d = spark.range(3_000).selectExpr("if(id % 100 = 0, null, id div 2) AS doc_id", "if(id % 11 = 0, null, concat('text ', id % 900)) AS text")
+    known = spark.range(1_500).selectExpr("id AS doc_id", "cast(id % 3 = 0 as int) AS toxic").where("doc_id % 5 <> 0")
+    known = known.unionByName(known.where("doc_id < 40").selectExpr("doc_id", "1 - toxic AS toxic"))
+    joined = d.join(known, "doc_id").select(F.coalesce("text", F.lit("")).alias("t"), F.col("toxic").cast("double").alias("y"))
+    for size in (40, 300, 5_000):
+        want = sorted((r.t, r.y) for r in distinct_sample(joined, joined, size, 5).collect())
+        assert sorted((r.t, r.y) for r in T.labelled_sample(d, known, size, 5).collect()) == want and len(want) > 30
+    assert T.labelled_sample(d, known.limit(0), 10, 5).count() == 0 and T.labelled_sample(d.limit(0), known, 10, 5).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = T.labelled_sample(d, known, 100, 5)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and sum("rightHint=(strategy=broadcast)" in line for line in joins) == 1
