@@ -84,7 +84,7 @@ def test_stages_against_plain_python(spark):
 def test_registered(spark):
     q = E.queries()
     assert q["pipeline"] is not None and P.ORACLE_SQL is None
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in q if re.match(r"op\d+_", k)) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in q if re.match(r"op\d+_", k)) == list(range(1, 14))
     assert [n for n, _ in P.STAGES] == ["language_id", "simhash_near_dedup", "decontamination", "mixing", "token_store"]
 
 
