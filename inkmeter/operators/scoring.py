@@ -28,13 +28,14 @@ from pyspark.sql import types as T
 from inkmeter.functions import responses as R
 from inkmeter.operators.packing import MAX_REQUESTS_PER_BATCH
 from inkmeter.operators.results import broadcast_if_small
+from inkmeter.plans.ordered import ordered_scan, packing_partitions
 from inkmeter.session import ensure_checkpoint_dir, scratch_path
 
 ANSWER_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
                               T.StructField("line", T.StringType())])
 
-#: Bytes of text that a task reads in one wave where ``concurrency`` limits the tasks.
-WAVE_BYTES = 64 * 1024 * 1024
+#: Bytes of ids and text that a task reads in one wave where ``concurrency`` limits the tasks, and of a row's other columns.
+WAVE_BYTES, ROW_BYTES = 64 * 1024 * 1024, 32
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -99,9 +100,10 @@ def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrenc
     ``concurrency`` = number of tasks, i.e. at most that many chunks in flight;
     by default at least the cluster's parallelism (the partition count is
     explicit, so AQE does not fold the Python stage into a few tasks).  Few
-    tasks would read ever more of a growing input, so more than
-    ``WAVE_BYTES`` of text for each of them is scored in waves, one after the
-    other (:func:`_score_in_waves`), before this function returns.
+    tasks would read ever more of a growing input, so above ``WAVE_BYTES``
+    each gets an even share of the bytes, and above ``WAVE_BYTES`` for each of
+    them the shares are scored in waves, one after the other, before this
+    function returns (:func:`_score_in_waves`).
     """
     carry, chunk_cols = list(carry), list(chunk_cols)
     spark = requests.sparkSession
@@ -153,35 +155,46 @@ def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrenc
 
     if concurrency:
         ensure_checkpoint_dir(spark)
+        held = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("custom_id", "text")]
         sizes = src.groupBy(*chunk_cols).agg(
-            F.sum(F.octet_length(F.col("text").cast("string"))).alias("_bytes"),
+            F.sum(held[0] + held[1] + F.lit(ROW_BYTES)).cast("long").alias("_bytes"),
             F.ceil(F.count(F.lit(1)) / max_rows).cast("long").alias("_slices")).checkpoint(eager=True)
-        waves = -(-int(sizes.agg(F.sum("_bytes")).first()[0] or 0) // (n * WAVE_BYTES))
-        if waves > 1:
-            return _score_in_waves(src, sizes.drop("_bytes"), chunk_cols, n, waves, run, schema)
+        total, chunks = sizes.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+        if total > WAVE_BYTES:
+            starts = ordered_scan(sizes.withColumn("_whole", F.lit(0)), ["_whole"], [*chunk_cols, "_slices"], "sum", "_bytes",
+                                  num_partitions=packing_partitions(chunks)).drop("_whole")
+            return _score_in_waves(src, starts, total, chunk_cols, n, run, schema)
     laid = src.repartition(n, *chunk_cols).sortWithinPartitions(*chunk_cols)
     return laid.mapInPandas(run, schema)
 
 
-def _score_in_waves(src: DataFrame, sizes: DataFrame, chunk_cols: list[str], n: int, waves: int, run, schema) -> DataFrame:
-    """Score ``src`` with at most ``n`` tasks at a time: its calls are dealt to ``waves``, and each wave is a job of ``n`` tasks.
+def _score_in_waves(src: DataFrame, starts: DataFrame, total: int, chunk_cols: list[str], n: int, run, schema) -> DataFrame:
+    """Score ``src`` with at most ``n`` tasks at a time: its calls are dealt to waves, and each wave is a job of ``n`` tasks.
 
-    The rows are laid out by wave once, and each wave reads its own folder only.  A chunk of ``_slices`` calls is dealt by
-    call, rows of one id together, so that no wave has to hold a large chunk.
+    ``starts`` has a running sum of the chunks' bytes in their order (``_run``, of ``total``).  A call goes to the share of
+    the bytes that it starts in, so a task gets one share of at most ``WAVE_BYTES``, and the rest of the last call.  A chunk
+    of ``_slices`` calls is dealt by call, rows of one id together, so that no wave has to hold a large chunk.  The rows of
+    several waves are laid out by wave once, and each wave reads its own folder only.
     """
     spark = src.sparkSession
-    base = scratch_path(spark, "waves")
-    slice_ = F.pmod(F.xxhash64("custom_id"), F.col("_slices"))
+    waves = -(-total // (n * WAVE_BYTES))
+    share = F.expr(f"(_run - _bytes + pmod(xxhash64(_l.custom_id), _slices) * _bytes div _slices) div {total // (n * waves) + 1}")
     same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in chunk_cols]
-    dealt = src.alias("_l").join(broadcast_if_small(sizes).alias("_r"), same).select("_l.*", slice_.alias("_slice"))
-    dealt = dealt.withColumn("_wave", F.pmod(F.xxhash64(*chunk_cols, "_slice"), F.lit(waves)).cast("int"))
-    dealt.repartition(*chunk_cols, "_slice").write.partitionBy("_wave").parquet(f"{base}/in")
+    dealt = src.alias("_l").join(broadcast_if_small(starts).alias("_r"), same, "left").select(
+        "_l.*", F.coalesce(share, F.lit(0)).cast("int").alias("_share"))
+
+    def laid_out(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(n, F.col("_share")).sortWithinPartitions(*chunk_cols).select(*src.columns)
+
+    if waves == 1:
+        return laid_out(dealt).mapInPandas(run, schema)
+    base = scratch_path(spark, "waves")
+    dealt = dealt.withColumn("_wave", F.floor(F.col("_share") / n).cast("int"))
+    dealt.repartitionById(n * waves, F.col("_share")).write.partitionBy("_wave").parquet(f"{base}/in")
     laid = spark.read.schema(dealt.schema).parquet(f"{base}/in")
     done = [r[0] for r in laid.select("_wave").distinct().orderBy("_wave").collect()]
     for wave in done:
-        mine = laid.filter(F.col("_wave") == wave).drop("_wave")
-        mine = mine.repartition(n, *chunk_cols, "_slice").sortWithinPartitions(*chunk_cols).select(*src.columns)
-        mine.mapInPandas(run, schema).write.parquet(f"{base}/out/wave={wave}")
+        laid_out(laid.filter(F.col("_wave") == wave)).mapInPandas(run, schema).write.parquet(f"{base}/out/wave={wave}")
     return spark.read.schema(schema).parquet(*[f"{base}/out/wave={w}" for w in done])
 
 

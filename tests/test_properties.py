@@ -185,3 +185,29 @@ def test_scoring_in_waves_reads_bounded_tasks(spark, monkeypatch):
         assert spark.read.parquet(f"{os.path.dirname(out)}/{w}").count() < 2_000
     sizes = scoring.policy_continue(scoring.score_chunks(rows, call_sizes, concurrency=2, max_rows=100))
     assert max(int(r.llm_score) for r in sizes.select("llm_score").distinct().collect()) <= 100
+
+
+def test_scoring_tasks_hold_one_share_and_one_call(spark, monkeypatch):
+    """What a task reads is dealt by bytes, not by chance: at most its share and the rest of one call."""
+    from inkmeter.operators import scoring
+    from inkmeter.session import local_path
+
+    per_row = 100 + 4 + scoring.ROW_BYTES
+    rows = spark.range(1_000, 5_000).selectExpr("concat('f', id % 10) AS file", "id div 10 % 8 AS part", "cast(id as string) AS custom_id",
+                                                "repeat('x', 100) AS text")  # 80 chunks of 50 rows
+    monkeypatch.setattr(scoring, "WAVE_BYTES", 200 * per_row)
+    scored = scoring.score_chunks(rows, concurrency=2)
+    folders = {local_path(f).rsplit("/", 1)[0] for f in scored.inputFiles()}
+    assert scored.count() == scored.select("custom_id").distinct().count() == 4_000 and len(folders) == 10
+    tasks = [spark.read.parquet(local_path(f)).count() for f in scored.inputFiles()]
+    assert max(tasks) <= 250 and len([t for t in tasks if t]) == 20
+
+    one = rows.select(F.lit("f").alias("file"), F.lit(1).alias("part"), "custom_id", "text")  # one chunk of many calls
+    monkeypatch.setattr(scoring, "WAVE_BYTES", 2_500 * per_row)
+    scored = scoring.score_chunks(one, concurrency=2, max_rows=100)
+    tasks = scored.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 4_000 and max(t["count"] for t in tasks) <= 2_500
+
+    empty = rows.withColumn("text", F.lit(None).cast("string"))  # rows without text are not free
+    monkeypatch.setattr(scoring, "WAVE_BYTES", 200 * (per_row - 100))
+    assert len({local_path(f).rsplit("/", 1)[0] for f in scoring.score_chunks(empty, concurrency=2).inputFiles()}) == 10
