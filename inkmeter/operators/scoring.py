@@ -37,6 +37,9 @@ ANSWER_SCHEMA = T.StructType([T.StructField("custom_id", T.StringType()),
 #: Bytes of ids and text that a task reads in one wave where ``concurrency`` limits the tasks, and of a row's other columns.
 WAVE_BYTES, ROW_BYTES = 64 * 1024 * 1024, 32
 
+#: Column of ``with_bytes``.
+SIZE_COL = "_row_bytes"
+
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -81,6 +84,15 @@ def _score_call(frames: list, asked: list[str], scorer: Scorer) -> tuple:
         return {}, "failed", f"ERROR: {exc}", traceback.format_exc()
 
 
+def with_bytes(rows: DataFrame) -> DataFrame:
+    """``rows`` (custom_id, text) plus ``SIZE_COL``, what a row weighs where calls are dealt by bytes.
+
+    Taken before the rows are joined with their chunks, it spares ``score_chunks`` a shuffle of the texts.
+    """
+    held = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("custom_id", "text")]
+    return rows.withColumn(SIZE_COL, (held[0] + held[1] + F.lit(ROW_BYTES)).cast("long"))
+
+
 def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrency: int | None = None,
                  carry: tuple | list = (), chunk_cols: tuple | list = ("file", "part"),
                  max_rows: int = MAX_REQUESTS_PER_BATCH) -> DataFrame:
@@ -103,7 +115,8 @@ def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrenc
     tasks would read ever more of a growing input, so above ``WAVE_BYTES``
     each gets an even share of the bytes, and above ``WAVE_BYTES`` for each of
     them the shares are scored in waves, one after the other, before this
-    function returns (:func:`_score_in_waves`).
+    function returns (:func:`_score_in_waves`).  The bytes are read from the
+    column of :func:`with_bytes` if ``requests`` has it, else from the texts.
     """
     carry, chunk_cols = list(carry), list(chunk_cols)
     spark = requests.sparkSession
@@ -155,9 +168,9 @@ def score_chunks(requests: DataFrame, scorer: Scorer = length_scorer, concurrenc
 
     if concurrency:
         ensure_checkpoint_dir(spark)
-        held = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in ("custom_id", "text")]
-        sizes = src.groupBy(*chunk_cols).agg(
-            F.sum(held[0] + held[1] + F.lit(ROW_BYTES)).cast("long").alias("_bytes"),
+        sized = requests if SIZE_COL in requests.columns else with_bytes(requests)
+        sizes = sized.select(*numbers, SIZE_COL).groupBy(*chunk_cols).agg(
+            F.sum(SIZE_COL).cast("long").alias("_bytes"),
             F.ceil(F.count(F.lit(1)) / max_rows).cast("long").alias("_slices")).checkpoint(eager=True)
         total, chunks = sizes.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.count(F.lit(1))).first()
         if total > WAVE_BYTES:

@@ -62,10 +62,10 @@ def packed_rows(rows: DataFrame, prompt, token_limit: int | None = None, split_t
 
 def scored_rows(rows: DataFrame, packed: DataFrame, scorer: scoring.Scorer, concurrency: int | None = None) -> DataFrame:
     """Answer lines and chunk status of every packed row."""
-    chunks = rows.drop("tok").join(packed, ["file", "pos"])
     # The scorer sees the text to evaluate (null -> 'nan', as in the request); the
     # system prompt and model are its configuration (see prompts.request_json).
-    req = chunks.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("nan")))
+    asked = rows.drop("tok").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("nan")))
+    req = scoring.with_bytes(asked).join(packed, ["file", "pos"])
     return scoring.score_chunks(req, scorer, concurrency=concurrency, carry=("pos", "id", "chunk_id", "tok"),
                                 chunk_cols=("file", "part", "split_part"))
 

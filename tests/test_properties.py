@@ -211,3 +211,50 @@ def test_scoring_tasks_hold_one_share_and_one_call(spark, monkeypatch):
     empty = rows.withColumn("text", F.lit(None).cast("string"))  # rows without text are not free
     monkeypatch.setattr(scoring, "WAVE_BYTES", 200 * (per_row - 100))
     assert len({local_path(f).rsplit("/", 1)[0] for f in scoring.score_chunks(empty, concurrency=2).inputFiles()}) == 10
+
+
+def test_sizing_chunks_shuffles_no_text(spark, tmp_path, monkeypatch):
+    """The chunks' bytes are summed from a column taken beside the text: the join with the chunks moves no text for them."""
+    import contextlib
+    import io
+    import re
+
+    from inkmeter.operators import scoring
+
+    spark.range(600).selectExpr("id AS doc_id", "if(id % 9 = 0, null, repeat('x', 100)) AS text", "'en' AS lang",
+                                "concat('s', id % 4) AS source", "100L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = sorted(map(str, catalog.Q["score_concurrency"](spark, str(tmp_path)).collect()))
+    plans, checkpoint = [], type(spark.range(1)).checkpoint
+
+    def seen(df, *args, **kwargs):
+        if "_slices" in df.columns and "_run" not in df.columns:
+            with contextlib.redirect_stdout(io.StringIO()) as out:
+                df.explain("formatted")
+            plans.append(out.getvalue())
+        return checkpoint(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", seen)
+    monkeypatch.setattr(scoring, "WAVE_BYTES", 30_000)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables that no broadcast holds
+        got = sorted(map(str, catalog.Q["score_concurrency"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == plain and len(plain) == 12
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plans[0])
+    assert len(moved) >= 2 and not any(re.search(r"\btext#", m) for m in moved)
+
+
+def test_bytes_taken_before_the_join_are_those_of_the_texts(spark, monkeypatch):
+    from inkmeter.operators import scoring
+
+    rows = spark.range(500).selectExpr("if(id % 50 = 0, null, 'f') AS file", "id % 3 AS part", "if(id = 7, null, cast(id as string)) AS custom_id",
+                                       "if(id % 7 = 0, null, repeat('\u00e9', 90)) AS text")
+    assert scoring.with_bytes(rows).agg(F.sum(scoring.SIZE_COL)).first()[0] == rows.agg(F.sum(
+        F.expr(f"coalesce(octet_length(custom_id), 0) + coalesce(octet_length(text), 0) + {scoring.ROW_BYTES}"))).first()[0]
+    plain = scoring.score_chunks(rows, concurrency=2, max_rows=100)
+    monkeypatch.setattr(scoring, "WAVE_BYTES", 40_000)
+    for some in (rows, scoring.with_bytes(rows)):
+        scored = scoring.score_chunks(some, concurrency=2, max_rows=100)
+        assert scored.columns == plain.columns and sorted(map(str, scored.collect())) == sorted(map(str, plain.collect()))
